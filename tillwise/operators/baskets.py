@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillwise.operators.joins import left_join_unique
 from tillwise.operators.windows import BROADCAST_IDS, keep_ids
+from tillwise.session import materialize
 
 # An order of up to this many lines is paired inside one array.
 LARGE_ORDER = 200
@@ -50,15 +50,14 @@ def basket_pairs(
             lines.groupBy("order")
             .agg(F.count(F.lit(1)).alias("lines"))
             .where(F.col("lines") > large_order)
-            .persist(StorageLevel.DISK_ONLY)
         )
+        big = materialize(big, "large-order-ids")
         found = big.count()
         if found:
             small, large = _split(lines, big, found)
-            small_pairs = _pairs_in_small_orders(small)
+            small_pairs = materialize(_pairs_in_small_orders(small), "pairs")
+            large = materialize(large, "large-orders")
             counts = _add_large_orders(small_pairs, large, int(min_pair_count), large_order)
-        else:
-            big.unpersist()
     if counts is None:
         counts = _pairs_in_small_orders(lines)
     return (
@@ -108,6 +107,7 @@ def _add_large_orders(
     marked = left_join_unique(
         large, common.withColumn("common", F.lit(True)), "item", rows_per_key="orders"
     )
+    marked = materialize(marked, "marked-items")
     direct = _pairs_by_block(marked.where("common").select("order", "item"), block)
 
     # Orders of a rare item: fewer than min_pair_count, so the list is short.
@@ -121,7 +121,7 @@ def _add_large_orders(
         lists = rare.select(
             F.col("item").alias(side), F.col("in_orders").alias(f"orders_of_{side}")
         )
-        candidates = left_join_unique(candidates, lists, side)
+        candidates = materialize(left_join_unique(candidates, lists, side), "candidates")
     a, b = F.col("orders_of_item_a"), F.col("orders_of_item_b")
     both_rare = candidates.where(a.isNotNull() & b.isNotNull()).select(
         "item_a", "item_b", F.size(F.array_intersect(a, b)).cast("bigint").alias("pair_count")
@@ -132,6 +132,7 @@ def _add_large_orders(
         F.when(a.isNotNull(), F.col("item_b")).otherwise(F.col("item_a")).alias("item"),
         F.explode(F.coalesce(a, b)).alias("order"),
     )
+    lookups = materialize(lookups, "lookups")
     one_rare = (
         left_join_unique(lookups, large.withColumn("hit", F.lit(1)), ["order", "item"])
         .where(F.col("hit").isNotNull())

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillwise.functions.scalars import safe_divide
 from tillwise.operators.features import align_features
 from tillwise.operators.ranks import value_counts_below
-from tillwise.operators.segments import fit_scaler
+from tillwise.operators.segments import fit_scaler, in_few_tasks
 from tillwise.operators.windows import future_purchases
+from tillwise.session import materialize
 
 # Fixed values of the model: share held out, iteration limit, decision threshold.
 TEST_SHARE = 0.25
@@ -133,11 +134,10 @@ def _fit(train: DataFrame, feature_columns: list[str]) -> tuple[PipelineModel, L
     rows = sum(counts.values())
     scaler = fit_scaler(train, feature_columns)
     weight = F.when(F.col("label") == 1, rows / (2 * counts[1])).otherwise(rows / (2 * counts[0]))
-    ready = (
-        scaler.transform(train)
-        .select("scaled", F.col("label").cast("double").alias("label"), weight.alias("weight"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    ready = scaler.transform(train).select(
+        "scaled", F.col("label").cast("double").alias("label"), weight.alias("weight")
     )
+    ready = in_few_tasks(ready, rows).persist(StorageLevel.MEMORY_AND_DISK)
     model = LogisticRegression(
         featuresCol="scaled",
         labelCol="label",
@@ -146,7 +146,7 @@ def _fit(train: DataFrame, feature_columns: list[str]) -> tuple[PipelineModel, L
         regParam=1.0 / rows,
         elasticNetParam=0.0,
         standardization=False,
-        tol=1e-8,
+        tol=1e-7,
     ).fit(ready)
     ready.unpersist()
     return scaler, model
@@ -179,12 +179,9 @@ def train_churn_model(
     columns = list(feature_columns)
     labelled = with_labels(_doubles(features, columns), labels, 0, customer_col)
     split = stratified_split(labelled, "label", customer_col, random_state)
-    split = split.select(customer_col, *columns, "label", "is_test").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    split = materialize(split.select(customer_col, *columns, "label", "is_test"), "split")
     scaler, model = _fit(split.where(~F.col("is_test")), columns)
     metrics = classification_metrics(_score(scaler, model, split.where("is_test")))
-    split.unpersist()
     return ChurnModelResult(model, scaler, columns, metrics)
 
 
@@ -206,14 +203,14 @@ def train_churn_model_time_split(
     def labelled(features: DataFrame, labels: DataFrame | str) -> DataFrame:
         ready = _doubles(features, columns)
         if isinstance(labels, str):
-            return ready.withColumn("label", F.col(labels).cast("int"))
-        return with_labels(ready, labels, 1, customer_col)
+            ready = ready.withColumn("label", F.col(labels).cast("int"))
+        else:
+            ready = with_labels(ready, labels, 1, customer_col)
+        return materialize(ready.select(*columns, "label"), "labelled")
 
     scaler, model = _fit(labelled(train_features, train_labels), columns)
     test = _score(scaler, model, labelled(test_features, test_labels))
-    test = test.select("label", "churn_risk").persist(StorageLevel.MEMORY_AND_DISK)
     metrics, size = classification_metrics(test), test.count()
-    test.unpersist()
     return ChurnModelResult(model, scaler, columns, metrics, {"test_size": size})
 
 
@@ -269,13 +266,12 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 
 def classification_metrics(scored: DataFrame) -> dict[str, float]:
     """Metrics of scored rows; ``roc_auc`` only when both classes occur."""
-    scored = scored.select("label", "churn_risk").persist(StorageLevel.MEMORY_AND_DISK)
+    scored = materialize(scored.select("label", "churn_risk"), "scored")
     row = confusion(scored).select("accuracy", "precision", "recall", "f1").first()
     metrics = row.asDict()
     area = roc_auc(scored).first()[0]
     if area is not None:
         metrics["roc_auc"] = area
-    scored.unpersist()
     return metrics
 
 

@@ -46,11 +46,11 @@ def customer_features(
         revenue = F.coalesce(real(df, "price"), zero) * F.coalesce(real(df, "quantity"), zero)
     discount = F.coalesce(real(df, "discount"), zero) if "discount" in df.columns else None
 
-    base, per_customer = _order_features(df, customer_col, order_col, revenue, discount)
+    base = _order_features(df, customer_col, order_col, revenue, discount)
     if "recency_days" in df.columns:
         recency = F.col("_recency")
     elif "order_date" in df.columns:
-        newest = per_customer.agg(F.max("_last")).scalar()
+        newest = df.agg(F.max(moment(df, "order_date"))).scalar()
         recency = elapsed_days(newest, F.col("_last"))
     else:
         recency = F.lit(None)
@@ -89,10 +89,10 @@ def customer_features_asof(
     revenue = number(df, "total_spend") if "total_spend" in df.columns else F.lit(0.0)
     discount = real(df, "discount") if "discount" in df.columns else None
 
-    base, per_customer = _order_features(df, customer_col, "order_id", revenue, discount)
+    base = _order_features(df, customer_col, "order_id", revenue, discount)
     now = time_literal(as_of)
     if lookback_days is None:
-        first = per_customer.agg(F.min("_first")).scalar()
+        first = df.agg(F.min("order_date")).scalar()
         stand_in = elapsed_days(now, first) + 1
     else:
         stand_in = F.lit(int(lookback_days) + 1)
@@ -118,20 +118,19 @@ def _order_features(
     order_col: str,
     revenue: Column,
     discount: Column | None,
-) -> tuple[DataFrame, DataFrame]:
-    """Order and money features, and the per-customer aggregate behind them.
+) -> DataFrame:
+    """Order, funnel and money features per customer, and what recency is made from.
 
     Lines are first merged per (customer, order), then per customer. Distinct orders become
     a plain count, and both steps merge before they shuffle, so neither a customer nor an
-    order with very many lines lands in one task. The aggregate keeps the lines without a
-    customer, because their dates count for the newest and oldest row.
+    order with very many lines lands in one task.
     """
     have = set(df.columns)
     has_orders = order_col in have
     nothing = F.lit(None)
     when = moment(df, "order_date") if "order_date" in have else nothing.cast("timestamp_ntz")
     bought = F.when(flag(df, "purchased") == 1, True) if "purchased" in have else F.lit(True)
-    lines = df.select(
+    lines = df.where(F.col(f"`{customer_col}`").isNotNull()).select(
         F.col(f"`{customer_col}`").alias(customer_col),
         (F.col(f"`{order_col}`") if has_orders else nothing.cast("string")).alias("_order"),
         (real(df, "visited") if "visited" in have else nothing.cast("double")).alias("_visits"),
@@ -154,7 +153,6 @@ def _order_features(
         F.count("_discount").alias("_discounts"),
         F.min("_recency").alias("_recency"),
         F.max("_when").alias("_last"),
-        F.min("_when").alias("_first"),
         F.max(F.when(F.col("_bought"), F.col("_when"))).alias("_last_bought"),
     )
     if has_orders:
@@ -172,14 +170,13 @@ def _order_features(
         F.sum("_discounts").alias("_discounts"),
         F.min("_recency").alias("_recency"),
         F.max("_last").alias("_last"),
-        F.min("_first").alias("_first"),
         F.max("_last_bought").alias("_last_bought"),
     )
     zero = F.lit(0.0)
     visits = F.coalesce("_visits", zero) if "visited" in have else F.col("orders")
     purchases = F.col("_purchases") if "purchased" in have else F.col("orders")
     money = F.coalesce("_revenue", zero)
-    base = per_customer.where(F.col(customer_col).isNotNull()).withColumns(
+    return per_customer.withColumns(
         {
             "visits": visits,
             "added_to_cart": F.coalesce("_carts", zero),
@@ -189,7 +186,6 @@ def _order_features(
             "avg_discount": safe_divide(F.col("_discount"), F.col("_discounts")),
         }
     )
-    return base, per_customer
 
 
 def _finish(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tillwise.session import materialize
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than
-# HOT_SHARE hot keys whatever the data: that is the size bound of the broadcast below.
+# HOT_SHARE hot keys whatever the data. That bounds the list of them.
 HOT_SHARE = 1000
 SPREAD = 64
 
@@ -24,47 +26,51 @@ def left_join_unique(
     ``rows_per_key`` names a column of ``right`` that says how many rows of ``left`` have
     the key; it is dropped. Without it the counts are taken from ``left``. Rows of hot
     keys, and rows without a key, are spread over ``spread`` partitions, and the matching
-    row of ``right`` is repeated there.
+    row of ``right`` is repeated there. ``right`` is stored first, since its counts and
+    its rows are both needed.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    right = materialize(right, "keyed")
     if rows_per_key is None:
         weights, weight = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), "_rows"
+        weights = materialize(weights.dropna(subset=keys), "weights")
     else:
         weights, weight = right, rows_per_key
-        right_columns = [c for c in right.columns if c != rows_per_key]
-        right = right.select(*right_columns)
-
-    everything = weights.agg(F.sum(weight)).scalar()
-    hot = weights.where(F.col(weight) * HOT_SHARE > everything).select(
-        *keys, F.lit(True).alias("_hot")
-    )
-    hot = F.broadcast(hot)
+        right = right.drop(rows_per_key)
+    hot = _hot_keys(weights, weight, keys)
 
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
     # The partition number is part of the hash because all rows of a key may be copies.
     slot = F.pmod(
         F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in left.columns]),
         F.lit(spread),
     ).cast("int")
-    spread_left = (
-        left.join(hot, keys, "left")
-        .withColumn("_slot", F.when(F.col("_hot") | no_key, slot).otherwise(0))
-        .drop("_hot")
-    )
-    spread_right = (
-        right.join(hot, keys, "left")
-        .withColumn(
-            "_slot",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_hot")
-    )
+    apart = F.lit(False)
+    for key in keys:
+        apart = apart | F.col(f"`{key}`").isNull()
+    right_slot: Column = F.lit(0)
+    left_ready, right_ready = left, right
+    if hot is not None:
+        left_ready = left.join(F.broadcast(hot), keys, "left")
+        right_ready = right.join(F.broadcast(hot), keys, "left")
+        is_hot = F.coalesce("_hot", F.lit(False))
+        apart = apart | is_hot
+        everywhere = F.sequence(F.lit(0), F.lit(spread - 1))
+        right_slot = F.explode(F.when(is_hot, everywhere).otherwise(F.array(F.lit(0))))
     added = [c for c in right.columns if c not in keys]
-    joined = spread_left.join(spread_right, [*keys, "_slot"], "left")
+    joined = left_ready.withColumn("_slot", F.when(apart, slot).otherwise(0)).join(
+        right_ready.withColumn("_slot", right_slot).drop("_hot"), [*keys, "_slot"], "left"
+    )
     return joined.select(*[F.col(f"`{c}`") for c in [*left.columns, *added]])
+
+
+def _hot_keys(weights: DataFrame, weight: str, keys: list[str]) -> DataFrame | None:
+    """The keys above the limit as a local table of fewer than HOT_SHARE rows."""
+    everything = weights.agg(F.sum(weight)).first()[0]
+    if not everything:
+        return None
+    columns = [F.col(f"`{c}`") for c in keys]
+    hot = weights.where(F.col(weight) * HOT_SHARE > everything).select(*columns)
+    rows = hot.collect()
+    if not rows:
+        return None
+    return weights.sparkSession.createDataFrame(rows, hot.schema).withColumn("_hot", F.lit(True))

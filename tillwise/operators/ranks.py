@@ -3,7 +3,6 @@
 The base is a table of distinct values with the number of rows at and below each. The
 values are cut into ranges of similar size; running counts are taken inside a range and
 shifted by the counts of the ranges before it. The cuts are approximate, the counts exact.
-Keep the input persisted or written when it is costly: it is read more than once.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillwise.functions.scalars import real
 from tillwise.operators.joins import left_join_unique
+from tillwise.session import materialize
 
 MAX_RANGES = 2000
 VALUES_PER_RANGE = 1_000_000
@@ -38,14 +38,11 @@ def value_counts_below(
         .groupBy(*by, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    fractions = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    distinct, marks = counts.agg(
-        F.count(F.lit(1)), F.percentile_approx("value", fractions, 10 * MAX_RANGES)
-    ).first()
-    ranges = min(MAX_RANGES, math.ceil(distinct / values_per_range))
+    counts = materialize(counts, "values")
+    ranges = min(MAX_RANGES, math.ceil(counts.count() / values_per_range))
     if ranges > 1:
-        step = MAX_RANGES / ranges
-        cuts = sorted({marks[round(i * step) - 1] for i in range(1, ranges)})
+        shares = [i / ranges for i in range(1, ranges)]
+        cuts = sorted(set(counts.approxQuantile("value", shares, 0.1 / ranges)))
         counts = Bucketizer(
             splits=[-math.inf, *cuts, math.inf], inputCol="value", outputCol="_range"
         ).transform(counts)

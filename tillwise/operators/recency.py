@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillwise.functions.scalars import elapsed_days, flag, moment
 from tillwise.operators.joins import left_join_unique
+from tillwise.session import materialize
 
 
 def customer_recency(
@@ -35,6 +36,7 @@ def customer_recency(
             F.count(F.lit(1)).alias("lines"),
         )
     )
+    per_customer = materialize(per_customer, "last-rows")
     newest = per_customer.agg(F.max("_last_row")).scalar()
     newest_bought = per_customer.agg(F.max("_last_bought")).scalar()
     last = F.when(newest_bought.isNull(), F.col("_last_row")).otherwise(F.col("_last_bought"))

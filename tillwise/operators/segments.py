@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -15,9 +17,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillwise.operators.features import select_feature_columns
 from tillwise.operators.ranks import VALUES_PER_RANGE, exact_quantiles
+from tillwise.session import materialize
 
 # Fixed value: starts per K-means fit, the best of which is kept.
 RESTARTS = 10
+PARALLEL_STARTS = 4
+ROWS_PER_TASK = 20_000
 # Weight of each rank in the segment score, and names by score quartile.
 RANK_WEIGHTS = {"revenue_total": 0.5, "orders": 0.3, "recency_days": 0.2}
 SEGMENT_NAMES = ("Champions", "Loyal", "Potential", "At-Risk")
@@ -52,14 +57,22 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], out_col: str = "scaled") -
     ).fit(df)
 
 
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as its rows deserve, for jobs that pass over it often."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+
+
 def _best_kmeans(scaled: DataFrame, k: int, seed: int) -> KMeansModel:
-    best = None
-    for restart in range(RESTARTS):
-        model = KMeans(k=k, seed=seed + restart, featuresCol="scaled", predictionCol="segment_id")
-        model = model.fit(scaled)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    """The start with the least cost; starts are independent, so some run side by side."""
+    kmeans = KMeans(k=k, featuresCol="scaled", predictionCol="segment_id")
+    with ThreadPool(PARALLEL_STARTS) as pool:
+        models = pool.map(
+            inheritable_thread_target(scaled.sparkSession)(
+                lambda start: kmeans.copy({kmeans.seed: seed + start}).fit(scaled)
+            ),
+            range(RESTARTS),
+        )
+    return min(models, key=lambda model: model.summary.trainingCost)
 
 
 def segment_customers(
@@ -68,18 +81,21 @@ def segment_customers(
     n_clusters: int = 4,
     random_state: int = 42,
 ) -> SegmentationResult:
-    """K-means over all numeric features; adds ``segment_id``."""
+    """K-means over all numeric features; adds ``segment_id``.
+
+    The features are stored first and the scaled vectors kept in memory for the passes.
+    """
     if customer_col not in features.columns:
         raise ValueError(f"Missing column: {customer_col}")
     columns = select_feature_columns(features, exclude=(customer_col,))
+    features = materialize(features, "features")
     scaler = fit_scaler(features, columns)
-    scaled = (
-        scaler.transform(features)
-        .drop("_raw", "_centred")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    scaled = in_few_tasks(scaler.transform(features).select("scaled"), features.count())
+    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     model = _best_kmeans(scaled, n_clusters, random_state)
-    customers = model.transform(scaled).drop("scaled")
+    scaled.unpersist()
+    customers = model.transform(scaler.transform(features)).drop("_raw", "_centred", "scaled")
+    customers = materialize(customers, "segmented")
     return SegmentationResult(
         customers=customers,
         segment_profiles=segment_profiles(customers, columns),
@@ -103,6 +119,7 @@ def segment_medians(
     customers: DataFrame, columns: Sequence[str], values_per_range: int = VALUES_PER_RANGE
 ) -> DataFrame:
     """Exact median of each column per ``segment_id``; 0 where a segment has no value."""
+    customers = materialize(customers.select("segment_id", *columns), "medians")
     ids = customers.where(F.col("segment_id").isNotNull()).select("segment_id").distinct()
     for column in columns:
         medians = exact_quantiles(
@@ -174,10 +191,11 @@ def silhouette_scores(
     """
     spark = features.sparkSession
     columns = select_feature_columns(features, exclude=(customer_col,))
+    features = materialize(features, "features")
     rows, scores = features.count(), []
     if columns and rows >= 3:
         scaled = fit_scaler(features, columns).transform(features).select("scaled")
-        scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
+        scaled = in_few_tasks(scaled, rows).persist(StorageLevel.MEMORY_AND_DISK)
         evaluator = ClusteringEvaluator(featuresCol="scaled", predictionCol="segment_id")
         for k in range(max(int(k_min), 2), min(int(k_max), rows - 1) + 1):
             model = _best_kmeans(scaled, k, random_state)

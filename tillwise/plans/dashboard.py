@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tillwise.operators.churn import (
@@ -19,7 +18,6 @@ from tillwise.operators.churn import (
 )
 from tillwise.operators.decide import decision_table, recommend_actions
 from tillwise.operators.features import (
-    category_levels,
     customer_features,
     customer_features_asof,
     select_feature_columns,
@@ -34,6 +32,7 @@ from tillwise.operators.windows import (
     preview,
     sample_customers,
 )
+from tillwise.session import materialize
 from tillwise.sources.readers import write_table
 
 
@@ -52,16 +51,13 @@ def run_churn(df: DataFrame, horizon_days: int = 90, lookback_days: int = 180) -
     The two moments are read once as plain values, so the history filters reach the scan.
     """
     as_of = choose_as_of(df, horizon_days)
-    past = customer_features_asof(df, as_of, lookback_days).persist(StorageLevel.MEMORY_AND_DISK)
-    labels = forward_churn_labels(df, as_of, past, horizon_days)
-    labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
+    past = materialize(customer_features_asof(df, as_of, lookback_days), "past")
+    labels = materialize(forward_churn_labels(df, as_of, past, horizon_days), "labels")
     result, risks = None, None
     if len(class_counts(labels, "churn")) == 2:
         result = train_churn_model(past, labels, select_feature_columns(past))
         present = customer_features_asof(df, max_time(df), lookback_days)
         risks = predict_churn_risk(result, present)
-    past.unpersist()
-    labels.unpersist()
     return ChurnRun(as_of, result, risks)
 
 
@@ -74,21 +70,18 @@ def run_dashboard(
 ) -> dict[str, DataFrame]:
     """Named result tables of cleaned transactions.
 
-    ``max_customers`` samples whole customers first; by default all are used. Tables of
-    lines stay lazy; only customer tables are persisted, which later steps read repeatedly.
+    ``max_customers`` samples whole customers first; by default all are used. The chosen
+    lines are stored once, since every table reads them; what is returned stays lazy.
     """
     if max_customers is not None:
         df = sample_customers(df, max_customers)
-    df = filter_time_window(df, window)
+    df = materialize(filter_time_window(df, window), "lines")
 
     out = {"headline": headline_numbers(df)}
     out |= market_research_summary(df)
     out["funnel"] = compute_funnel(df, unit_col="order_id")
 
-    features = customer_features(df, levels=category_levels(df))
-    segments = segment_customers(
-        features.persist(StorageLevel.MEMORY_AND_DISK), n_clusters=n_clusters
-    )
+    segments = segment_customers(customer_features(df), n_clusters=n_clusters)
     named = name_segments(segments.customers)
     out["segments"] = named
     out["segment_profiles"] = segments.segment_profiles
@@ -96,9 +89,9 @@ def run_dashboard(
     if "order_date" in df.columns:
         churn = run_churn(df, horizon_days)
         if churn.risks is not None:
-            risks = churn.risks.persist(StorageLevel.MEMORY_AND_DISK)
-            scored = named.join(risks, "customer_id", "left")
-            decisions = recommend_actions(scored.persist(StorageLevel.MEMORY_AND_DISK))
+            risks = materialize(churn.risks, "risks")
+            scored = materialize(named.join(risks, "customer_id", "left"), "scored")
+            decisions = recommend_actions(scored)
             out["risk_histogram"] = risk_histogram(risks)
             out["top_risks"] = top_risks(risks)
             out["decisions"] = decision_table(decisions)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "tillwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,15 +25,33 @@ def build_session(app_name: str = "tillwise", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_local_scratch: tempfile.TemporaryDirectory | None = None
+
+
 def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables.
+    """A fresh folder for an intermediate table.
 
-    It lies below ``spark.checkpoint.dir``, which a cluster points at shared storage. A
-    local folder is used only where that setting is absent, as in local tests.
+    It lies below ``spark.checkpoint.dir``, which a cluster points at shared storage. Only
+    where that setting is absent and the session is local, as in tests, a local folder is
+    used; it goes when the process ends.
     """
+    global _local_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-        root = tempfile.mkdtemp(prefix="tillwise-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+        if _local_scratch is None:
+            _local_scratch = tempfile.TemporaryDirectory(prefix="tillwise-")
+        root = _local_scratch.name
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch and read back.
+
+    For tables that several later steps read: they are computed once, the loss of an
+    executor costs nothing of them, and Spark knows their size when it plans a join.
+    """
+    path = shared_scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
