@@ -90,9 +90,8 @@ def shift_days(value: Column, days: int) -> Column:
 
 def safe_divide(numerator: Column, denominator: Column) -> Column:
     """Quotient as double; 0.0 when it is undefined."""
-    return F.coalesce(
-        F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0)
-    )
+    divisor = F.nullif(denominator.cast("double"), F.lit(0.0))
+    return F.coalesce(numerator.cast("double") / divisor, F.lit(0.0))
 
 
 def log1p_or_zero(value: Column) -> Column:

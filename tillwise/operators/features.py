@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -21,6 +21,7 @@ from tillwise.operators.windows import history
 from tillwise.schema import CATEGORY_COLUMNS
 
 Levels = Mapping[str, Sequence[object]]
+Merge = Callable[[str], Column]
 
 
 def customer_features(
@@ -127,63 +128,64 @@ def _order_features(
     """
     have = set(df.columns)
     has_orders = order_col in have
-    nothing = F.lit(None)
-    when = moment(df, "order_date") if "order_date" in have else nothing.cast("timestamp_ntz")
-    bought = F.when(flag(df, "purchased") == 1, True) if "purchased" in have else F.lit(True)
-    lines = df.where(F.col(f"`{customer_col}`").isNotNull()).select(
-        F.col(f"`{customer_col}`").alias(customer_col),
-        (F.col(f"`{order_col}`") if has_orders else nothing.cast("string")).alias("_order"),
-        (real(df, "visited") if "visited" in have else nothing.cast("double")).alias("_visits"),
-        (real(df, "added_to_cart") if "added_to_cart" in have else F.lit(0.0)).alias("_carts"),
-        bought.alias("_bought"),
-        revenue.alias("_revenue"),
-        (nothing.cast("double") if discount is None else discount).alias("_discount"),
-        (real(df, "recency_days") if "recency_days" in have else nothing.cast("double")).alias(
-            "_recency"
-        ),
-        when.alias("_when"),
-    )
-    per_order = lines.groupBy(customer_col, "_order").agg(
-        F.sum("_visits").alias("_visits"),
-        F.sum("_carts").alias("_carts"),
-        F.count("_bought").alias("_bought_lines"),
-        F.count(F.lit(1)).alias("_lines"),
-        F.sum("_revenue").alias("_revenue"),
-        F.sum("_discount").alias("_discount"),
-        F.count("_discount").alias("_discounts"),
-        F.min("_recency").alias("_recency"),
-        F.max("_when").alias("_last"),
-        F.max(F.when(F.col("_bought"), F.col("_when"))).alias("_last_bought"),
-    )
+    one = F.lit(1).cast("bigint")
+    # Name: value on a line, merge within an order, merge of orders. A name that does not
+    # occur below is not computed.
+    parts: dict[str, tuple[Column, Merge, Merge]] = {
+        "_revenue": (revenue, F.sum, F.sum),
+    }
+    if "visited" in have:
+        parts["_visits"] = (real(df, "visited"), F.sum, F.sum)
+    if "added_to_cart" in have:
+        parts["_carts"] = (real(df, "added_to_cart"), F.sum, F.sum)
+    if discount is not None:
+        parts["_discount"] = (discount, F.sum, F.sum)
+        parts["_discounts"] = (discount, F.count, F.sum)
+    if "recency_days" in have:
+        parts["_recency"] = (real(df, "recency_days"), F.min, F.min)
+    bought = F.when(flag(df, "purchased") == 1, one) if "purchased" in have else one
+    if "order_date" in have:
+        when = moment(df, "order_date")
+        parts["_last"] = (when, F.max, F.max)
+        if "purchased" in have:
+            parts["_last_bought"] = (F.when(bought == 1, when), F.max, F.max)
     if has_orders:
-        orders = F.count("_order")
-        bought_orders = F.count(F.when(F.col("_bought_lines") > 0, F.col("_order")))
+        # An order counts as bought when any of its lines is; lines without an order do not.
+        counted = F.when(F.col(f"`{order_col}`").isNotNull(), one)
+        parts["_orders"] = (counted, F.max, F.sum)
+        parts["_purchases"] = (F.when(counted == 1, bought), F.max, F.sum)
     else:
-        orders, bought_orders = F.sum("_lines"), F.sum("_bought_lines")
-    per_customer = per_order.groupBy(customer_col).agg(
-        orders.cast("double").alias("orders"),
-        F.sum("_visits").alias("_visits"),
-        F.sum("_carts").alias("_carts"),
-        bought_orders.cast("double").alias("_purchases"),
-        F.sum("_revenue").cast("double").alias("_revenue"),
-        F.sum("_discount").alias("_discount"),
-        F.sum("_discounts").alias("_discounts"),
-        F.min("_recency").alias("_recency"),
-        F.max("_last").alias("_last"),
-        F.max("_last_bought").alias("_last_bought"),
+        parts["_orders"] = (one, F.sum, F.sum)
+        parts["_purchases"] = (bought, F.sum, F.sum)
+
+    keys = [customer_col, order_col] if has_orders else [customer_col]
+    per_order = (
+        df.where(F.col(f"`{customer_col}`").isNotNull())
+        .select(*[F.col(f"`{k}`") for k in keys], *[p[0].alias(n) for n, p in parts.items()])
+        .groupBy(*keys)
+        .agg(*[p[1](n).alias(n) for n, p in parts.items()])
     )
-    zero = F.lit(0.0)
-    visits = F.coalesce("_visits", zero) if "visited" in have else F.col("orders")
-    purchases = F.col("_purchases") if "purchased" in have else F.col("orders")
-    money = F.coalesce("_revenue", zero)
+    per_customer = per_order
+    if has_orders:
+        per_customer = per_order.groupBy(customer_col).agg(
+            *[p[2](n).alias(n) for n, p in parts.items()]
+        )
+
+    def amount(name: str) -> Column:
+        if name not in parts:
+            return F.lit(0.0)
+        return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+
+    orders, money = amount("_orders"), amount("_revenue")
     return per_customer.withColumns(
         {
-            "visits": visits,
-            "added_to_cart": F.coalesce("_carts", zero),
-            "purchases": purchases,
+            "orders": orders,
+            "visits": amount("_visits") if "visited" in have else orders,
+            "added_to_cart": amount("_carts"),
+            "purchases": amount("_purchases"),
             "revenue_total": money,
-            "avg_order_value": safe_divide(money, F.col("orders")),
-            "avg_discount": safe_divide(F.col("_discount"), F.col("_discounts")),
+            "avg_order_value": safe_divide(money, orders),
+            "avg_discount": safe_divide(amount("_discount"), amount("_discounts")),
         }
     )
 
@@ -225,19 +227,28 @@ def category_levels(
 ) -> dict[str, list]:
     """Sorted levels of each category column that has at most ``max_levels``.
 
-    A first pass estimates the number of levels, so that a column with millions of them is
-    never gathered; ten times the limit is far outside the error of the estimate. The
-    levels of the others, few by then, are gathered exactly.
+    One pass and one row: an estimate of the number of levels, and a list of frequent
+    values. The list is complete while the values are fewer than it tracks, and the estimate
+    tells whether they are: a column is taken up to ten times the limit, the list tracks
+    more. A column with millions of values is thus never gathered.
     """
     present = [c for c in columns if c in df.columns]
     if not present:
         return {}
-    estimates = df.agg(*[F.approx_count_distinct(f"`{c}`") for c in present]).first()
-    near = [c for c, n in zip(present, estimates) if n <= 10 * (max_levels + 1)]
-    if not near:
-        return {}
-    found = df.agg(*[F.collect_set(f"`{c}`") for c in near]).first()
-    return {c: sorted(values) for c, values in zip(near, found) if len(values) <= max_levels}
+    tracked = 1 << (20 * (max_levels + 1)).bit_length()
+    # One place more than allowed, and one for NULL, which the list holds too.
+    listed = max_levels + 2
+    row = df.agg(
+        *[F.approx_count_distinct(f"`{c}`") for c in present],
+        *[F.expr(f"approx_top_k(`{c}`, {listed}, {tracked})") for c in present],
+    ).first()
+    estimates, frequent = row[: len(present)], row[len(present) :]
+    levels = {}
+    for column, estimate, items in zip(present, estimates, frequent):
+        values = [item[0] for item in items if item[0] is not None]
+        if estimate <= 10 * (max_levels + 1) and len(values) <= max_levels:
+            levels[column] = sorted(values)
+    return levels
 
 
 def category_shares(
@@ -245,43 +256,18 @@ def category_shares(
 ) -> DataFrame:
     """Share of each level among the customer's lines, in columns ``{column}_share__{level}``.
 
-    Counting runs in long form, one small number per (customer, level): hundreds of wide
-    counters would otherwise travel with every partial row. Only finished customers turn wide.
+    One aggregation with a counter per level; lines of a customer merge before they shuffle.
     """
-    names, codes, offset = [], [], 0
-    totals: dict[str, list[int]] = {}
-    for column, values in levels.items():
-        values = list(values)
-        if not values:
-            continue
-        options = F.array(*[F.lit(v) for v in values])
-        place = F.array_position(options, F.col(f"`{column}`"))
-        codes.append(F.when(place > 0, (place + (offset - 1)).cast("int")))
-        totals[column] = list(range(offset, offset + len(values)))
-        names += [(column, f"{column}_share__{v}", offset + i) for i, v in enumerate(values)]
-        offset += len(values)
-
-    code = F.col("code")
-    column_totals = [
-        F.sum(F.when(code.between(c[0], c[-1]), F.col("n"))).alias(f"_total_{column}")
-        for column, c in totals.items()
-    ]
-    counts = (
-        df.where(F.col(customer_col).isNotNull())
-        .select(customer_col, F.explode(F.array_compact(F.array(*codes))).alias("code"))
-        .groupBy(customer_col, "code")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(customer_col)
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("_counts"),
-            *column_totals,
-        )
-    )
-    shares = [
-        safe_divide(F.col("_counts")[place], F.col(f"`_total_{column}`")).alias(name)
-        for column, name, place in names
-    ]
-    return counts.select(customer_col, *shares)
+    counters, shares = [], []
+    for c, (column, values) in enumerate(levels.items()):
+        counters.append(F.count(f"`{column}`").alias(f"_all{c}"))
+        for v, value in enumerate(values):
+            hit = F.when(F.col(f"`{column}`") == value, 1)
+            counters.append(F.count(hit).alias(f"_n{c}_{v}"))
+            share = safe_divide(F.col(f"_n{c}_{v}"), F.col(f"_all{c}"))
+            shares.append(share.alias(f"{column}_share__{value}"))
+    known = df.where(F.col(f"`{customer_col}`").isNotNull())
+    return known.groupBy(customer_col).agg(*counters).select(customer_col, *shares)
 
 
 def select_feature_columns(
