@@ -163,20 +163,21 @@ def test_join_spreads_hot_and_missing_keys(spark, counted):
     right = left.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).dropna()
     right = right.withColumn("value", F.concat(F.lit("v-"), "key"))
     if counted:
-        out = joins.left_join_unique(left, right, "key", rows_per_key="lines")
+        out = joins.left_join_unique(left, right, "key", rows_per_key="lines", hot_rows=10)
     else:
-        out = joins.left_join_unique(left, right.drop("lines"), "key")
+        out = joins.left_join_unique(left, right.drop("lines"), "key", hot_rows=10)
     assert out.columns == ["key", "same", "value"]
     assert out.count() == 6000
     assert out.where("value is distinct from concat('v-', key)").count() == 0
     assert out.where("key is null").count() == 2000
 
 
-def test_hot_key_rows_reach_many_tasks(spark):
+@pytest.mark.parametrize("common", ["hot", None])
+def test_rows_of_one_key_reach_many_tasks(spark, common):
     left = spark.range(0, 8000, 1, 8).select(
-        F.when(F.col("id") % 3 < 2, "hot").otherwise(F.col("id").cast("string")).alias("key")
+        F.when(F.col("id") % 3 < 2, common).otherwise(F.col("id").cast("string")).alias("key")
     )
-    right = left.groupBy("key").agg(F.count(F.lit(1)).alias("lines"))
+    right = left.dropna().groupBy("key").agg(F.count(F.lit(1)).alias("lines"))
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.enabled": "false",
@@ -186,9 +187,11 @@ def test_hot_key_rows_reach_many_tasks(spark):
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        out = joins.left_join_unique(left, right, "key", rows_per_key="lines")
-        tasks = out.where("key = 'hot'").select(F.spark_partition_id().alias("p")).distinct()
-        assert tasks.count() >= 8
+        out = joins.left_join_unique(left, right, "key", rows_per_key="lines", hot_rows=10)
+        placed = out.select("key", F.spark_partition_id().alias("task"))
+        tasks = placed.where(F.col("key").eqNullSafe(common)).select("task").distinct()
+        # These rows are copies, so each of the 8 source tasks sends its own to one slot.
+        assert tasks.count() >= 4
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

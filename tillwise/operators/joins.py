@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tillwise.session import materialize
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than
 # HOT_SHARE hot keys whatever the data. That bounds the list of them.
 HOT_SHARE = 1000
+# Fewer rows than this are no burden for one task, whatever their share.
+HOT_ROWS = 100_000
 SPREAD = 64
 
 
@@ -20,6 +22,7 @@ def left_join_unique(
     keys: str | Sequence[str],
     rows_per_key: str | None = None,
     spread: int = SPREAD,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``left`` with the columns of ``right``, which has at most one row per key.
 
@@ -37,7 +40,7 @@ def left_join_unique(
     else:
         weights, weight = right, rows_per_key
         right = right.drop(rows_per_key)
-    hot = _hot_keys(weights, weight, keys)
+    hot = _hot_keys(weights, weight, keys, hot_rows)
 
     # The partition number is part of the hash because all rows of a key may be copies.
     slot = F.pmod(
@@ -47,7 +50,10 @@ def left_join_unique(
     apart = F.lit(False)
     for key in keys:
         apart = apart | F.col(f"`{key}`").isNull()
-    right_slot: Column = F.lit(0)
+    home = F.array(F.lit(0))
+    # Exploded even when it is just the one slot: a constant would drop out of the join key,
+    # and the rows without a key would then meet in one partition.
+    right_slot = F.explode(home)
     left_ready, right_ready = left, right
     if hot is not None:
         left_ready = left.join(F.broadcast(hot), keys, "left")
@@ -55,7 +61,7 @@ def left_join_unique(
         is_hot = F.coalesce("_hot", F.lit(False))
         apart = apart | is_hot
         everywhere = F.sequence(F.lit(0), F.lit(spread - 1))
-        right_slot = F.explode(F.when(is_hot, everywhere).otherwise(F.array(F.lit(0))))
+        right_slot = F.explode(F.when(is_hot, everywhere).otherwise(home))
     added = [c for c in right.columns if c not in keys]
     joined = left_ready.withColumn("_slot", F.when(apart, slot).otherwise(0)).join(
         right_ready.withColumn("_slot", right_slot).drop("_hot"), [*keys, "_slot"], "left"
@@ -63,13 +69,16 @@ def left_join_unique(
     return joined.select(*[F.col(f"`{c}`") for c in [*left.columns, *added]])
 
 
-def _hot_keys(weights: DataFrame, weight: str, keys: list[str]) -> DataFrame | None:
-    """The keys above the limit as a local table of fewer than HOT_SHARE rows."""
+def _hot_keys(
+    weights: DataFrame, weight: str, keys: list[str], hot_rows: int
+) -> DataFrame | None:
+    """The keys above both limits as a local table of fewer than HOT_SHARE rows."""
     everything = weights.agg(F.sum(weight)).first()[0]
     if not everything:
         return None
     columns = [F.col(f"`{c}`") for c in keys]
-    hot = weights.where(F.col(weight) * HOT_SHARE > everything).select(*columns)
+    limit = max(everything // HOT_SHARE, hot_rows)
+    hot = weights.where(F.col(weight) > limit).select(*columns)
     rows = hot.collect()
     if not rows:
         return None
