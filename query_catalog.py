@@ -1131,7 +1131,7 @@ def _(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
     df = base_features(spark, folder).select("customer_id", *SCALED)
-    scaled = segments.fit_scaler(df, SCALED).transform(df)
+    scaled = segments.scale(segments.fit_scaler(df, SCALED), df, SCALED)
     values = vector_to_array("scaled")
     return scaled.select(
         "customer_id", *[F.round(values[i], 6).alias(c) for i, c in enumerate(SCALED)]

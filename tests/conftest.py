@@ -11,7 +11,12 @@ from tillwise.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def shared_folder(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(shared_folder):
     session = build_session(
         app_name="tests",
         master="local[8]",
@@ -20,6 +25,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": shared_folder,
         },
     )
     session.sparkContext.setLogLevel("ERROR")

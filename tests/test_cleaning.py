@@ -14,6 +14,7 @@ from tillwise.functions.scalars import (
     text,
 )
 from tillwise.operators import clean, recency, windows
+from tillwise.session import materialize
 from tillwise.sources import readers
 
 
@@ -161,6 +162,8 @@ def test_files_of_both_layouts(frame, tmp_path, spark):
     assert readers.load_dataset(spark, csv).count() == 1
     parquet = readers.write_table(retail(frame), str(tmp_path / "r"))
     assert readers.load_online_retail(spark, parquet, include_returns=True).count() == 3
+    with pytest.raises(ValueError):
+        readers.load_dataset(spark, "sheet.xlsx")
     renamed = readers.load_uploaded(spark, parquet, rename_only=True)
     assert renamed.where("order_id = 'i1'").first()["total_spend"] == 1.5
     assert readers.load_uploaded(spark, parquet).first()["total_spend"] == 3.0
@@ -232,3 +235,11 @@ def test_window_filter_reaches_the_scan(frame, tmp_path, spark):
     stored = spark.read.parquet(str(tmp_path / "t"))
     plan = windows.filter_time_window(stored, "last_30d")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(order_date" in plan
+
+
+def test_intermediate_tables_go_where_the_session_says(frame, spark, shared_folder):
+    df = frame("x int", (1,), (2,))
+    stored = materialize(df, "t")
+    assert stored.count() == 2
+    assert stored.inputFiles()[0].startswith(f"file://{shared_folder}/t-")
+    assert materialize(df.limit(0), "t").columns == ["x"]

@@ -130,7 +130,9 @@ def test_quantiles_per_group(spark):
 
 def test_scaler_uses_the_population_deviation(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (6.0, 5.0)], "x double, same double")
-    out = segments.fit_scaler(df, ["x", "same"]).transform(df).select(vector_to_array("scaled"))
+    columns = ["x", "same"]
+    out = segments.scale(segments.fit_scaler(df, columns), df, columns)
+    out = out.select(vector_to_array("scaled"))
     got = np.array([r[0] for r in out.collect()])
     x = np.array([1.0, 2.0, 6.0])
     assert np.allclose(sorted(got[:, 0]), sorted((x - x.mean()) / x.std()))
@@ -161,6 +163,22 @@ def test_segments_find_separate_clouds(spark):
         segments.segment_customers(df.drop("customer_id"))
 
 
+def test_level_names_may_hold_any_character(spark):
+    levels = ["a.b", "c d", "e`f", "g,h"]
+    df = spark.range(200).select(
+        (F.col("id") % 40).cast("string").alias("customer_id"),
+        F.array(*[F.lit(v) for v in levels])[(F.col("id") * F.col("id") % 4).cast("int")].alias("channel"),
+        (F.col("id") % 7).cast("double").alias("total_spend"),
+    )
+    table = features.customer_features(df)
+    assert "channel_share__a.b" in table.columns
+    named = segments.name_segments(segments.segment_customers(table, n_clusters=2).customers)
+    assert named.count() == 40 and decide.recommend_actions(named).count() == 40
+    labels = table.select("customer_id", (F.col("customer_id") % 2).cast("int").alias("churn"))
+    result = churn.train_churn_model(table, labels, features.select_feature_columns(table))
+    assert churn.predict_churn_risk(result, table).where("churn_risk is not null").count() == 40
+
+
 def test_silhouettes(spark):
     df = clouds(spark)
     got = dict(rows(segments.silhouette_scores(df, 2, 4)))

@@ -13,12 +13,21 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 TIME = "timestamp_ntz"
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, which may hold dots and blanks as level names do."""
+    return F.col(quoted(name))
+
+
 def number(df: DataFrame, name: str) -> Column:
     """Column ``name`` as a number; text that is no number, and NaN, become NULL.
 
     Decimals keep their type so that sums stay exact and independent of row order.
     """
-    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    column, kind = named(name), df.schema[name].dataType
     if isinstance(kind, (T.DecimalType, T.IntegralType)):
         return column
     if isinstance(kind, T.NumericType):
@@ -43,7 +52,7 @@ def flag(df: DataFrame, name: str) -> Column:
 
 def moment(df: DataFrame, name: str, pattern: str | None = None) -> Column:
     """Column ``name`` as a zone-less timestamp or NULL; ``pattern`` reads other text shapes."""
-    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    column, kind = named(name), df.schema[name].dataType
     if isinstance(kind, T.TimestampNTZType):
         return column
     if isinstance(kind, (T.TimestampType, T.DateType)):
@@ -59,12 +68,12 @@ def time_literal(value: datetime | date | str) -> Column:
 
 def text(name: str) -> Column:
     """Text form in which a missing value reads 'nan'."""
-    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("nan"))
+    return F.coalesce(named(name).cast("string"), F.lit("nan"))
 
 
 def id_text(df: DataFrame, name: str) -> Column:
     """Whole-number id as text without a fraction part: 17850.0 becomes '17850'."""
-    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    column, kind = named(name), df.schema[name].dataType
     if isinstance(kind, T.IntegralType):
         return column.cast("string")
     as_number = number(df, name)

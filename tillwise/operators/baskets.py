@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tillwise.functions.scalars import named
 from tillwise.operators.joins import left_join_unique
 from tillwise.operators.windows import BROADCAST_IDS, keep_ids
 from tillwise.session import materialize
@@ -30,7 +31,7 @@ def basket_pairs(
     if order_col not in df.columns or item_col not in df.columns:
         return spark.createDataFrame([], "item_a string, item_b string, pair_count bigint")
     lines = df.select(
-        F.col(f"`{order_col}`").alias("order"), F.col(f"`{item_col}`").cast("string").alias("item")
+        named(order_col).alias("order"), named(item_col).cast("string").alias("item")
     ).dropna()
     if max_orders is not None:
         first = lines.select("order").distinct().orderBy("order").limit(int(max_orders))

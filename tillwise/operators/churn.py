@@ -12,10 +12,10 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillwise.functions.scalars import safe_divide
+from tillwise.functions.scalars import named, safe_divide
 from tillwise.operators.features import align_features
 from tillwise.operators.ranks import value_counts_below
-from tillwise.operators.segments import fit_scaler, in_few_tasks
+from tillwise.operators.segments import fit_scaler, in_few_tasks, scale
 from tillwise.operators.windows import future_purchases
 from tillwise.session import materialize
 
@@ -118,7 +118,7 @@ def stratified_split(
     return (
         marked.join(sizes, [label_col, "_slice"])
         .withColumn("is_test", F.col("_before") + place <= wanted)
-        .select(*df.columns, "is_test")
+        .select(*[named(c) for c in df.columns], "is_test")
     )
 
 
@@ -134,7 +134,7 @@ def _fit(train: DataFrame, feature_columns: list[str]) -> tuple[PipelineModel, L
     rows = sum(counts.values())
     scaler = fit_scaler(train, feature_columns)
     weight = F.when(F.col("label") == 1, rows / (2 * counts[1])).otherwise(rows / (2 * counts[0]))
-    ready = scaler.transform(train).select(
+    ready = scale(scaler, train, feature_columns).select(
         "scaled", F.col("label").cast("double").alias("label"), weight.alias("weight")
     )
     ready = in_few_tasks(ready, rows).persist(StorageLevel.MEMORY_AND_DISK)
@@ -155,13 +155,15 @@ def _fit(train: DataFrame, feature_columns: list[str]) -> tuple[PipelineModel, L
 def _doubles(features: DataFrame, feature_columns: Sequence[str]) -> DataFrame:
     """The model's columns in its types; other columns stay as they are."""
     aligned = align_features(features, feature_columns)
-    return aligned.withColumns({c: F.col(f"`{c}`").cast("double") for c in feature_columns})
+    return aligned.withColumns({c: named(c).cast("double") for c in feature_columns})
 
 
-def _score(scaler: PipelineModel, model: LogisticRegressionModel, df: DataFrame) -> DataFrame:
-    scored = model.transform(scaler.transform(df))
+def _score(
+    scaler: PipelineModel, model: LogisticRegressionModel, df: DataFrame, columns: list[str]
+) -> DataFrame:
+    scored = model.transform(scale(scaler, df, columns))
     return scored.withColumn("churn_risk", vector_to_array("probability")[1]).drop(
-        "_raw", "_centred", "scaled", "rawPrediction", "probability", "prediction"
+        "scaled", "rawPrediction", "probability", "prediction"
     )
 
 
@@ -179,9 +181,10 @@ def train_churn_model(
     columns = list(feature_columns)
     labelled = with_labels(_doubles(features, columns), labels, 0, customer_col)
     split = stratified_split(labelled, "label", customer_col, random_state)
-    split = materialize(split.select(customer_col, *columns, "label", "is_test"), "split")
+    used = [named(c) for c in (customer_col, *columns, "label", "is_test")]
+    split = materialize(split.select(*used), "split")
     scaler, model = _fit(split.where(~F.col("is_test")), columns)
-    metrics = classification_metrics(_score(scaler, model, split.where("is_test")))
+    metrics = classification_metrics(_score(scaler, model, split.where("is_test"), columns))
     return ChurnModelResult(model, scaler, columns, metrics)
 
 
@@ -206,10 +209,10 @@ def train_churn_model_time_split(
             ready = ready.withColumn("label", F.col(labels).cast("int"))
         else:
             ready = with_labels(ready, labels, 1, customer_col)
-        return materialize(ready.select(*columns, "label"), "labelled")
+        return materialize(ready.select(*[named(c) for c in columns], "label"), "labelled")
 
     scaler, model = _fit(labelled(train_features, train_labels), columns)
-    test = _score(scaler, model, labelled(test_features, test_labels))
+    test = _score(scaler, model, labelled(test_features, test_labels), columns)
     metrics, size = classification_metrics(test), test.count()
     return ChurnModelResult(model, scaler, columns, metrics, {"test_size": size})
 
@@ -219,7 +222,7 @@ def predict_churn_risk(
 ) -> DataFrame:
     """``churn_risk``, the probability of churn, per row of ``features``."""
     ready = _doubles(features, result.feature_columns)
-    return _score(result.scaler, result.model, ready).select(customer_col, "churn_risk")
+    return _score(result.scaler, result.model, ready, result.feature_columns).select(customer_col, "churn_risk")
 
 
 def confusion(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.functions.scalars import flag, id_text, moment, number, real, text
+from tillwise.functions.scalars import flag, id_text, moment, named, number, real, text
 from tillwise.operators.recency import ensure_recency
 from tillwise.schema import (
     AMOUNT_COLUMNS,

@@ -10,6 +10,7 @@ from tillwise.operators.ranks import (
     value_counts_below,
     with_percent_rank,
 )
+from tillwise.session import materialize
 
 # The texts of the actions, and the limits that no parameter sets.
 RETENTION = "Retention: win-back offer + reactivation outreach"
@@ -33,12 +34,13 @@ def recommend_actions(
 
     An absent column counts as 0. A missing value satisfies no condition, and a missing
     risk or revenue gives no score. The revenue quantile and the revenue ranks come from
-    one table of value counts.
+    one table of value counts. The customers are stored first, as both it and the result
+    read them.
     """
     absent = [
         c for c in ("churn_risk", "revenue_total", "recency_days") if c not in customers.columns
     ]
-    df = customers.withColumns({c: F.lit(0.0) for c in absent})
+    df = materialize(customers.withColumns({c: F.lit(0.0) for c in absent}), "to-decide")
     counts = value_counts_below(df, "revenue_total", values_per_range=values_per_range)
     high_value = quantiles(counts, {"q": high_value_quantile}).scalar()
 

@@ -12,7 +12,9 @@ from tillwise.functions.scalars import (
     flag,
     log1p_or_zero,
     moment,
+    named,
     number,
+    quoted,
     real,
     safe_divide,
     time_literal,
@@ -151,7 +153,7 @@ def _order_features(
             parts["_last_bought"] = (F.when(bought == 1, when), F.max, F.max)
     if has_orders:
         # An order counts as bought when any of its lines is; lines without an order do not.
-        counted = F.when(F.col(f"`{order_col}`").isNotNull(), one)
+        counted = F.when(named(order_col).isNotNull(), one)
         parts["_orders"] = (counted, F.max, F.sum)
         parts["_purchases"] = (F.when(counted == 1, bought), F.max, F.sum)
     else:
@@ -160,8 +162,8 @@ def _order_features(
 
     keys = [customer_col, order_col] if has_orders else [customer_col]
     per_order = (
-        df.where(F.col(f"`{customer_col}`").isNotNull())
-        .select(*[F.col(f"`{k}`") for k in keys], *[p[0].alias(n) for n, p in parts.items()])
+        df.where(named(customer_col).isNotNull())
+        .select(*[named(k) for k in keys], *[p[0].alias(n) for n, p in parts.items()])
         .groupBy(*keys)
         .agg(*[p[1](n).alias(n) for n, p in parts.items()])
     )
@@ -213,7 +215,7 @@ def _finish(
         shares = category_shares(df, levels, customer_col)
         added = [c for c in shares.columns if c != customer_col]
         out = out.join(shares, customer_col, "left")
-        out = out.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in added})
+        out = out.withColumns({c: F.coalesce(named(c), F.lit(0.0)) for c in added})
     return out.withColumns(
         {
             "revenue_total_log1p": log1p_or_zero(F.col("revenue_total")),
@@ -239,8 +241,8 @@ def category_levels(
     # One place more than allowed, and one for NULL, which the list holds too.
     listed = max_levels + 2
     row = df.agg(
-        *[F.approx_count_distinct(f"`{c}`") for c in present],
-        *[F.expr(f"approx_top_k(`{c}`, {listed}, {tracked})") for c in present],
+        *[F.approx_count_distinct(named(c)) for c in present],
+        *[F.expr(f"approx_top_k({quoted(c)}, {listed}, {tracked})") for c in present],
     ).first()
     estimates, frequent = row[: len(present)], row[len(present) :]
     levels = {}
@@ -260,13 +262,13 @@ def category_shares(
     """
     counters, shares = [], []
     for c, (column, values) in enumerate(levels.items()):
-        counters.append(F.count(f"`{column}`").alias(f"_all{c}"))
+        counters.append(F.count(named(column)).alias(f"_all{c}"))
         for v, value in enumerate(values):
-            hit = F.when(F.col(f"`{column}`") == value, 1)
+            hit = F.when(named(column) == value, 1)
             counters.append(F.count(hit).alias(f"_n{c}_{v}"))
             share = safe_divide(F.col(f"_n{c}_{v}"), F.col(f"_all{c}"))
             shares.append(share.alias(f"{column}_share__{value}"))
-    known = df.where(F.col(f"`{customer_col}`").isNotNull())
+    known = df.where(named(customer_col).isNotNull())
     return known.groupBy(customer_col).agg(*counters).select(customer_col, *shares)
 
 

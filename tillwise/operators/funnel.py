@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillwise.functions.scalars import flag, safe_divide
+from tillwise.functions.scalars import flag, named, safe_divide
 from tillwise.operators.joins import left_join_unique
 from tillwise.schema import FUNNEL_STAGES
 
@@ -107,4 +107,4 @@ def attach_funnel_counts(
     if "purchased" not in out.columns:
         out = out.withColumn("purchased", one)
     order = [*df.columns, *[c for c in out.columns if c not in df.columns]]
-    return out.select(*[F.col(f"`{c}`") for c in order])
+    return out.select(*[named(c) for c in order])

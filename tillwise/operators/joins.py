@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillwise.functions.scalars import named
 from tillwise.session import materialize
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than
@@ -44,12 +45,12 @@ def left_join_unique(
 
     # The partition number is part of the hash because all rows of a key may be copies.
     slot = F.pmod(
-        F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in left.columns]),
+        F.xxhash64(F.spark_partition_id(), *[named(c) for c in left.columns]),
         F.lit(spread),
     ).cast("int")
     apart = F.lit(False)
     for key in keys:
-        apart = apart | F.col(f"`{key}`").isNull()
+        apart = apart | named(key).isNull()
     home = F.array(F.lit(0))
     # Exploded even when it is just the one slot: a constant would drop out of the join key,
     # and the rows without a key would then meet in one partition.
@@ -66,7 +67,7 @@ def left_join_unique(
     joined = left_ready.withColumn("_slot", F.when(apart, slot).otherwise(0)).join(
         right_ready.withColumn("_slot", right_slot).drop("_hot"), [*keys, "_slot"], "left"
     )
-    return joined.select(*[F.col(f"`{c}`") for c in [*left.columns, *added]])
+    return joined.select(*[named(c) for c in [*left.columns, *added]])
 
 
 def _hot_keys(
@@ -76,7 +77,7 @@ def _hot_keys(
     everything = weights.agg(F.sum(weight)).first()[0]
     if not everything:
         return None
-    columns = [F.col(f"`{c}`") for c in keys]
+    columns = [named(c) for c in keys]
     limit = max(everything // HOT_SHARE, hot_rows)
     hot = weights.where(F.col(weight) > limit).select(*columns)
     rows = hot.collect()

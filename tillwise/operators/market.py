@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tillwise.functions.scalars import moment, number, total
+from tillwise.functions.scalars import moment, named, number, total
 
 
 def sum_by(df: DataFrame, key: str, value: str) -> DataFrame:
     """Sum of ``value`` per ``key``, largest first; rows without a key are left out."""
     return (
-        df.where(F.col(f"`{key}`").isNotNull())
+        df.where(named(key).isNotNull())
         .groupBy(key)
         .agg(total(number(df, value)).alias(value))
         .orderBy(F.desc(value), key)
@@ -129,15 +129,24 @@ def market_research_summary(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def headline_numbers(df: DataFrame) -> DataFrame:
-    """Rows, distinct customers, distinct orders and revenue, in one row."""
+    """Rows, distinct customers, distinct orders and revenue, in one row.
+
+    Lines are merged per order first: two distinct counts read their input several times
+    over, and orders are far fewer than lines.
+    """
+    spend = number(df, "total_spend")
+    keys = [c for c in ("customer_id", "order_id") if c in df.columns]
+    merged = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_lines"), F.sum(spend).alias("_spend")
+    )
     orders = (
-        F.count_distinct("order_id") if "order_id" in df.columns else F.lit(None).cast("bigint")
+        F.count_distinct("order_id") if "order_id" in keys else F.lit(None).cast("bigint")
     )
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
+    return merged.agg(
+        F.coalesce(F.sum("_lines"), F.lit(0)).alias("rows"),
         F.count_distinct("customer_id").alias("customers"),
         orders.alias("orders"),
-        total(number(df, "total_spend")).alias("revenue"),
+        total(F.col("_spend")).alias("revenue"),
     )
 
 
@@ -146,7 +155,7 @@ def category_cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = F.explode(
         F.array(
             *[
-                F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level"))
+                F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("level"))
                 for c in columns
             ]
         )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.functions.scalars import elapsed_days, flag, moment
+from tillwise.functions.scalars import elapsed_days, flag, moment, named
 from tillwise.operators.joins import left_join_unique
 from tillwise.session import materialize
 
@@ -98,13 +98,13 @@ def latest_customer_label(
     for column in (customer_col, label_col):
         if column not in df.columns:
             raise ValueError(f"Missing column: {column}")
-    order = [F.col(f"`{c}`") for c in order_by]
+    order = [named(c) for c in order_by]
     if time_col in df.columns:
         when = moment(df, time_col)
         order = [when.isNull(), when, *order]
     elif not order:
         raise ValueError(f"Missing column: {time_col}; name the row order with order_by")
-    label = F.col(f"`{label_col}`")
+    label = named(label_col)
     return (
         df.where(F.col(customer_col).isNotNull())
         .groupBy(customer_col)

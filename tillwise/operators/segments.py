@@ -11,10 +11,12 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tillwise.functions.scalars import named
 from tillwise.operators.features import select_feature_columns
 from tillwise.operators.ranks import VALUES_PER_RANGE, exact_quantiles
 from tillwise.session import materialize
@@ -36,25 +38,33 @@ class SegmentationResult:
     scaler: PipelineModel
 
 
-def fit_scaler(df: DataFrame, columns: Sequence[str], out_col: str = "scaled") -> PipelineModel:
-    """Assembles ``columns`` and scales them to mean 0 and population deviation 1.
+def scale(scaler: PipelineModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the scaled vector of ``columns`` as ``scaled``."""
+    return scaler.transform(_assembled(df, columns)).drop("_raw", "_centred")
+
+
+def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    values = F.array(*[named(c).cast("double") for c in columns])
+    return df.withColumn("_raw", array_to_vector(values))
+
+
+def fit_scaler(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
+    """Scaling of ``columns`` to mean 0 and population deviation 1; apply it with ``scale``.
 
     Spark's scaler divides by the sample deviation; the last stage makes up the difference.
     """
     rows = df.count()
     factor = ((rows - 1) / rows) ** -0.5 if rows > 1 else 1.0
-    columns = list(columns)
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="error"),
             StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=True),
             ElementwiseProduct(
                 inputCol="_centred",
-                outputCol=out_col,
+                outputCol="scaled",
                 scalingVec=Vectors.dense([factor] * len(columns)),
             ),
         ]
-    ).fit(df)
+    ).fit(_assembled(df, columns).select("_raw"))
 
 
 def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
@@ -90,11 +100,11 @@ def segment_customers(
     columns = select_feature_columns(features, exclude=(customer_col,))
     features = materialize(features, "features")
     scaler = fit_scaler(features, columns)
-    scaled = in_few_tasks(scaler.transform(features).select("scaled"), features.count())
+    scaled = in_few_tasks(scale(scaler, features, columns).select("scaled"), features.count())
     scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     model = _best_kmeans(scaled, n_clusters, random_state)
     scaled.unpersist()
-    customers = model.transform(scaler.transform(features)).drop("_raw", "_centred", "scaled")
+    customers = model.transform(scale(scaler, features, columns)).drop("scaled")
     customers = materialize(customers, "segmented")
     return SegmentationResult(
         customers=customers,
@@ -110,7 +120,7 @@ def segment_profiles(
     """Mean of each feature per segment."""
     return (
         customers.groupBy(segment_col)
-        .agg(*[F.avg(f"`{c}`").alias(c) for c in columns])
+        .agg(*[F.avg(named(c)).alias(c) for c in columns])
         .orderBy(segment_col)
     )
 
@@ -172,9 +182,11 @@ def name_segments(customers: DataFrame, values_per_range: int = VALUES_PER_RANGE
     columns = [c for c in RANK_WEIGHTS if c in customers.columns]
     if not columns:
         return customers.withColumn("segment_name", F.col("segment_id").cast("string"))
+    customers = materialize(customers, "to-name")
     medians = segment_medians(customers, columns, values_per_range)
     names = name_by_score(segment_ranks(medians)).select("segment_id", "segment_name")
-    return customers.join(names, "segment_id", "left").select(*customers.columns, "segment_name")
+    kept = [named(c) for c in customers.columns]
+    return customers.join(names, "segment_id", "left").select(*kept, "segment_name")
 
 
 def silhouette_scores(
@@ -194,7 +206,7 @@ def silhouette_scores(
     features = materialize(features, "features")
     rows, scores = features.count(), []
     if columns and rows >= 3:
-        scaled = fit_scaler(features, columns).transform(features).select("scaled")
+        scaled = scale(fit_scaler(features, columns), features, columns).select("scaled")
         scaled = in_few_tasks(scaled, rows).persist(StorageLevel.MEMORY_AND_DISK)
         evaluator = ClusteringEvaluator(featuresCol="scaled", predictionCol="segment_id")
         for k in range(max(int(k_min), 2), min(int(k_max), rows - 1) + 1):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 
@@ -28,7 +28,6 @@ from tillwise.operators.segments import name_segments, segment_customers
 from tillwise.operators.windows import (
     choose_as_of,
     filter_time_window,
-    max_time,
     preview,
     sample_customers,
 )
@@ -48,7 +47,7 @@ class ChurnRun:
 def run_churn(df: DataFrame, horizon_days: int = 90, lookback_days: int = 180) -> ChurnRun:
     """Learns from the customers known one horizon before the newest row, scores today's.
 
-    The two moments are read once as plain values, so the history filters reach the scan.
+    The newest moment is read once as a plain value, so the history filters reach the scan.
     """
     as_of = choose_as_of(df, horizon_days)
     past = materialize(customer_features_asof(df, as_of, lookback_days), "past")
@@ -56,7 +55,8 @@ def run_churn(df: DataFrame, horizon_days: int = 90, lookback_days: int = 180) -
     result, risks = None, None
     if len(class_counts(labels, "churn")) == 2:
         result = train_churn_model(past, labels, select_feature_columns(past))
-        present = customer_features_asof(df, max_time(df), lookback_days)
+        newest = as_of + timedelta(days=horizon_days)
+        present = customer_features_asof(df, newest, lookback_days)
         risks = predict_churn_risk(result, present)
     return ChurnRun(as_of, result, risks)
 
@@ -90,8 +90,7 @@ def run_dashboard(
         churn = run_churn(df, horizon_days)
         if churn.risks is not None:
             risks = materialize(churn.risks, "risks")
-            scored = materialize(named.join(risks, "customer_id", "left"), "scored")
-            decisions = recommend_actions(scored)
+            decisions = recommend_actions(named.join(risks, "customer_id", "left"))
             out["risk_histogram"] = risk_histogram(risks)
             out["top_risks"] = top_risks(risks)
             out["decisions"] = decision_table(decisions)

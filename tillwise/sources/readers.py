@@ -19,7 +19,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
     Leaving CSV columns as text saves the extra pass over the data that inferring types takes.
     """
-    if os.path.splitext(path.rstrip("/"))[1].lower() in (".csv", ".gz", ".txt"):
+    suffix = os.path.splitext(path.rstrip("/"))[1].lower()
+    if suffix in (".xlsx", ".xls"):
+        raise ValueError("Spreadsheets are not read; save the sheet as CSV or Parquet.")
+    if suffix in (".csv", ".gz", ".txt"):
         reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
         return reader.option("multiLine", False).csv(path)
     return spark.read.parquet(path)
