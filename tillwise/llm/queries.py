@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import mixing
+from tillwise.llm import decontaminate, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,47 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.curriculum_order(mixed).select(
         "doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position")
     )
+
+
+# --- 2: decontamination ----------------------------------------------------------------
+
+CLEAN_SQL = r"""WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+        FROM item_words WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+found AS (
+  SELECT doc_id, i, n, item_id
+  FROM (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS phrase
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n))
+  JOIN item_windows USING (n, phrase)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS list
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+
+@query("op2_decontaminate", CLEAN_SQL)
+def decontaminate_documents(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_benchmark_spans(documents, table(spark, folder, "benchmark"))
+    n_hit = decontaminate.hit_words(F.col("_spans"))
+    ids = F.array_sort(F.transform("_items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated(n_hit, F.col("_n_words")).alias("contaminated"),
+    )
