@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import decontaminate, mixing
+from tillwise.llm import decontaminate, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,3 +123,13 @@ def decontaminate_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated(n_hit, F.col("_n_words")).alias("contaminated"),
     )
+
+
+# --- 1: near-duplicates ------------------------------------------------------------------
+
+
+@query("op1_simhash_components")
+def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", text.alias("fingerprint"), "component_id")
