@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import decontaminate, mixing, simhash
+from tillwise.llm import decontaminate, mixing, repair, simhash
+from tillwise.session import shared_scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +134,18 @@ def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+# --- 8: token ids ------------------------------------------------------------------------
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_repair_token_ids")
+def repair_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return repair.encode_documents(documents, shared_scratch(spark, "token-ids"), tokenizer_path())
