@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import decontaminate, mixing, repair, simhash
+from tillwise.llm import decontaminate, langid, mixing, repair, simhash
+from tillwise.llm.common import held_out
 from tillwise.session import shared_scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +150,19 @@ def tokenizer_path() -> str:
 def repair_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return repair.encode_documents(documents, shared_scratch(spark, "token-ids"), tokenizer_path())
+
+
+# --- 7: language -------------------------------------------------------------------------
+
+
+@query("op7_byte_network_language")
+def byte_network_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    net = langid.train(documents)
+    found = langid.identify(documents.select("doc_id", "text"), net)
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_lang").alias("lang_pred"),
+        F.col("_score").alias("score"),
+    )
