@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import decontaminate, langid, mixing, repair, simhash
+from tillwise.llm import decontaminate, langid, mixing, repair, simhash, substrings
 from tillwise.llm.common import held_out
 from tillwise.session import shared_scratch
 
@@ -166,3 +166,29 @@ def byte_network_language(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_lang").alias("lang_pred"),
         F.col("_score").alias("score"),
     )
+
+
+# --- 10: repeated passages -----------------------------------------------------------------
+
+REPEATS_SQL = r"""WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)),
+firsts AS (SELECT phrase, min(doc_id) AS first FROM windows GROUP BY phrase HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place
+  FROM windows JOIN firsts USING (phrase) WHERE first < doc_id),
+lost AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN w
+              ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(places, k)), lambda k: w[k]) END, ' '))
+         AS kept_sha256
+FROM words LEFT JOIN lost USING (doc_id)"""
+
+
+@query("op10_cut_repeats", REPEATS_SQL)
+def cut_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.cut_repeats(table(spark, folder, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -324,7 +324,8 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end_id: int
             yield out()
 
     ordered = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id are put in order by their text, so that reruns agree.
+    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, "part int, number int, start long, n_ids long, data binary").write.parquet(folder)
 
 
