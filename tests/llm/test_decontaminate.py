@@ -1,0 +1,113 @@
+"""Benchmark decontamination against plain Python."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from pyspark.sql import functions as F
+
+from tillwise.llm import decontaminate as dc
+from tillwise.llm.fm_index import FmIndex
+
+
+def words(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", low)
+
+
+def plain(rows, items, window=13):
+    """(doc_id, n_words, hit places, item ids, contaminated) by looking everywhere."""
+    phrases = {}
+    for item, text in items:
+        w = words(text)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1) if n else ():
+            phrases.setdefault(tuple(w[i : i + n]), set()).add(item)
+    out = []
+    for d, text in rows:
+        w, hit, found = words(text), set(), set()
+        for n in {len(p) for p in phrases}:
+            for i in range(len(w) - n + 1):
+                p = tuple(w[i : i + n])
+                if p in phrases:
+                    hit.update(range(i, i + n))
+                    found |= phrases[p]
+        out.append((d, len(w), sorted(hit), sorted(x for x in found if x is not None), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def run(spark, rows, items, **options):
+    docs = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, n_words int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = dc.find_benchmark_spans(docs, bench, **options)
+    bad = dc.is_contaminated(dc.hit_words(F.col("_spans")), F.col("_n_words"))
+    out = []
+    for r in found.withColumn("bad", bad).collect():
+        places = [k for s in r._spans for k in range(s.start, s.end)]
+        assert all(a.end < b.start for a, b in zip(r._spans, r._spans[1:]))
+        out.append((r.doc_id, r._n_words, places, r._items, r.bad))
+    return out
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(25)] + ["é", "the"]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(rng.choice([1, 2, 5, 12, 13, 14, 30])) for _ in range(12)] if seed % 2 else [text(rng.choice([13, 20])) for _ in range(8)]
+    docs = []
+    for d in range(60):
+        body = []
+        for _ in range(rng.randrange(5)):
+            body += rng.choice(items)[: rng.choice([12, 13, 40])] if rng.random() < 0.5 else text(rng.randrange(40))
+        docs.append((d, rng.choice([" ", ", ", "\n- "]).join(body).title() if d % 2 else " ".join(body)))
+    return docs, [(k % 10, " ".join(w)) for k, w in enumerate(items)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("block", [30, 2_000_000])
+def test_equals_plain_python(spark, seed, block):
+    docs, items = corpus(seed)
+    assert sorted(run(spark, docs, items, block_words=block)) == plain(docs, items)
+
+
+def test_small_shards_give_the_same(spark, monkeypatch):
+    docs, items = corpus(3)
+    monkeypatch.setattr(dc, "SHARD_WORDS", 40)
+    assert sorted(run(spark, docs, items)) == plain(docs, items)
+
+
+def test_odd_rows(spark):
+    item = " ".join(f"i{k}" for k in range(15))
+    items = [(1, item), (1, item), (2, None), (3, ""), (None, item.upper()), (4, "...")]
+    rows = [(1, None), (2, ""), (3, "!!"), (4, item), (None, item), (4, item), (5, "x " * 60_000 + item), (6, item * 3)]
+    got = run(spark, rows, items)
+    assert sorted(got, key=str) == sorted(plain(rows, items), key=str)
+    assert run(spark, rows, [])[3][2] == [] if rows else True
+    assert run(spark, [], items) == []
+
+
+def test_filter_keeps_clean_documents_unchanged(spark):
+    item = " ".join(f"i{k}" for k in range(13))
+    rows = [(1, item), (2, "a b"), (3, "x " * 247 + item), (4, "x " * 248 + item), (5, None)]
+    docs = spark.createDataFrame([(d, t, [1]) for d, t in rows], "doc_id long, text string, _items array<int>")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = dc.drop_contaminated(docs.drop("_items"), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_index_finds_every_place(seed):
+    rng = np.random.default_rng(seed)
+    n_symbols = int(rng.integers(2, 9))
+    runs = [np.append(rng.integers(1, n_symbols, rng.integers(1, 80)), 0) for _ in range(12)]
+    runs += [runs[0], runs[0]]
+    text = np.concatenate(runs)
+    index = FmIndex(text, n_symbols, sample=4)
+    for length in (1, 2, 5):
+        phrases = rng.integers(1, n_symbols, (30, length))
+        low, high = index.search(phrases)
+        for p, a, b in zip(phrases, low, high):
+            places = sorted(index.locate(np.arange(a, b)).tolist())
+            assert places == [i for i in range(len(text) - length + 1) if (text[i : i + length] == p).all()]
