@@ -1,0 +1,119 @@
+"""Secret scans against Python's own patterns and plain arithmetic."""
+
+import hashlib
+import math
+import random
+import re
+import string
+
+import pytest
+from pyspark.sql import functions as F
+
+from tillwise.llm import secrets
+from tillwise.llm.queries import QUERIES
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain_base(text):
+    text = text or ""
+    # With re.A alone, re.I still pairs two letters beyond ASCII with k and s.
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8 and m[1].isascii()]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def joined(spans):
+    return ",".join(f"{(*secrets.KINDS, secrets.RANDOM)[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def plain_extra(text, base, model):
+    n, out = len(secrets.ALPHABET), []
+    for m in re.finditer(secrets.STRINGS % secrets.LEAST_LENGTH, text or ""):
+        if any(a < m.end() and m.start() < b for a, _, b in base):
+            continue
+        codes = [secrets.ALPHABET.index(c) for c in m[0]]
+        if sum(model.ratios[n * a + b] for a, b in zip(codes, codes[1:])) >= secrets.LEAST_RATIO:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def check(rows, got, model):
+    assert len(got) == len(rows)
+    for (doc_id, text), r in zip(rows, got):
+        base = plain_base(text)
+        assert [tuple(s) for s in r._base] == base, text
+        assert [tuple(s) for s in r._spans] == sorted(base + plain_extra(text, base, model)), text
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(30)), True) for _ in range(300)]
+    rows += [(w, False) for w in ["ordinary", "identifier", "some_name", "configuration", "internationalisation"] * 200]
+    return secrets.fit(spark.createDataFrame([*rows, (None, True), ("x", None), ("é!", True)], "string string, random boolean"))
+
+
+ODD = [
+    None, "", "password=12345678", "passWORD : '12345678", "token = short", "token: password: longsecret123",
+    "secret:token=abcdefgh", "secret: token: abcdefghijk", "api_key=\"a.b-c/d+e_f=g\" apikey:'ABCDEFGH",
+    "AKIA1234 AKIA123456789012 AKIAAKIA12345678X", "x" + "0a" * 16 + "g", "AB" * 16, "0" * 31,
+    "é🎉 token=deadbeefdeadbeefdeadbeefdeadbeef ü", "ſecret=12345678 toKen=12345678", "password=\n12345678",
+    "token=a token=b token=cccccccc", "word " * 60_000 + "password=abcdefgh1", "token=abcdefgh " * 300,
+    "see Xk29sLqPzR84mVbT7wYnQe3H and internationalisationconfiguration ok", "A1b2" * 10 + "=token=12345678",
+]
+
+
+def test_odd_texts(spark, model):
+    rows = list(enumerate(ODD))
+    df = spark.createDataFrame([(i, t, 5, "z") for i, t in rows], "doc_id long, text string, n_hex int, spans string")
+    got = secrets.find_secrets(df, model).orderBy("doc_id").collect()
+    check(rows, got, model)
+    assert any(s.kind == 3 for s in got[19]._spans) and len(got[19]._spans) == 1
+    assert secrets.find_secrets(df.limit(0), model).count() == 0
+
+
+def test_fuzz(spark, model):
+    rng = random.Random(8)
+    parts = ["token", "Secret", "api_key", "APIKEY", "passwd", "=", ":", " ", "  ", '"', "'", "AKIA", "0123456789abcdef", "ABCDEFGH", "a", "é", "\n", ".-/", "12345678", "zQ9x"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, secrets.find_secrets(df, model).orderBy("doc_id").collect(), model)
+
+
+def test_query_on_the_small_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = QUERIES["op3_markov_secrets"](spark, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        base = plain_base(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert set(joined(base).split(",")) <= set(r.spans.split(","))
+
+
+def test_counts_make_the_ratios(spark):
+    rows = [("aab", True), ("abb", False), ("ab", False)]
+    got = secrets.fit(spark.createDataFrame(rows, "string string, random boolean"))
+    n, a, b = len(secrets.ALPHABET), secrets.ALPHABET.index("a"), secrets.ALPHABET.index("b")
+    k = secrets.BACK_OFF
+    # Pairs of the random string: aa, ab; of the ordinary ones: ab, bb, ab.
+    p_b, q_b, q_a = 2 / (n + 2), 4 / (n + 3), 1 / (n + 3)
+    assert math.isclose(got.ratios[n * a + b], math.log((1 + k * p_b) / (2 + k)) - math.log((2 + k * q_b) / (2 + k)))
+    assert math.isclose(got.ratios[n * b + a], math.log(2 / (n + 2)) - math.log(k * q_a / (1 + k)))
+
+
+def test_no_python_in_the_plan(spark, model):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = secrets.find_secrets(df, model)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_samples_are_bounded(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some words token=abc123abc123").alias("text"))
+    some = secrets.labelled_samples(df, limit=100)
+    n = some.where("random").count()
+    assert 50 < n < 200
+    assert {r.string for r in some.select("string").distinct().collect()} == {"abc123abc123", "some", "words"}

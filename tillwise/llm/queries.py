@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import decontaminate, langid, mixing, repair, simhash, substrings
+from tillwise.llm import decontaminate, langid, mixing, repair, secrets, simhash, substrings
 from tillwise.llm.common import held_out
 from tillwise.session import shared_scratch
 
@@ -192,3 +192,19 @@ def cut_repeats(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.cut_repeats(table(spark, folder, "documents"))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- 3: secrets ----------------------------------------------------------------------------
+
+
+@query("op3_markov_secrets")
+def markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = secrets.fit(secrets.labelled_samples(documents))
+    found = secrets.find_secrets(documents.select("doc_id", "text"), model)
+    counts = [secrets.count_of("_base", kind).alias(f"n_{kind}") for kind in secrets.KINDS]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(secrets.as_text("_base"), 256).alias("base_sha256"),
+        secrets.as_text("_spans").alias("spans"),
+    )
