@@ -63,15 +63,22 @@ def test_repeated_rows_and_an_empty_table(spark, plain, tmp_path):
 @given(st.lists(st.text(), max_size=6))
 def test_words_alone_give_the_ids_of_the_whole_text(plain, encoder, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    got = [np.frombuffer(b, "<u2").tolist() for b in encoder.encode([t.encode() for t in texts])]
+    got = [np.frombuffer(encoder.encode(t.encode()), "<u2").tolist() for t in texts]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aZÉéßÿÀ÷×,.'!_~`<|>#1ſİµªs ", max_size=12))
+def test_latin_words_skip_nothing(plain, encoder, text):
+    got = np.frombuffer(encoder.encode(text.encode()), "<u2").tolist()
+    assert got == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_a_full_memory_of_words_changes_nothing(plain):
     small = repair.Encoder(tokenizer_path())
     small.KEEP = 5
     for t in ["one two three four", "five six seven one eight", "nine, one. ten"]:
-        got = np.frombuffer(small.encode([t.encode()])[0], "<u2").tolist()
+        got = np.frombuffer(small.encode(t.encode()), "<u2").tolist()
         assert got == plain.encode(t, add_special_tokens=False).ids
 
 

@@ -9,12 +9,12 @@ without the others.
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import sys
 import types as pytypes
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ from tillwise.llm.common import texts
 
 SHARD_IDS = 1 << 20
 SYMBOLS = 1 << 16
-ROUNDS = 5
+ROUNDS = 4
 MAGIC = b"TWRP1\0\0\0"
 END_ID = 1
 
@@ -37,81 +37,66 @@ class Encoder:
     """Texts to ids, the ids of each word kept between texts.
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those
-    of its words in a row. Words of plain lower-case letters that were not seen before are
-    encoded many at a time; a token that ends a word marks where each of them stops.
+    of its words in a row. A word of Latin letters is one piece to the tokenizer's model and
+    goes straight to it, spelled in the model's alphabet for bytes; any other word takes the
+    whole way through the tokenizer.
     """
 
-    KEEP = 400_000
-    PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+    KEEP = 800_000
+    # Letters, then ASCII marks but no apostrophe, which the tokenizer may join to letters.
+    LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        if max(vocabulary.values()) >= SYMBOLS:
+        self.model = self.tokenizer.model
+        if self.tokenizer.get_vocab_size() >= SYMBOLS:
             raise ValueError("The vocabulary must have fewer than 65,536 ids.")
-        self.ends_word = np.zeros(SYMBOLS, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # How the model spells the two bytes of each Latin letter beyond ASCII.
+        spell = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: spell.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.marks = {"": b""}
         self.known: dict[bytes, bytes] = {}
 
-    def _encode_each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode_plain(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(words), 256):
-            some = words[k : k + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
-            stops = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            if len(stops) != len(some):
-                out += self._encode_each(some)
-                continue
-            flat, begin = ids.tobytes(), 0
-            for stop in stops:
-                out.append(flat[2 * begin : 2 * stop])
-                begin = stop
-        return out
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are not known yet."""
-        found: dict[bytes, bytes] = {}
-        plain, stems, other = {}, [], []
-        for w in words:
-            # One comma or full stop after letters is a word of its own.
-            if w[-1:] in b",." and w[:-1].isalpha():
-                stems.append(w)
-                if w[:-1] not in self.known:
-                    plain[w[:-1]] = w[:-1].decode()
-                continue
-            text = w.decode()
-            if self.PLAIN.fullmatch(text):
-                plain[w] = text
-            else:
-                other.append(w)
-        found.update(zip(plain, self._encode_plain(list(plain.values()))))
-        found.update(zip(other, self._encode_each([w.decode() for w in other])))
-        if stems:
-            mark = dict(zip(b",.", self._encode_each([",", "."])))
-            for w in stems:
-                found[w] = (found.get(w[:-1]) or self.known[w[:-1]]) + mark[w[-1]]
+    def _whole(self, word: str) -> bytes:
+        return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, spelled: str) -> bytes:
+        return array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self._whole(marks)
+            if len(self.marks) < 10_000:
+                self.marks[marks] = found
         return found
 
-    def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 16-bit numbers."""
+    def word(self, word: bytes) -> bytes:
+        """The ids of a word that is not kept."""
+        if word.isalpha() and word.islower():
+            ids = self._letters(word.decode())
+        elif latin := self.LATIN.fullmatch(word.decode()):
+            # Marks after letters are a piece of their own.
+            ids = self._letters(latin[1].lower().translate(self.spelling)) + self._marks(latin[2])
+        else:
+            ids = self._whole(word.decode())
+        if len(self.known) < self.KEEP:
+            self.known[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """A text's ids as little-endian unsigned 16-bit numbers."""
         # Special tokens are known by their exact letters, so only texts without any are lowered.
-        split = [(t if b"<|" in t else t.lower()).split() for t in batch]
-        new = {w for words in split for w in set(words).difference(self.known)}
-        ids = self.known
-        if new:
-            found = self.learn(new)
-            if len(self.known) + len(found) <= self.KEEP:
-                self.known.update(found)
-            else:
-                ids = {w: self.known[w] for words in split for w in words if w in self.known}
-                ids.update(found)
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        words = (text if b"<|" in text else text.lower()).split()
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            for k, found in enumerate(ids):
+                if found is None:
+                    ids[k] = self.known.get(words[k]) or self.word(words[k])
+        return b"".join(ids)
 
 
 def encoder(path: str) -> Encoder:
@@ -157,13 +142,13 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_free: int) -> tuple[np.
         if not len(often):
             break
         chosen = np.sort(ordered[starts[often]])
-        slots = np.zeros(1 << 16, bool)
-        slots[(chosen * np.uint32(2654435761)) >> np.uint32(16)] = True
-        maybe = np.flatnonzero(slots[(keys * np.uint32(2654435761)) >> np.uint32(16)] & inside)
-        spot = np.minimum(np.searchsorted(chosen, keys[maybe]), len(chosen) - 1)
-        maybe = maybe[chosen[spot] == keys[maybe]]
-        at = _apart(maybe)
-        name = first_free + len(rules) + np.searchsorted(chosen, keys[at])
+        # A table by hash finds the rule of each pair; of pairs that share a slot the last stays.
+        slot = (keys * np.uint32(2654435761)) >> np.uint32(14)
+        table = np.zeros(1 << 18, np.int32)
+        table[(chosen * np.uint32(2654435761)) >> np.uint32(14)] = np.arange(len(chosen))
+        rule = table[slot]
+        at = _apart(np.flatnonzero((chosen[rule] == keys) & inside))
+        name = first_free + len(rules) + rule[at]
         rules = np.concatenate([rules, np.stack([chosen >> 16, chosen & 0xFFFF], 1).astype(np.uint16)])
         symbols[at] = name
         last[at] = last[at + 1]
@@ -302,24 +287,12 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["part", "number", "start", "n_ids", "data"])
 
         for batch in batches:
-            waiting: list[bytes] = []
-            waiting_ids: list[int | None] = []
-            size = 0
-            values = texts(batch)
-            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                text = next(values)
-                waiting.append(text)
-                waiting_ids.append(doc_id)
-                size += len(text)
-                if size < 2_000_000 and k + 1 < batch.num_rows:
-                    continue
-                for d, e in zip(waiting_ids, tool.encode(waiting)):
-                    ids.append(d)
-                    held.append(e + end)
-                    n_held += len(e) // 2 + 1
-                    if n_held >= SHARD_IDS:
-                        yield out()
-                waiting, waiting_ids, size = [], [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+                ids.append(doc_id)
+                held.append(tool.encode(text) + end)
+                n_held += len(held[-1]) // 2
+                if n_held >= SHARD_IDS:
+                    yield out()
         if held:
             yield out()
 
