@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import decontaminate, langid, mixing, repair, secrets, simhash, substrings
+from tillwise.llm import decontaminate, langid, mixing, repair, secrets, simhash, substrings, toxicity
 from tillwise.llm.common import held_out
 from tillwise.session import shared_scratch
 
@@ -208,3 +208,19 @@ def markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.as_text("_base"), 256).alias("base_sha256"),
         secrets.as_text("_spans").alias("spans"),
     )
+
+
+# --- 4: toxicity ---------------------------------------------------------------------------
+
+
+@query("op4_subsequence_toxicity")
+def subsequence_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    machine = toxicity.train(documents, table(spark, folder, "labels"))
+    found = toxicity.score_documents(documents, machine)
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
