@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import decontaminate, langid, mixing, repair, secrets, simhash, substrings, toxicity
+from tillwise.llm import decontaminate, langid, mixing, neighbours, repair, secrets, simhash, substrings, toxicity
 from tillwise.llm.common import held_out
 from tillwise.session import shared_scratch
 
@@ -224,3 +224,11 @@ def subsequence_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_score").alias("score"),
         (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+# --- 9: nearest neighbours -----------------------------------------------------------------
+
+
+@query("op9_nn_descent_search")
+def nn_descent_search(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), every=20)
