@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import decontaminate, langid, mixing, neighbours, repair, secrets, simhash, substrings, toxicity
+from tillwise.llm import chat, decontaminate, langid, mixing, neighbours, repair, secrets, simhash, substrings, toxicity
 from tillwise.llm.common import held_out
 from tillwise.session import shared_scratch
 
@@ -232,3 +232,30 @@ def subsequence_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_nn_descent_search")
 def nn_descent_search(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), every=20)
+
+
+# --- 6: chat formatting --------------------------------------------------------------------
+
+CHAT_SQL = """WITH turns AS (
+  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, role, text FROM conversations),
+sides AS (
+  SELECT pair_id, turn, role, text, bool_or(chosen) AS l, bool_or(NOT chosen) AS r
+  FROM turns GROUP BY ALL),
+firsts AS (SELECT pair_id, min(turn) AS differs FROM sides WHERE NOT (l AND r) GROUP BY pair_id),
+placed AS (
+  SELECT t.*, differs IS NULL OR turn < differs AS common
+  FROM turns t LEFT JOIN firsts USING (pair_id)),
+lines AS (
+  SELECT *, '<|im_start|>' || replace(role, '<|', '< |') || chr(10) AS head,
+         replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS tail
+  FROM placed WHERE NOT common OR chosen)
+SELECT pair_id, CASE WHEN common THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS part,
+       turn, role, head || tail AS rendered,
+       CASE WHEN role = 'assistant' AND NOT common THEN CAST(length(head) AS INTEGER) ELSE 0 END AS mask_start,
+       CASE WHEN role = 'assistant' AND NOT common THEN CAST(length(head || tail) AS INTEGER) ELSE 0 END AS mask_end
+FROM lines"""
+
+
+@query("op6_preference_pairs", CHAT_SQL)
+def preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.preference_segments(chat.alternate_pairs(table(spark, folder, "conversations")))
