@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.llm.common import LOWER, held_out, texts
+from tillwise.llm.common import LOWER, held_out, small_batches, texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -118,18 +118,20 @@ class ByteNetwork:
 
 
 def train(documents: DataFrame, limit: int = TRAIN_DOCUMENTS, seed: int = 3) -> ByteNetwork:
-    """A network fitted to at most ``limit`` labelled documents outside the held-out quarter.
+    """A network fitted to about ``limit`` labelled documents outside the held-out quarter.
 
-    ``limit`` is the bound of the training sample: the documents with the smallest hashes of
-    their ids. Of each, ``TRAIN_WINDOWS`` windows from anywhere in the text are learnt from.
+    ``limit`` is the bound of the training sample: documents whose hashed ids fall into that
+    share of all. Of each, ``TRAIN_WINDOWS`` windows from anywhere in the text are learnt from.
     """
     known = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
+    share = min(1.0, limit / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # A window's bytes are all that the driver needs of a document.
     starts = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1)) for k in range(TRAIN_WINDOWS)]
     data = F.col("text").cast("binary")
     cut = [F.substring(data, (s + 1).cast("int"), F.lit(WINDOW)) for s in starts]
-    sample = known.select("doc_id", "lang", F.array(*cut).alias("cut"))
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit).collect()
+    rows = known.select("doc_id", "lang", F.array(*cut).alias("cut")).collect()
+    rows.sort(key=lambda r: (str(r.doc_id), r.lang, *map(bytes, r.cut)))
     classes = sorted({r.lang for r in rows}) or [NO_LETTERS]
     net = ByteNetwork(classes)
     x = [windows(bytes(c)) for r in rows for c in dict.fromkeys(map(bytes, r.cut)) if has_letter(bytes(c))]
@@ -187,7 +189,7 @@ def identify(documents: DataFrame, net: ByteNetwork) -> DataFrame:
                 names=[*names, "_lang", "_score"],
             )
 
-    return documents.mapInArrow(apply, f"{fields}, `_lang` string, `_score` double")
+    return small_batches(documents).mapInArrow(apply, f"{fields}, `_lang` string, `_score` double")
 
 
 def keep_identified(documents: DataFrame, least: float = 0.3) -> DataFrame:
