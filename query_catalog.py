@@ -156,7 +156,7 @@ BASE_COLUMNS = (
 
 
 def base_features(spark: SparkSession, folder: str) -> DataFrame:
-    return features.customer_features(star.transactions(spark, folder, BASE_COLUMNS), levels={})
+    return features.customer_features(star.transactions(spark, folder, BASE_COLUMNS))
 
 
 # --- sources and sinks --------------------------------------------------------------
@@ -270,6 +270,31 @@ def _(spark, folder):
     )
 
 
+@query("load_online_retail_other_dates", RETAIL_SQL)
+def _(spark, folder):
+    """Dates written month first, in a file whose text needs quotes; the shape is found out."""
+    raw = star.online_retail(spark, folder)
+    moment = F.try_to_timestamp("InvoiceDate", F.lit("yyyy-MM-dd HH:mm:ss"))
+    dates = F.coalesce(F.date_format(moment, "M/d/yyyy H:mm"), F.col("InvoiceDate"))
+    path = readers.write_table(raw.withColumn("InvoiceDate", dates), shared_scratch(spark, "us"), "csv")
+    return readers.load_online_retail(spark, path, kind="csv")
+
+
+QUOTED_SQL = with_tx(
+    """SELECT order_id, stock_code, '12" ' || product || ', "new"' || chr(10) || '\\ end ' AS product,
+       CAST(order_date AS TIMESTAMP) AS order_date FROM tx WHERE order_date IS NOT NULL"""
+)
+
+
+@query("load_csv_with_quotes_and_line_breaks", QUOTED_SQL)
+def _(spark, folder):
+    df = star.transactions(spark, folder, ("order_id", "stock_code", "product", "order_date"))
+    odd = F.concat(F.lit('12" '), "product", F.lit(', "new"\n\\ end '))
+    path = readers.write_table(df.withColumn("product", odd), shared_scratch(spark, "quoted"), "csv")
+    loaded = readers.load_dataset(spark, path, kind="csv", multi_line=True)
+    return loaded.select("order_id", "stock_code", "product", "order_date")
+
+
 @query("load_online_retail", RETAIL_SQL)
 def _(spark, folder):
     path = readers.write_table(star.online_retail(spark, folder), shared_scratch(spark, "retail"))
@@ -899,15 +924,31 @@ def _(spark, folder):
 @query(
     "customer_features_after_cleaning",
     with_tx(
-        f"SELECT feat.* EXCLUDE (recency_days), {RATES}, coalesce(rec.recency_days, 0) AS recency_days "
-        "FROM feat LEFT JOIN rec ON feat.customer_id = rec.customer_id",
+        f"SELECT feat.* EXCLUDE (recency_days), {RATES}, coalesce(rec.recency_days, 0) AS recency_days, "
+        "shares.* EXCLUDE (customer_id) "
+        "FROM feat JOIN shares USING (customer_id) LEFT JOIN rec ON feat.customer_id = rec.customer_id",
         FEAT,
         RECENCY,
+        f"shares AS (SELECT customer_id, {SHARES} FROM tx WHERE customer_id IS NOT NULL GROUP BY customer_id)",
+    ),
+)
+def _(spark, folder):
+    cleaned = clean.coerce_transactions(star.transactions(spark, folder))
+    return rounded(features.customer_features(cleaned), 9, *LOGS)
+
+
+@query(
+    "category_shares_of_many_levels",
+    with_tx(
+        """SELECT customer_id, 'category' AS "column", stock_code AS level,
+       round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY customer_id) AS DOUBLE), 9) AS share
+FROM tx WHERE customer_id IS NOT NULL AND stock_code IS NOT NULL GROUP BY customer_id, stock_code"""
     ),
 )
 def _(spark, folder):
-    cleaned = clean.coerce_transactions(star.transactions(spark, folder, BASE_COLUMNS))
-    return rounded(features.customer_features(cleaned, levels={}), 9, *LOGS)
+    df = star.transactions(spark, folder, ("customer_id", "stock_code"))
+    long = features.category_shares_long(df.withColumnRenamed("stock_code", "category"))
+    return rounded(long, 9, "share")
 
 
 def asof_sql(lookback: str, stand_in: str) -> str:
@@ -1148,7 +1189,7 @@ def _(spark, folder):
 
 @query("segment_silhouettes")
 def _(spark, folder):
-    return segments.silhouette_scores(base_features(spark, folder), k_max=4)
+    return segments.silhouette_scores(features.customer_features(star.transactions(spark, folder)))
 
 
 # --- churn --------------------------------------------------------------------------
@@ -1179,8 +1220,8 @@ def _(spark, folder):
     with_tx("SELECT churn, count(*) AS customers FROM labels GROUP BY churn", AS_OF, FORWARD),
 )
 def _(spark, folder):
-    labels = forward_labels(spark, folder)
-    return labels.groupBy("churn").agg(F.count(F.lit(1)).alias("customers"))
+    counts = churn.class_counts(forward_labels(spark, folder), "churn")
+    return spark.createDataFrame(sorted(counts.items()), "churn int, customers bigint")
 
 
 for _default in (0, 1):

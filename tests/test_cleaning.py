@@ -243,3 +243,123 @@ def test_intermediate_tables_go_where_the_session_says(frame, spark, shared_fold
     assert stored.count() == 2
     assert stored.inputFiles()[0].startswith(f"file://{shared_folder}/t-")
     assert materialize(df.limit(0), "t").columns == ["x"]
+
+
+RETAIL_HEADER = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+
+
+def retail_file(tmp_path, *lines, name="x.csv"):
+    path = tmp_path / name
+    path.write_text(RETAIL_HEADER + "".join(line + "\n" for line in lines))
+    return str(path)
+
+
+def test_quotes_commas_and_line_breaks_in_csv(spark, tmp_path):
+    lines = (
+        '1,A,"12"" RULER, RED",2,2020-01-01 10:00:00,3.5,7,UK',
+        '1,B,"two\nlines",1,2020-01-01 10:00:00,1.5,7,UK',
+        '2,C,plain,1,2020-01-02 10:00:00,1,8,UK',
+    )
+    path = retail_file(tmp_path, *lines)
+    got = readers.load_dataset(spark, path, multi_line=True)
+    found = {r["stock_code"]: (r["product"], r["quantity"]) for r in got.collect()}
+    assert found == {"A": ('12" RULER, RED', 2.0), "B": ("two\nlines", 1.0), "C": ("plain", 1.0)}
+    # Without the option a broken record is an error, also where few columns are read.
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        readers.read_table(spark, path).select("Invoice").collect()
+
+
+def test_the_kind_of_a_file_is_stated_or_in_its_suffix(spark, tmp_path):
+    import gzip
+
+    text = RETAIL_HEADER + "1,A,x,2,2020-01-01,3.5,7,UK\n"
+    folder = tmp_path / "plain"
+    folder.mkdir()
+    (folder / "part-0").write_text(text)
+    (tmp_path / "x.tsv").write_text(text.replace(",", "\t"))
+    with gzip.open(tmp_path / "y.csv.gz", "wt") as f:
+        f.write(text)
+    for path, options in ((folder, {"kind": "csv"}), (tmp_path / "x.tsv", {}), (tmp_path / "y.csv.gz", {})):
+        assert [r["Country"] for r in readers.read_table(spark, str(path), **options).collect()] == ["UK"]
+    for bad in ("a.xlsx", "a.xls"):
+        with pytest.raises(ValueError):
+            readers.read_table(spark, bad)
+    with pytest.raises(ValueError):
+        readers.read_table(spark, "a", kind="xml")
+
+
+def test_csv_round_trip_keeps_odd_text(spark, tmp_path):
+    values = ['a"b', '"', "x,y", " blank ", "back\\slash", '\\"', "two\nlines", "é", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    path = readers.write_table(df, str(tmp_path / "odd.csv"), "csv")
+    got = readers.read_table(spark, path, multi_line=True)
+    assert [v for _, v in sorted((int(r["i"]), r["v"]) for r in got.collect())] == values
+
+
+def test_dates_of_any_one_shape_are_found(spark, tmp_path):
+    path = retail_file(tmp_path, "1,A,x,2,12/1/2010 8:26,3.5,7,UK", "2,A,x,2,12/13/2010 9:00,3.5,7,UK", "3,A,x,2,?,3.5,7,UK")
+    got = readers.load_dataset(spark, path)
+    assert sorted(r["order_date"] for r in got.collect()) == [at("2010-12-01T08:26"), at("2010-12-13T09:00")]
+    reading = clean.date_readings(readers.read_table(spark, path), ["InvoiceDate"])["InvoiceDate"]
+    assert reading == clean.DateReading("M/d/yyyy H:mm", 2, 1)
+
+
+def test_dates_that_fit_two_shapes_or_none_are_errors(spark, tmp_path):
+    both = retail_file(tmp_path, "1,A,x,2,12/1/2010 8:26,3.5,7,UK")
+    with pytest.raises(ValueError, match="fit"):
+        readers.load_dataset(spark, both)
+    assert readers.load_dataset(spark, both, date_format="d/M/yyyy H:mm").first()["order_date"] == at("2010-01-12T08:26")
+    none = retail_file(tmp_path, "1,A,x,2,first of May,3.5,7,UK", name="y.csv")
+    with pytest.raises(ValueError, match="No date"):
+        readers.load_dataset(spark, none)
+    with pytest.raises(ValueError, match="No date"):
+        readers.load_dataset(spark, both, date_format="yyyy")
+
+
+def test_customers_with_letters_in_their_id_stay(spark, tmp_path):
+    path = retail_file(tmp_path, "1,A,x,2,2020-01-01,3.5,C178,UK", "2,A,x,2,2020-01-01,3.5,17850.0,UK", "3,A,x,2,2020-01-01,3.5,,UK")
+    assert sorted(r["customer_id"] for r in readers.load_dataset(spark, path).collect()) == ["17850", "C178"]
+
+
+def test_recency_reads_only_the_columns_it_needs(spark):
+    from tillwise.operators.recency import ensure_recency
+    from tillwise.sources import star_schema as star
+
+    df = spark.read.parquet(star_lines(spark))
+    plan = ensure_recency(df).groupBy("recency_days").count()._jdf.queryExecution().executedPlan().toString()
+    schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema" in line and "total_spend" in line]
+    assert not schemas
+    assert star.TRANSACTION_COLUMNS
+
+
+def star_lines(spark):
+    from tillwise.session import shared_scratch
+    from tillwise.sources import star_schema as star
+
+    return readers.write_table(star.transactions(spark, "/root/testdata/sf0.001"), shared_scratch(spark, "lines"))
+
+
+def test_lines_are_joined_once_for_what_belongs_to_orders(spark):
+    from tillwise.sources import star_schema as star
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = star.transactions(spark, "/root/testdata/sf0.001", ("order_id", "location", "payment_method", "channel"))
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert len(joins) == 3 and "l_orderkey" in joins[0]
+    assert sum("l_orderkey" in j for j in joins) == 1
+
+
+def test_a_run_removes_its_own_tables(spark, shared_folder):
+    from pathlib import Path
+
+    from tillwise.session import materialize, scratch_run
+
+    before = set(Path(shared_folder).iterdir())
+    with scratch_run(spark) as folder:
+        assert materialize(spark.range(3), "x").count() == 3
+        assert Path(folder).exists() and Path(folder).parent == Path(shared_folder)
+    assert set(Path(shared_folder).iterdir()) == before

@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 from random import Random
 
 import numpy as np
@@ -76,17 +77,48 @@ def test_columns_with_too_many_levels_are_left_out(spark):
         F.lit(None).cast("string").alias("category"),
         (F.col("id") % 2).alias("payment_method"),
     )
-    levels = features.category_levels(df, 30)
+    with pytest.warns(UserWarning, match="device: 31 levels"):
+        levels = features.category_levels(df, 30)
     assert set(levels) == {"channel", "category", "payment_method"}
     assert levels["channel"] == sorted(str(i) for i in range(30))
     assert levels["category"] == [] and levels["payment_method"] == [0, 1]
-    out = features.customer_features(df)
+    with pytest.raises(ValueError, match="location"):
+        features.customer_features(df)
+    whole = features.customer_features(df.drop("location"))
+    assert sum(c.startswith("device_share__") for c in whole.columns) == 31
+    out = features.customer_features(df, max_category_levels=30)
     shares = [c for c in out.columns if "_share__" in c]
     assert len(shares) == 32 and "payment_method_share__1" in shares
     row = out.first()
     assert sum(row[c] for c in shares if c.startswith("channel")) == pytest.approx(1)
 
 
+def test_long_shares_hold_every_level(spark):
+    df = spark.range(4000).select(
+        (F.col("id") % 3).cast("string").alias("customer_id"),
+        (F.col("id") % 1500).cast("string").alias("location"),
+        F.when(F.col("id") % 2 == 0, "x").alias("channel"),
+    )
+    got = features.category_shares_long(df).groupBy("customer_id", "column").agg(
+        F.sum("share").alias("all"), F.count("*").alias("n")
+    )
+    found = {(r["customer_id"], r["column"]): (round(r["all"], 9), r["n"]) for r in got.collect()}
+    assert found == {**{(str(k), "location"): (1.0, 500) for k in range(3)}, **{(str(k), "channel"): (1.0, 1) for k in range(3)}}
+
+
+def test_features_read_the_lines_twice(spark, shared_folder):
+    from tillwise.sources import star_schema as star
+
+    df = star.transactions(spark, "/root/testdata/sf0.001")
+    before = {str(p) for p in Path(shared_folder).iterdir()}
+    out = features.customer_features(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
+    made = sorted(p.name.split("-")[0] for p in Path(shared_folder).iterdir() if str(p) not in before)
+    # Stored from the lines: the orders per customer and the levels; the rest comes from these.
+    assert made == ["distinct", "levels", "per"]
+
+
 def test_feature_columns_and_alignment(frame):
     df = frame("customer_id string, x int, name string, ok boolean, y double", ("a", 1, "n", True, 2.0))
     assert features.select_feature_columns(df) == ["x", "ok", "y"]

@@ -72,7 +72,10 @@ def text(name: str) -> Column:
 
 
 def id_text(df: DataFrame, name: str) -> Column:
-    """Whole-number id as text without a fraction part: 17850.0 becomes '17850'."""
+    """An id as text, whole numbers without a fraction part: 17850.0 becomes '17850'.
+
+    Text that is no number is an id as it stands; blank text, 'nan' and fractions are none.
+    """
     column, kind = named(name), df.schema[name].dataType
     if isinstance(kind, T.IntegralType):
         return column.cast("string")
@@ -80,6 +83,8 @@ def id_text(df: DataFrame, name: str) -> Column:
     whole = F.when(as_number == F.floor(as_number), as_number.try_cast("bigint"))
     if isinstance(kind, T.StringType):
         whole = F.coalesce(column.try_cast("bigint"), whole)
+        other = F.when(as_number.isNull() & ~F.lower(F.trim(column)).isin("", "nan"), column)
+        return F.coalesce(whole.cast("string"), other)
     return whole.cast("string")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tillwise.functions.scalars import flag, id_text, moment, named, number, real, text
 from tillwise.operators.recency import ensure_recency
@@ -15,9 +18,71 @@ from tillwise.schema import (
 )
 
 
+# The shapes of dates in text that are told apart; None is ISO.
+DATE_PATTERNS = (
+    None,
+    "M/d/yyyy H:mm",
+    "d/M/yyyy H:mm",
+    "M/d/yyyy H:mm:ss",
+    "d/M/yyyy H:mm:ss",
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "d.M.yyyy H:mm",
+    "d.M.yyyy H:mm:ss",
+    "d.M.yyyy",
+    "yyyy/M/d H:mm",
+    "yyyy/M/d H:mm:ss",
+    "yyyy/M/d",
+    "yyyyMMdd",
+    "d-MMM-yyyy",
+    "d MMM yyyy",
+)
+
+
+@dataclass(frozen=True)
+class DateReading:
+    """How a text column of dates is read: its pattern, and how many values it reads or not."""
+
+    pattern: str | None
+    read: int
+    unread: int
+
+
+def date_readings(df: DataFrame, names: Sequence[str], date_format: str | None = None) -> dict[str, DateReading]:
+    """The pattern of each text column of dates, by one aggregation over all rows.
+
+    The pattern that reads most values is taken. Where two shapes read equally many, as with
+    days and months up to 12, and where a column that is not empty reads to nothing, it is an
+    error: name the ``date_format``. Columns of other types need no pattern.
+    """
+    texts = [c for c in names if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts:
+        return {}
+    patterns = DATE_PATTERNS if date_format is None else (date_format,)
+    there = [F.count_if(F.trim(named(c)) != "") for c in texts]
+    reads = [F.count(moment(df, c, p)) for c in texts for p in patterns]
+    row = df.agg(*there, *reads).first()
+    found = {}
+    for k, c in enumerate(texts):
+        counts = row[len(texts) + k * len(patterns) :][: len(patterns)]
+        most = max(counts)
+        if row[k] and not most:
+            raise ValueError(f"No date of column {c} could be read; name its date_format.")
+        best = [p for p, n in zip(patterns, counts) if n == most]
+        if most and len(best) > 1:
+            raise ValueError(f"The dates of column {c} fit {best}; name the date_format.")
+        found[c] = DateReading(best[0], most, row[k] - most)
+    return found
+
+
 def coerce_columns(df: DataFrame, date_format: str | None = None) -> DataFrame:
-    """Known columns in their types; unreadable numbers and dates are NULL, flags 0."""
-    typed = {c: moment(df, c, date_format) for c in TIME_COLUMNS if c in df.columns}
+    """Known columns in their types; unreadable numbers and dates are NULL, flags 0.
+
+    Dates in text are read by the pattern of ``date_readings``, which counts what is unread.
+    """
+    readings = date_readings(df, TIME_COLUMNS, date_format)
+    pattern = {c: r.pattern for c, r in readings.items()}
+    typed = {c: moment(df, c, pattern.get(c)) for c in TIME_COLUMNS if c in df.columns}
     typed |= {c: flag(df, c) for c in FLAG_COLUMNS if c in df.columns}
     typed |= {c: number(df, c) for c in AMOUNT_COLUMNS if c in df.columns}
     return df.withColumns(typed) if typed else df
@@ -53,9 +118,11 @@ def normalize_online_retail(
     These rows are purchases, so the two earlier funnel stages are 0 (``attach_funnel_counts``
     brings real counts).
     """
+    reading = date_readings(df, ["InvoiceDate"], date_format).get("InvoiceDate")
+    pattern = reading.pattern if reading else None
     out = df.select(
         text("Invoice").alias("order_id"),
-        moment(df, "InvoiceDate", date_format).alias("order_date"),
+        moment(df, "InvoiceDate", pattern).alias("order_date"),
         id_text(df, "Customer ID").alias("customer_id"),
         text("StockCode").alias("stock_code"),
         text("Description").alias("product"),

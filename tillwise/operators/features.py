@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import datetime
 
@@ -14,30 +15,37 @@ from tillwise.functions.scalars import (
     moment,
     named,
     number,
-    quoted,
     real,
     safe_divide,
     time_literal,
 )
 from tillwise.operators.windows import history
-from tillwise.schema import CATEGORY_COLUMNS
+from tillwise.schema import CATEGORY_COLUMNS, DEFAULTED_COLUMNS
+from tillwise.session import materialize
 
 Levels = Mapping[str, Sequence[object]]
 Merge = Callable[[str], Column]
+# A table of more columns than this per category is no longer a table to work with.
+WIDE = 1000
 
 
 def customer_features(
     df: DataFrame,
     customer_col: str = "customer_id",
     order_col: str = "order_id",
-    max_category_levels: int = 30,
+    max_category_levels: int | None = None,
     levels: Levels | None = None,
 ) -> DataFrame:
     """Features over the whole table.
 
     Missing discounts count as 0. Recency is the smallest ``recency_days`` of the customer
     or, without that column, the days from the customer's newest row to the newest of all.
-    ``levels`` fixes the category columns and saves the pass that finds them.
+    The lines are read twice, once for the orders and once for the category levels.
+
+    Every level of a category column becomes a share column. ``levels`` names them instead;
+    ``max_category_levels`` leaves out columns with more levels and warns of each. Without
+    either a column of more than ``WIDE`` levels is an error: its shares are for
+    ``category_shares_long``.
     """
     if customer_col not in df.columns:
         raise ValueError(f"Missing column: {customer_col}")
@@ -53,7 +61,7 @@ def customer_features(
     if "recency_days" in df.columns:
         recency = F.col("_recency")
     elif "order_date" in df.columns:
-        newest = df.agg(F.max(moment(df, "order_date"))).scalar()
+        newest = base.agg(F.max("_last")).scalar()
         recency = elapsed_days(newest, F.col("_last"))
     else:
         recency = F.lit(None)
@@ -76,7 +84,7 @@ def customer_features_asof(
     as_of: datetime,
     lookback_days: int | None = 180,
     customer_col: str = "customer_id",
-    max_category_levels: int = 30,
+    max_category_levels: int | None = None,
     levels: Levels | None = None,
 ) -> DataFrame:
     """Features from the history up to ``as_of`` only, so that nothing later leaks in.
@@ -95,7 +103,7 @@ def customer_features_asof(
     base = _order_features(df, customer_col, "order_id", revenue, discount)
     now = time_literal(as_of)
     if lookback_days is None:
-        first = df.agg(F.min("order_date")).scalar()
+        first = base.agg(F.min("_first")).scalar()
         stand_in = elapsed_days(now, first) + 1
     else:
         stand_in = F.lit(int(lookback_days) + 1)
@@ -149,6 +157,7 @@ def _order_features(
     if "order_date" in have:
         when = moment(df, "order_date")
         parts["_last"] = (when, F.max, F.max)
+        parts["_first"] = (when, F.min, F.min)
         if "purchased" in have:
             parts["_last_bought"] = (F.when(bought == 1, when), F.max, F.max)
     if has_orders:
@@ -160,10 +169,10 @@ def _order_features(
         parts["_orders"] = (one, F.sum, F.sum)
         parts["_purchases"] = (bought, F.sum, F.sum)
 
+    # Lines without a customer count for the newest and first date only.
     keys = [customer_col, order_col] if has_orders else [customer_col]
     per_order = (
-        df.where(named(customer_col).isNotNull())
-        .select(*[named(k) for k in keys], *[p[0].alias(n) for n, p in parts.items()])
+        df.select(*[named(k) for k in keys], *[p[0].alias(n) for n, p in parts.items()])
         .groupBy(*keys)
         .agg(*[p[1](n).alias(n) for n, p in parts.items()])
     )
@@ -172,6 +181,7 @@ def _order_features(
         per_customer = per_order.groupBy(customer_col).agg(
             *[p[2](n).alias(n) for n, p in parts.items()]
         )
+    per_customer = materialize(per_customer, "per-customer")
 
     def amount(name: str) -> Column:
         if name not in parts:
@@ -196,12 +206,12 @@ def _finish(
     df: DataFrame,
     base: DataFrame,
     customer_col: str,
-    max_category_levels: int,
+    max_category_levels: int | None,
     levels: Levels | None,
 ) -> DataFrame:
     """Adds rates, category shares and logarithms; no feature is left missing."""
     visits, carts, bought = F.col("visits"), F.col("added_to_cart"), F.col("purchases")
-    out = base.withColumns(
+    out = base.where(named(customer_col).isNotNull()).withColumns(
         {
             "recency_days": F.coalesce("recency_days", F.lit(0.0)),
             "cart_rate": safe_divide(carts, visits),
@@ -209,13 +219,18 @@ def _finish(
             "cart_to_purchase_rate": safe_divide(bought, carts),
         }
     )
-    if levels is None:
-        levels = category_levels(df, max_category_levels)
-    if any(levels.values()):
-        shares = category_shares(df, levels, customer_col)
+    columns = CATEGORY_COLUMNS if levels is None else tuple(levels)
+    present = [c for c in columns if c in df.columns]
+    if present:
+        counts = materialize(level_counts(df, customer_col, present), "levels")
+        if levels is None:
+            kinds = {c: df.schema[c].dataType for c in present}
+            levels = _levels(counts, kinds, max_category_levels)
+        shares = _wide_shares(counts, levels, customer_col)
         added = [c for c in shares.columns if c != customer_col]
-        out = out.join(shares, customer_col, "left")
-        out = out.withColumns({c: F.coalesce(named(c), F.lit(0.0)) for c in added})
+        if added:
+            out = out.join(shares, customer_col, "left")
+            out = out.withColumns({c: F.coalesce(named(c), F.lit(0.0)) for c in added})
     return out.withColumns(
         {
             "revenue_total_log1p": log1p_or_zero(F.col("revenue_total")),
@@ -224,51 +239,90 @@ def _finish(
     )
 
 
-def category_levels(
-    df: DataFrame, max_levels: int = 30, columns: Sequence[str] = CATEGORY_COLUMNS
-) -> dict[str, list]:
-    """Sorted levels of each category column that has at most ``max_levels``.
+def level_counts(
+    df: DataFrame, customer_col: str = "customer_id", columns: Sequence[str] = CATEGORY_COLUMNS
+) -> DataFrame:
+    """Lines per customer, category column and level (as text): ``column``, ``level``, ``lines``.
 
-    One pass and one row: an estimate of the number of levels, and a list of frequent
-    values. The list is complete while the values are fewer than it tracks, and the estimate
-    tells whether they are: a column is taken up to ten times the limit, the list tracks
-    more. A column with millions of values is thus never gathered.
+    One aggregation that merges before it shuffles; NULL is no level. Customers without an
+    identity count under NULL, so that their levels exist too.
     """
     present = [c for c in columns if c in df.columns]
-    if not present:
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("level")) for c in present]))
+    rows = df.select(named(customer_col), each.alias("_x")).select(customer_col, "_x.column", "_x.level")
+    return rows.where(F.col("level").isNotNull()).groupBy(customer_col, "column", "level").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def category_levels(
+    df: DataFrame, max_levels: int | None = None, columns: Sequence[str] = CATEGORY_COLUMNS
+) -> dict[str, list]:
+    """Sorted levels of the category columns of ``df``; the limit is that of ``customer_features``."""
+    kinds = {c: df.schema[c].dataType for c in columns if c in df.columns}
+    if not kinds:
         return {}
-    tracked = 1 << (20 * (max_levels + 1)).bit_length()
-    # One place more than allowed, and one for NULL, which the list holds too.
-    listed = max_levels + 2
-    row = df.agg(
-        *[F.approx_count_distinct(named(c)) for c in present],
-        *[F.expr(f"approx_top_k({quoted(c)}, {listed}, {tracked})") for c in present],
-    ).first()
-    estimates, frequent = row[: len(present)], row[len(present) :]
+    every = df.withColumn("_any", F.lit(0))
+    return _levels(level_counts(every, "_any", list(kinds)), kinds, max_levels)
+
+
+def _levels(
+    counts: DataFrame, kinds: Mapping[str, T.DataType], max_levels: int | None
+) -> dict[str, list]:
+    """Levels of each category column in the order of its type, from ``level_counts``.
+
+    With ``max_levels`` a column of more levels is left out, with a warning; without, one of
+    more than ``WIDE`` is an error. Only levels of columns within the limit are collected.
+    """
+    limit = WIDE if max_levels is None else max_levels
+    distinct = materialize(counts.select("column", "level").distinct(), "distinct-levels")
+    sizes = {r["column"]: r["count"] for r in distinct.groupBy("column").count().collect()}
+    wide = [c for c in kinds if sizes.get(c, 0) > limit]
+    if wide and max_levels is None:
+        raise ValueError(
+            f"More than {WIDE} levels in {wide}: use category_shares_long, levels or max_category_levels."
+        )
+    for c in wide:
+        warnings.warn(f"No shares of column {c}: {sizes[c]} levels, the limit is {limit}.", stacklevel=2)
+    kept = distinct.where(F.col("column").isin([c for c in kinds if c not in wide])).collect()
     levels = {}
-    for column, estimate, items in zip(present, estimates, frequent):
-        values = [item[0] for item in items if item[0] is not None]
-        if estimate <= 10 * (max_levels + 1) and len(values) <= max_levels:
-            levels[column] = sorted(values)
+    for c, kind in kinds.items():
+        if c not in wide:
+            texts = [r["level"] for r in kept if r["column"] == c]
+            levels[c] = sorted(int(t) for t in texts) if isinstance(kind, T.IntegralType) else sorted(texts)
     return levels
 
 
+def category_shares_long(
+    df: DataFrame, customer_col: str = "customer_id", columns: Sequence[str] = CATEGORY_COLUMNS
+) -> DataFrame:
+    """Shares of all levels, however many: customer, ``column``, ``level``, ``share``."""
+    counts = materialize(level_counts(df, customer_col, columns), "levels")
+    counts = counts.where(named(customer_col).isNotNull())
+    sums = counts.groupBy(customer_col, "column").agg(F.sum("lines").alias("_all"))
+    joined = counts.join(sums, [customer_col, "column"])
+    return joined.select(customer_col, "column", "level", (F.col("lines") / F.col("_all")).alias("share"))
+
+
 def category_shares(
     df: DataFrame, levels: Levels, customer_col: str = "customer_id"
 ) -> DataFrame:
-    """Share of each level among the customer's lines, in columns ``{column}_share__{level}``.
+    """Share of each level among the customer's lines, in columns ``{column}_share__{level}``."""
+    return _wide_shares(level_counts(df, customer_col, list(levels)), levels, customer_col)
 
-    One aggregation with a counter per level; lines of a customer merge before they shuffle.
-    """
+
+def _wide_shares(counts: DataFrame, levels: Levels, customer_col: str) -> DataFrame:
+    """A counter per level over ``level_counts``."""
     counters, shares = [], []
     for c, (column, values) in enumerate(levels.items()):
-        counters.append(F.count(named(column)).alias(f"_all{c}"))
+        mine = F.col("column") == column
+        counters.append(F.sum(F.when(mine, F.col("lines"))).alias(f"_all{c}"))
         for v, value in enumerate(values):
-            hit = F.when(named(column) == value, 1)
-            counters.append(F.count(hit).alias(f"_n{c}_{v}"))
+            hit = mine & (F.col("level") == F.lit(value).cast("string"))
+            counters.append(F.sum(F.when(hit, F.col("lines"))).alias(f"_n{c}_{v}"))
             share = safe_divide(F.col(f"_n{c}_{v}"), F.col(f"_all{c}"))
             shares.append(share.alias(f"{column}_share__{value}"))
-    known = df.where(named(customer_col).isNotNull())
+    known = counts.where(named(customer_col).isNotNull())
+    if not counters:
+        return known.select(customer_col).distinct()
     return known.groupBy(customer_col).agg(*counters).select(customer_col, *shares)
 
 
@@ -293,19 +347,7 @@ def align_features(features: DataFrame, feature_columns: Sequence[str]) -> DataF
 
 def numeric_defaults(df: DataFrame) -> DataFrame:
     """The numeric columns as numbers, missing ones 0; a missing recency stays missing."""
-    filled = {
-        c: F.coalesce(number(df, c), F.lit(0))
-        for c in (
-            "visited",
-            "added_to_cart",
-            "purchased",
-            "price",
-            "quantity",
-            "discount",
-            "total_spend",
-        )
-        if c in df.columns
-    }
+    filled = {c: F.coalesce(number(df, c), F.lit(0)) for c in DEFAULTED_COLUMNS if c in df.columns}
     if "recency_days" in df.columns:
         filled["recency_days"] = number(df, "recency_days")
     return df.withColumns(filled)

@@ -24,6 +24,7 @@ def left_join_unique(
     rows_per_key: str | None = None,
     spread: int = SPREAD,
     hot_rows: int = HOT_ROWS,
+    slot_by: Sequence[str] = (),
 ) -> DataFrame:
     """``left`` with the columns of ``right``, which has at most one row per key.
 
@@ -32,6 +33,9 @@ def left_join_unique(
     keys, and rows without a key, are spread over ``spread`` partitions, and the matching
     row of ``right`` is repeated there. ``right`` is stored first, since its counts and
     its rows are both needed.
+
+    The slot of a row depends on its partition's number, its keys and the columns ``slot_by``:
+    few columns, so that the scan reads no more than what the result needs.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     right = materialize(right, "keyed")
@@ -45,7 +49,7 @@ def left_join_unique(
 
     # The partition number is part of the hash because all rows of a key may be copies.
     slot = F.pmod(
-        F.xxhash64(F.spark_partition_id(), *[named(c) for c in left.columns]),
+        F.xxhash64(F.spark_partition_id(), *[named(c) for c in [*keys, *slot_by]]),
         F.lit(spread),
     ).cast("int")
     apart = F.lit(False)

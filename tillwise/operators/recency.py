@@ -69,7 +69,11 @@ def ensure_recency(
         return df
     summary = customer_recency(df, customer_col, time_col, purchase_col)
     return left_join_unique(
-        df, summary.select(customer_col, *missing, "lines"), customer_col, rows_per_key="lines"
+        df,
+        summary.select(customer_col, *missing, "lines"),
+        customer_col,
+        rows_per_key="lines",
+        slot_by=[time_col],
     )
 
 

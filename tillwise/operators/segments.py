@@ -14,17 +14,19 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tillwise.functions.scalars import named
 from tillwise.operators.features import select_feature_columns
 from tillwise.operators.ranks import VALUES_PER_RANGE, exact_quantiles
 from tillwise.session import materialize
 
-# Fixed value: starts per K-means fit, the best of which is kept.
+# Starts per K-means fit, the best of which is kept, and its iteration limit.
 RESTARTS = 10
+MAX_ITERATIONS = 300
 PARALLEL_STARTS = 4
 ROWS_PER_TASK = 20_000
+MAX_SEGMENTS = 10_000
 # Weight of each rank in the segment score, and names by score quartile.
 RANK_WEIGHTS = {"revenue_total": 0.5, "orders": 0.3, "recency_days": 0.2}
 SEGMENT_NAMES = ("Champions", "Loyal", "Potential", "At-Risk")
@@ -74,7 +76,9 @@ def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
 
 def _best_kmeans(scaled: DataFrame, k: int, seed: int) -> KMeansModel:
     """The start with the least cost; starts are independent, so some run side by side."""
-    kmeans = KMeans(k=k, featuresCol="scaled", predictionCol="segment_id")
+    kmeans = KMeans(
+        k=k, featuresCol="scaled", predictionCol="segment_id", maxIter=MAX_ITERATIONS
+    )
     with ThreadPool(PARALLEL_STARTS) as pool:
         models = pool.map(
             inheritable_thread_target(scaled.sparkSession)(
@@ -85,19 +89,24 @@ def _best_kmeans(scaled: DataFrame, k: int, seed: int) -> KMeansModel:
     return min(models, key=lambda model: model.summary.trainingCost)
 
 
+def _numeric_features(features: DataFrame, customer_col: str) -> list[str]:
+    names = select_feature_columns(features, exclude=(customer_col,))
+    return [c for c in names if not isinstance(features.schema[c].dataType, T.BooleanType)]
+
+
 def segment_customers(
     features: DataFrame,
     customer_col: str = "customer_id",
     n_clusters: int = 4,
     random_state: int = 42,
 ) -> SegmentationResult:
-    """K-means over all numeric features; adds ``segment_id``.
+    """K-means over all numeric (not boolean) features; adds ``segment_id``.
 
     The features are stored first and the scaled vectors kept in memory for the passes.
     """
     if customer_col not in features.columns:
         raise ValueError(f"Missing column: {customer_col}")
-    columns = select_feature_columns(features, exclude=(customer_col,))
+    columns = _numeric_features(features, customer_col)
     features = materialize(features, "features")
     scaler = fit_scaler(features, columns)
     scaled = in_few_tasks(scale(scaler, features, columns).select("scaled"), features.count())
@@ -128,15 +137,21 @@ def segment_profiles(
 def segment_medians(
     customers: DataFrame, columns: Sequence[str], values_per_range: int = VALUES_PER_RANGE
 ) -> DataFrame:
-    """Exact median of each column per ``segment_id``; 0 where a segment has no value."""
-    customers = materialize(customers.select("segment_id", *columns), "medians")
-    ids = customers.where(F.col("segment_id").isNotNull()).select("segment_id").distinct()
-    for column in columns:
-        medians = exact_quantiles(
-            customers, column, {column: 0.5}, ["segment_id"], values_per_range
-        )
-        ids = ids.join(medians, "segment_id", "left")
-    return ids.fillna(0.0, subset=list(columns))
+    """Exact median of each column per ``segment_id``; 0 where a segment has no value.
+
+    The columns are melted into one table, so their values are counted and ranked together.
+    """
+    known = customers.where(F.col("segment_id").isNotNull())
+    value = lambda c: F.struct(F.lit(c).alias("column"), named(c).cast("double").alias("value"))
+    melted = known.select("segment_id", F.explode(F.array(*[value(c) for c in columns])).alias("_x"))
+    melted = materialize(melted.select("segment_id", "_x.column", "_x.value"), "melted")
+    medians = exact_quantiles(
+        melted, "value", {"median": 0.5}, ["segment_id", "column"], values_per_range
+    )
+    picked = [F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns]
+    ids = melted.select("segment_id").distinct()
+    found = medians.groupBy("segment_id").agg(*picked)
+    return ids.join(found, "segment_id", "left").fillna(0.0, subset=list(columns))
 
 
 def segment_ranks(medians: DataFrame) -> DataFrame:
@@ -185,8 +200,13 @@ def name_segments(customers: DataFrame, values_per_range: int = VALUES_PER_RANGE
     customers = materialize(customers, "to-name")
     medians = segment_medians(customers, columns, values_per_range)
     names = name_by_score(segment_ranks(medians)).select("segment_id", "segment_name")
+    # One row per segment. Read as values, so that the customers are never shuffled for them.
+    rows = names.limit(MAX_SEGMENTS + 1).collect()
+    if len(rows) > MAX_SEGMENTS:
+        raise ValueError(f"More than {MAX_SEGMENTS} segments.")
+    few = customers.sparkSession.createDataFrame(rows, names.schema)
     kept = [named(c) for c in customers.columns]
-    return customers.join(names, "segment_id", "left").select(*kept, "segment_name")
+    return customers.join(F.broadcast(few), "segment_id", "left").select(*kept, "segment_name")
 
 
 def silhouette_scores(
@@ -202,7 +222,7 @@ def silhouette_scores(
     the plain one needs every pair of them.
     """
     spark = features.sparkSession
-    columns = select_feature_columns(features, exclude=(customer_col,))
+    columns = _numeric_features(features, customer_col)
     features = materialize(features, "features")
     rows, scores = features.count(), []
     if columns and rows >= 3:

@@ -26,3 +26,12 @@ FLAG_COLUMNS = ("visited", "added_to_cart", "purchased", "churn")
 AMOUNT_COLUMNS = ("recency_days", "total_spend", "price", "quantity", "discount")
 FUNNEL_STAGES = ("visited", "added_to_cart", "purchased")
 CATEGORY_COLUMNS = ("channel", "device", "location", "payment_method", "category")
+DEFAULTED_COLUMNS = (
+    "visited",
+    "added_to_cart",
+    "purchased",
+    "price",
+    "quantity",
+    "discount",
+    "total_spend",
+)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,25 +27,45 @@ def build_session(app_name: str = "tillwise", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-_local_scratch: tempfile.TemporaryDirectory | None = None
+_runs: list[str] = []
 
 
-def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for an intermediate table.
+def _root(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, which executors share.
 
-    It lies below ``spark.checkpoint.dir``, which a cluster points at shared storage. Only
-    where that setting is absent and the session is local, as in tests, a local folder is
-    used; it goes when the process ends.
+    Only a session whose executor is its own driver may go without the setting; it gets a
+    folder of its own, which that session's one machine shares with itself.
     """
-    global _local_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-        if _local_scratch is None:
-            _local_scratch = tempfile.TemporaryDirectory(prefix="tillwise-")
-        root = _local_scratch.name
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = tempfile.mkdtemp(prefix="tillwise-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def shared_scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table, in the folder of the current run if there is one."""
+    folder = _runs[-1] if _runs else _root(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """A run whose intermediate tables lie in one folder, which goes when the run ends.
+
+    Write or collect the results inside the block: what is lazy reads those tables.
+    """
+    folder = f"{_root(spark)}/run-{uuid.uuid4().hex}"
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

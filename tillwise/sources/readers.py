@@ -14,37 +14,73 @@ from tillwise.operators.clean import (
 )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of ``path`` as stored: CSV (by its suffix) with every column as text, else Parquet.
+# What separates the fields of a text file, by its suffix.
+SEPARATORS = {".csv": ",", ".txt": ",", ".tsv": "\t"}
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
 
-    Leaving CSV columns as text saves the extra pass over the data that inferring types takes.
-    """
-    suffix = os.path.splitext(path.rstrip("/"))[1].lower()
+
+def _kind(path: str) -> tuple[str, str]:
+    """(csv or parquet, separator) by the suffix, that of a compressed file being the one before."""
+    stem, suffix = os.path.splitext(path.rstrip("/").lower())
+    if suffix in COMPRESSED:
+        suffix = os.path.splitext(stem)[1] or ".csv"
     if suffix in (".xlsx", ".xls"):
         raise ValueError("Spreadsheets are not read; save the sheet as CSV or Parquet.")
-    if suffix in (".csv", ".gz", ".txt"):
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-        return reader.option("multiLine", False).csv(path)
-    return spark.read.parquet(path)
+    return ("csv", SEPARATORS[suffix]) if suffix in SEPARATORS else ("parquet", ",")
+
+
+def read_table(
+    spark: SparkSession, path: str, kind: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """The rows of ``path`` as stored: CSV with every column as text, or Parquet.
+
+    ``kind`` is csv, tsv or parquet; without it the suffix decides (compressed files too), and
+    what has none is Parquet, so name the kind of a folder of CSV files. A quote inside a
+    quoted field is doubled. ``multi_line`` allows line breaks in quotes; Spark then reads each
+    file in one task, so it is the caller's choice. Without it such a record, like any other
+    that does not fit the header, is an error and never shifted or cut.
+
+    Leaving CSV columns as text saves the extra pass over the data that inferring types takes.
+    """
+    found, separator = _kind(path) if kind is None else (kind, ",")
+    if found == "tsv":
+        found, separator = "csv", "\t"
+    if found == "parquet":
+        return spark.read.parquet(path)
+    if found != "csv":
+        raise ValueError(f"Unknown kind of table: {found}")
+    # All columns are parsed even if few are used, else a bad record could go unseen.
+    reader = spark.read.options(
+        header=True, sep=separator, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST", columnPruning=False
+    )
+    return reader.csv(path)
 
 
 def load_transactions(
-    spark: SparkSession, path: str, date_format: str | None = None
+    spark: SparkSession, path: str, date_format: str | None = None, **reading
 ) -> DataFrame:
-    """Transactions in the standard layout, typed, with recency."""
-    return coerce_transactions(read_table(spark, path), date_format)
+    """Transactions in the standard layout, typed, with recency; ``reading``: see ``read_table``."""
+    return coerce_transactions(read_table(spark, path, **reading), date_format)
 
 
 def load_online_retail(
-    spark: SparkSession, path: str, date_format: str | None = None, **options
+    spark: SparkSession,
+    path: str,
+    date_format: str | None = None,
+    kind: str | None = None,
+    multi_line: bool = False,
+    **options,
 ) -> DataFrame:
     """Transactions from the online-retail layout."""
-    return normalize_online_retail(read_table(spark, path), date_format=date_format, **options)
+    raw = read_table(spark, path, kind, multi_line)
+    return normalize_online_retail(raw, date_format=date_format, **options)
 
 
-def load_dataset(spark: SparkSession, path: str, date_format: str | None = None) -> DataFrame:
+def load_dataset(
+    spark: SparkSession, path: str, date_format: str | None = None, **reading
+) -> DataFrame:
     """Transactions from either layout, told apart by the column names."""
-    raw = read_table(spark, path)
+    raw = read_table(spark, path, **reading)
     if is_online_retail(raw):
         return normalize_online_retail(raw, date_format=date_format)
     return coerce_transactions(raw, date_format)
@@ -55,6 +91,7 @@ def load_uploaded(
     path: str,
     date_format: str | None = None,
     rename_only: bool = False,
+    **reading,
 ) -> DataFrame:
     """Transactions from a user's file.
 
@@ -62,17 +99,21 @@ def load_uploaded(
     unit price stands as ``total_spend``.
     """
     if rename_only:
-        return coerce_transactions(rename_uploaded(read_table(spark, path)), date_format)
-    return load_dataset(spark, path, date_format)
+        return coerce_transactions(rename_uploaded(read_table(spark, path, **reading)), date_format)
+    return load_dataset(spark, path, date_format, **reading)
 
 
 def write_table(
     df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = ()
 ) -> str:
-    """Writes ``df`` as Parquet, or as CSV with a header, and returns the path."""
+    """Writes ``df`` as Parquet, or as CSV with a header, and returns the path.
+
+    CSV fields keep their blanks; quotes in them are doubled, as ``read_table`` expects.
+    """
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if kind == "csv":
-        writer.option("header", True).csv(path)
+        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(header=True, quote='"', escape='"', **blanks).csv(path)
     else:
         writer.parquet(path)
     return path

@@ -48,14 +48,15 @@ def transactions(
     wanted = set(columns)
     df = table(spark, folder, "lineitem")
     if wanted & _FROM_ORDERS:
+        # What belongs to an order is joined to orders first, so lines are shuffled once for it.
         orders = table(spark, folder, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+        if wanted & _FROM_CUSTOMER:
+            customer = table(spark, folder, "customer").withColumnRenamed("c_custkey", "o_custkey")
+            if wanted & _FROM_NATION:
+                nation = table(spark, folder, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+                customer = customer.join(nation, "c_nationkey", "left")
+            orders = orders.join(customer, "o_custkey", "left")
         df = df.join(orders, "l_orderkey", "left")
-    if wanted & _FROM_CUSTOMER:
-        customer = table(spark, folder, "customer").withColumnRenamed("c_custkey", "o_custkey")
-        df = df.join(customer, "o_custkey", "left")
-    if wanted & _FROM_NATION:
-        nation = table(spark, folder, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
-        df = df.join(nation, "c_nationkey", "left")
     if wanted & _FROM_PART:
         part = table(spark, folder, "part").withColumnRenamed("p_partkey", "l_partkey")
         df = df.join(part, "l_partkey", "left")
