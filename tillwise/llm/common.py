@@ -25,6 +25,16 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def small_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """``df`` whose rows are to go to Python; from now on in batches of ``rows`` at most.
+
+    A worker holds a batch and what it makes of it at once, so with whole texts the usual ten
+    thousand rows take more memory than the work does.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def running_totals(df: DataFrame, order: list[Column], name: str, **values: Column) -> DataFrame:
     """``df`` with, per value, the sum over all rows before it in ``order``.
 

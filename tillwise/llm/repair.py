@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from tillwise.llm.common import texts
+from tillwise.llm.common import small_batches, texts
 
 SHARD_IDS = 1 << 20
 SYMBOLS = 1 << 16
@@ -42,7 +42,7 @@ class Encoder:
     whole way through the tokenizer.
     """
 
-    KEEP = 800_000
+    KEEP = 400_000
     # Letters, then ASCII marks but no apostrophe, which the tokenizer may join to letters.
     LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -299,7 +299,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end_id: int
     ordered = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     # Rows of one id are put in order by their text, so that reruns agree.
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, "part int, number int, start long, n_ids long, data binary").write.parquet(folder)
+    small_batches(ordered).mapInArrow(encode, "part int, number int, start long, n_ids long, data binary").write.parquet(folder)
 
 
 def decode(

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.llm.common import texts
+from tillwise.llm.common import small_batches, texts
 
 SPAN = 13
 SEED = 5
@@ -269,4 +269,4 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     joined = rows.join(ranges, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "_ranges")
     kind = dict(rows.dtypes)["doc_id"]
-    return joined.mapInArrow(_cut, f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, kept string")
+    return small_batches(joined).mapInArrow(_cut, f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, kept string")

@@ -19,14 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.llm.common import held_out, texts
+from tillwise.llm.common import held_out, small_batches, texts
 
 DECAY = 0.8
 REACH = 5
 STARTS = 10
 PIECE = STARTS + REACH
 CODES = 64
-TRAIN_DOCUMENTS = 1_500
+TRAIN_DOCUMENTS = 1_000
 TRAIN_CHARS = 30_000
 LANDMARKS = 256
 OFFSETS = [(a, b) for b in range(2, REACH + 1) for a in range(1, b)]
@@ -137,7 +137,7 @@ def _kernel_machine(pieces: list[np.ndarray], y: np.ndarray, landmarks: list[np.
     used = np.unique(np.concatenate([i for i, _ in known]))
     if not len(used):  # no landmark has three letters
         return np.zeros(CODES**3), 0.0
-    base = np.zeros((len(used) + 1, len(landmarks)))
+    base = np.zeros((len(used) + 1, len(landmarks)), np.float32)
     for k, (ids, w) in enumerate(known):
         np.add.at(base[:, k], np.searchsorted(used, ids), w)
     inner = base.T @ base
@@ -236,7 +236,7 @@ def train_machine(samples: list[tuple[str, int]], rounds: int = 6, seed: int = 1
         loose = [q for p in positive for q in _looser(p, rng)]
         pieces = [*positive, *loose, *negative]
         y = np.array([1] * (len(positive) + len(loose)) + [-1] * len(negative))
-        table, _ = _kernel_machine(pieces, y, [*marks, *others, *hard[-2 * LANDMARKS :]])
+        table, _ = _kernel_machine(pieces, y, [*marks, *others, *hard[-LANDMARKS:]])
         machine = Machine(table, 1.0, 0.0)
         found = [machine.worst(t) for t in clean]
         negative += [p for _, p in found]
@@ -287,4 +287,4 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
             values = [score(t.decode("utf-8", "replace")) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*names, "_score"])
 
-    return documents.mapInArrow(apply, f"{fields}, `_score` double")
+    return small_batches(documents).mapInArrow(apply, f"{fields}, `_score` double")
