@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillwise.functions.scalars import elapsed_days, log1p_or_zero, safe_divide, shift_days
 from tillwise.operators import (
@@ -26,7 +26,7 @@ from tillwise.operators import (
     windows,
 )
 from tillwise.plans import dashboard
-from tillwise.session import shared_scratch
+from tillwise.session import materialize, shared_scratch
 from tillwise.sources import readers, star_schema as star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1187,6 +1187,43 @@ def _(spark, folder):
     return named.select("customer_id", "segment_id", "segment_name")
 
 
+def squared_distance(x, centre) -> Column:
+    parts = F.zip_with(x, centre, lambda a, b: (a - b) * (a - b))
+    return F.aggregate(parts, F.lit(0.0), lambda total, d: total + d)
+
+
+@query(
+    "segment_customers_facts",
+    with_tx("SELECT customer_id, true AS nearest, true AS centre_is_mean FROM feat", FEAT),
+)
+def _(spark, folder):
+    """A fit that has come to its end: customers lie nearest to their own centre, which is their mean."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = features.customer_features(star.transactions(spark, folder))
+    result = segments.segment_customers(df)
+    columns = features.select_feature_columns(df)
+    scaled = segments.scale(result.scaler, result.customers, columns)
+    scaled = materialize(scaled.select("customer_id", "segment_id", vector_to_array("scaled").alias("x")), "scaled")
+    centres = [[float(v) for v in c] for c in result.model.clusterCenters()]
+    away = F.array(*[squared_distance("x", F.lit(c)) for c in centres])
+    nearest = F.get(away, "segment_id") <= F.array_min(away) + 1e-9
+    means = scaled.select("segment_id", F.posexplode("x").alias("i", "v")).groupBy("segment_id", "i").agg(F.avg("v").alias("m"))
+    gap = F.abs(F.col("m") - F.get(F.get(F.lit(centres), F.col("segment_id")), F.col("i")))
+    means = means.groupBy("segment_id").agg((F.max(gap) < 0.02).alias("centre_is_mean"))
+    joined = scaled.withColumn("nearest", nearest).join(F.broadcast(means), "segment_id")
+    return joined.select("customer_id", "nearest", "centre_is_mean")
+
+
+@query(
+    "segment_silhouettes_facts",
+    "SELECT CAST(k AS DOUBLE) AS k, true AS in_range FROM range(2, 9) AS r(k)",
+)
+def _(spark, folder):
+    scores = segments.silhouette_scores(base_features(spark, folder))
+    return scores.select("k", F.col("silhouette").between(-1, 1).alias("in_range"))
+
+
 @query("segment_silhouettes")
 def _(spark, folder):
     return segments.silhouette_scores(features.customer_features(star.transactions(spark, folder)))
@@ -1339,6 +1376,105 @@ def _(spark, folder):
     return spark.createDataFrame(rows, "metric string, value double")
 
 
+ASOF_FEATURES = (
+    "orders", "visits", "added_to_cart", "purchases", "revenue_total", "avg_discount",
+    "avg_order_value", "recency_days", "cart_rate", "purchase_rate", "cart_to_purchase_rate",
+    *[f"{c}_share__{v}" for c, values in LEVELS.items() for v in values],
+    "revenue_total_log1p", "avg_order_value_log1p",
+)
+
+
+def truths(column: str, names, also: str) -> str:
+    rows = ", ".join(f"('{n}', true)" for n in names)
+    return f"SELECT * FROM (VALUES {rows}) AS t({column}, {also})"
+
+
+def churn_fit(spark: SparkSession, folder: str):
+    """The model of the run, and its customers with label, side of the split and scaled values."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = star.transactions(spark, folder)
+    as_of = windows.choose_as_of(df)
+    past = materialize(features.customer_features_asof(df, as_of), "past")
+    labels = materialize(churn.forward_churn_labels(df, as_of, past), "labels")
+    columns = features.select_feature_columns(past)
+    result = churn.train_churn_model(past, labels, columns)
+    split = churn.stratified_split(churn.with_labels(past, labels, 0))
+    scaled = segments.scale(result.scaler, split, columns)
+    risks = churn.predict_churn_risk(result, past)
+    rows = scaled.join(risks, "customer_id").select(
+        "customer_id", "label", "is_test", "churn_risk", vector_to_array("scaled").alias("x")
+    )
+    return result, materialize(rows, "fit")
+
+
+@query("churn_gradient_facts", truths("feature", ASOF_FEATURES, "at_optimum"))
+def _(spark, folder):
+    """At the optimum the penalised loss has no slope along any feature."""
+    result, rows = churn_fit(spark, folder)
+    train = rows.where(~F.col("is_test"))
+    counts = churn.class_counts(train)
+    n = sum(counts.values())
+    weight = F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
+    pull = weight * (F.col("churn_risk") - F.col("label"))
+    slopes = train.select(pull.alias("pull"), F.posexplode("x").alias("i", "v")).groupBy("i")
+    slopes = slopes.agg((F.sum(F.col("pull") * F.col("v")) / n).alias("slope"))
+    betas = [float(b) for b in result.model.coefficients]
+    penalty = F.get(F.lit(betas), F.col("i")) / n
+    name = F.get(F.lit(result.feature_columns), F.col("i"))
+    return slopes.select(name.alias("feature"), (F.abs(F.col("slope") + penalty) < 1e-3).alias("at_optimum"))
+
+
+@query(
+    "churn_risks_facts",
+    with_tx(
+        """SELECT DISTINCT customer_id, true AS is_logistic FROM tx, moment
+WHERE customer_id IS NOT NULL AND order_date <= as_of AND order_date >= as_of - INTERVAL 180 DAY""",
+        AS_OF,
+    ),
+)
+def _(spark, folder):
+    """A risk is the logistic curve at the weighted sum of the scaled features."""
+    result, rows = churn_fit(spark, folder)
+    betas = [float(b) for b in result.model.coefficients]
+    terms = F.zip_with("x", F.lit(betas), lambda a, b: a * b)
+    z = F.aggregate(terms, F.lit(float(result.model.intercept)), lambda total, t: total + t)
+    gap = F.abs(F.col("churn_risk") - 1 / (1 + F.exp(-z)))
+    return rows.select("customer_id", (gap < 1e-9).alias("is_logistic"))
+
+
+@query("churn_model_metrics_facts", truths("metric", ("accuracy", "precision", "recall", "f1", "roc_auc"), "recomputed"))
+def _(spark, folder):
+    """The metrics of the fit, counted again from the scored rows it did not learn from."""
+    result, rows = churn_fit(spark, folder)
+    test = rows.where("is_test").selectExpr("label = 1 AS y", "churn_risk >= 0.5 AS p", "churn_risk")
+    counted = test.selectExpr(
+        "avg(if(y = p, 1, 0)) AS accuracy",
+        "coalesce(try_divide(count_if(y AND p), count_if(p)), 0) AS precision",
+        "coalesce(try_divide(count_if(y AND p), count_if(y)), 0) AS recall",
+        "coalesce(try_divide(2 * count_if(y AND p), count_if(y) + count_if(p)), 0) AS f1",
+    ).first().asDict()
+    # The area is the share of (churned, loyal) pairs in the right order, by histogram of scores.
+    scores = test.groupBy("churn_risk").agg(F.count_if("y").alias("hits"), F.count_if(~F.col("y")).alias("misses")).toPandas()
+    scores = scores.sort_values("churn_risk")
+    below = scores.misses.cumsum() - scores.misses / 2
+    counted["roc_auc"] = float((scores.hits * below).sum() / (scores.hits.sum() * scores.misses.sum()))
+    same = [(name, abs(counted[name] - value) < 1e-9) for name, value in sorted(result.metrics.items())]
+    return spark.createDataFrame(same, "metric string, recomputed boolean")
+
+
+@query(
+    "churn_time_split_facts",
+    with_tx(
+        "SELECT count(*) AS test_size, true AS in_range FROM known", AS_OF, FORWARD,
+    ),
+)
+def _(spark, folder):
+    metrics = {r["metric"]: r["value"] for r in QUERIES["churn_time_split_metrics"](spark, folder).collect()}
+    size = int(metrics.pop("test_size"))
+    return spark.createDataFrame([(size, all(0 <= v <= 1 for v in metrics.values()))], "test_size bigint, in_range boolean")
+
+
 @query(
     "top_churn_risks",
     with_tx(
@@ -1430,10 +1566,32 @@ FROM feat LEFT JOIN (SELECT customer_id, churn_risk FROM scored WHERE churn_risk
 def _(spark, folder):
     risks = scored_features(spark, folder).select("customer_id", "churn_risk").dropna()
     base = base_features(spark, folder).select("customer_id", "orders")
-    return base.join(risks, "customer_id", "left")
+    return decide.with_risks(base, risks)
 
 
 @query("dashboard_decisions")
 def _(spark, folder):
     cleaned = clean.coerce_transactions(star.transactions(spark, folder))
     return dashboard.run_dashboard(cleaned)["decisions"]
+
+
+@query(
+    "dashboard_decisions_facts",
+    with_tx("SELECT customer_id, true AS follows_the_rules FROM feat", FEAT),
+)
+def _(spark, folder):
+    """Each decision of the whole run, decided again from its own columns."""
+    cleaned = clean.coerce_transactions(star.transactions(spark, folder))
+    tables = dashboard.run_dashboard(cleaned)
+    known = tables["segments"].select("customer_id", "revenue_total", "recency_days")
+    high = known.agg(F.percentile("revenue_total", 0.75)).first()[0]
+    risk, recency, rich = F.col("churn_risk"), F.col("recency_days"), F.col("revenue_total") >= high
+    expected = (
+        F.when((risk >= 0.7) | (recency >= 90), decide.RETENTION)
+        .when(rich & (risk >= 0.4), decide.PROTECT)
+        .when(rich, decide.UPSELL)
+        .when((risk <= 0.2) & (recency <= 30), decide.ENGAGE)
+        .otherwise(decide.NURTURE)
+    )
+    joined = tables["decisions"].join(known, "customer_id")
+    return joined.select("customer_id", (F.col("recommended_action") == expected).alias("follows_the_rules"))

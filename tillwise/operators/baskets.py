@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillwise.functions.scalars import named
 from tillwise.operators.joins import left_join_unique
-from tillwise.operators.windows import BROADCAST_IDS, keep_ids
+from tillwise.operators.windows import keep_ids
 from tillwise.session import materialize
 
 # An order of up to this many lines is paired inside one array.
@@ -33,34 +33,29 @@ def basket_pairs(
     lines = df.select(
         named(order_col).alias("order"), named(item_col).cast("string").alias("item")
     ).dropna()
+    # Each item of an order once, stored: everything below reads this small table.
+    lines = materialize(lines.distinct(), "basket-items")
     if max_orders is not None:
         first = lines.select("order").distinct().orderBy("order").limit(int(max_orders))
         lines = keep_ids(lines, first, "order", int(max_orders))
     if max_items_per_order is not None:
-        place = F.row_number().over(Window.partitionBy("order").orderBy("item"))
-        lines = (
-            lines.distinct()
-            .withColumn("place", place)
-            .where(F.col("place") <= int(max_items_per_order))
-            .drop("place")
-        )
+        lines = _first_items(lines, int(max_items_per_order))
+    lines = materialize(_frequent(lines, int(min_pair_count)), "frequent-items")
 
-    counts = None
-    if max_items_per_order is None or max_items_per_order > large_order:
-        big = (
-            lines.groupBy("order")
-            .agg(F.count(F.lit(1)).alias("lines"))
-            .where(F.col("lines") > large_order)
-        )
-        big = materialize(big, "large-order-ids")
-        found = big.count()
-        if found:
-            small, large = _split(lines, big, found)
-            small_pairs = materialize(_pairs_in_small_orders(small), "pairs")
-            large = materialize(large, "large-orders")
-            counts = _add_large_orders(small_pairs, large, int(min_pair_count), large_order)
-    if counts is None:
+    big = (
+        lines.groupBy("order")
+        .agg(F.count(F.lit(1)).alias("items"))
+        .where(F.col("items") > large_order)
+    )
+    big = materialize(big.withColumn("is_large", F.lit(True)), "large-order-ids")
+    if big.isEmpty():
         counts = _pairs_in_small_orders(lines)
+    else:
+        marked = materialize(left_join_unique(lines, big, "order", rows_per_key="items"), "marked")
+        small = marked.where(F.col("is_large").isNull()).drop("is_large")
+        large = marked.where(F.col("is_large")).drop("is_large")
+        small_pairs = materialize(_pairs_in_small_orders(small), "pairs")
+        counts = _add_large_orders(small_pairs, large, int(min_pair_count), large_order)
     return (
         counts.where(F.col("pair_count") >= int(min_pair_count))
         .select("item_a", "item_b", "pair_count")
@@ -68,19 +63,25 @@ def basket_pairs(
     )
 
 
-def _split(lines: DataFrame, big: DataFrame, found: int) -> tuple[DataFrame, DataFrame]:
-    """Lines of ordinary orders, and distinct items of the large ones."""
-    if found <= BROADCAST_IDS:
-        ids = F.broadcast(big.select("order"))
-        small = lines.join(ids, "order", "left_anti")
-        large = lines.join(ids, "order", "left_semi")
-    else:
-        marked = left_join_unique(
-            lines, big.select("order", F.lit(True).alias("is_large")), "order"
-        )
-        small = marked.where(F.col("is_large").isNull()).drop("is_large")
-        large = marked.where(F.col("is_large")).drop("is_large")
-    return small, large.distinct()
+def _first_items(lines: DataFrame, limit: int, slots: int = 64) -> DataFrame:
+    """The first ``limit`` items of each order by name.
+
+    First within slots of an order, then of what is left, so that no task orders more than a
+    slot of a very large order, or ``slots * limit`` items.
+    """
+    slot = F.pmod(F.xxhash64("item"), F.lit(slots))
+    for keys in (["order", slot], ["order"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("item"))
+        lines = lines.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+    return lines
+
+
+def _frequent(lines: DataFrame, min_pair_count: int) -> DataFrame:
+    """Without the items of too few orders: a pair is no more frequent than its rarer item."""
+    support = lines.groupBy("item").agg(F.count(F.lit(1)).alias("orders"))
+    often = support.where(F.col("orders") >= min_pair_count).withColumn("often", F.lit(True))
+    marked = left_join_unique(lines, often, "item", rows_per_key="orders", slot_by=["order"])
+    return marked.where("often").drop("often")
 
 
 def _pairs_in_small_orders(lines: DataFrame) -> DataFrame:
@@ -100,50 +101,41 @@ def _add_large_orders(
 
     An item is *common* if enough large orders hold it to lift a pair over the threshold
     by themselves. Two common items are paired directly. Any other pair stays below the
-    threshold within the large orders, so it matters only if an ordinary order has it too:
-    such pairs are looked up in the few large orders of their rarer item.
+    threshold within the large orders, so it matters only if an ordinary order has it too,
+    and only if its count there plus the large orders of its rarer item could reach the
+    threshold. Such pairs are looked up: the orders of the rarer item are joined, and then
+    the other item in these orders. No list of orders is gathered, whatever the threshold.
     """
-    item_orders = large.groupBy("item").agg(F.count(F.lit(1)).alias("orders"))
+    item_orders = materialize(large.groupBy("item").agg(F.count(F.lit(1)).alias("orders")), "item-orders")
     common = item_orders.where(F.col("orders") >= min_pair_count)
     marked = left_join_unique(
-        large, common.withColumn("common", F.lit(True)), "item", rows_per_key="orders"
+        large, common.withColumn("common", F.lit(True)), "item", rows_per_key="orders", slot_by=["order"]
     )
-    marked = materialize(marked, "marked-items")
     direct = _pairs_by_block(marked.where("common").select("order", "item"), block)
 
-    # Orders of a rare item: fewer than min_pair_count, so the list is short.
-    rare = (
-        marked.where(F.col("common").isNull())
-        .groupBy("item")
-        .agg(F.collect_list("order").alias("in_orders"))
-    )
-    candidates = small_pairs.select("item_a", "item_b")
-    for side in ("item_a", "item_b"):
-        lists = rare.select(
-            F.col("item").alias(side), F.col("in_orders").alias(f"orders_of_{side}")
-        )
-        candidates = materialize(left_join_unique(candidates, lists, side), "candidates")
-    a, b = F.col("orders_of_item_a"), F.col("orders_of_item_b")
-    both_rare = candidates.where(a.isNotNull() & b.isNotNull()).select(
-        "item_a", "item_b", F.size(F.array_intersect(a, b)).cast("bigint").alias("pair_count")
-    )
-    lookups = candidates.where(a.isNotNull() != b.isNotNull()).select(
+    candidates = small_pairs
+    for side in ("a", "b"):
+        weights = item_orders.select(F.col("item").alias(f"item_{side}"), F.col("orders").alias(f"large_{side}"))
+        candidates = materialize(left_join_unique(candidates, weights, f"item_{side}"), "candidates")
+    a, b = F.col("large_a"), F.col("large_b")
+    rarer = F.least(a, b)
+    open_ = candidates.where(
+        (rarer < min_pair_count) & (F.col("pair_count") + rarer >= min_pair_count)
+    ).select(
         "item_a",
         "item_b",
-        F.when(a.isNotNull(), F.col("item_b")).otherwise(F.col("item_a")).alias("item"),
-        F.explode(F.coalesce(a, b)).alias("order"),
+        F.when(a <= b, F.col("item_a")).otherwise(F.col("item_b")).alias("item"),
+        F.when(a <= b, F.col("item_b")).otherwise(F.col("item_a")).alias("other"),
     )
-    lookups = materialize(lookups, "lookups")
-    one_rare = (
-        left_join_unique(lookups, large.withColumn("hit", F.lit(1)), ["order", "item"])
-        .where(F.col("hit").isNotNull())
+    in_orders = materialize(open_.join(large, "item").select("item_a", "item_b", "order", F.col("other").alias("item")), "lookups")
+    looked_up = (
+        in_orders.join(large, ["order", "item"], "left_semi")
         .groupBy("item_a", "item_b")
         .agg(F.count(F.lit(1)).alias("pair_count"))
     )
     return (
         small_pairs.unionByName(direct)
-        .unionByName(both_rare)
-        .unionByName(one_rare)
+        .unionByName(looked_up)
         .groupBy("item_a", "item_b")
         .agg(F.sum("pair_count").alias("pair_count"))
     )

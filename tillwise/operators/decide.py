@@ -62,6 +62,11 @@ def recommend_actions(
     ).drop("_rank")
 
 
+def with_risks(customers: DataFrame, risks: DataFrame, customer_col: str = "customer_id") -> DataFrame:
+    """``customers`` with ``churn_risk``; missing for a customer that has none."""
+    return customers.join(risks.select(customer_col, "churn_risk"), customer_col, "left")
+
+
 def decision_table(decisions: DataFrame, customer_col: str = "customer_id") -> DataFrame:
     """The decisions, the riskiest customers first and those without a risk last."""
     return decisions.select(

@@ -16,7 +16,7 @@ from tillwise.operators.churn import (
     top_risks,
     train_churn_model,
 )
-from tillwise.operators.decide import decision_table, recommend_actions
+from tillwise.operators.decide import decision_table, recommend_actions, with_risks
 from tillwise.operators.features import (
     customer_features,
     customer_features_asof,
@@ -67,6 +67,7 @@ def run_dashboard(
     n_clusters: int = 4,
     horizon_days: int = 90,
     max_customers: int | None = None,
+    max_category_levels: int | None = None,
 ) -> dict[str, DataFrame]:
     """Named result tables of cleaned transactions.
 
@@ -81,7 +82,9 @@ def run_dashboard(
     out |= market_research_summary(df)
     out["funnel"] = compute_funnel(df, unit_col="order_id")
 
-    segments = segment_customers(customer_features(df), n_clusters=n_clusters)
+    segments = segment_customers(
+        customer_features(df, max_category_levels=max_category_levels), n_clusters=n_clusters
+    )
     named = name_segments(segments.customers)
     out["segments"] = named
     out["segment_profiles"] = segments.segment_profiles
@@ -90,7 +93,7 @@ def run_dashboard(
         churn = run_churn(df, horizon_days)
         if churn.risks is not None:
             risks = materialize(churn.risks, "risks")
-            decisions = recommend_actions(named.join(risks, "customer_id", "left"))
+            decisions = recommend_actions(with_risks(named, risks))
             out["risk_histogram"] = risk_histogram(risks)
             out["top_risks"] = top_risks(risks)
             out["decisions"] = decision_table(decisions)
