@@ -25,7 +25,7 @@ from tillwise.llm.common import small_batches, texts
 SPAN = 13
 SEED = 5
 #: Bytes of a window's hash that are compared, besides the eight of its anchor.
-MARK = 6
+MARK = 5
 FLUSH_BYTES = 8_000_000
 HELD_ROWS = 100_000
 
