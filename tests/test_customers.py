@@ -195,6 +195,27 @@ def test_segments_find_separate_clouds(spark):
         segments.segment_customers(df.drop("customer_id"))
 
 
+def test_kmeans_ends_by_tolerance_and_takes_numbers_only(spark):
+    from tillwise.sources import star_schema as star
+
+    df = features.customer_features(star.transactions(spark, "/root/testdata/sf0.001"))
+    df = df.withColumn("is_even", F.col("orders") % 2 == 0)
+    result = segments.segment_customers(df)
+    assert result.model.getMaxIter() == 300 and result.model.summary.numIter < 300
+    columns = [c for c in df.columns if c not in ("customer_id", "is_even")]
+    assert len(result.model.clusterCenters()[0]) == len(columns)
+
+
+def test_names_do_not_shuffle_customers(spark):
+    df = clouds(spark).withColumn("segment_id", F.col("orders").cast("int") % 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = segments.name_segments(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_level_names_may_hold_any_character(spark):
     levels = ["a.b", "c d", "e`f", "g,h"]
     df = spark.range(200).select(

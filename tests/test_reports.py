@@ -83,6 +83,24 @@ def test_basket_pairs_with_large_orders(frame, least):
     assert sorted(rows(baskets.basket_pairs(df, min_pair_count=least))) == expected
 
 
+@pytest.mark.parametrize("least", [150, 260, 400])
+def test_basket_pairs_of_high_support_in_large_orders(spark, least):
+    """Thresholds in the hundreds, most of the support in orders above the limit."""
+    draw = Random(7)
+    items = [f"item{i:02d}" for i in range(24)]
+    lines = [(f"big{o}", i) for o in range(400) for i in draw.sample(items, 8 + o % 14)]
+    lines += [(f"o{o}", i) for o in range(300) for i in draw.sample(items[:6], 3)]
+    df = spark.createDataFrame(lines, "order_id string, product string")
+    got = baskets.basket_pairs(df, min_pair_count=least, large_order=7)
+    assert sorted(rows(got)) == brute_force_pairs(lines, least)
+
+
+def test_first_items_of_a_large_order(spark):
+    df = spark.range(20_000).select(F.lit("o").alias("order"), F.format_string("i%05d", F.col("id")).alias("item"))
+    got = [r["item"] for r in baskets._first_items(df, 5).orderBy("item").collect()]
+    assert got == [f"i{k:05d}" for k in range(5)]
+
+
 def test_basket_limits_on_request(frame):
     lines = [("o1", "a"), ("o1", "b"), ("o1", "c"), ("o2", "a"), ("o2", "b"), ("o3", "a"), ("o3", "b")]
     df = frame("order_id string, product string", *lines)
