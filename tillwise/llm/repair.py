@@ -25,7 +25,7 @@ from tillwise.llm.common import small_batches, texts
 
 SHARD_IDS = 1 << 20
 SYMBOLS = 1 << 16
-ROUNDS = 4
+ROUNDS = 3
 MAGIC = b"TWRP1\0\0\0"
 END_ID = 1
 
