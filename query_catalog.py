@@ -652,7 +652,7 @@ PERIOD_SQL = {
 }
 
 
-def period_sql(freq: str, where: str = "true") -> str:
+def period_sql(freq: str, where: str = "true", day: str = "CAST(order_date AS DATE)") -> str:
     label, step = PERIOD_SQL[freq]
     by_month = freq.endswith("E")
     start = "date_trunc('month', min(p))" if by_month else "CAST(min(p) AS TIMESTAMP)"
@@ -664,7 +664,7 @@ FROM (SELECT unnest(generate_series({start}, CAST(max(p) AS TIMESTAMP), INTERVAL
 LEFT JOIN sums ON p = {mark}""",
         f"""sums AS (
   SELECT {label} AS p, sum(total_spend) AS revenue
-  FROM (SELECT CAST(order_date AS DATE) AS d, total_spend FROM tx
+  FROM (SELECT {day} AS d, total_spend FROM tx
         WHERE order_date IS NOT NULL AND {where}) GROUP BY 1)""",
     )
 
@@ -677,11 +677,42 @@ for _freq, _name in (("ME", "month"), ("D", "day"), ("W", "week"), ("QE", "quart
         return market.revenue_over_time(df, freq=freq)
 
 
-@query("revenue_over_time_with_empty_days", period_sql("D", "location = 'NATION_3' AND device = 'F'"))
+# Lines of three days in a row are put on the first of them, so that days without lines exist.
+@query("revenue_over_time_with_empty_days", period_sql("D", "true", "CAST(order_date AS DATE) - CAST(epoch(order_date) // 86400 % 3 AS INTEGER)"))
 def _(spark, folder):
-    df = star.transactions(spark, folder, ("order_date", "total_spend", "location", "device"))
-    rare = df.where((F.col("location") == "NATION_3") & (F.col("device") == "F"))
-    return market.revenue_over_time(rare, freq="D")
+    df = star.transactions(spark, folder, ("order_date", "total_spend"))
+    day = F.col("order_date").cast("date")
+    first = F.date_sub(day, (F.unix_date(day) % 3).cast("int")).cast("timestamp_ntz")
+    return market.revenue_over_time(df.withColumn("order_date", first), freq="D")
+
+
+@query(
+    "revenue_over_time_business_day",
+    with_tx(
+        """SELECT CAST(g AS DATE) AS order_date, CAST(coalesce(revenue, 0) AS DOUBLE) AS revenue
+FROM (SELECT unnest(generate_series(CAST(min(p) AS TIMESTAMP), CAST(max(p) AS TIMESTAMP), INTERVAL 1 DAY)) AS g FROM sums)
+LEFT JOIN sums ON p = CAST(g AS DATE) WHERE isodow(g) < 6""",
+        """sums AS (SELECT d - CAST(greatest(isodow(d) - 5, 0) AS INTEGER) AS p, sum(total_spend) AS revenue
+  FROM (SELECT CAST(order_date AS DATE) AS d, total_spend FROM tx WHERE order_date IS NOT NULL) GROUP BY 1)""",
+    ),
+)
+def _(spark, folder):
+    return market.revenue_over_time(star.transactions(spark, folder, ("order_date", "total_spend")), freq="B")
+
+
+# Events have a time of day: their value per six hours.
+@query(
+    "event_value_over_six_hours",
+    """WITH sums AS (SELECT time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP), CAST('2000-01-01' AS TIMESTAMP)) AS p,
+         sum(CAST(value AS DECIMAL(18,2))) AS revenue FROM events WHERE ts IS NOT NULL GROUP BY 1)
+SELECT g AS order_date, CAST(coalesce(revenue, 0) AS DOUBLE) AS revenue
+FROM (SELECT unnest(generate_series(min(p), max(p), INTERVAL 6 HOUR)) AS g FROM sums) LEFT JOIN sums ON p = g""",
+)
+def _(spark, folder):
+    df = star.events(spark, folder).select(
+        F.col("ts").cast("timestamp_ntz").alias("order_date"), F.col("value").cast("decimal(18,2)").alias("total_spend")
+    )
+    return market.revenue_over_time(df, freq="6h")
 
 
 def top_sql(key: str, limit: int, value: str = "total_spend") -> str:

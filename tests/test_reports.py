@@ -56,8 +56,34 @@ def test_periods_without_sales_show_zero(frame):
     assert market.revenue_over_time(df, freq="D").count() == 62
     assert market.revenue_over_time(df.limit(0)).count() == 0
     assert market.revenue_over_time(df.drop("total_spend")).columns == ["order_date", "revenue"]
-    with pytest.raises(ValueError):
-        market.revenue_over_time(df, freq="fortnight")
+    for bad in ("fortnight", "0h", "h2"):
+        with pytest.raises(ValueError):
+            market.revenue_over_time(df, freq=bad)
+
+
+def test_business_days_and_fixed_lengths(frame):
+    df = frame(
+        "order_date timestamp_ntz, total_spend double",
+        (at("2024-03-01T09:10"), 1.0),  # a Friday
+        (at("2024-03-02T23:59:59"), 2.0),
+        (at("2024-03-03"), 4.0),
+        (at("2024-03-05T01:00"), 8.0),
+    )
+    assert rows(market.revenue_over_time(df, freq="B")) == [
+        (date(2024, 3, 1), 7.0),
+        (date(2024, 3, 4), 0.0),
+        (date(2024, 3, 5), 8.0),
+    ]
+    hours = rows(market.revenue_over_time(df, freq="h"))
+    assert hours[0] == (at("2024-03-01T09:00"), 1.0) and hours[-1] == (at("2024-03-05T01:00"), 8.0)
+    assert len(hours) == 89 and sum(v for _, v in hours) == 15.0
+    assert rows(market.revenue_over_time(df, freq="2D")) == [
+        (at("2024-03-01"), 3.0),
+        (at("2024-03-03"), 4.0),
+        (at("2024-03-05"), 8.0),
+    ]
+    assert rows(market.revenue_over_time(df, freq="45min"))[0] == (at("2024-03-01T09:00"), 1.0)
+    assert market.revenue_over_time(df.limit(0), freq="h").count() == 0
 
 
 def brute_force_pairs(lines, least):

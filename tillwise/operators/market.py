@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tillwise.functions.scalars import moment, named, number, total
+from tillwise.functions.scalars import moment, named, number, time_literal, total
 
 
 def sum_by(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -51,9 +53,15 @@ def _week_end(day: Column) -> Column:
     return F.next_day(F.date_sub(day, 1), "Sunday")
 
 
+def _business_day(day: Column) -> Column:
+    """Saturday and Sunday belong to the Friday before."""
+    return F.date_sub(day, F.greatest(F.weekday(day) - 4, F.lit(0)))
+
+
 # How a day is labelled, and the first label is stepped, for each period name.
 _PERIODS = {
     "D": (lambda day: day, "interval 1 day"),
+    "B": (_business_day, "interval 1 day"),
     "W": (_week_end, "interval 7 days"),
     "ME": (F.last_day, "interval 1 month"),
     "QE": (lambda day: _month_end(day, "quarter", 2), "interval 3 months"),
@@ -64,6 +72,8 @@ _PERIODS = {
 }
 # Older names of the same periods.
 _PERIOD_ALIASES = {"M": "ME", "Q": "QE", "Y": "YE", "A": "YE", "W-SUN": "W"}
+# Periods of a fixed length, in seconds; a number may stand before them.
+_FIXED = {"D": 86_400, "h": 3_600, "H": 3_600, "min": 60, "T": 60, "s": 1, "S": 1}
 
 
 def revenue_over_time(
@@ -75,6 +85,10 @@ def revenue_over_time(
     """Sum per period; periods without rows show 0. The label is a date, by default the
     period's last day.
 
+    ``freq`` is a calendar period (D, B for business days, W, ME, QE, YE, MS, QS, YS) or a
+    fixed length such as h, 15min or 2D. Fixed lengths count from the start of the first
+    day, and their label is the moment they begin.
+
     Only one row per period leaves the aggregation, so the calendar is built from its
     result and joined back.
     """
@@ -82,7 +96,10 @@ def revenue_over_time(
         return df.sparkSession.createDataFrame([], f"`{time_col}` date, revenue double")
     freq = _PERIOD_ALIASES.get(freq, freq)
     if freq not in _PERIODS:
-        raise ValueError(f"Unknown period: {freq}; one of {', '.join(_PERIODS)}")
+        length = re.fullmatch(r"(\d*)(D|h|H|min|T|s|S)", freq)
+        if not length or length[1] and not int(length[1]):
+            raise ValueError(f"Unknown period: {freq}; one of {', '.join(_PERIODS)}, or such as 2D, h, 15min")
+        return _over_fixed(df, time_col, value_col, int(length[1] or 1) * _FIXED[length[2]])
     label, step = _PERIODS[freq]
     sums = (
         df.select(
@@ -101,6 +118,8 @@ def revenue_over_time(
     calendar = sums.agg(first.alias("first"), last.alias("last")).select(
         F.explode(F.sequence("first", "last", F.expr(step))).alias(time_col)
     )
+    if freq == "B":
+        calendar = calendar.where(F.weekday(time_col) < 5)
     if freq.endswith("E"):
         calendar = calendar.select(F.last_day(time_col).alias(time_col))
     return (
@@ -110,17 +129,42 @@ def revenue_over_time(
     )
 
 
+def _over_fixed(df: DataFrame, time_col: str, value_col: str, seconds: int) -> DataFrame:
+    """Sums per stretch of so many seconds, from the start of the first day on."""
+    rows = df.select(moment(df, time_col).alias(time_col), number(df, value_col).alias("_value"))
+    rows = rows.where(F.col(time_col).isNotNull())
+    first = rows.agg(F.min(time_col)).first()[0]
+    if first is None:
+        return df.sparkSession.createDataFrame([], f"`{time_col}` timestamp_ntz, revenue double")
+    origin = time_literal(first.replace(hour=0, minute=0, second=0, microsecond=0))
+    place = F.floor(F.timestamp_diff("SECOND", origin, F.col(time_col)) / seconds)
+    sums = rows.groupBy(place.alias("_place")).agg(total(F.col("_value")).alias("revenue"))
+    calendar = sums.agg(F.min("_place").alias("first"), F.max("_place").alias("last"))
+    calendar = calendar.select(F.explode(F.sequence("first", "last")).alias("_place"))
+    begin = F.timestamp_add("SECOND", F.col("_place") * seconds, origin)
+    return (
+        calendar.join(sums, "_place", "left")
+        .select(begin.alias(time_col), F.coalesce("revenue", F.lit(0.0)).alias("revenue"))
+        .orderBy(time_col)
+    )
+
+
+# The keys that the summaries are taken by.
+REVENUE_KEYS = ("category", "product", "stock_code", "location")
+LINE_KEYS = ("channel", "device", "location", "payment_method")
+
+
 def market_research_summary(df: DataFrame) -> dict[str, DataFrame]:
     """Named summaries, each present when its columns are; nothing runs until one is used."""
     have = set(df.columns)
     out = {
         f"revenue_by_{key}": sum_by(df, key, "total_spend")
-        for key in ("category", "product", "stock_code", "location")
+        for key in REVENUE_KEYS
         if {key, "total_spend"} <= have
     }
     if {"product", "quantity"} <= have:
         out["quantity_by_product"] = sum_by(df, "product", "quantity")
-    for key in ("channel", "device", "location", "payment_method"):
+    for key in LINE_KEYS:
         if key in have:
             out[f"orders_by_{key}"] = lines_by(df, key)
     if {"order_date", "total_spend"} <= have:
