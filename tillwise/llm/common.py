@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,6 +26,23 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for the batches of a task, after which unused memory goes back to the system.
+
+    Python workers outlive their tasks, and what allocators keep for later would add up over
+    the stages of a job.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def small_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
     """``df`` whose rows are to go to Python; from now on in batches of ``rows`` at most.
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tillwise.llm.common import LOWER, small_batches, texts
+from tillwise.llm.common import LOWER, giving_back, small_batches, texts
 from tillwise.llm.fm_index import FmIndex
 from tillwise.session import materialize
 
@@ -175,7 +175,7 @@ def _scan(documents: DataFrame, phrases: Phrases) -> DataFrame:
                 )
                 begin, shard = row + 1, Shard(shared.value)
 
-    return small_batches(documents).mapInArrow(search, schema)
+    return small_batches(documents).mapInArrow(giving_back(search), schema)
 
 
 def find_benchmark_spans(

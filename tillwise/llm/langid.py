@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.llm.common import LOWER, held_out, small_batches, texts
+from tillwise.llm.common import LOWER, giving_back, held_out, small_batches, texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -189,7 +189,7 @@ def identify(documents: DataFrame, net: ByteNetwork) -> DataFrame:
                 names=[*names, "_lang", "_score"],
             )
 
-    return small_batches(documents).mapInArrow(apply, f"{fields}, `_lang` string, `_score` double")
+    return small_batches(documents).mapInArrow(giving_back(apply), f"{fields}, `_lang` string, `_score` double")
 
 
 def keep_identified(documents: DataFrame, least: float = 0.3) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from tillwise.llm.common import small_batches, texts
+from tillwise.llm.common import giving_back, small_batches, texts
 
 SHARD_IDS = 1 << 20
 SYMBOLS = 1 << 16
@@ -299,7 +299,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end_id: int
     ordered = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     # Rows of one id are put in order by their text, so that reruns agree.
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    small_batches(ordered).mapInArrow(encode, "part int, number int, start long, n_ids long, data binary").write.parquet(folder)
+    small_batches(ordered).mapInArrow(giving_back(encode), "part int, number int, start long, n_ids long, data binary").write.parquet(folder)
 
 
 def decode(
@@ -331,7 +331,7 @@ def decode(
 
     text = f"part int, doc_id long, local long, n_tokens long, value {kind}"
     schema = to_arrow_schema(_parse_datatype_string(text))
-    opened = shards.select("part", "start", "data").mapInArrow(open_, text)
+    opened = shards.select("part", "start", "data").mapInArrow(giving_back(open_), text)
     placed = opened.join(F.broadcast(offsets), F.col("part") == F.col("of_part"))
     return placed.select("doc_id", (F.col("local") + F.col("offset")).alias("start"), "n_tokens", "value")
 

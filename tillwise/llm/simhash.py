@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.llm.common import LOWER, small_batches, texts
+from tillwise.llm.common import LOWER, giving_back, small_batches, texts
 from tillwise.llm.components import components
 from tillwise.session import materialize
 
@@ -58,7 +58,7 @@ def with_fingerprints(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
     ids = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return small_batches(ids).mapInArrow(compute, f"doc_id {dict(ids.dtypes)['doc_id']}, fp long")
+    return small_batches(ids).mapInArrow(giving_back(compute), f"doc_id {dict(ids.dtypes)['doc_id']}, fp long")
 
 
 def _block_keys(fp: str) -> F.Column:

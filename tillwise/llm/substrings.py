@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.llm.common import small_batches, texts
+from tillwise.llm.common import giving_back, small_batches, texts
 
 SPAN = 13
 SEED = 5
@@ -224,8 +224,8 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     known = documents.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
-    sent = known.mapInArrow(_send, SCHEMA)
-    return sent.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_meet, RANGES)
+    sent = known.mapInArrow(giving_back(_send), SCHEMA)
+    return sent.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(giving_back(_meet), RANGES)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,4 +269,4 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     joined = rows.join(ranges, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "_ranges")
     kind = dict(rows.dtypes)["doc_id"]
-    return small_batches(joined).mapInArrow(_cut, f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, kept string")
+    return small_batches(joined).mapInArrow(giving_back(_cut), f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, kept string")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.llm.common import held_out, small_batches, texts
+from tillwise.llm.common import giving_back, held_out, small_batches, texts
 
 DECAY = 0.8
 REACH = 5
@@ -287,4 +287,4 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
             values = [score(t.decode("utf-8", "replace")) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*names, "_score"])
 
-    return small_batches(documents).mapInArrow(apply, f"{fields}, `_score` double")
+    return small_batches(documents).mapInArrow(giving_back(apply), f"{fields}, `_score` double")
