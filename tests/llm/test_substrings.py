@@ -88,3 +88,25 @@ def test_stretches_cover_each_window_once(docs):
     for d, s, c in zip(*(x.tolist() for x in done)):
         seen += [(d, s + k) for k in range(c)]
     assert sorted(seen) == [(i * 10, k) for i, d in enumerate(docs) for k in range(len(d) - 12)]
+
+
+def _met(rows):
+    """Ranges found by both steps, in this process."""
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": t.encode()} for d, t in rows])
+    sent = pa.Table.from_batches(substrings._send(iter([batch]))).sort_by([("key", "ascending"), ("doc", "ascending")])
+    return [tuple(r.values()) for b in substrings._meet(iter(sent.combine_chunks().to_batches())) for r in b.to_pylist()]
+
+
+def test_windows_are_equal_by_all_bits_of_their_hash(monkeypatch):
+    """Windows of one anchor whose hashes agree in the low five bytes stay apart."""
+    import numpy as np
+
+    rolled = substrings._rolled
+    monkeypatch.setattr(substrings, "_rolled", lambda h, width, f: rolled(h, width, f) << np.uint64(40 if width == substrings.SPAN else 0))
+    middle = [f"m{i}" for i in range(12)]
+    rows = [(d, " ".join([f"a{d}", *middle, f"b{d}"])) for d in range(20)]
+    assert _met(rows) == []
+    assert sorted(_met([(0, " ".join(["x", *middle])), (1, " ".join(["x", *middle, "y"]))])) == [(1, 0, 1)]

@@ -24,8 +24,8 @@ from tillwise.llm.common import giving_back, small_batches, texts
 
 SPAN = 13
 SEED = 5
-#: Bytes of a window's hash that are compared, besides the eight of its anchor.
-MARK = 5
+#: Bytes of a window's hash that are compared: all, since windows of one anchor differ in nothing else.
+MARK = 8
 FLUSH_BYTES = 8_000_000
 HELD_ROWS = 100_000
 
@@ -95,7 +95,7 @@ def stretches(doc_ids: np.ndarray, hashes: list[np.ndarray]) -> tuple[tuple, tup
     settled[order] = document[order] > document[order][head]
     settled &= count <= SPAN
     sent = np.flatnonzero(~settled)
-    marks = window.view(np.uint8).reshape(-1, 8)[:, :MARK]
+    marks = window.view(np.uint8).reshape(-1, MARK)
     kept = [marks[p : p + c].tobytes() for p, c in zip(place[sent].tolist(), count[sent].tolist())]
     out = (anchor[sent].view(np.int64), document[sent], start[sent], count[sent], kept)
     done = np.flatnonzero(settled)
@@ -156,9 +156,7 @@ class _Meeting:
         key, doc, start, n, data = (np.concatenate(x) for x in zip(*self.rows))
         n_rows = len(key)
         self.rows, self.n_rows = [], 0
-        raw = np.zeros((len(data) // MARK, 8), np.uint8)
-        raw[:, :MARK] = data.reshape(-1, MARK)
-        marks = raw.view(np.uint64)[:, 0]
+        marks = data.view(np.uint64)
         ends = np.cumsum(n.astype(np.int64))
         # A stretch whose anchor nobody else has is done with.
         close = np.zeros(n_rows, bool)
