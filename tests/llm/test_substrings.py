@@ -110,3 +110,46 @@ def test_windows_are_equal_by_all_bits_of_their_hash(monkeypatch):
     rows = [(d, " ".join([f"a{d}", *middle, f"b{d}"])) for d in range(20)]
     assert _met(rows) == []
     assert sorted(_met([(0, " ".join(["x", *middle])), (1, " ".join(["x", *middle, "y"]))])) == [(1, 0, 1)]
+
+
+def around_one_run(n=300):
+    """Documents that hold one very common run of five words in differing surroundings."""
+    rng = random.Random(7)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    docs = []
+    for d in range(n):
+        before, after = [word() for _ in range(20)], [word() for _ in range(20)]
+        if d % 10 == 3:  # some windows around the run come again
+            before[12:], after[:6] = docs[-1][1][12:20], docs[-1][1][25:31]
+        docs.append((d, [*before, *"this is a common run".split(), *after]))
+    return [(d, " ".join(w)) for d, w in docs] + [(n, "same " * 60), (n + 1, "same " * 50)]
+
+
+def test_very_common_anchors_are_dealt_out_by_window(spark, monkeypatch):
+    import numpy as np
+
+    rows = around_one_run()
+    monkeypatch.setattr(substrings, "HOT_ROWS", 40)
+    known = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "cast(text AS binary) AS text").repartition(3)
+    hot = substrings.common_anchors(known)
+    seeds = [substrings._rolled(substrings._word_hashes(b"this is a common run"), 5, 0x9DDFEA08EB382D69).view(np.int64)[0]]
+    assert hot.tolist() == seeds
+    most = []
+    for anchors in (hot, None):
+        sent = known.mapInArrow(lambda b, hot=anchors: substrings._send(b, hot), substrings.SCHEMA)
+        most.append(sent.where("marks IS NOT NULL").groupBy("key").count().agg({"count": "max"}).head()[0])
+    assert most[0] <= 40 < most[1]
+    assert run(spark, rows) == plain(rows)
+
+
+def test_counts_of_common_anchors_are_short_by_no_more_than_said(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    parts = [np.where(rng.random(500) < 0.2, 5, rng.integers(10, 2000, 500)) for _ in range(20)]
+    monkeypatch.setattr(substrings, "COUNTED", 50)
+    monkeypatch.setattr(substrings, "_cut_up", lambda batches: (((p,), ()) for p in parts))
+    rows = next(substrings._count(iter([]))).to_pylist()
+    assert rows[0]["key"] is None and rows[0]["n"] == 10_000 and rows[0]["missed"] <= 2 * 10_000 / 50 + 1
+    true = int((np.concatenate(parts) == 5).sum())
+    assert true - rows[0]["missed"] <= {r["key"]: r["n"] for r in rows}[5] <= true

@@ -9,11 +9,14 @@ document that has it. Windows found in a smaller document join to maximal repeat
 
 No pairs of documents are made: a passage in m documents costs m rows. Equal stretches inside
 one batch are settled there, so that a passage of very many documents gives a row per batch.
+A very common anchor in differing surroundings would still be a group without bound. Such
+anchors are counted first; their windows meet one by one, by anchor and window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,10 @@ SEED = 5
 MARK = 8
 FLUSH_BYTES = 8_000_000
 HELD_ROWS = 100_000
+#: An anchor of more stretches is dealt out by window.
+HOT_ROWS = 20_000
+#: Anchors that a task counts at once.
+COUNTED = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,12 +63,13 @@ def _ranges(document: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple
     return document[at], start[at], np.add.reduceat(count, at)
 
 
-def stretches(doc_ids: np.ndarray, hashes: list[np.ndarray]) -> tuple[tuple, tuple]:
+def stretches(doc_ids: np.ndarray, hashes: list[np.ndarray], hot: np.ndarray | None = None) -> tuple[tuple, tuple]:
     """Stretches to compare elsewhere, and ranges of windows settled here.
 
     The first: anchor, doc, start, windows, marks (bytes per stretch); the second: doc, start,
     windows. Where equal stretches are in documents with different ids, all but those of the
-    smallest id are settled.
+    smallest id are settled. A window of an anchor in ``hot`` is a stretch of its own, with an
+    anchor of its own.
     """
     lengths = np.array([len(h) for h in hashes])
     h = np.concatenate(hashes)
@@ -81,10 +89,12 @@ def stretches(doc_ids: np.ndarray, hashes: list[np.ndarray]) -> tuple[tuple, tup
     if not len(at):
         return (none, none, none, none, []), (none, none, none)
     fresh = np.concatenate([[True], (low[at[1:]] != low[at[:-1]]) | (of[at[1:]] != of[at[:-1]])])
-    first = np.flatnonzero(fresh)
+    alone = np.isin(low[at].view(np.int64), hot) if hot is not None and len(hot) else np.zeros(len(at), bool)
+    first = np.flatnonzero(fresh | alone)
     count = np.diff(np.append(first, len(at)))
     place = at[first]
     anchor, document = low[place], doc_ids[of[place]]
+    anchor = np.where(alone[first], _mix(anchor ^ _mix(window[place])), anchor)
     start = place - begin[of[place]]
     # Both ends name a stretch whose windows leave no word between them.
     name = _mix(anchor ^ _mix(window[place])) + _mix(window[place + count - 1] + count.astype(np.uint64))
@@ -114,7 +124,8 @@ SCHEMA = "key long, doc long, start int, n int, marks binary"
 RANGES = "doc long, start int, n int"
 
 
-def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_up(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -> Iterator[tuple[tuple, tuple]]:
+    """The stretches of some megabytes of text at a time."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         values, hashes, size, begin = texts(batch), [], 0, 0
@@ -124,15 +135,57 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(text)
             if size < FLUSH_BYTES and k + 1 < batch.num_rows:
                 continue
-            (key, doc, start, n, marks), done = stretches(ids[begin : k + 1], hashes)
-            spread = _mix(done[0].astype(np.uint64) * np.uint64(31) + done[1].astype(np.uint64)).view(np.int64)
-            columns = [np.concatenate(x) for x in zip((key, doc, start, n), (spread, *done))]
-            arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-            arrays.append(pa.array([*marks, *[None] * len(spread)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "start", "n", "marks"])
+            yield stretches(ids[begin : k + 1], hashes, hot)
             hashes, size, begin = [], 0, k + 1
 
 
+COUNTS = "key long, n long, missed long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, missed): a task's common anchors by Misra and Gries, and its totals without a key.
+
+    No more than ``COUNTED`` anchors are held. What pushes others out is taken from all, so
+    a count is at most ``missed`` short.
+    """
+    key, n, missed, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
+    for (found, *_), _ in _cut_up(batches):
+        total += len(found)
+        key, at = np.unique(np.concatenate([key, found]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, np.ones(len(found), np.int64)]), len(key)).astype(np.int64)
+        over = int(np.partition(n, -COUNTED - 1)[-COUNTED - 1]) if len(key) > COUNTED else 0
+        missed += over
+        key, n = key[n > over], n[n > over] - over
+    # Of the rest, what is rare in the task is not worth a row.
+    over = total // COUNTED + 1
+    key, n = key[n > over], n[n > over] - over
+    columns = [[None, *key.tolist()], [total, *n.tolist()], [missed + over, *[0] * len(key)]]
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "n", "missed"])
+
+
+def common_anchors(known: DataFrame) -> np.ndarray:
+    """All anchors of more than ``HOT_ROWS`` stretches, maybe with some of half as many.
+
+    In large tables the bound is a fixed share of all stretches instead, a few times one in
+    ``COUNTED``, which is less than a task's part of them.
+    """
+    counts = known.mapInArrow(giving_back(_count), COUNTS).groupBy("key").agg(F.sum("n").alias("n"), F.sum("missed").alias("missed"))
+    # No more than ``COUNTED`` anchors can pass the bound below.
+    rows = counts.where((F.col("n") >= HOT_ROWS // 2) | F.col("key").isNull()).orderBy(F.desc("n")).limit(COUNTED + 1).collect()
+    total, missed = next(((r.n, r.missed) for r in rows if r.key is None), (0, 0))
+    bound = max(HOT_ROWS, 2 * missed, 2 * total // COUNTED)
+    return np.array(sorted(r.key for r in rows if r.key is not None and r.n >= bound - missed), np.int64)
+
+
+def _send(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    for (key, doc, start, n, marks), done in _cut_up(batches, hot):
+        spread = _mix(done[0].astype(np.uint64) * np.uint64(31) + done[1].astype(np.uint64)).view(np.int64)
+        columns = [np.concatenate(x) for x in zip((key, doc, start, n), (spread, *done))]
+        arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        arrays.append(pa.array([*marks, *[None] * len(spread)], pa.binary()))
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "start", "n", "marks"])
+
+
 class _Meeting:
     """Stretches in order of anchor and document; gives the windows of larger documents."""
 
@@ -222,7 +275,7 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     known = documents.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
-    sent = known.mapInArrow(giving_back(_send), SCHEMA)
+    sent = known.mapInArrow(giving_back(partial(_send, hot=common_anchors(known))), SCHEMA)
     return sent.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(giving_back(_meet), RANGES)
 
 
