@@ -98,3 +98,31 @@ def test_round_trip_of_a_shard_and_of_each_document(n_symbols, n):
     if n_symbols <= 2:
         assert len(shard.symbols) < 0.5 * n
         assert shard.sizes.max() > 4
+
+
+def _passage_and_noise(copies, width=256):
+    rng = np.random.default_rng(5)
+    passage = rng.permutation(40_000)[:width]
+    parts = [x for k in range(copies) for x in (passage, 40_000 + rng.integers(0, 9000, 3))]
+    return np.concatenate(parts).astype(np.uint16), np.array([width + 3] * copies)
+
+
+@pytest.mark.parametrize("copies", [10, 2000])
+def test_pairs_are_taken_until_none_repeats_often(copies):
+    ids, lengths = _passage_and_noise(copies)
+    symbols, per, rules = repair.compress(ids, lengths, 49_408)
+    last = np.zeros(len(symbols), bool)
+    last[np.cumsum(per) - 1] = True
+    pairs = (symbols[:-1].astype(np.int64) << 16 | symbols[1:])[~last[:-1]]
+    assert np.unique(pairs, return_counts=True)[1].max() < repair.LEAST
+    assert len(symbols) <= 5 * copies
+    shard = repair.Shard(repair.pack(list(range(copies)), lengths, ids, 49_408))
+    assert np.array_equal(np.concatenate([d for _, d in shard.documents()]), ids)
+
+
+def test_no_rule_goes_unused():
+    """Pairs that share a slot or lose all overlaps spend no symbol."""
+    ids = np.random.default_rng(6).integers(0, 70, 200_000).astype(np.uint16)
+    symbols, _, rules = repair.compress(ids, np.array([len(ids)]), 49_408)
+    assert len(rules) > 3000
+    assert set(range(49_408, 49_408 + len(rules))) <= {*symbols.tolist(), *rules.ravel().tolist()}

@@ -1,10 +1,10 @@
 """Token ids in a compressed binary form: a Re-Pair grammar per shard.
 
 A shard is a run of documents in doc_id order, about a million ids. The most frequent pairs
-of neighbouring ids become nonterminals, again and again, until no pair repeats often enough;
-pairs never span two documents. A shard holds the rules, the expansion length of each
-nonterminal, the compressed ids and where each document begins, so one document is decoded
-without the others.
+of neighbouring ids become nonterminals, again and again, until no pair is seen eight times or
+the 16-bit symbols run out; pairs never span two documents. A shard holds the rules, the
+expansion length of each nonterminal, the compressed ids and where each document begins, so
+one document is decoded without the others.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from tillwise.llm.common import giving_back, small_batches, texts
 
 SHARD_IDS = 1 << 20
 SYMBOLS = 1 << 16
-ROUNDS = 3
+#: A pair that repeats less saves little more than its rule takes.
+LEAST = 8
 MAGIC = b"TWRP1\0\0\0"
 END_ID = 1
 
@@ -119,42 +120,64 @@ def _apart(at: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols per document, rules). Rule k stands for symbol first_free + k."""
+    """(symbols, symbols per document, rules). Rule k stands for symbol first_free + k.
+
+    Rounds go on until no pair is seen ``LEAST`` times or no symbol is free. More frequent pairs
+    come first: the threshold falls only when no pair reaches it any more.
+    """
     symbols = ids.astype(np.uint16)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules = np.zeros((0, 2), np.uint16)
-    for _ in range(ROUNDS):
-        free = SYMBOLS - first_free - len(rules)
-        least = max(8, len(symbols) // 20_000)
-        if free <= 0 or len(symbols) < 2:
-            break
-        keys = (symbols[:-1].astype(np.uint32) << 16) | symbols[1:]
-        inside = ~last[:-1]
-        ordered = np.sort(keys[inside])
-        if not len(ordered):
+    least = max(LEAST, len(symbols) // 20_000)
+    # Where a pair may begin that repeats: only new symbols make pairs more frequent.
+    live = ~last
+    while len(rules) < SYMBOLS - first_free:
+        places = np.flatnonzero(live)
+        if not len(places):
             break
+        keys = (symbols[places].astype(np.uint32) << 16) | symbols[places + 1]
+        slot = (keys * np.uint32(2654435761)) >> np.uint32(14)
+        ordered = np.sort(keys)
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= least)
-        # The first rounds take only the most frequent pairs, so that these win overlaps.
-        often = often[np.argsort(-counts[often], kind="stable")[: min(free, 3_000)]]
-        if not len(often):
+        most = int(counts.max())
+        if most < LEAST:
             break
+        while most < least:
+            least = max(LEAST, least // 2)
+        # A round takes only the most frequent pairs, so that these win overlaps.
+        often = np.flatnonzero(counts >= least)
+        often = often[np.argsort(-counts[often], kind="stable")[: min(SYMBOLS - first_free - len(rules), 3_000)]]
         chosen = np.sort(ordered[starts[often]])
-        # A table by hash finds the rule of each pair; of pairs that share a slot the last stays.
-        slot = (keys * np.uint32(2654435761)) >> np.uint32(14)
+        # A table by hash finds the rule of each pair; of pairs that share a slot one waits for the next round.
+        own = (chosen * np.uint32(2654435761)) >> np.uint32(14)
         table = np.zeros(1 << 18, np.int32)
-        table[(chosen * np.uint32(2654435761)) >> np.uint32(14)] = np.arange(len(chosen))
+        table[own] = np.arange(len(chosen))
+        chosen, own = (x[table[own] == np.arange(len(chosen))] for x in (chosen, own))
+        table[own] = np.arange(len(chosen))
         rule = table[slot]
-        at = _apart(np.flatnonzero((chosen[rule] == keys) & inside))
-        name = first_free + len(rules) + rule[at]
+        found = np.flatnonzero(chosen[rule] == keys)
+        at = _apart(places[found])
+        rule = rule[found[np.searchsorted(places[found], at)]]
+        # Pairs that lost every overlap take no symbol.
+        used = np.zeros(len(chosen), bool)
+        used[rule] = True
+        name = first_free + len(rules) + (np.cumsum(used) - 1)[rule]
+        chosen = chosen[used]
         rules = np.concatenate([rules, np.stack([chosen >> 16, chosen & 0xFFFF], 1).astype(np.uint16)])
+        again = np.zeros(1 << 18, bool)
+        enough = ordered[starts[counts >= LEAST]]
+        again[(enough * np.uint32(2654435761)) >> np.uint32(14)] = True
+        live[places] = again[slot]
         symbols[at] = name
         last[at] = last[at + 1]
+        live[at] = True
+        live[at[at > 0] - 1] = True
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols, last, live = symbols[stay], last[stay], live[stay]
+        live &= ~last
     closed = np.concatenate([[0], np.cumsum(last)])
     ends = np.flatnonzero(last) + 1
     per = np.zeros(len(lengths), np.int64)
