@@ -101,3 +101,16 @@ def test_training_leaves_out_the_held_out_quarter_and_odd_labels(spark, monkeypa
 @pytest.mark.parametrize("rows", [[], [("a b", 1)], [("a b", 0), ("", 0)], [("", 1), ("", 0)], [("x y", 1), ("x y", 0)]])
 def test_training_on_next_to_nothing(rows):
     assert 0 <= tox.train_machine(rows).score("some text") <= 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 40, 5000])
+def test_an_insult_at_the_end_counts_in_full(n):
+    """A last word has no less value than the same word alone, as training knows it."""
+    weights = np.zeros(tox.CODES**3)
+    ids, _ = tox.features(tox.codes_of("idiot"))
+    weights[ids] = 1.0
+    machine = tox.Machine(weights, 1.0, 0.0)
+    alone = sum(tox.features(tox.codes_of("idiot"))[1])
+    for end in ("", ".", "!!"):
+        value, piece = machine.worst("z" * 30 + " bb" * n + " idiot" + end)
+        assert value > 0.999 * alone and len(piece) == tox.PIECE

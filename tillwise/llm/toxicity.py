@@ -96,9 +96,13 @@ class Machine:
         self.by_span = {b: (table * DECAY ** (b + 1)).astype(np.float32) for b in range(2, REACH + 1)}
         self.slope, self.shift = slope, shift
 
-    def worst(self, text: str, chunk: int = 1 << 18) -> tuple[float, np.ndarray]:
-        """The largest value of any piece, and that piece's codes."""
-        codes = codes_of(text)
+    def worst(self, text: str, chunk: int = 1 << 18, full: bool = False) -> tuple[float, np.ndarray]:
+        """The largest value of any piece, and that piece's codes.
+
+        Zeros after the text let its last letters start a subsequence; ``full`` pieces, which
+        training learns from, have none.
+        """
+        codes = np.concatenate([codes_of(text), np.zeros(0 if full else REACH, np.int32)])
         best, piece = -math.inf, codes[:PIECE]
         for k in range(0, max(1, len(codes) - PIECE + 1), chunk):
             part = codes[k : k + chunk + PIECE - 1]
@@ -238,13 +242,13 @@ def train_machine(samples: list[tuple[str, int]], rounds: int = 6, seed: int = 1
         y = np.array([1] * (len(positive) + len(loose)) + [-1] * len(negative))
         table, _ = _kernel_machine(pieces, y, [*marks, *others, *hard[-LANDMARKS:]])
         machine = Machine(table, 1.0, 0.0)
-        found = [machine.worst(t) for t in clean]
+        found = [machine.worst(t, full=True) for t in clean]
         negative += [p for _, p in found]
         worst = sorted(range(len(found)), key=lambda k: -found[k][0])[: LANDMARKS // 4]
         hard += [found[k][1] for k in worst]
         line = np.quantile([v for v, _ in found], 0.95)
         # Toxic texts whose worst piece looks clean may be mislabelled; they teach nothing.
-        positive = [p for v, p in map(machine.worst, toxic) if v > line] or positive
+        positive = [p for v, p in (machine.worst(t, full=True) for t in toxic) if v > line] or positive
     values = np.array([machine.worst(t)[0] for t in [*toxic, *clean]])
     slope, shift = _calibrate(values, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
     machine.slope, machine.shift = slope, shift
