@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import chat, decontaminate, langid, mixing, neighbours, repair, secrets, simhash, substrings, toxicity
+from tillwise.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    langid,
+    mixing,
+    neighbours,
+    repair,
+    secrets,
+    simhash,
+    substrings,
+    toxicity,
+)
 from tillwise.llm.common import held_out
 from tillwise.session import shared_scratch
 
@@ -259,3 +271,26 @@ FROM lines"""
 @query("op6_preference_pairs", CHAT_SQL)
 def preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return chat.preference_segments(chat.alternate_pairs(table(spark, folder, "conversations")))
+
+
+# --- 11: byte-pair encoding ----------------------------------------------------------------
+
+
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op11_prefix_bpe")
+def prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = byte_tokenizer_path()
+    encoded = bpe.encode_documents(table(spark, folder, "documents"), path)
+    decoded = bpe.decode_documents(encoded, path)
+    written = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(written, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
