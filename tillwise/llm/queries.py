@@ -11,6 +11,7 @@ from tillwise.llm import (
     chat,
     decontaminate,
     langid,
+    merkle,
     mixing,
     neighbours,
     repair,
@@ -294,3 +295,90 @@ def prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(written, 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+# --- 12: dataset manifest ------------------------------------------------------------------
+
+#: CRC-32 of a list of bytes, given the table of a byte's remainders.
+CRC_TABLE_SQL = """crc_rows AS (
+  SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_rows)"""
+CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes}),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _field_sql(name: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf_sql(count: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", count, "text"))) + ")"
+
+
+MERKLE_SQL = f"""WITH RECURSIVE {CRC_TABLE_SQL},
+docs AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+         CASE WHEN {CRC_SQL.format(bytes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))")} % 7 = 0
+              THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS altered
+  FROM documents, crc_table),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n FROM docs),
+nodes AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+uppers AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM uppers WHERE n > 1 GROUP BY level, pos // 2, n),
+upper_path AS (
+  SELECT s.lang, list(CASE WHEN u.digest IS NULL THEN 'N' WHEN (s.pos >> l.level) % 2 = 1 THEN 'L' || u.digest
+                           ELSE 'R' || u.digest END ORDER BY l.level) AS path
+  FROM subroots s JOIN (SELECT DISTINCT level FROM uppers WHERE n > 1) l ON true
+  LEFT JOIN uppers u ON u.level = l.level AND u.pos = xor(s.pos >> l.level, 1) GROUP BY s.lang),
+lower_levels AS (SELECT DISTINCT lang, level FROM nodes WHERE n > 1),
+lower_path AS (
+  SELECT p.lang, p.pos, list(CASE WHEN u.digest IS NULL THEN 'N' WHEN (p.pos >> l.level) % 2 = 1 THEN 'L' || u.digest
+                                  ELSE 'R' || u.digest END ORDER BY l.level) AS path
+  FROM placed p JOIN lower_levels l ON l.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN nodes u ON u.lang IS NOT DISTINCT FROM p.lang AND u.level = l.level AND u.pos = xor(p.pos >> l.level, 1)
+  GROUP BY p.lang, p.pos),
+proofs AS (
+  SELECT p.*, list_concat(coalesce(a.path, []), coalesce(b.path, [])) AS path
+  FROM placed p LEFT JOIN lower_path a ON a.lang IS NOT DISTINCT FROM p.lang AND a.pos = p.pos
+  LEFT JOIN upper_path b ON b.lang IS NOT DISTINCT FROM p.lang),
+folds AS (
+  SELECT p.*, s.subroot, (SELECT digest FROM uppers WHERE n = 1) AS root,
+         sha256(array_to_string(list_transform(path, lambda x: x[2:]), '')) AS proof_sha256,
+         list_reduce(list_prepend(altered, path), lambda d, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || d)
+                     WHEN 'R' THEN sha256(d || x[2:]) ELSE sha256(d) END) AS folded_root
+  FROM proofs p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folds"""
+
+
+@query("op12_merkle_octopus", MERKLE_SQL)
+def merkle_octopus(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    altered = F.when(chosen, merkle.leaf_digest(*tampered)).alias("altered")
+    made = merkle.manifest(table(spark, folder, "documents"), F.struct("doc_id", altered))
+    leaf = F.coalesce("payload.altered", "digest")
+    found = made.prove().select("*", F.lit(made.root).alias("root"), merkle.folded(leaf, "steps").alias("folded_root"))
+    return found.select(
+        F.col("payload.doc_id").alias("doc_id"),
+        F.col("digest").alias("leaf"),
+        F.col("top").alias("subroot"),
+        "root",
+        merkle.proof_digest("steps").alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
