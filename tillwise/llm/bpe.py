@@ -10,12 +10,14 @@ the end of the piece gives its ids. No merge is ever carried out.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -63,7 +65,7 @@ class Codec:
             self.tokens[i] = bytes(letters[c] for c in token)
         for content, i in added.items():
             self.tokens[i] = content.encode()
-        self.special = {content: np.array([i], "<i4").tobytes() for content, i in added.items()}
+        self.special = {content: array("i", [i]).tobytes() for content, i in added.items()}
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # A token's two parts and the rank of the merge that makes it; single bytes have none.
         self.left, self.right, self.rank = [-1] * size, [-1] * size, [-1] * size
@@ -74,7 +76,8 @@ class Codec:
             self.merges[pair] = rank
             if self.rank[whole] < 0:
                 self.left[whole], self.right[whole], self.rank[whole] = *pair, rank
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.size = list(map(len, self.tokens))
+        self.apart: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for i in vocabulary.values():
             if self._reached(i):
@@ -123,29 +126,33 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether ``a`` may be followed by ``b`` in an encoding."""
-        found = self.apart.get((a, b))
-        if found is None:
-            found = self._stays(a, b)
-            if len(self.apart) < KEEP:
-                self.apart[a, b] = found
+        found = self._stays(a, b)
+        if len(self.apart) < KEEP:
+            self.apart[a << 32 | b] = found
         return found
 
     def last_tokens(self, piece: bytes) -> list[int]:
         """For each prefix, the empty one included, the last token of its encoding."""
         last = [-1] * (len(piece) + 1)
+        size, apart = self.size, self.apart.get
         for end, token in self.automaton.iter(piece.decode("latin-1")):
-            if last[end + 1] < 0:
-                before = last[end + 1 - len(self.tokens[token])]
-                if before < 0 or self.compatible(before, token):
-                    last[end + 1] = token
+            end += 1
+            if last[end] < 0:
+                before = last[end - size[token]]
+                if before < 0:
+                    last[end] = token
+                else:
+                    stays = apart(before << 32 | token)
+                    if stays or stays is None and self.compatible(before, token):
+                        last[end] = token
         return last
 
     def encode_piece(self, piece: bytes) -> list[int]:
         last = self.last_tokens(piece)
-        ids, at = [], len(piece)
+        ids, at, size = [], len(piece), self.size
         while at:
             ids.append(last[at])
-            at -= len(self.tokens[last[at]])
+            at -= size[last[at]]
         return ids[::-1]
 
     def _cut(self, text: str) -> list[str]:
@@ -165,7 +172,7 @@ class Codec:
             at = end
 
     def _plain(self, text: str) -> bytes:
-        """The ids of a text without special tokens, as little-endian 32-bit numbers."""
+        """The ids of a text without special tokens, as 32-bit numbers."""
         pieces = self._cut(text)
         ids = list(map(self.known.get, pieces))
         if None in ids:
@@ -174,7 +181,7 @@ class Codec:
                     piece = pieces[k]
                     found = self.known.get(piece)
                     if found is None:
-                        found = np.array(self.encode_piece(piece.encode()), "<i4").tobytes()
+                        found = array("i", self.encode_piece(piece.encode())).tobytes()
                         if len(self.known) < KEEP and len(piece) < 64:
                             self.known[piece] = found
                     ids[k] = found
@@ -211,7 +218,7 @@ def encode_documents(documents: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             found = [tool.encode(t.decode("utf-8", "replace")) for t in texts(batch)]
             ends = np.cumsum([0, *(len(f) // 4 for f in found)])
-            values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
+            values = pa.array(np.frombuffer(b"".join(found), np.int32), pa.int32())
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
@@ -225,7 +232,10 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(tokenizer)
         for batch in batches:
-            text = pa.array([tool.decode(i.as_py() or []) for i in batch.column("ids")], pa.string())
+            ids = batch.column("ids")
+            ends = np.cumsum(pa.compute.list_value_length(ids).fill_null(0).to_numpy()).tolist()
+            flat = ids.flatten().to_numpy().tolist()
+            text = pa.array([tool.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), text], names=["doc_id", "ids", "text"])
 
     rows = encoded.select("doc_id", "ids")

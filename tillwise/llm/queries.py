@@ -17,6 +17,7 @@ from tillwise.llm import (
     repair,
     secrets,
     simhash,
+    spelling,
     substrings,
     toxicity,
 )
@@ -382,3 +383,50 @@ def merkle_octopus(spark: SparkSession, folder: str) -> DataFrame:
         "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+# --- 13: spelling variants -----------------------------------------------------------------
+
+# A letter beyond ASCII is two bytes of UTF-8.
+UTF8_SQL = """list_concat(id_bytes, flatten(list_transform(string_split(run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+         ELSE [CAST(192 + unicode(c) // 64 AS BIGINT), CAST(128 + unicode(c) % 64 AS BIGINT)] END)))"""
+
+SPELLING_SQL = rf"""WITH RECURSIVE {CRC_TABLE_SQL},
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents) GROUP BY ALL),
+bytes AS (
+  SELECT run, n, list_transform(string_split(CAST(doc_id AS VARCHAR) || ':', ''), lambda c: CAST(unicode(c) AS BIGINT)) AS id_bytes
+  FROM runs),
+hashed AS (SELECT run, n, {CRC_SQL.format(bytes=UTF8_SQL)} AS h FROM bytes, crc_table),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (
+  SELECT word, i, word[1 : i - 1] || word[i + 1 :] AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, a.rest FROM less a JOIN words b ON b.word = a.rest
+  UNION SELECT a.rest, a.word FROM less a JOIN words b ON b.word = a.rest),
+ranked AS (
+  SELECT a.word, w.n AS form_n, a.near AS form, count(*) OVER (PARTITION BY a.word) AS n_near,
+         row_number() OVER (PARTITION BY a.word ORDER BY w.n DESC, a.near) AS place
+  FROM near a JOIN words w ON w.word = a.near),
+chosen AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.form_n >= 2 * w.n THEN r.form END AS form,
+         CASE WHEN r.form_n >= 2 * w.n THEN r.form_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+chain AS (
+  SELECT word, word AS here, 0 AS step FROM chosen
+  UNION ALL
+  SELECT c.word, f.form, step + 1 FROM chain c JOIN chosen f ON f.word = c.here WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM chosen JOIN ends USING (word)"""
+
+
+@query("op13_gram_spelling", SPELLING_SQL)
+def gram_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.counted_words(table(spark, folder, "documents")))
