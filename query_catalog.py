@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tillwise.functions.scalars import elapsed_days, log1p_or_zero, safe_divide, shift_days
 from tillwise.operators import (
@@ -23,6 +23,7 @@ from tillwise.operators import (
     ranks,
     recency,
     segments,
+    silhouette,
     windows,
 )
 from tillwise.plans import dashboard
@@ -1255,6 +1256,35 @@ def _(spark, folder):
     return scores.select("k", F.col("silhouette").between(-1, 1).alias("in_range"))
 
 
+# Segments by a rule, so that both sides know them.
+RULED = """CASE WHEN recency_days < 60 THEN 0 WHEN recency_days < 240 THEN 1 ELSE 2 END"""
+
+
+@query(
+    "silhouette_of_ruled_segments",
+    with_tx(
+        """SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (outside - inside) / greatest(inside, outside) END), 6) AS silhouette
+FROM (SELECT customer_id, n, w / greatest(n - 1, 1) AS inside FROM sums WHERE s = t)
+JOIN (SELECT customer_id, min(w / n) AS outside FROM sums WHERE s <> t GROUP BY customer_id) USING (customer_id)""",
+        FEAT,
+        f"points AS (SELECT customer_id, orders AS a, recency_days / 30 AS b, revenue_total / 100000 AS c, {RULED} AS s FROM feat)",
+        """sums AS (SELECT p.customer_id, p.s, q.s AS t, count(*) AS n,
+         sum(sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c))) AS w
+  FROM points p, points q GROUP BY ALL)""",
+    ),
+)
+def _(spark, folder):
+    """The mean silhouette in plain distance, by its definition on the other side."""
+    df = base_features(spark, folder)
+    points = df.select(
+        F.array(F.col("orders"), F.col("recency_days") / 30, F.col("revenue_total") / 100000).alias("x"),
+        F.expr(RULED).alias("segment"), "customer_id",
+    )
+    points = materialize(points, "points")
+    mean = silhouette.silhouette(points, F.col("x"), F.col("segment"), 3, row=F.col("customer_id"))
+    return spark.createDataFrame([(round(mean, 6),)], "silhouette double")
+
+
 @query("segment_silhouettes")
 def _(spark, folder):
     return segments.silhouette_scores(features.customer_features(star.transactions(spark, folder)))
@@ -1389,24 +1419,55 @@ def _(spark, folder):
     return churn_run(spark, folder).risks
 
 
-@query("churn_time_split_metrics")
-def _(spark, folder):
+def time_split(spark: SparkSession, folder: str):
+    """The model fitted to an early period, and the later one's customers with label and risk."""
     df = star.transactions(spark, folder)
     late = windows.choose_as_of(df)
     early = windows.choose_as_of(df, horizon_days=180)
     sides = []
     for as_of in (early, late):
-        frame = features.customer_features_asof(df, as_of)
-        labels = churn.forward_churn_labels(df, as_of, frame)
+        frame = materialize(features.customer_features_asof(df, as_of), "side")
+        labels = materialize(churn.forward_churn_labels(df, as_of, frame), "side-labels")
         sides.append((frame, labels))
     (train, train_labels), (test, test_labels) = sides
     result = churn.train_churn_model_time_split(
         train, test, features.select_feature_columns(train), train_labels, test_labels
     )
+    scored = churn.predict_churn_risk(result, test).join(test_labels, "customer_id")
+    return result, scored.select(F.col("churn").alias("label"), "churn_risk")
+
+
+@query("churn_time_split_metrics")
+def _(spark, folder):
+    result, _ = time_split(spark, folder)
     rows = sorted(result.metrics.items()) + [("test_size", float(result.metadata["test_size"]))]
     return spark.createDataFrame(rows, "metric string, value double")
 
 
+def recounted(scored: DataFrame) -> dict[str, float]:
+    """The metrics of (label, churn_risk), counted another way than the library does."""
+    test = scored.selectExpr("label = 1 AS y", "churn_risk >= 0.5 AS p", "churn_risk")
+    counted = test.selectExpr(
+        "avg(if(y = p, 1, 0)) AS accuracy",
+        "coalesce(try_divide(count_if(y AND p), count_if(p)), 0) AS precision",
+        "coalesce(try_divide(count_if(y AND p), count_if(y)), 0) AS recall",
+        "coalesce(try_divide(2 * count_if(y AND p), count_if(y) + count_if(p)), 0) AS f1",
+    ).first().asDict()
+    # The area under the curve by its trapezoids: those of the scores, from the highest down, in a
+    # thousand slices of the score first, so that no task holds them all.
+    slices = test.groupBy((F.col("churn_risk") * 1000).cast("int").alias("slice"), "churn_risk")
+    steps = slices.agg(F.count_if("y").alias("up"), F.count_if(~F.col("y")).alias("right"))
+    inside = Window.partitionBy("slice").orderBy(F.desc("churn_risk"))
+    height = F.sum("up").over(inside) - F.col("up") / 2
+    areas = steps.select("slice", "up", "right", (height * F.col("right")).alias("area")).groupBy("slice").agg(
+        F.sum("up").alias("up"), F.sum("right").alias("right"), F.sum("area").alias("area")
+    )
+    before = F.sum("up").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("slice"))) - F.col("up")
+    total = areas.select("up", "right", (F.col("area") + before * F.col("right")).alias("area"))
+    counted["roc_auc"] = total.agg(F.try_divide(F.sum("area"), F.sum("up") * F.sum("right"))).first()[0]
+    return counted
+
+
 ASOF_FEATURES = (
     "orders", "visits", "added_to_cart", "purchases", "revenue_total", "avg_discount",
     "avg_order_value", "recency_days", "cart_rate", "purchase_rate", "cart_to_purchase_rate",
@@ -1478,18 +1539,7 @@ def _(spark, folder):
 def _(spark, folder):
     """The metrics of the fit, counted again from the scored rows it did not learn from."""
     result, rows = churn_fit(spark, folder)
-    test = rows.where("is_test").selectExpr("label = 1 AS y", "churn_risk >= 0.5 AS p", "churn_risk")
-    counted = test.selectExpr(
-        "avg(if(y = p, 1, 0)) AS accuracy",
-        "coalesce(try_divide(count_if(y AND p), count_if(p)), 0) AS precision",
-        "coalesce(try_divide(count_if(y AND p), count_if(y)), 0) AS recall",
-        "coalesce(try_divide(2 * count_if(y AND p), count_if(y) + count_if(p)), 0) AS f1",
-    ).first().asDict()
-    # The area is the share of (churned, loyal) pairs in the right order, by histogram of scores.
-    scores = test.groupBy("churn_risk").agg(F.count_if("y").alias("hits"), F.count_if(~F.col("y")).alias("misses")).toPandas()
-    scores = scores.sort_values("churn_risk")
-    below = scores.misses.cumsum() - scores.misses / 2
-    counted["roc_auc"] = float((scores.hits * below).sum() / (scores.hits.sum() * scores.misses.sum()))
+    counted = recounted(rows.where("is_test"))
     same = [(name, abs(counted[name] - value) < 1e-9) for name, value in sorted(result.metrics.items())]
     return spark.createDataFrame(same, "metric string, recomputed boolean")
 
@@ -1497,13 +1547,18 @@ def _(spark, folder):
 @query(
     "churn_time_split_facts",
     with_tx(
-        "SELECT count(*) AS test_size, true AS in_range FROM known", AS_OF, FORWARD,
+        "SELECT count(*) AS test_size, count_if(churn = 1) AS churned, true AS recomputed FROM labels", AS_OF, FORWARD,
     ),
 )
 def _(spark, folder):
-    metrics = {r["metric"]: r["value"] for r in QUERIES["churn_time_split_metrics"](spark, folder).collect()}
-    size = int(metrics.pop("test_size"))
-    return spark.createDataFrame([(size, all(0 <= v <= 1 for v in metrics.values()))], "test_size bigint, in_range boolean")
+    """Who is measured, how many of them churned, and the metrics counted again from their risks."""
+    result, scored = time_split(spark, folder)
+    scored = materialize(scored, "scored-again")
+    size = result.metadata["test_size"]
+    counted = recounted(scored)
+    same = size == scored.count() and all(abs(counted[name] - value) < 1e-9 for name, value in result.metrics.items())
+    churned = scored.where("label = 1").count()
+    return spark.createDataFrame([(size, churned, same)], "test_size bigint, churned bigint, recomputed boolean")
 
 
 @query(

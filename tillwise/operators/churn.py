@@ -8,14 +8,14 @@ from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillwise.functions.scalars import named, safe_divide
 from tillwise.operators.features import align_features
+from tillwise.operators.logistic import LogisticFit, fit_logistic
 from tillwise.operators.ranks import value_counts_below
-from tillwise.operators.segments import fit_scaler, in_few_tasks, scale
+from tillwise.operators.segments import few_tasks, fit_scaler, scale
 from tillwise.operators.windows import future_purchases
 from tillwise.session import materialize
 
@@ -27,7 +27,7 @@ THRESHOLD = 0.5
 
 @dataclass(frozen=True)
 class ChurnModelResult:
-    model: LogisticRegressionModel
+    model: LogisticFit
     scaler: PipelineModel
     feature_columns: list[str]
     metrics: dict[str, float]
@@ -122,8 +122,8 @@ def stratified_split(
     )
 
 
-def _fit(train: DataFrame, feature_columns: list[str]) -> tuple[PipelineModel, LogisticRegressionModel]:
-    """Balanced regression on scaled features.
+def _fit(train: DataFrame, feature_columns: list[str]) -> tuple[PipelineModel, LogisticFit]:
+    """Balanced regression on scaled features, in a handful of passes.
 
     The penalty 1/rows equals a unit inverse-strength penalty on the summed loss, because
     the balanced weights add up to the number of rows.
@@ -135,19 +135,11 @@ def _fit(train: DataFrame, feature_columns: list[str]) -> tuple[PipelineModel, L
     scaler = fit_scaler(train, feature_columns)
     weight = F.when(F.col("label") == 1, rows / (2 * counts[1])).otherwise(rows / (2 * counts[0]))
     ready = scale(scaler, train, feature_columns).select(
-        "scaled", F.col("label").cast("double").alias("label"), weight.alias("weight")
+        vector_to_array("scaled").alias("x"), F.col("label").cast("double").alias("label"), weight.alias("weight")
     )
-    ready = in_few_tasks(ready, rows).persist(StorageLevel.MEMORY_AND_DISK)
-    model = LogisticRegression(
-        featuresCol="scaled",
-        labelCol="label",
-        weightCol="weight",
-        maxIter=MAX_ITERATIONS,
-        regParam=1.0 / rows,
-        elasticNetParam=0.0,
-        standardization=False,
-        tol=1e-7,
-    ).fit(ready)
+    tasks = few_tasks(rows)
+    ready = ready.where("label IN (0, 1)").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    model = fit_logistic(ready, len(feature_columns), rows, MAX_ITERATIONS, tasks)
     ready.unpersist()
     return scaler, model
 
@@ -159,12 +151,10 @@ def _doubles(features: DataFrame, feature_columns: Sequence[str]) -> DataFrame:
 
 
 def _score(
-    scaler: PipelineModel, model: LogisticRegressionModel, df: DataFrame, columns: list[str]
+    scaler: PipelineModel, model: LogisticFit, df: DataFrame, columns: list[str]
 ) -> DataFrame:
-    scored = model.transform(scale(scaler, df, columns))
-    return scored.withColumn("churn_risk", vector_to_array("probability")[1]).drop(
-        "scaled", "rawPrediction", "probability", "prediction"
-    )
+    scaled = scale(scaler, df, columns)
+    return scaled.withColumn("churn_risk", model.probability(vector_to_array("scaled"))).drop("scaled")
 
 
 def train_churn_model(

@@ -5,26 +5,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tillwise.functions.scalars import named
 from tillwise.operators.features import select_feature_columns
+from tillwise.operators.kmeans import KMeansFit, fit_kmeans
 from tillwise.operators.ranks import VALUES_PER_RANGE, exact_quantiles
+from tillwise.operators.silhouette import EXACT_ROWS, WITHIN, silhouette
 from tillwise.session import materialize
 
-# Starts per K-means fit, the best of which is kept, and its iteration limit.
-RESTARTS = 10
-MAX_ITERATIONS = 300
-PARALLEL_STARTS = 4
 ROWS_PER_TASK = 20_000
 MAX_SEGMENTS = 10_000
 # Weight of each rank in the segment score, and names by score quartile.
@@ -36,7 +31,7 @@ SEGMENT_NAMES = ("Champions", "Loyal", "Potential", "At-Risk")
 class SegmentationResult:
     customers: DataFrame
     segment_profiles: DataFrame
-    model: KMeansModel
+    model: KMeansFit
     scaler: PipelineModel
 
 
@@ -69,24 +64,15 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
     ).fit(_assembled(df, columns).select("_raw"))
 
 
-def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` in as many partitions as its rows deserve, for jobs that pass over it often."""
-    return df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+def few_tasks(rows: int) -> int:
+    """How many tasks ``rows`` deserve in jobs that pass over them often."""
+    return max(1, math.ceil(rows / ROWS_PER_TASK))
 
 
-def _best_kmeans(scaled: DataFrame, k: int, seed: int) -> KMeansModel:
-    """The start with the least cost; starts are independent, so some run side by side."""
-    kmeans = KMeans(
-        k=k, featuresCol="scaled", predictionCol="segment_id", maxIter=MAX_ITERATIONS
-    )
-    with ThreadPool(PARALLEL_STARTS) as pool:
-        models = pool.map(
-            inheritable_thread_target(scaled.sparkSession)(
-                lambda start: kmeans.copy({kmeans.seed: seed + start}).fit(scaled)
-            ),
-            range(RESTARTS),
-        )
-    return min(models, key=lambda model: model.summary.trainingCost)
+def scaled_points(scaler: PipelineModel, features: DataFrame, columns: Sequence[str], rows: int) -> DataFrame:
+    """The scaled features as arrays ``x``, in few tasks and kept for the passes of a fit."""
+    points = scale(scaler, features, columns).select(vector_to_array("scaled").alias("x"))
+    return points.coalesce(few_tasks(rows)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _numeric_features(features: DataFrame, customer_col: str) -> list[str]:
@@ -102,19 +88,20 @@ def segment_customers(
 ) -> SegmentationResult:
     """K-means over all numeric (not boolean) features; adds ``segment_id``.
 
-    The features are stored first and the scaled vectors kept in memory for the passes.
+    The features are stored first and the scaled points kept in memory for the passes, one per
+    iteration for all starts together.
     """
     if customer_col not in features.columns:
         raise ValueError(f"Missing column: {customer_col}")
     columns = _numeric_features(features, customer_col)
     features = materialize(features, "features")
+    rows = features.count()
     scaler = fit_scaler(features, columns)
-    scaled = in_few_tasks(scale(scaler, features, columns).select("scaled"), features.count())
-    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
-    model = _best_kmeans(scaled, n_clusters, random_state)
-    scaled.unpersist()
-    customers = model.transform(scale(scaler, features, columns)).drop("scaled")
-    customers = materialize(customers, "segmented")
+    points = scaled_points(scaler, features, columns, rows)
+    model = fit_kmeans(points, [n_clusters], random_state, few_tasks(rows))[n_clusters]
+    points.unpersist()
+    placed = scale(scaler, features, columns).withColumn("segment_id", model.nearest(vector_to_array("scaled")))
+    customers = materialize(placed.drop("scaled"), "segmented")
     return SegmentationResult(
         customers=customers,
         segment_profiles=segment_profiles(customers, columns),
@@ -215,22 +202,28 @@ def silhouette_scores(
     k_max: int = 8,
     random_state: int = 42,
     customer_col: str = "customer_id",
+    exact_rows: int = EXACT_ROWS,
+    within: float = WITHIN,
 ) -> DataFrame:
-    """Silhouette per number of segments.
+    """Mean silhouette in plain distance per number of segments.
 
-    The distance is squared Euclidean: that form needs one pass over the customers, where
-    the plain one needs every pair of them.
+    All numbers of segments are fitted together. Up to ``exact_rows`` customers the silhouettes
+    are exact, beyond that each is within ``within`` of its value; see ``silhouette``. A number
+    that gives a single segment, as few customers differ, has no row.
     """
     spark = features.sparkSession
     columns = _numeric_features(features, customer_col)
     features = materialize(features, "features")
     rows, scores = features.count(), []
-    if columns and rows >= 3:
-        scaled = scale(fit_scaler(features, columns), features, columns).select("scaled")
-        scaled = in_few_tasks(scaled, rows).persist(StorageLevel.MEMORY_AND_DISK)
-        evaluator = ClusteringEvaluator(featuresCol="scaled", predictionCol="segment_id")
-        for k in range(max(int(k_min), 2), min(int(k_max), rows - 1) + 1):
-            model = _best_kmeans(scaled, k, random_state)
-            scores.append((float(k), float(evaluator.evaluate(model.transform(scaled)))))
-        scaled.unpersist()
+    ks = range(max(int(k_min), 2), min(int(k_max), rows - 1) + 1)
+    if columns and rows >= 3 and len(ks):
+        points = scaled_points(fit_scaler(features, columns), features, columns, rows)
+        for k, model in fit_kmeans(points, ks, random_state, few_tasks(rows)).items():
+            score = silhouette(
+                points, F.col("x"), model.nearest(F.col("x")), len(model.centres), exact_rows, within,
+                tasks=few_tasks(rows), rows=rows,
+            )
+            if score is not None:
+                scores.append((float(k), score))
+        points.unpersist()
     return spark.createDataFrame(scores, "k double, silhouette double")
