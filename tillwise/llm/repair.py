@@ -43,7 +43,7 @@ class Encoder:
     whole way through the tokenizer.
     """
 
-    KEEP = 400_000
+    KEEP = 700_000
     # Letters, then ASCII marks but no apostrophe, which the tokenizer may join to letters.
     LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -112,39 +112,81 @@ def encoder(path: str) -> Encoder:
 # --- grammar ---------------------------------------------------------------------------
 
 
-def _apart(at: np.ndarray) -> np.ndarray:
-    """Of places in a row (k, k+1, ..) every other one, so that pairs don't overlap."""
-    fresh = np.concatenate([[True], np.diff(at) > 1])
+#: The threshold falls as soon as fewer pairs reach it: a round costs much the same for few.
+FEW_PAIRS = 256
+
+
+def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of matches at ``at``, each followed by the place ``after``, which don't overlap.
+
+    In a run of matches, each of which begins where the last one ends, every other one stays.
+    """
+    fresh = np.concatenate([[True], after[:-1] != at[1:]])
     begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - begin) % 2 == 0]
+    return np.flatnonzero((np.arange(len(at)) - begin) % 2 == 0)
+
+
+class _Sequence:
+    """Symbols in order; those that a pair swallowed stay in place until many have.
+
+    ``live`` marks places where a pair may begin that repeats.
+    """
+
+    def __init__(self, symbols: np.ndarray, last: np.ndarray):
+        self._hold(symbols, last, ~last)
+
+    def _hold(self, symbols: np.ndarray, last: np.ndarray, live: np.ndarray) -> None:
+        self.symbols, self.last, self.live = symbols, last, live
+        self.n, self.there = len(symbols), np.ones(len(symbols), bool)
+        self.after = np.arange(1, self.n + 1, dtype=np.int32)
+        self.before = np.arange(-1, self.n - 1, dtype=np.int32)
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.symbols[self.there], self.last[self.there]
+
+    def merge(self, at: np.ndarray, names: np.ndarray) -> None:
+        """Puts a new symbol for the one at each place and the one after it."""
+        gone = self.after[at]
+        self.symbols[at] = names
+        self.last[at] = self.last[gone]
+        self.there[gone] = self.live[gone] = False
+        beyond = self.after[gone]
+        self.after[at] = beyond
+        inside = beyond < len(self.there)
+        self.before[beyond[inside]] = at[inside]
+        # Only new symbols make pairs more frequent.
+        self.live[at] = ~self.last[at]
+        left = self.before[at]
+        left = left[left >= 0]
+        self.live[left] = ~self.last[left]
+        self.n -= len(at)
+        if self.n < 0.7 * len(self.there):
+            self._hold(*self.packed(), self.live[self.there])
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules). Rule k stands for symbol first_free + k.
 
     Rounds go on until no pair is seen ``LEAST`` times or no symbol is free. More frequent pairs
-    come first: the threshold falls only when no pair reaches it any more.
+    come first: the threshold falls only when few pairs reach it any more.
     """
-    symbols = ids.astype(np.uint16)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
+    text = _Sequence(ids.astype(np.uint16), last)
     rules = np.zeros((0, 2), np.uint16)
-    least = max(LEAST, len(symbols) // 20_000)
-    # Where a pair may begin that repeats: only new symbols make pairs more frequent.
-    live = ~last
+    least = max(LEAST, len(ids) // 20_000)
     while len(rules) < SYMBOLS - first_free:
-        places = np.flatnonzero(live)
+        places = np.flatnonzero(text.live)
         if not len(places):
             break
-        keys = (symbols[places].astype(np.uint32) << 16) | symbols[places + 1]
+        keys = (text.symbols[places].astype(np.uint32) << 16) | text.symbols[text.after[places]]
         slot = (keys * np.uint32(2654435761)) >> np.uint32(14)
         ordered = np.sort(keys)
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(starts, len(ordered)))
-        most = int(counts.max())
-        if most < LEAST:
+        if int(counts.max()) < LEAST:
             break
-        while most < least:
+        while least > LEAST and np.count_nonzero(counts >= least) < FEW_PAIRS:
             least = max(LEAST, least // 2)
         # A round takes only the most frequent pairs, so that these win overlaps.
         often = np.flatnonzero(counts >= least)
@@ -158,8 +200,9 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_free: int) -> tuple[np.
         table[own] = np.arange(len(chosen))
         rule = table[slot]
         found = np.flatnonzero(chosen[rule] == keys)
-        at = _apart(places[found])
-        rule = rule[found[np.searchsorted(places[found], at)]]
+        at = places[found]
+        alone = _apart(at, text.after[at])
+        at, rule = at[alone], rule[found[alone]]
         # Pairs that lost every overlap take no symbol.
         used = np.zeros(len(chosen), bool)
         used[rule] = True
@@ -169,20 +212,13 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_free: int) -> tuple[np.
         again = np.zeros(1 << 18, bool)
         enough = ordered[starts[counts >= LEAST]]
         again[(enough * np.uint32(2654435761)) >> np.uint32(14)] = True
-        live[places] = again[slot]
-        symbols[at] = name
-        last[at] = last[at + 1]
-        live[at] = True
-        live[at[at > 0] - 1] = True
-        stay = np.ones(len(symbols), bool)
-        stay[at + 1] = False
-        symbols, last, live = symbols[stay], last[stay], live[stay]
-        live &= ~last
-    closed = np.concatenate([[0], np.cumsum(last)])
+        text.live[places] = again[slot]
+        text.merge(at, name)
+    symbols, last = text.packed()
     ends = np.flatnonzero(last) + 1
     per = np.zeros(len(lengths), np.int64)
     per[lengths > 0] = np.diff(np.concatenate([[0], ends]))
-    assert closed[-1] == (lengths > 0).sum()
+    assert len(ends) == (lengths > 0).sum()
     return symbols, per, rules
 
 
