@@ -49,13 +49,61 @@ def corpus(seed, n_docs=40, vocabulary=30):
     return docs + docs[:3]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("held", [5, 100_000])
-def test_equals_the_rule(spark, monkeypatch, seed, held):
-    monkeypatch.setattr(substrings, "HELD_ROWS", held)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("batch", ["3", "2000"])
+def test_equals_the_rule(spark, monkeypatch, seed, batch):
+    """Small batches end inside of anchors, and split the documents that settle among themselves."""
+    monkeypatch.setattr(substrings, "small_batches", lambda df: df)
     monkeypatch.setattr(substrings, "FLUSH_BYTES", 700 if seed == 1 else 8_000_000)
-    rows = corpus(seed)
-    assert run(spark, rows) == plain(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = corpus(seed)
+        assert run(spark, rows) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.integers(0, 3), st.sampled_from([1, 5, 20])), max_size=30),
+    st.lists(st.integers(1, 7), max_size=10),
+)
+def test_meeting_is_the_same_however_rows_are_cut(stretches, cuts):
+    """Repeats, and what is to be extended, against the rule for whole anchors."""
+    import numpy as np
+
+    rows = sorted((k, m, d, s, n) for s, (k, m, d, n) in enumerate(stretches))
+    expected = []
+    for key in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == key]
+        open_ = len({r[2] for r in mine}) > 1 and (len({r[1] for r in mine}) > 1 or any(r[4] > 13 for r in mine))
+        for k, m, d, s, n in mine:
+            least = min(r[2] for r in mine if r[1] == m)
+            if d > least and n <= 13:
+                expected.append((d, s, n, None))
+            elif open_:
+                expected.append((d, s, n, k))
+    meeting, at, got = substrings._Meeting(), 0, []
+    for size in [*cuts, len(rows)]:
+        part = rows[at : at + size]
+        at += size
+        if part:
+            for doc, start, n, key in meeting.meet(*(np.array(c, np.int64) for c in zip(*part))):
+                keys = [None] * len(doc) if key is None else key.tolist()
+                got += zip(doc.tolist(), start.tolist(), n.tolist(), keys)
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_an_anchor_in_differing_surroundings_takes_no_memory():
+    """Of an open anchor only the rows of one document wait, however many come."""
+    import numpy as np
+
+    meeting, n = substrings._Meeting(), 1000
+    for part in range(50):
+        names = np.arange(part * n, (part + 1) * n)
+        meeting.meet(np.zeros(n, np.int64), names, names, names % 7, np.full(n, 9))
+        assert sum(len(w[0]) for w in meeting.waiting) <= 1
 
 
 def test_odd_rows(spark):
@@ -72,44 +120,35 @@ def test_odd_rows(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=60), min_size=1, max_size=6))
 def test_stretches_cover_each_window_once(docs):
-    """Each window is in one stretch or settled range; equal windows have equal anchors."""
+    """Each window is in one stretch or settled range; equal windows have equal anchors, equal names equal words."""
     import numpy as np
 
     texts = [" ".join(d).encode() for d in docs]
     ids = np.arange(len(docs)) * 10
-    (anchor, doc, start, count, marks), done = substrings.stretches(ids, [substrings._word_hashes(t) for t in texts])
-    seen, of = [], {}
-    for a, d, s, c, m in zip(anchor.tolist(), doc.tolist(), start.tolist(), count.tolist(), marks):
-        assert len(m) == c * substrings.MARK
+    (anchor, name, doc, start, count), done = substrings.stretches(ids, [substrings._word_hashes(t) for t in texts])
+    seen, of, called = [], {}, {}
+    for a, m, d, s, c in zip(*(x.tolist() for x in (anchor, name, doc, start, count))):
+        if c <= 13:
+            words = tuple(docs[d // 10][s : s + c + 12])
+            assert called.setdefault((a, m), words) == words
         for k in range(c):
             seen.append((d, s + k))
-            w = tuple(docs[d // 10][s + k : s + k + 13])
-            assert of.setdefault(w, (a, m[k * substrings.MARK : (k + 1) * substrings.MARK])) == (a, m[k * substrings.MARK : (k + 1) * substrings.MARK])
+            assert of.setdefault(tuple(docs[d // 10][s + k : s + k + 13]), a) == a
     for d, s, c in zip(*(x.tolist() for x in done)):
         seen += [(d, s + k) for k in range(c)]
     assert sorted(seen) == [(i * 10, k) for i, d in enumerate(docs) for k in range(len(d) - 12)]
 
 
-def _met(rows):
-    """Ranges found by both steps, in this process."""
-    import pyarrow as pa
-    import pyarrow.compute  # noqa: F401
-
-    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": t.encode()} for d, t in rows])
-    sent = pa.Table.from_batches(substrings._send(iter([batch]))).sort_by([("key", "ascending"), ("doc", "ascending")])
-    return [tuple(r.values()) for b in substrings._meet(iter(sent.combine_chunks().to_batches())) for r in b.to_pylist()]
-
-
-def test_windows_are_equal_by_all_bits_of_their_hash(monkeypatch):
+def test_windows_are_equal_by_all_bits_of_their_hash(spark, monkeypatch):
     """Windows of one anchor whose hashes agree in the low five bytes stay apart."""
     import numpy as np
 
     rolled = substrings._rolled
     monkeypatch.setattr(substrings, "_rolled", lambda h, width, f: rolled(h, width, f) << np.uint64(40 if width == substrings.SPAN else 0))
     middle = [f"m{i}" for i in range(12)]
-    rows = [(d, " ".join([f"a{d}", *middle, f"b{d}"])) for d in range(20)]
-    assert _met(rows) == []
-    assert sorted(_met([(0, " ".join(["x", *middle])), (1, " ".join(["x", *middle, "y"]))])) == [(1, 0, 1)]
+    texts = [" ".join([f"a{d}", *middle, f"b{d}"]) for d in range(20)]
+    (key, name, doc, start, n), _ = substrings.stretches(np.arange(20), [substrings._word_hashes(t.encode()) for t in texts])
+    assert len(np.unique(name)) == len(name)
 
 
 def around_one_run(n=300):
@@ -137,7 +176,7 @@ def test_very_common_anchors_are_dealt_out_by_window(spark, monkeypatch):
     most = []
     for anchors in (hot, None):
         sent = known.mapInArrow(lambda b, hot=anchors: substrings._send(b, hot), substrings.SCHEMA)
-        most.append(sent.where("marks IS NOT NULL").groupBy("key").count().agg({"count": "max"}).head()[0])
+        most.append(sent.where("name IS NOT NULL").groupBy("key").count().agg({"count": "max"}).head()[0])
     assert most[0] <= 40 < most[1]
     assert run(spark, rows) == plain(rows)
 

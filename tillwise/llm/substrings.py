@@ -2,15 +2,20 @@
 
 Seeds are winnowed anchors: of nine neighbouring five-word runs the one with the smallest
 hash. Thirteen words hold nine such runs, so a passage of thirteen words has the same anchor
-wherever it stands. Windows in a row that share their anchor form one stretch around it.
-Stretches meet by anchor; there the windows around it, which lay thirteen words over the
-anchor in every way to the left and to the right, are compared, each against the smallest
-document that has it. Windows found in a smaller document join to maximal repeats.
+wherever it stands. Windows in a row that share their anchor form one stretch around it, and
+documents are joined on anchors. A stretch brings its name along, a hash of all its words.
+
+Stretches with one anchor and one name are the same words, so all but those of the smallest
+document are repeats as they stand; this settles the inside of every passage. Where names
+differ, at the ends of passages and in near copies, matches are extended: the windows of these
+stretches, which lie over the anchor in every way to the left and to the right, are compared
+one by one. Windows found in a smaller document join to maximal repeats.
 
 No pairs of documents are made: a passage in m documents costs m rows. Equal stretches inside
 one batch are settled there, so that a passage of very many documents gives a row per batch.
-A very common anchor in differing surroundings would still be a group without bound. Such
-anchors are counted first; their windows meet one by one, by anchor and window.
+Rows meet in order, and what a task holds of an open anchor are the rows of one document. An
+anchor with so many rows that it alone would be a task's work is found by a count beforehand;
+its windows meet one by one, by anchor and window.
 """
 
 from __future__ import annotations
@@ -24,13 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tillwise.llm.common import giving_back, small_batches, texts
+from tillwise.session import materialize
 
 SPAN = 13
 SEED = 5
-#: Bytes of a window's hash that are compared: all, since windows of one anchor differ in nothing else.
-MARK = 8
 FLUSH_BYTES = 8_000_000
-HELD_ROWS = 100_000
 #: An anchor of more stretches is dealt out by window.
 HOT_ROWS = 20_000
 #: Anchors that a task counts at once.
@@ -63,41 +66,54 @@ def _ranges(document: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple
     return document[at], start[at], np.add.reduceat(count, at)
 
 
+def _seeds(h: np.ndarray) -> np.ndarray:
+    return _rolled(h, SEED, 0x9DDFEA08EB382D69)
+
+
+def _windows(h: np.ndarray) -> np.ndarray:
+    return _rolled(h, SPAN, 0xC2B2AE3D27D4EB4F)
+
+
+def _own(anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """A key for each window of an anchor."""
+    return _mix(anchor ^ _mix(window))
+
+
 def stretches(doc_ids: np.ndarray, hashes: list[np.ndarray], hot: np.ndarray | None = None) -> tuple[tuple, tuple]:
     """Stretches to compare elsewhere, and ranges of windows settled here.
 
-    The first: anchor, doc, start, windows, marks (bytes per stretch); the second: doc, start,
-    windows. Where equal stretches are in documents with different ids, all but those of the
-    smallest id are settled. A window of an anchor in ``hot`` is a stretch of its own, with an
-    anchor of its own.
+    The first: anchor, name, doc, start, windows; the second: doc, start, windows. Where equal
+    stretches are in documents with different ids, all but those of the smallest id are settled.
+    A window of an anchor in ``hot`` is a stretch of its own, with an anchor of its own. Names
+    tell the words of stretches of up to thirteen windows.
     """
     lengths = np.array([len(h) for h in hashes])
     h = np.concatenate(hashes)
     none = np.zeros(0, np.int64)
     if len(h) < SPAN:
-        return (none, none, none, none, []), (none, none, none)
-    seeds = _rolled(h, SEED, 0x9DDFEA08EB382D69)
+        return (none, none, none, none, none), (none, none, none)
+    seeds = _seeds(h)
     low = seeds
     for step in (1, 2, 4):
         low = np.minimum(low[:-step], low[step:])
     low = np.minimum(low[: len(h) - SPAN + 1], seeds[8 : 8 + len(h) - SPAN + 1])
-    window = _rolled(h, SPAN, 0xC2B2AE3D27D4EB4F)
+    window = _windows(h)
     of = np.repeat(np.arange(len(lengths)), lengths)
     begin = np.cumsum(lengths) - lengths
     inside = of[: len(window)] == of[SPAN - 1 :]
     at = np.flatnonzero(inside)
     if not len(at):
-        return (none, none, none, none, []), (none, none, none)
+        return (none, none, none, none, none), (none, none, none)
     fresh = np.concatenate([[True], (low[at[1:]] != low[at[:-1]]) | (of[at[1:]] != of[at[:-1]])])
     alone = np.isin(low[at].view(np.int64), hot) if hot is not None and len(hot) else np.zeros(len(at), bool)
     first = np.flatnonzero(fresh | alone)
     count = np.diff(np.append(first, len(at)))
     place = at[first]
     anchor, document = low[place], doc_ids[of[place]]
-    anchor = np.where(alone[first], _mix(anchor ^ _mix(window[place])), anchor)
+    anchor = np.where(alone[first], _own(anchor, window[place]), anchor)
     start = place - begin[of[place]]
     # Both ends name a stretch whose windows leave no word between them.
-    name = _mix(anchor ^ _mix(window[place])) + _mix(window[place + count - 1] + count.astype(np.uint64))
+    name = _own(anchor, window[place]) + _mix(window[place + count - 1] + count.astype(np.uint64))
     order = np.lexsort((document, name))
     same = np.concatenate([[False], name[order][1:] == name[order][:-1]])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
@@ -105,13 +121,10 @@ def stretches(doc_ids: np.ndarray, hashes: list[np.ndarray], hot: np.ndarray | N
     settled[order] = document[order] > document[order][head]
     settled &= count <= SPAN
     sent = np.flatnonzero(~settled)
-    marks = window.view(np.uint8).reshape(-1, MARK)
-    kept = [marks[p : p + c].tobytes() for p, c in zip(place[sent].tolist(), count[sent].tolist())]
-    out = (anchor[sent].view(np.int64), document[sent], start[sent], count[sent], kept)
+    out = (anchor[sent].view(np.int64), name[sent].view(np.int64), document[sent], start[sent], count[sent])
     done = np.flatnonzero(settled)
     # Ranges of one row only: two rows may carry the same id.
-    _, starts, counts = _ranges(of[place[done]], start[done], count[done])
-    rows, _, _ = _ranges(of[place[done]], start[done], count[done])
+    rows, starts, counts = _ranges(of[place[done]], start[done], count[done])
     return out, (doc_ids[rows], starts, counts)
 
 
@@ -120,7 +133,7 @@ def _word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-SCHEMA = "key long, doc long, start int, n int, marks binary"
+SCHEMA = "key long, name long, doc long, start int, n int"
 RANGES = "doc long, start int, n int"
 
 
@@ -164,10 +177,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_anchors(known: DataFrame) -> np.ndarray:
-    """All anchors of more than ``HOT_ROWS`` stretches, maybe with some of half as many.
+    """Anchors of so many stretches that they would make a task long: their windows meet one by one.
 
-    In large tables the bound is a fixed share of all stretches instead, a few times one in
-    ``COUNTED``, which is less than a task's part of them.
+    All of more than ``HOT_ROWS`` are found, or of more than a few times a ``COUNTED``-th of all
+    stretches, if that is more. The latter is less than an even share of a task in any cluster of
+    fewer tasks, and memory does not depend on the bound: rows of an anchor pass through a task
+    in order, and only those of one document wait.
     """
     counts = known.mapInArrow(giving_back(_count), COUNTS).groupBy("key").agg(F.sum("n").alias("n"), F.sum("missed").alias("missed"))
     # No more than ``COUNTED`` anchors can pass the bound below.
@@ -178,105 +193,141 @@ def common_anchors(known: DataFrame) -> np.ndarray:
 
 
 def _send(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    for (key, doc, start, n, marks), done in _cut_up(batches, hot):
+    """Stretches, and ranges that are settled, which have no name and go anywhere."""
+    for (key, name, doc, start, n), done in _cut_up(batches, hot):
         spread = _mix(done[0].astype(np.uint64) * np.uint64(31) + done[1].astype(np.uint64)).view(np.int64)
         columns = [np.concatenate(x) for x in zip((key, doc, start, n), (spread, *done))]
-        arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-        arrays.append(pa.array([*marks, *[None] * len(spread)], pa.binary()))
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "start", "n", "marks"])
+        key, doc, start, n = (pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32())))
+        names = pa.concat_arrays([pa.array(name, pa.int64()), pa.nulls(len(spread), pa.int64())])
+        yield pa.RecordBatch.from_arrays([key, names, doc, start, n], names=["key", "name", "doc", "start", "n"])
+
+
+#: Rows that have met: repeats, and with a key the stretches that are still to be extended.
+MET = "doc long, start int, n int, key long"
 
 
 class _Meeting:
-    """Stretches in order of anchor and document; gives the windows of larger documents."""
+    """Stretches in order of anchor, name and document.
+
+    Gives repeats, and of anchors that several documents hold under several names the stretches
+    that no equal one of a smaller document settles. Of the anchor still open only rows of one
+    document wait: once there are two documents and two names, rows are given at once.
+    """
 
     def __init__(self) -> None:
-        self.rows: list[tuple] = []
-        self.n_rows = 0
-        # Of the anchor that is still open: its windows so far, with their smallest document.
-        self.seen_key: int | None = None
-        self.seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        marks = batch.column("marks").combine_chunks() if isinstance(batch.column("marks"), pa.ChunkedArray) else batch.column("marks")
-        key, doc, start, n = (batch.column(c).to_numpy() for c in ("key", "doc", "start", "n"))
-        offsets = np.frombuffer(marks.buffers()[1], np.int32)[marks.offset : marks.offset + len(marks) + 1]
-        data = np.frombuffer(marks.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(marks) else np.zeros(0, np.uint8)
-        self.rows.append((key, doc, start, n, data))
-        self.n_rows += len(key)
-
-    def flush(self, last: bool) -> pa.RecordBatch:
-        """Compares what is held; without ``last`` the newest anchor stays open."""
-        key, doc, start, n, data = (np.concatenate(x) for x in zip(*self.rows))
-        n_rows = len(key)
-        self.rows, self.n_rows = [], 0
-        marks = data.view(np.uint64)
-        ends = np.cumsum(n.astype(np.int64))
-        # A stretch whose anchor nobody else has is done with.
-        close = np.zeros(n_rows, bool)
-        same = key[1:] == key[:-1]
-        close[1:] |= same
-        close[:-1] |= same
-        close |= key == (self.seen_key if self.seen_key is not None else key[0] - 1)
-        if not last:
-            close |= key == key[-1]
-        rows = np.flatnonzero(close)
-        many = n[rows].astype(np.int64)
-        of = np.repeat(np.arange(len(rows)), many)
-        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        mark = marks[np.repeat((ends - n)[rows], many) + within]
-        group, docs = key[rows][of], doc[rows][of]
-        if self.seen_key is not None:
-            old = len(self.seen[0])
-            group = np.concatenate([np.full(old, self.seen_key, np.int64), group])
-            mark, docs = np.concatenate([self.seen[0], mark]), np.concatenate([self.seen[1], docs])
-        else:
-            old = 0
-        # Documents rise inside an anchor, so the first of equal windows has the smallest.
-        order = np.lexsort((mark, group))
-        equal = np.concatenate([[False], (group[order][1:] == group[order][:-1]) & (mark[order][1:] == mark[order][:-1])])[: len(order)]
-        head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))
-        gone = np.zeros(len(order), bool)
-        gone[order] = docs[order] > docs[order][head]
-        if last:
-            self.seen_key = None
-            self.seen = (self.seen[0][:0], self.seen[1][:0])
-        else:
-            firsts = order[~equal]
-            firsts = firsts[group[firsts] == key[-1]]
-            self.seen_key, self.seen = int(key[-1]), (mark[firsts], docs[firsts])
-        gone = gone[old:]
-        at = np.flatnonzero(gone)
-        # One row's windows follow one another; rows stay apart by the row number.
-        row, starts, counts = _ranges(of[at], (start[rows].astype(np.int64)[of] + within)[at], np.ones(len(at), np.int64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[rows][row], pa.int64()), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())],
-            names=["doc", "start", "n"],
-        )
+        # The open anchor: key, newest name, that name's first document, the anchor's first
+        # document and name, and whether it has others of these.
+        self.open: tuple[int, int, int, int, int, bool, bool] | None = None
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+
+    def meet(self, key: np.ndarray, name: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[tuple]:
+        """(doc, start, n, key or None) of the next rows; the newest anchor stays open."""
+        carried = self.open is not None and key[0] == self.open[0]
+        fresh = np.concatenate([[not carried], key[1:] != key[:-1]])
+        other = fresh | np.concatenate([[not carried or name[0] != self.open[1]], name[1:] != name[:-1]])
+        # The first document of each name, and the first document and name of each anchor.
+        least = self._first(other, doc, self.open[2] if carried else None)
+        first_doc = self._first(fresh, doc, self.open[3] if carried else None)
+        first_name = self._first(fresh, name, self.open[4] if carried else None)
+        repeat = (doc > least) & (n <= SPAN)
+        out = [(doc[repeat], start[repeat], n[repeat], None)]
+
+        begin = np.flatnonzero(np.concatenate([[True], fresh[1:]]))
+        docs = np.logical_or.reduceat(doc != first_doc, begin)
+        names = np.logical_or.reduceat((name != first_name) | (n > SPAN), begin)
+        if carried:
+            docs[0] |= self.open[5]
+            names[0] |= self.open[6]
+        group = np.cumsum(np.concatenate([[True], fresh[1:]])) - 1
+        wanted = ~repeat
+        if self.waiting:
+            if carried and docs[0] and names[0]:
+                out += [(d, s, c, k) for k, d, s, c in self.waiting]
+            if not carried or docs[0] and names[0] or len(begin) > 1:
+                self.waiting = []
+        give = wanted & (docs & names)[group]
+        out.append((doc[give], start[give], n[give], key[give]))
+        self.open = (int(key[-1]), int(name[-1]), int(least[-1]), int(first_doc[-1]), int(first_name[-1]), bool(docs[-1]), bool(names[-1]))
+        if not (docs[-1] and names[-1]):
+            keep = wanted & (group == group[-1])
+            self.waiting.append((key[keep], doc[keep], start[keep], n[keep]))
+        return out
+
+    @staticmethod
+    def _first(fresh: np.ndarray, values: np.ndarray, before: int | None) -> np.ndarray:
+        """Of each row the value its group begins with; the first group may have begun before."""
+        head = np.maximum.accumulate(np.where(fresh, np.arange(len(values)), 0))
+        out = values[head]
+        if not fresh[0]:
+            out = np.where(np.cumsum(fresh) == 0, before, out)
+        return out
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     meeting = _Meeting()
     for batch in batches:
-        settled = batch.column("marks").is_null()
-        done = batch.filter(settled)
-        if done.num_rows:
-            yield done.select(["doc", "start", "n"])
-        batch = batch.filter(pa.compute.invert(settled))
-        if batch.num_rows:
-            meeting.add(batch)
-        if meeting.n_rows >= HELD_ROWS:
-            yield meeting.flush(last=False)
-    if meeting.n_rows:
-        yield meeting.flush(last=True)
-
-
-def repeated_windows(documents: DataFrame) -> DataFrame:
-    """(doc, start, n): runs of windows that also start in a document with a smaller id."""
-    known = documents.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
-    )
+        settled = batch.column("name").is_null()
+        done, rest = batch.filter(settled), batch.filter(pa.compute.invert(settled))
+        found = [(*(done.column(c).to_numpy() for c in ("doc", "start", "n")), None)]
+        if rest.num_rows:
+            found += meeting.meet(*(rest.column(c).to_numpy() for c in ("key", "name", "doc", "start", "n")))
+        columns = [np.concatenate([f[k] for f in found]) for k in range(3)]
+        keys = pa.concat_arrays([pa.nulls(len(f[0]), pa.int64()) if f[3] is None else pa.array(f[3], pa.int64()) for f in found])
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*arrays, keys], names=["doc", "start", "n", "key"])
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the stretches wanted of each text: (key, doc, start), a key for each window."""
+    for batch in batches:
+        keys, docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("_wanted")):
+            window = _windows(_word_hashes(text))
+            start, n, key = (wanted.values.field(c).to_numpy() for c in ("start", "n", "key"))
+            n = n.astype(np.int64)
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            anchor = np.repeat(key.view(np.uint64), n)
+            # Of rows that share an id one may be shorter than what was found in another.
+            there = at < len(window)
+            keys.append(_own(anchor[there], window[at[there]]).view(np.int64))
+            docs.append(np.full(int(there.sum()), doc, np.int64))
+            starts.append(at[there])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(c), t) for c, t in zip((keys, docs, starts), (pa.int64(), pa.int64(), pa.int32()))],
+            names=["key", "doc", "start"],
+        )
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows in order of key and document those that a smaller document has as well."""
+    last_key, first = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, doc, start = (batch.column(c).to_numpy() for c in ("key", "doc", "start"))
+        fresh = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+        least = _Meeting._first(fresh, doc, first)
+        last_key, first = int(key[-1]), int(least[-1])
+        gone = doc > least
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[gone], pa.int64()), pa.array(start[gone], pa.int32()), pa.array(np.ones(int(gone.sum())), pa.int32())],
+            names=["doc", "start", "n"],
+        )
+
+
+def repeated_windows(known: DataFrame) -> DataFrame:
+    """(doc, start, n): runs of windows that also start in a document with a smaller id.
+
+    ``known`` has a number ``doc_id`` and the bytes ``text``.
+    """
     sent = known.mapInArrow(giving_back(partial(_send, hot=common_anchors(known))), SCHEMA)
-    return sent.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(giving_back(_meet), RANGES)
+    ordered = sent.repartition("key").sortWithinPartitions("key", "name", "doc")
+    met = materialize(ordered.mapInArrow(giving_back(_meet), MET), "met")
+    open_ = met.where("key IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "key")).alias("_wanted"))
+    wanted = known.join(open_, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "_wanted")
+    windows = small_batches(wanted).mapInArrow(giving_back(_extend), "key long, doc long, start int")
+    more = windows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(giving_back(_repeats), RANGES)
+    return met.where("key IS NULL").select("doc", "start", "n").union(more)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,10 +365,17 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     without an id neither removes nor loses words. Identical rows are one document; of rows
     that share an id but not a text, all lose the word places that one of them loses.
     """
-    ranges = repeated_windows(documents).groupBy(F.col("doc").alias("_doc")).agg(
+    kind = dict(documents.select("doc_id").dtypes)["doc_id"]
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    known = rows.where("doc_id IS NOT NULL")
+    ranges = repeated_windows(known).groupBy(F.col("doc").alias("_doc")).agg(
         F.collect_list(F.struct("start", "n")).alias("_ranges")
     )
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    joined = rows.join(ranges, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "_ranges")
-    kind = dict(rows.dtypes)["doc_id"]
-    return small_batches(joined).mapInArrow(giving_back(_cut), f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, kept string")
+    # Both joins of the texts are by document, so the texts are shuffled once.
+    joined = known.join(ranges, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "_ranges")
+    # Rows without an id lose nothing and are not dealt out by it.
+    none = F.lit(None).cast(joined.schema["_ranges"].dataType).alias("_ranges")
+    unknown = rows.where("doc_id IS NULL").select("doc_id", "text", none)
+    schema = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept string"
+    cut = small_batches(joined.union(unknown)).mapInArrow(giving_back(_cut), schema)
+    return cut.withColumn("doc_id", F.col("doc_id").cast(kind))
