@@ -29,9 +29,11 @@ def joined(spans):
 
 
 def plain_extra(text, base, model):
-    n, out = len(secrets.ALPHABET), []
+    n, out, taken = len(secrets.ALPHABET), [], bytearray(len(text or ""))
+    for a, _, b in base:
+        taken[a:b] = b"x" * (b - a)
     for m in re.finditer(secrets.STRINGS % secrets.LEAST_LENGTH, text or ""):
-        if any(a < m.end() and m.start() < b for a, _, b in base):
+        if any(taken[m.start() : m.end()]):
             continue
         codes = [secrets.ALPHABET.index(c) for c in m[0]]
         if sum(model.ratios[n * a + b] for a, b in zip(codes, codes[1:])) >= secrets.LEAST_RATIO:
@@ -117,3 +119,42 @@ def test_samples_are_bounded(spark):
     n = some.where("random").count()
     assert 50 < n < 200
     assert {r.string for r in some.select("string").distinct().collect()} == {"abc123abc123", "some", "words"}
+
+
+def seconds(df):
+    import time
+
+    begin = time.perf_counter()
+    row = df.collect()[0]
+    return time.perf_counter() - begin, row
+
+
+def test_very_long_runs_and_very_many_matches_take_no_square(spark, model):
+    """One run of a million characters; a hundred thousand matches; as many runs beside them."""
+    rng = random.Random(2)
+    letters = string.ascii_letters + string.digits
+    run = "".join(rng.choice(letters) for _ in range(1_000_000))
+    many = " ".join(f"token=abcd{k:06d}" for k in range(100_000))
+    mixed = " ".join(f"token=abcd{k:06d} {run[20 * k : 20 * k + 20]}" for k in range(40_000))
+    secrets.find_secrets(spark.createDataFrame([(0, "warm")], "doc_id long, text string"), model).collect()
+    for text, n in ((run, 1), (many, 100_000), (mixed, None)):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        took, row = seconds(secrets.find_secrets(df, model))
+        assert took < 10
+        base = plain_base(text)
+        assert [tuple(s) for s in row._spans] == sorted(base + plain_extra(text, base, model))
+        assert n is None or len(row._spans) == n
+
+
+def test_a_sample_of_any_table_is_of_the_size_said(spark):
+    """A share of 4,000 in 10^11 rows takes the rows whose hash is that small, and not none."""
+    from tillwise.llm.common import draw, drawn
+
+    share = 4_000 / 10**11
+    df = spark.range(200_000).select("id", draw("id").alias("draw"))
+    least = df.agg(F.min("draw")).first()[0]
+    assert int(share * (1 << 62)) > 10**11 and least < (1 << 62) / 10_000
+    assert 150 < df.where(drawn(0.001, "id")).count() < 250
+    assert df.where(drawn(1.0, "id")).count() == 200_000 and df.where("draw < 0").count() == 0
+    near = df.where(F.col("draw") < int(20 / 200_000 * (1 << 62))).count()
+    assert df.where(drawn(20 / 200_000, "id")).count() == near

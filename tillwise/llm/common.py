@@ -13,6 +13,8 @@ from tillwise.session import materialize
 # The bytes that end a word, and A-Z mapped to a-z.
 SPACES = "[^\\x20\\x09-\\x0D]+"
 LOWER = bytes(range(256)).lower()
+#: Bytes of a batch of rows that goes to Python; a single larger row is a batch of its own.
+BATCH_BYTES = 32 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -20,6 +22,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def draw(*columns: str) -> Column:
+    """A row's hash, from 0 to 2^62 - 1."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def drawn(share: float, *columns: str) -> Column:
+    """True for about ``share`` of all rows, by their hash; fine enough for any number of rows."""
+    return draw(*columns) < F.lit(min(1 << 62, max(1, int(share * (1 << 62)))))
+
+
+def set_aside(df: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``kept`` under names that clash with none, and what names them back."""
+    names = [c if c in kept else f"_aside{k}" for k, c in enumerate(df.columns)]
+    back = lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])
+    return df.toDF(*names), back
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     """The UTF-8 bytes of a text column, one value at a time; b"" for null."""
     for value in batch.column(name).cast(pa.large_binary()):
@@ -44,12 +63,14 @@ def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], It
 
 
 def small_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
-    """``df`` whose rows are to go to Python; from now on in batches of ``rows`` at most.
+    """``df`` whose rows are to go to Python; from now on in batches of ``rows`` and ``BATCH_BYTES`` at most.
 
     A worker holds a batch and what it makes of it at once, so with whole texts the usual ten
     thousand rows take more memory than the work does.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillwise.llm.common import drawn
+
 # The kinds in their order, their patterns, and the least length of the part
 # that decides whether a match counts (group 2 of an assignment, else the match).
 KINDS = ("assign", "access", "hex")
@@ -39,25 +42,94 @@ TRAIN_DOCUMENTS = 4_000
 BACK_OFF = 10
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+MATCHES = "array<struct<start:int,kind:int,end:int,match:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scan(array: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """An array of what ``step`` says of the elements in turn, with a state that goes along.
+
+    ``step`` takes the state and an element and returns (state, says), ``says`` a text without
+    commas. Texts grow by copying, so the array is cut into about as many parts as each has
+    elements: n elements take n times its root of copied bytes, not n times n.
+    """
+
+    def one(so_far: Column, x: Column) -> Column:
+        said = lambda r: F.concat(so_far["out"], F.lit(","), r["says"]).alias("out")
+        return _let(step(so_far["state"], x), lambda r: F.struct(r["state"].alias("state"), said(r)))
+
+    def part(so_far: Column, elements: Column) -> Column:
+        begin = F.struct(so_far["state"].alias("state"), F.lit("").alias("out"))
+        joined = lambda d: F.concat(so_far["out"], d["out"]).alias("out")
+        return _let(F.aggregate(elements, begin, one), lambda d: F.struct(d["state"].alias("state"), joined(d)))
+
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(array)))).cast("int")
+    cuts = F.sequence(F.lit(0), F.ceil(F.size(array) / size).cast("int") - 1)
+    parts = _let(size, lambda n: F.transform(cuts, lambda k: F.slice(array, k * n + 1, n)))
+    said = F.aggregate(parts, F.struct(zero.alias("state"), F.lit("").alias("out")), part, lambda s: s["out"])
+    none = F.array().cast("array<string>")
+    return F.when(F.size(array) > 0, F.split(F.substring(said, 2, (1 << 31) - 1), ",")).otherwise(none)
 
 
-def _places(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
+def _places(text: Column, pattern: str, group: int, least: int, kind: int, with_match: bool = False) -> Column:
     """Spans of a pattern's matches: what lies between matches gives their places."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    steps = F.arrays_zip(between.alias("gap"), matches.alias("match"), values.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    pieces = F.arrays_zip(
+        F.transform(between, F.length).alias("gap"), F.transform(matches, F.length).alias("length"),
+        F.transform(values, F.length).alias("value"), *([matches.alias("match")] if with_match else []),
+    )
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        spans = F.when(F.length(x["value"]) >= least, F.concat(state["spans"], span)).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+    def step(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct((start + x["length"]).alias("state"), start.cast("string").alias("says"))
+
+    def spans(p: Column) -> Column:
+        placed = F.arrays_zip(p.alias("p"), _scan(p, F.lit(0), step).alias("start"))
+        counted = F.filter(placed, lambda x: x["p"]["value"] >= least)
+
+        def span(x: Column) -> Column:
+            start = x["start"].cast("int")
+            match = [x["p"]["match"].alias("match")] if with_match else []
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["p"]["length"]).alias("end"), *match)
+
+        return F.transform(counted, span)
+
+    return F.when(text.rlike(pattern), _let(pieces, spans)).otherwise(F.array().cast(MATCHES if with_match else SPAN))
 
-    found = F.aggregate(steps, empty, step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+
+def _apart(runs: Column, spans: Column) -> Column:
+    """Of ``runs``, which don't overlap each other, those that overlap none of ``spans``.
+
+    Both go by in order of their start. What becomes of a run is said when the next one comes,
+    as a span may still begin inside of it; how far the spans so far reach goes along.
+    """
+    place = lambda x, is_run: F.struct(x["start"].alias("start"), F.lit(is_run).alias("is_run"), x["end"].alias("end"))
+    beyond = F.lit((1 << 31) - 1)
+    last = F.array(F.struct(beyond.alias("start"), F.lit(True).alias("is_run"), beyond.alias("end")))
+    everything = F.array_sort(F.concat(F.transform(spans, lambda x: place(x, False)), F.transform(runs, lambda x: place(x, True)), last))
+    # ``free``: the end of the run that waits, 0 once a span has met it, -1 before the first run.
+
+    def step(state: Column, x: Column) -> Column:
+        free, reach = state["free"], state["reach"]
+        after = F.when(
+            x["is_run"],
+            F.struct(F.when(reach <= x["start"], x["end"]).otherwise(0).alias("free"), reach.alias("reach")),
+        ).otherwise(
+            F.struct(F.when(free > x["start"], F.lit(0)).otherwise(free).alias("free"), F.greatest(reach, x["end"]).alias("reach"))
+        )
+        says = F.when(~x["is_run"] | (free < 0), "").when(free > 0, "1").otherwise("0")
+        return F.struct(after.alias("state"), says.alias("says"))
+
+    zero = F.struct(F.lit(-1).alias("free"), F.lit(0).alias("reach"))
+    said = _let(everything, lambda e: F.filter(_scan(e, zero, step), lambda t: t != ""))
+    kept = F.filter(F.arrays_zip(runs.alias("run"), said.alias("said")), lambda x: x["said"] == "1")
+    return F.when(F.size(runs) > 0, F.transform(kept, lambda x: x["run"])).otherwise(F.array().cast(MATCHES))
 
 
 def base_spans(text: Column) -> Column:
@@ -76,14 +148,17 @@ class Markov:
     ratios: list[float]
 
     def score(self, string: Column) -> Column:
+        """The sum over a string's neighbouring characters; it takes each character once."""
         n = len(ALPHABET)
         table = F.from_json(F.lit(json.dumps(self.ratios)), "array<double>")
-        code = lambda i: F.instr(F.lit(ALPHABET), F.substr(string, i, F.lit(1))) - 1
-        places = F.sequence(F.lit(1), F.length(string) - 1)
-        # A pair is looked up once; a string of one character has none.
-        pairs = F.transform(places, lambda i: F.get(table, code(i) * n + code(i + 1)))
-        total = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
-        return F.when(F.length(string) > 1, total).otherwise(0.0)
+        # Characters are single bytes, so a table by their codes finds their number.
+        numbers = F.array(*[F.lit(ALPHABET.find(chr(c))) for c in range(128)])
+        codes = F.transform(F.filter(F.split(string, ""), lambda c: c != ""), lambda c: F.get(numbers, F.ascii(c)))
+        step = lambda s, c: F.struct(
+            c.alias("last"), (s["sum"] + F.when(s["last"].isNull(), 0.0).otherwise(F.get(table, s["last"] * n + c))).alias("sum")
+        )
+        zero = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0.0).alias("sum"))
+        return F.aggregate(codes, zero, step, lambda s: s["sum"])
 
 
 def fit(samples: DataFrame) -> Markov:
@@ -117,13 +192,11 @@ def labelled_samples(documents: DataFrame, limit: int = TRAIN_DOCUMENTS) -> Data
     """Samples (string, random): the values of pattern matches, and ordinary words.
 
     They come from about ``limit`` documents, which is the bound of the training sample: those
-    whose hashed ids fall into that share of all.
+    with the smallest hashes. The bound on hashes is a share of 62 bits, so it holds for any
+    number of documents.
     """
     n = documents.where("text IS NOT NULL").count()
-    share = min(1.0, limit / max(1, n))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    some = documents.where(F.col("text").isNotNull() & chosen).select("text")
-    values = F.lit(None)
+    some = documents.where(F.col("text").isNotNull() & drawn(min(1.0, limit / max(1, n)), "doc_id", "text")).select("text")
     found = []
     for kind in KINDS:
         pattern, group, least = PATTERNS[kind]
@@ -147,15 +220,17 @@ def find_secrets(
     ``kind`` is a place in ``KINDS``; ``len(KINDS)`` marks strings that only the models found.
     Those are runs of ``least_length`` characters or more that touch no other span and whose
     log-likelihood ratio is at least ``least_ratio``. Places count code points. Null text is
-    empty; rows are independent, so repeated rows get the same spans.
+    empty; rows are independent, so repeated rows get the same spans. Columns of the input that
+    have the results' names are replaced. A text takes time in proportion to its length, but
+    for matches, whose number counts to the power of one and a half.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    based = documents.withColumn("_base", base_spans(F.col("text")))
-    runs = _places(text, STRINGS % least_length, 0, least_length, len(KINDS))
-    alone = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    string = lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"])
-    extra = F.filter(runs, lambda s: alone(s) & (model.score(string(s)) >= least_ratio))
-    return based.withColumn("_spans", F.array_sort(F.concat("_base", extra)))
+    rows = documents.drop("_base", "_spans").withColumn("_base", base_spans(F.col("text")))
+    runs = _places(text, STRINGS % least_length, 0, least_length, len(KINDS), with_match=True)
+    alone = _let(runs, lambda r: _apart(r, F.col("_base")))
+    random = F.filter(alone, lambda s: model.score(s["match"]) >= least_ratio)
+    extra = F.transform(random, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return rows.withColumn("_spans", F.array_sort(F.concat("_base", extra)))
 
 
 def as_text(spans: str) -> Column:

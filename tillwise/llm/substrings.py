@@ -277,8 +277,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*arrays, keys], names=["doc", "start", "n", "key"])
 
 
+WINDOWS = "key long, doc long, start int, settled boolean"
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the stretches wanted of each text: (key, doc, start), a key for each window."""
+    """The windows of the stretches wanted of each text, a key for each window.
+
+    Of windows that several documents of a batch have, those of the smallest go on; the others
+    are settled and go anywhere.
+    """
     for batch in batches:
         keys, docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("_wanted")):
@@ -292,23 +299,32 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(_own(anchor[there], window[at[there]]).view(np.int64))
             docs.append(np.full(int(there.sum()), doc, np.int64))
             starts.append(at[there])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(c), t) for c, t in zip((keys, docs, starts), (pa.int64(), pa.int64(), pa.int32()))],
-            names=["key", "doc", "start"],
-        )
+        key, doc, start = map(np.concatenate, (keys, docs, starts))
+        order = np.lexsort((doc, key))
+        key, doc, start = key[order], doc[order], start[order]
+        if len(key):
+            settled = doc > _Meeting._first(np.concatenate([[True], key[1:] != key[:-1]]), doc, None)
+        else:
+            settled = np.zeros(0, bool)
+        spread = _mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)).view(np.int64)
+        columns = (np.where(settled, spread, key), doc, start, settled)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "doc", "start", "settled"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of windows in order of key and document those that a smaller document has as well."""
     last_key, first = None, 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, doc, start = (batch.column(c).to_numpy() for c in ("key", "doc", "start"))
-        fresh = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        least = _Meeting._first(fresh, doc, first)
-        last_key, first = int(key[-1]), int(least[-1])
-        gone = doc > least
+        key, doc, start, settled = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc", "start", "settled"))
+        gone = settled.copy()
+        rest = np.flatnonzero(~settled)
+        if len(rest):
+            mine, docs = key[rest], doc[rest]
+            fresh = np.concatenate([[last_key is None or mine[0] != last_key], mine[1:] != mine[:-1]])
+            least = _Meeting._first(fresh, docs, first)
+            last_key, first = int(mine[-1]), int(least[-1])
+            gone[rest] = docs > least
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[gone], pa.int64()), pa.array(start[gone], pa.int32()), pa.array(np.ones(int(gone.sum())), pa.int32())],
             names=["doc", "start", "n"],
@@ -325,7 +341,7 @@ def repeated_windows(known: DataFrame) -> DataFrame:
     met = materialize(ordered.mapInArrow(giving_back(_meet), MET), "met")
     open_ = met.where("key IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "key")).alias("_wanted"))
     wanted = known.join(open_, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "_wanted")
-    windows = small_batches(wanted).mapInArrow(giving_back(_extend), "key long, doc long, start int")
+    windows = small_batches(wanted).mapInArrow(giving_back(_extend), WINDOWS)
     more = windows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(giving_back(_repeats), RANGES)
     return met.where("key IS NULL").select("doc", "start", "n").union(more)
 
