@@ -382,7 +382,9 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     that share an id but not a text, all lose the word places that one of them loses.
     """
     kind = dict(documents.select("doc_id").dtypes)["doc_id"]
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    # A cast that does nothing would keep Spark from seeing that both joins read the same shuffle.
+    number = F.col("doc_id") if kind == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = documents.select(number, F.col("text").cast("binary").alias("text"))
     known = rows.where("doc_id IS NOT NULL")
     ranges = repeated_windows(known).groupBy(F.col("doc").alias("_doc")).agg(
         F.collect_list(F.struct("start", "n")).alias("_ranges")
