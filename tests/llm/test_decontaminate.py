@@ -111,3 +111,15 @@ def test_index_finds_every_place(seed):
         for p, a, b in zip(phrases, low, high):
             places = sorted(index.locate(np.arange(a, b)).tolist())
             assert places == [i for i in range(len(text) - length + 1) if (text[i : i + length] == p).all()]
+
+
+def test_blocks_follow_one_another_and_ids_may_be_text(spark):
+    """Several blocks give a plan with one scan; items have text ids."""
+    docs = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(12)]
+    items = [(f"item-{k}", " ".join(f"w{k}x{j}" for j in range(5, 20))) for k in range(6)]
+    found = dc.find_benchmark_spans(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), block_words=30
+    )
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: (r._items, [(s.start, s.end) for s in r._spans]) for r in found.collect()}
+    assert got == {k: ([f"item-{k}"], [(5, 20)]) if k < 6 else ([], []) for k in range(12)}

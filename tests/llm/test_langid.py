@@ -85,3 +85,55 @@ def test_rejection_keeps_columns(spark):
     assert kept.columns == docs.columns
     assert kept.where("doc_id = 1000000").count() == 0
     assert kept.count() >= 0.99 * docs.count()
+
+
+def test_a_rare_language_is_learnt_with_the_others(spark):
+    """One document in a hundred is in a language of its own; the sample is a small part of all."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    common = ["the", "garden", "house", "water", "under", "light", "stone", "winter", "morning", "window"]
+    rare = ["zdrowie", "przyjaciel", "szczescie", "wszystko", "chrzan", "zrodlo", "krzyz", "mysz", "grzyb", "trzy"]
+    rows = []
+    for k in range(6_000):
+        lang = "rr" if k % 100 == 7 else "cc"
+        rows.append((k, " ".join(rng.choice(rare if lang == "rr" else common) for _ in range(60)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.labelled_windows(df, 120).groupBy("lang").count().collect()
+    counts = {r.lang: r["count"] for r in sample}
+    assert counts["cc"] == 60 and counts["rr"] >= 40
+    found = langid.identify(df, langid.train(df, 120))
+    assert found.where("_lang = lang").count() > 5_950
+    assert found.where((F.col("lang") == "rr") & (F.col("_lang") == "rr")).count() >= 58
+
+
+def test_forward_pass_written_out(spark):
+    """The probability of each class, from the definition of filters, pooling and softmax."""
+    net = langid.ByteNetwork(["a", "b", "c"], seed=5)
+    rng = np.random.default_rng(1)
+    net.bias[:] = rng.normal(0, 0.2, len(net.bias))
+    net.out_bias[:] = rng.normal(0, 0.2, 3)
+    x = rng.integers(0, 256, (4, langid.WINDOW)).astype(np.uint8)
+    expected = []
+    for row in x.tolist():
+        pooled, k = [], 0
+        for width in langid.WIDTHS:
+            for f in range(langid.FILTERS):
+                best = max(sum(net.tables[width][j][row[i + j], f] for j in range(width)) for i in range(len(row) - width + 1))
+                pooled.append(max(0.0, best + net.bias[k]))
+                k += 1
+        z = [sum(p * net.out[i, c] for i, p in enumerate(pooled)) + net.out_bias[c] for c in range(3)]
+        e = [np.exp(v - max(z)) for v in z]
+        expected.append([v / sum(e) for v in e])
+    assert np.allclose(net.probabilities(x), expected, atol=1e-4)
+
+
+def test_columns_may_have_any_names(spark):
+    rows = [(k, ("the house and the garden " if k % 2 else "das haus und der garten ") * 5, "en" if k % 2 else "de", "x") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    odd = df.selectExpr("*", "'l' AS _lang", "2 AS _score", "3 AS `a.b`", "4 AS _aside1")
+    kept = langid.keep_identified(odd)
+    assert kept.columns == odd.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, odd.collect()))
+    assert langid.identify(odd, langid.train(odd)).columns.count("_lang") == 1

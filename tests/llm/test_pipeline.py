@@ -76,3 +76,21 @@ def test_token_ids_and_the_whole_run(spark, stages):
         start += n
     again = sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect()), key=lambda r: r[1])
     assert again == got
+
+
+def test_stages_take_columns_of_any_names(spark):
+    """Extra columns that are named like those the stages work with come out as they went in."""
+    from tillwise.llm import decontaminate, mixing, simhash
+
+    clashing = ("_n_words", "_spans", "_items", "_found_x", "_words", "_size", "_time", "_part", "_taken", "_gone", "size", "taken", "a.b", "fp")
+    texts = [f"number {k} is a text of its own with words like {k * 7919} and more" for k in range(30)]
+    rows = [(k, t, "en", "abc"[k % 3], len(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    for c in clashing:
+        df = df.selectExpr("*", f"'{c}' AS `{c}`")
+    bench = spark.createDataFrame([("item", "nothing of this is in any text")], "item_id string, text string")
+    for stage in (simhash.drop_near_duplicates, lambda d: decontaminate.drop_contaminated(d, bench), mixing.mix_documents):
+        out = stage(df)
+        assert out.columns == df.columns
+        values = {tuple(r)[5:] for r in out.collect()}
+        assert values == {clashing}

@@ -87,7 +87,7 @@ def test_odd_texts_and_extra_columns(spark, machine):
 
 def test_training_leaves_out_the_held_out_quarter_and_odd_labels(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(tox, "train_machine", lambda rows: seen.extend(rows))
+    monkeypatch.setattr(tox, "train_machine", lambda samples: seen.extend(samples.ask(lambda text, label: (text, label))))
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
     labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("toxic"))
     more = spark.createDataFrame([(None, 1), (7, None)], "doc_id long, toxic int")
@@ -114,3 +114,50 @@ def test_an_insult_at_the_end_counts_in_full(n):
     for end in ("", ".", "!!"):
         value, piece = machine.worst("z" * 30 + " bb" * n + " idiot" + end)
         assert value > 0.999 * alone and len(piece) == tox.PIECE
+
+
+def test_whole_texts_teach(spark):
+    """Insults after a hundred thousand clean characters are learnt; the sample is asked in tasks."""
+    rows = []
+    for k, (text, toxic) in enumerate(sample(120)):
+        rows.append((k, "garden river stone " * 6_000 + text if k % 3 == 0 else text, toxic))
+    df = spark.createDataFrame([(k, t, "x") for k, t, _ in rows], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    machine = tox.train(df.drop("toxic"), labels)
+    for word in INSULTS:
+        assert machine.score(f"the house {word} river") >= 0.3
+    assert machine.score("the yellow house and the river stone") < 0.3
+    held = tox.train_machine([(t, y) for k, t, y in rows if __import__("zlib").crc32(str(k).encode()) % 4 != 2])
+    assert held.score("a clown here") == pytest.approx(machine.score("a clown here"), abs=1e-6)
+
+
+def test_the_sample_is_the_limit_whatever_the_size(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tox, "train_machine", lambda samples: seen.append((samples.sizes(), len(samples.ask(lambda t, y: 1)))))
+    docs = spark.range(30_000).select((F.col("id") % 29_000).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = spark.range(29_000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 == 0).cast("int").alias("toxic"))
+    tox.train(docs, labels, limit=40)
+    assert seen == [({0: 80, 1: 40}, 120)]
+
+
+def test_letters_of_other_scripts_and_marks():
+    codes = lambda t: tox.codes_of(t).tolist()
+    assert codes("идиот") != codes("окофш") and codes("ИДИОТ") == codes("идиот")
+    assert len(set(codes("αβγδεζ"))) >= 6
+    # Curly quotes, dashes, emoji and zero-width marks are gaps.
+    assert codes("a\u2019b\u2014c\U0001F642d\u200be") == codes("a b c d e")
+
+
+def test_insults_in_another_script():
+    words = ["дом", "сад", "река", "камень", "музыка", "зима", "стол", "бумага"]
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(240):
+        text = list(rng.choice(words, 20))
+        if k % 3 == 0:
+            text[int(rng.integers(20))] = ["дурак", "идиот"][k % 2]
+        rows.append((" ".join(text), int(k % 3 == 0)))
+    machine = tox.train_machine(rows)
+    for word in ("дурак", "идиот", "ДУРАК", "и д и о т"):
+        assert machine.score(f"дом {word} река") >= 0.3
+    assert machine.score("дом сад река камень зима стол") < 0.3

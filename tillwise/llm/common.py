@@ -32,10 +32,13 @@ def drawn(share: float, *columns: str) -> Column:
     return draw(*columns) < F.lit(min(1 << 62, max(1, int(share * (1 << 62)))))
 
 
-def set_aside(df: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``df`` with all columns but ``kept`` under names that clash with none, and what names them back."""
+def set_aside(df: DataFrame, *kept: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with all columns but ``kept`` under plain names that clash with none, and what names them back.
+
+    The latter takes a frame made of the first and the names of new columns to keep.
+    """
     names = [c if c in kept else f"_aside{k}" for k, c in enumerate(df.columns)]
-    back = lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])
+    back = lambda out, *new: out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)], *new)
     return df.toDF(*names), back
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tillwise.llm.common import LOWER, giving_back, small_batches, texts
+from tillwise.llm.common import LOWER, giving_back, set_aside, small_batches, texts
 from tillwise.llm.fm_index import FmIndex
 from tillwise.session import materialize
 
@@ -31,7 +31,7 @@ RESULT = T.StructType(
     [
         T.StructField("_n_words", T.LongType()),
         T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-        T.StructField("_items", T.ArrayType(T.LongType())),
+        T.StructField("_items", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -43,8 +43,10 @@ def words_of(text: bytes) -> list[bytes]:
 class Phrases:
     """The windows of a block of items, as numbers of words, grouped by length."""
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         known: dict[tuple, int] = {}
+        self.ids = sorted({i for i, _ in items if i is not None})
+        number = {i: k for k, i in enumerate(self.ids)}
         self.vocabulary: dict[bytes, int] = {}
         owners: list[tuple[int, int]] = []
         for item_id, words in items:
@@ -53,7 +55,7 @@ class Phrases:
             for i in range(len(numbers) - length + 1) if length else ():
                 phrase = known.setdefault(tuple(numbers[i : i + length]), len(known))
                 if item_id is not None:
-                    owners.append((phrase, item_id))
+                    owners.append((phrase, number[item_id]))
         self.shortest = min(map(len, known), default=0)
         self.groups = []
         for length in sorted({len(p) for p in known}):
@@ -89,11 +91,11 @@ class Shard:
                 self.size += len(run) + 1
         self.n_words.append(len(words))
 
-    def hits(self) -> tuple[list[list[dict]], list[list[int]]]:
+    def hits(self) -> tuple[list[list[dict]], list[list[str]]]:
         """Per document its merged spans of hit words and the items found."""
         n = len(self.n_words)
         spans: list[list[dict]] = [[] for _ in range(n)]
-        items: list[list[int]] = [[] for _ in range(n)]
+        items: list[list[str]] = [[] for _ in range(n)]
         if not self.runs:
             return spans, items
         symbols = np.concatenate(self.runs)
@@ -127,7 +129,7 @@ class Shard:
             owner = np.arange(int(many.sum())) + np.repeat(at[found[:, 1]] - np.cumsum(many) + many, many)
             both = np.unique(np.stack([np.repeat(found[:, 0], many), self.phrases.owner[owner]], 1), axis=0)
             for d, item in both.tolist():
-                items[d].append(item)
+                items[d].append(self.phrases.ids[item])
         return spans, items
 
 
@@ -144,7 +146,7 @@ def merged(spans: list[dict]) -> list[dict]:
 
 def _scan(documents: DataFrame, phrases: Phrases) -> DataFrame:
     """One pass over the documents; adds to what an earlier pass has found."""
-    names = [c for c in documents.columns if not c.startswith("_found_")]
+    names = [c for c in documents.columns if c not in ("_found_spans", "_found_items")]
     again = "_found_spans" in documents.columns
     shared = documents.sparkSession.sparkContext.broadcast(phrases)
     schema = T.StructType([*documents.select(*[f"`{c}`" for c in names]).schema.fields, *RESULT.fields])
@@ -169,7 +171,7 @@ def _scan(documents: DataFrame, phrases: Phrases) -> DataFrame:
                         *[part.column(c) for c in names],
                         pa.array(shard.n_words, pa.int64()),
                         pa.array(spans, result_type),
-                        pa.array(items, pa.list_(pa.int64())),
+                        pa.array(items, pa.list_(pa.string())),
                     ],
                     names=[*names, "_n_words", "_spans", "_items"],
                 )
@@ -184,26 +186,31 @@ def find_benchmark_spans(
     """The documents' columns with ``_n_words``, ``_spans`` and ``_items``.
 
     ``_spans``: merged word ranges inside any occurrence of a window; ``_items``: ids of the
-    items that have one. A window is ``window`` consecutive words of an item, or all words of
-    a shorter one. The benchmark goes to all tasks in blocks of about ``block_words`` words,
-    one pass over the documents for each, so its size is not bound by a task's memory.
+    items that have one. A window is ``window`` consecutive words of an item, or all
+    words of a shorter one. The benchmark goes to all tasks in blocks of about ``block_words``
+    words, one pass over the documents for each. A pass is written before the next one begins, so
+    a task holds the phrases of one block, whatever the size of the benchmark.
 
     Null text has no words; an item without words has no window; an item without an id marks
-    words but is not listed; repeated items count once. Empty tables find nothing.
+    words but is not listed; repeated items count once. Empty tables find nothing. Ids may be of
+    any type. Columns of the input that have the results' names are replaced.
     """
-    items = benchmark.select("item_id", "text").dropDuplicates()
+    kind = dict(benchmark.dtypes)["item_id"]
+    documents, named_back = set_aside(documents.drop(*RESULT.names), "text")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropDuplicates()
     n_words = F.coalesce(F.regexp_count(F.lower("text"), F.lit(WORD_PATTERN)), F.lit(0))
     items = materialize(items.withColumn("_w", n_words), "items")
-    total, longest = items.agg(F.sum("_w"), F.max("_w")).first()
+    total = items.agg(F.sum("_w")).first()[0]
     n_blocks = max(1, -(-(total or 0) // block_words))
     found = documents
     for block in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         rows = [(r.item_id, words_of((r.text or "").encode())) for r in mine.toLocalIterator()]
         if block:
-            found = found.withColumnsRenamed({"_spans": "_found_spans", "_items": "_found_items"}).drop("_n_words")
+            found = materialize(found, "pass").withColumnsRenamed({"_spans": "_found_spans", "_items": "_found_items"}).drop("_n_words")
         found = _scan(found, Phrases(rows, window))
-    return found
+    found = found.withColumn("_items", F.array_sort(F.col("_items").cast(f"array<{kind}>")))
+    return named_back(found, *RESULT.names)
 
 
 def is_contaminated(n_hit, n_words, part: int = 20):
@@ -216,7 +223,8 @@ def hit_words(spans):
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
-    found = find_benchmark_spans(documents, benchmark, window)
+    """The documents that are not contaminated, unchanged; columns may have any names."""
+    rows, named_back = set_aside(documents, "text")
+    found = find_benchmark_spans(rows, benchmark, window)
     bad = is_contaminated(hit_words(F.col("_spans")), F.col("_n_words"))
-    return found.where(~bad).select(*[f"`{c}`" for c in documents.columns])
+    return named_back(found.where(~bad))

@@ -13,14 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tillwise.llm.common import LOWER, giving_back, held_out, small_batches, texts
+from tillwise.llm.common import LOWER, draw, giving_back, held_out, set_aside, small_batches, texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 TRAIN_DOCUMENTS = 1_500
+#: Documents that each language is learnt from at least, if it has so many.
+LEAST_DOCUMENTS = 50
 TRAIN_WINDOWS = 3
 BLOCK = 512
 NO_LETTERS = "und"
@@ -117,21 +119,38 @@ class ByteNetwork:
         return grads
 
 
-def train(documents: DataFrame, limit: int = TRAIN_DOCUMENTS, seed: int = 3) -> ByteNetwork:
-    """A network fitted to about ``limit`` labelled documents outside the held-out quarter.
+def labelled_windows(documents: DataFrame, limit: int) -> DataFrame:
+    """(draw, lang, cut): the training sample, as windows of bytes.
 
-    ``limit`` is the bound of the training sample: documents whose hashed ids fall into that
-    share of all. Of each, ``TRAIN_WINDOWS`` windows from anywhere in the text are learnt from.
+    Each language gets an equal part of ``limit`` documents, but ``LEAST_DOCUMENTS`` at least,
+    those with the smallest hashes, or all it has. So a rare language is learnt as well as a
+    common one. Hashes are first held against a share of 62 bits per language, which keeps
+    nearly all rows out of the ranking in a table of any size.
     """
     known = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    share = min(1.0, limit / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    each = max(LEAST_DOCUMENTS, limit // max(1, len(counts)))
+    # Twice the share wanted, and some more for small numbers.
+    bounds = {lang: min(1.0, (2 * each + 50) / n) * (1 << 62) for lang, n in counts.items()} or {"": 0.0}
+    bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
+    number = draw("doc_id", "text")
+    few = known.withColumn("draw", number).where(F.col("draw").cast("double") <= bound)
     # A window's bytes are all that the driver needs of a document.
     starts = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1)) for k in range(TRAIN_WINDOWS)]
     data = F.col("text").cast("binary")
-    cut = [F.substring(data, (s + 1).cast("int"), F.lit(WINDOW)) for s in starts]
-    rows = known.select("doc_id", "lang", F.array(*cut).alias("cut")).collect()
-    rows.sort(key=lambda r: (str(r.doc_id), r.lang, *map(bytes, r.cut)))
+    cut = F.array(*[F.substring(data, (s + 1).cast("int"), F.lit(WINDOW)) for s in starts])
+    ranked = few.select("draw", "lang", cut.alias("cut"), F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")).alias("place"))
+    return ranked.where(F.col("place") <= each).drop("place")
+
+
+def train(documents: DataFrame, limit: int = TRAIN_DOCUMENTS, seed: int = 3) -> ByteNetwork:
+    """A network fitted to about ``limit`` labelled documents outside the held-out quarter.
+
+    ``limit`` is the bound of the training sample; see ``labelled_windows``. Of each document
+    ``TRAIN_WINDOWS`` windows from anywhere in the text are learnt from.
+    """
+    rows = labelled_windows(documents, limit).collect()
+    rows.sort(key=lambda r: (r.draw, r.lang, *map(bytes, r.cut)))
     classes = sorted({r.lang for r in rows}) or [NO_LETTERS]
     net = ByteNetwork(classes)
     x = [windows(bytes(c)) for r in rows for c in dict.fromkeys(map(bytes, r.cut)) if has_letter(bytes(c))]
@@ -163,8 +182,9 @@ def identify(documents: DataFrame, net: ByteNetwork) -> DataFrame:
 
     Null text, empty text and text without a letter are ``und`` with score 0. Rows are
     independent of each other, so repeated rows get the same answer. Without training rows
-    every text is ``und``.
+    every text is ``und``. Columns of the input that have the results' names are replaced.
     """
+    documents, named_back = set_aside(documents.drop("_lang", "_score"), "text")
     shared = documents.sparkSession.sparkContext.broadcast(net)
     names = documents.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
@@ -189,16 +209,19 @@ def identify(documents: DataFrame, net: ByteNetwork) -> DataFrame:
                 names=[*names, "_lang", "_score"],
             )
 
-    return small_batches(documents).mapInArrow(giving_back(apply), f"{fields}, `_lang` string, `_score` double")
+    found = small_batches(documents).mapInArrow(giving_back(apply), f"{fields}, `_lang` string, `_score` double")
+    return named_back(found, "_lang", "_score")
 
 
 def keep_identified(documents: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents in a known language, unchanged.
 
     Rejected are texts without a letter, and texts for which no language reaches ``least``:
-    with four languages even an undecided network gives the best about a quarter.
+    with four languages even an undecided network gives the best about a quarter. Columns may
+    have any names.
     """
     net = train(documents)
-    found = identify(documents, net)
+    rows, named_back = set_aside(documents, "text")
+    found = identify(rows, net)
     good = (F.col("_lang") != NO_LETTERS) & (F.col("_score") >= least)
-    return found.where(good).select(*[f"`{c}`" for c in documents.columns])
+    return named_back(found.where(good))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillwise.llm.common import SPACES, running_totals
+from tillwise.llm.common import SPACES, running_totals, set_aside
 from tillwise.session import materialize
 
 Knots = Sequence[tuple[float, float]]
@@ -132,8 +132,9 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
 
     A document that is taken more than once gives a row for each time. The last time may be
     in part: then its text is cut after the words taken. Rows that share id, source and size
-    are treated alike, as the one of them that the mix takes most of.
+    are treated alike, as the one of them that the mix takes most of. Columns may have any names.
     """
+    documents, named_back = set_aside(documents, "doc_id", "source", "text")
     columns = documents.columns
     mixed = mix_sources(documents, **options)
     plan = mixed.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"))
@@ -152,4 +153,4 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     cut = F.array_join(words_kept, "")
     copies = copies.withColumn("_part", F.least(F.col("_size"), part))
     text = F.when(F.col("_part") < F.col("_size"), cut).otherwise(F.col("text"))
-    return copies.withColumn("text", text).select(*columns)
+    return named_back(copies.withColumn("text", text).select(*columns))

@@ -233,6 +233,5 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     without an id stay too, as nothing tells them apart.
     """
     found = near_duplicates(documents)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialize(gone, "gone")
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return documents.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])

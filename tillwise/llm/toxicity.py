@@ -12,14 +12,18 @@ every text is scored; a text is as toxic as its worst piece.
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.llm.common import giving_back, held_out, small_batches, texts
+from tillwise.llm.common import draw, giving_back, held_out, set_aside, small_batches, texts
+from tillwise.session import materialize
 
 DECAY = 0.8
 REACH = 5
@@ -27,33 +31,38 @@ STARTS = 10
 PIECE = STARTS + REACH
 CODES = 64
 TRAIN_DOCUMENTS = 1_000
-TRAIN_CHARS = 30_000
+#: Tasks that the sample is dealt to.
+TRAIN_TASKS = 8
 LANDMARKS = 256
 OFFSETS = [(a, b) for b in range(2, REACH + 1) for a in range(1, b)]
 THRESHOLD = 0.3
 
 
-def _code_table() -> np.ndarray:
-    """Code of each code point: 1 for what is no letter, letters alike in both cases."""
-    table = np.ones(0x250, np.uint8)
+@lru_cache(maxsize=1)
+def code_table() -> np.ndarray:
+    """Code of each code point: 1 for what is no letter, letters alike in both cases.
+
+    Latin letters have codes of their own as far as there are any. The letters of all other
+    scripts share 36 codes by a hash, so that a word of theirs keeps its shape.
+    """
+    table = np.ones(0x110000, np.uint8)
     codes: dict[str, int] = {}
     for c in range(0x250):
         low = chr(c).lower()
         if len(low) == 1 and low.isalpha() and ord(low) < 0x180:
             number = codes.setdefault(low, len(codes))
             table[c] = 2 + number if number < 56 else 58 + number % 6
+    for c in range(0x250, 0x110000):
+        if chr(c).isalpha():
+            table[c] = 28 + (ord(chr(c).lower()[0]) * 40503 >> 7) % 36
     return table
 
 
-CODE = _code_table()
-
-
 def codes_of(text: str) -> np.ndarray:
     """A text's codes; what is no letter becomes one 1, also around the text."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     out = np.ones(len(points) + 2, np.int32)
-    small = points < len(CODE)
-    out[1:-1] = np.where(small, CODE[np.where(small, points, 0)], 58 + points % 6)
+    out[1:-1] = code_table()[points]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 1) | (out[:-1] != 1)
     out = out[keep]
@@ -193,44 +202,105 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / spread, b - a * mean / spread
 
 
-def train_machine(samples: list[tuple[str, int]], rounds: int = 6, seed: int = 11) -> Machine:
-    """A machine from labelled texts.
+def words_in(text: str) -> set[str]:
+    return set("".join(c if c.isalpha() else " " for c in text.lower()).split())
+
+
+def draws_in(text: str) -> list[np.ndarray]:
+    """Two pieces from places that the text's hash gives."""
+    codes = codes_of(text)
+    seeds = (zlib.crc32(text.encode("utf-8", "replace")), zlib.crc32(text[::-1].encode("utf-8", "replace")))
+    return [codes[at : at + PIECE] for at in (s % (len(codes) - PIECE + 1) for s in seeds)]
+
+
+class Samples:
+    """Labelled whole texts, and what training asks of them; here in this process.
+
+    The driver never holds more of a text than a few pieces of it.
+    """
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        self.rows = rows
+
+    def sizes(self) -> dict[int, int]:
+        return {y: sum(label == y for _, label in self.rows) for y in (0, 1)}
+
+    def word_counts(self, often: int) -> list[tuple[str, int, int]]:
+        """(word, toxic texts, clean texts that have it) for words in ``often`` toxic texts or more."""
+        seen = {0: Counter(), 1: Counter()}
+        for text, label in self.rows:
+            seen[label].update(words_in(text))
+        return [(w, n, seen[0][w]) for w, n in seen[1].items() if n >= often]
+
+    def ask(self, question: Callable[[str, int], object]) -> list:
+        """The answers of all texts, None left out."""
+        return [a for text, label in self.rows if (a := question(text, label)) is not None]
+
+
+class TableSamples(Samples):
+    """The same of a table (text, toxic), asked in its tasks."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def sizes(self) -> dict[int, int]:
+        return {0: 0, 1: 0} | {r.toxic: r["count"] for r in self.rows.groupBy("toxic").count().collect()}
+
+    def word_counts(self, often: int) -> list[tuple[str, int, int]]:
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for text, label in zip(texts(batch), batch.column("toxic").to_pylist()):
+                    words = sorted(words_in(text.decode("utf-8", "replace")))
+                    columns = [pa.array(words, pa.string()), pa.array([label] * len(words), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["word", "toxic"])
+
+        words = self.rows.mapInArrow(giving_back(split), "word string, toxic int")
+        counts = words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
+        return [tuple(r) for r in counts.where(F.col("bad") >= often).collect()]
+
+    def ask(self, question: Callable[[str, int], object]) -> list:
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(texts(batch), batch.column("toxic").to_pylist())
+                found = [question(t.decode("utf-8", "replace"), label) for t, label in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f) for f in found if f is not None], pa.binary())], names=["answer"])
+
+        answers = self.rows.mapInArrow(giving_back(answer), "answer binary").collect()
+        return [pickle.loads(bytes(r.answer)) for r in answers]
+
+
+def train_machine(samples: Samples | list[tuple[str, int]], rounds: int = 6, seed: int = 11) -> Machine:
+    """A machine from labelled whole texts.
 
     A toxic text does not say which piece makes it so. The first guess is its word that is
     most peculiar to toxic texts; from then on it is the piece the last machine thinks worst.
     Of clean texts the worst piece so far is learnt as clean.
     """
+    if not isinstance(samples, Samples):
+        samples = Samples(samples)
     rng = np.random.default_rng(seed)
-    toxic = [t for t, y in samples if y == 1]
-    clean = [t for t, y in samples if y == 0]
-    if not toxic or not clean:
-        rate = len(toxic) / max(1, len(samples))
+    sizes = samples.sizes()
+    n_toxic, n_clean = sizes[1], sizes[0]
+    if not n_toxic or not n_clean:
+        rate = n_toxic / max(1, n_toxic + n_clean)
         return Machine(np.zeros(CODES**3), 1e-3, math.log((rate + 0.01) / (1.01 - rate)))
-    split = lambda t: set("".join(c if c.isalpha() else " " for c in t.lower()).split())
-    seen = {1: Counter(), 0: Counter()}
-    for y, group in ((1, toxic), (0, clean)):
-        for t in group:
-            seen[y].update(split(t))
-    odds = {w: math.log((n + 0.2) / (len(toxic) + 1)) - math.log((seen[0][w] + 0.2) / (len(clean) + 1)) for w, n in seen[1].items()}
     # A word must recur to be telling; how often, grows slowly with the sample.
-    often = max(2, round(0.01 * len(toxic)))
-    telling = {w: o for w, o in odds.items() if seen[1][w] >= often and o > 1.5}
+    often = max(2, round(0.01 * n_toxic))
+    telling = {}
+    for w, bad, good in samples.word_counts(often):
+        odds = math.log((bad + 0.2) / (n_toxic + 1)) - math.log((good + 0.2) / (n_clean + 1))
+        if odds > 1.5:
+            telling[w] = odds * math.log(1 + bad)
+    in_order = lambda pieces: sorted(pieces, key=lambda p: p.tolist())
+    best_word = lambda t, y: max(words_in(t) & telling.keys(), key=lambda w: (telling[w], w), default=None) if y else None
     as_piece = lambda w: codes_of(w)[:PIECE]
-    positive = []
-    for t in toxic:
-        best = max(split(t) & telling.keys(), key=lambda w: (telling[w] * math.log(1 + seen[1][w]), w), default=None)
-        if best is not None:
-            positive.append(as_piece(best))
-    top = sorted(telling, key=lambda w: (-telling[w] * math.log(1 + seen[1][w]), w))[: LANDMARKS // 2]
-    marks = [as_piece(w) for w in top]
+    positive = [as_piece(w) for w in sorted(samples.ask(best_word))] if telling else []
+    marks = [as_piece(w) for w in sorted(telling, key=lambda w: (-telling[w], w))[: LANDMARKS // 2]]
     if not marks:
-        marks = [codes_of(t)[:PIECE] for t in toxic[:8]]
-        positive = [codes_of(t)[:PIECE] for t in toxic]
-    random_pieces = []
-    for t in clean:
-        codes = codes_of(t)
-        for at in rng.integers(0, len(codes) - PIECE + 1, 2):
-            random_pieces.append(codes[at : at + PIECE])
+        positive = in_order(samples.ask(lambda t, y: as_piece(t) if y else None))
+        marks = positive[:8]
+    drawn = samples.ask(lambda t, y: None if y else draws_in(t))
+    random_pieces = in_order(p for pieces in drawn for p in pieces)
     picked = rng.permutation(len(random_pieces))[: LANDMARKS // 4]
     others = [random_pieces[k] for k in picked]
     hard: list[np.ndarray] = []
@@ -242,15 +312,16 @@ def train_machine(samples: list[tuple[str, int]], rounds: int = 6, seed: int = 1
         y = np.array([1] * (len(positive) + len(loose)) + [-1] * len(negative))
         table, _ = _kernel_machine(pieces, y, [*marks, *others, *hard[-LANDMARKS:]])
         machine = Machine(table, 1.0, 0.0)
-        found = [machine.worst(t, full=True) for t in clean]
-        negative += [p for _, p in found]
-        worst = sorted(range(len(found)), key=lambda k: -found[k][0])[: LANDMARKS // 4]
-        hard += [found[k][1] for k in worst]
-        line = np.quantile([v for v, _ in found], 0.95)
+        found = samples.ask(lambda t, y, machine=machine: (y, *machine.worst(t, full=True)))
+        found.sort(key=lambda f: (f[0], -f[1], f[2].tolist()))
+        clean = [(v, p) for y, v, p in found if y == 0]
+        negative += [p for _, p in clean]
+        hard += [p for _, p in clean[: LANDMARKS // 4]]
+        line = np.quantile([v for v, _ in clean], 0.95)
         # Toxic texts whose worst piece looks clean may be mislabelled; they teach nothing.
-        positive = [p for v, p in (machine.worst(t, full=True) for t in toxic) if v > line] or positive
-    values = np.array([machine.worst(t)[0] for t in [*toxic, *clean]])
-    slope, shift = _calibrate(values, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
+        positive = [p for y, v, p in found if y == 1 and v > line] or positive
+    values = sorted(samples.ask(lambda t, y: (y, machine.worst(t)[0])))
+    slope, shift = _calibrate(np.array([v for _, v in values]), np.array([float(y) for y, _ in values]))
     machine.slope, machine.shift = slope, shift
     return machine
 
@@ -258,29 +329,29 @@ def train_machine(samples: list[tuple[str, int]], rounds: int = 6, seed: int = 1
 def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> Machine:
     """A machine from labelled documents outside the held-out quarter.
 
-    ``limit`` bounds the sample: about so many toxic and so many clean documents, those whose
-    hashed ids fall into that share of their class; of each at most ``TRAIN_CHARS``
-    characters are learnt from. Scoring reads whole texts.
+    ``limit`` bounds the sample: so many toxic documents at most and twice as many clean ones,
+    those with the smallest hashed ids, whatever the size of the table. Their whole texts are
+    learnt from. Of rows that share an id the first text in order counts.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = F.lit(0)
-    for label, n in counts.items():
-        share = F.when(F.col("toxic") == label, int(1e6 * min(1.0, limit / n))).otherwise(share)
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    # At most about two times ``limit`` rows of two numbers.
-    rows = documents.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(some), "doc_id")
-    found = [(r.doc_id, r.text or "", r.toxic) for r in rows.toLocalIterator()]
-    return train_machine([(t, y) for _, t, y in sorted(found)])
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    first = [known.where(F.col("toxic") == y).orderBy(draw("doc_id"), "doc_id").limit(limit * (2 - y)) for y in (0, 1)]
+    # At most three times ``limit`` rows of two numbers.
+    some = F.broadcast(materialize(first[0].union(first[1]), "sample"))
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(some, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    few = rows.select(F.col("text").cast("binary").alias("text"), "toxic").repartition(TRAIN_TASKS)
+    return train_machine(TableSamples(materialize(few, "sample-texts")))
 
 
 def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
     """The documents' columns with ``_score``: 0 to 1, higher: toxic likelier.
 
     Every piece of a whole text counts. Null and empty texts are scored as a text without
-    letters. Rows are independent, so repeated rows score alike.
+    letters. Rows are independent, so repeated rows score alike. Columns may have any names; a
+    column that has the result's is replaced.
     """
+    documents, named_back = set_aside(documents.drop("_score"), "text")
     shared = documents.sparkSession.sparkContext.broadcast(machine)
     names = documents.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
@@ -291,4 +362,5 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
             values = [score(t.decode("utf-8", "replace")) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*names, "_score"])
 
-    return small_batches(documents).mapInArrow(giving_back(apply), f"{fields}, `_score` double")
+    found = small_batches(documents).mapInArrow(giving_back(apply), f"{fields}, `_score` double")
+    return named_back(found, "_score")
