@@ -12,6 +12,7 @@ from tillwise.operators.clean import (
     normalize_online_retail,
     rename_uploaded,
 )
+from tillwise.sources.quoted_csv import read_quoted_csv
 
 
 # What separates the fields of a text file, by its suffix.
@@ -36,9 +37,9 @@ def read_table(
 
     ``kind`` is csv, tsv or parquet; without it the suffix decides (compressed files too), and
     what has none is Parquet, so name the kind of a folder of CSV files. A quote inside a
-    quoted field is doubled. ``multi_line`` allows line breaks in quotes; Spark then reads each
-    file in one task, so it is the caller's choice. Without it such a record, like any other
-    that does not fit the header, is an error and never shifted or cut.
+    quoted field is doubled. ``multi_line`` allows line breaks in quotes; the files are then read
+    a time more, or two, to find where records begin, still in many tasks. Without it such a
+    record, like any other that does not fit the header, is an error and never shifted or cut.
 
     Leaving CSV columns as text saves the extra pass over the data that inferring types takes.
     """
@@ -49,9 +50,11 @@ def read_table(
         return spark.read.parquet(path)
     if found != "csv":
         raise ValueError(f"Unknown kind of table: {found}")
+    if multi_line:
+        return read_quoted_csv(spark, path, separator)
     # All columns are parsed even if few are used, else a bad record could go unseen.
     reader = spark.read.options(
-        header=True, sep=separator, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST", columnPruning=False
+        header=True, sep=separator, quote='"', escape='"', mode="FAILFAST", columnPruning=False
     )
     return reader.csv(path)
 
