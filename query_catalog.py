@@ -7,8 +7,13 @@ both sides; other floating-point results that two engines may round differently
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from datetime import datetime, timedelta
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tillwise.functions.scalars import elapsed_days, log1p_or_zero, safe_divide, shift_days
@@ -28,7 +33,7 @@ from tillwise.operators import (
 )
 from tillwise.plans import dashboard
 from tillwise.session import materialize, shared_scratch
-from tillwise.sources import readers, star_schema as star
+from tillwise.sources import readers, star_schema as star, workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,6 +307,63 @@ def _(spark, folder):
     return readers.load_online_retail(spark, path)
 
 
+# The least parts of a workbook; style 1 shows dates.
+BOOK_PARTS = {
+    "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="Other" r:id="r2"/><sheet name="Lines" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/>'
+    '<Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>',
+    "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="m/d/yyyy\\ h:mm"/></numFmts>'
+    '<cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>',
+    "xl/worksheets/sheet2.xml": "<worksheet><sheetData><row><c t='inlineStr'><is><t>nothing</t></is></c></row></sheetData></worksheet>",
+}
+
+
+def packed_workbook(names: list[str], rows: list[tuple]) -> bytes:
+    """A workbook of rows of text: numbers and moments as such, texts as shared strings."""
+    strings: dict[str, int] = {}
+
+    def cell(value: str | None) -> str:
+        if value is None:
+            return "<c/>"
+        try:
+            return f"<c><v>{float(value)!r}</v></c>"
+        except ValueError:
+            pass
+        try:
+            days = (datetime.fromisoformat(value) - datetime(1899, 12, 30)) / timedelta(days=1)
+            return f'<c s="1"><v>{days!r}</v></c>'
+        except ValueError:
+            return f'<c t="s"><v>{strings.setdefault(value, len(strings))}</v></c>'
+
+    body = "".join(f"<row>{''.join(map(cell, row))}</row>" for row in [tuple(names), *rows])
+    shared = "".join(f"<si><t>{escape(text)}</t></si>" for text in strings)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for path, part in BOOK_PARTS.items():
+            book.writestr(path, part)
+        book.writestr("xl/sharedStrings.xml", f"<sst>{shared}</sst>")
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def packed_workbooks(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, all text, as workbooks in a column ``content``; each batch is one."""
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rows = list(zip(*[c.to_pylist() for c in batch.columns]))
+                yield pa.RecordBatch.from_arrays([pa.array([packed_workbook(batch.schema.names, rows)])], names=["content"])
+
+    return df.mapInArrow(pack, "content binary")
+
+
+@query("load_online_retail_workbooks", RETAIL_SQL)
+def _(spark, folder):
+    books = materialize(packed_workbooks(star.online_retail(spark, folder)), "workbooks")
+    return clean.normalize_online_retail(workbook.sheet_table(books, "Lines"))
+
+
 @query("load_dataset_by_layout", RETAIL_SQL)
 def _(spark, folder):
     target = shared_scratch(spark, "retail") + ".csv"

@@ -163,7 +163,7 @@ def test_files_of_both_layouts(frame, tmp_path, spark):
     parquet = readers.write_table(retail(frame), str(tmp_path / "r"))
     assert readers.load_online_retail(spark, parquet, include_returns=True).count() == 3
     with pytest.raises(ValueError):
-        readers.load_dataset(spark, "sheet.xlsx")
+        readers.load_dataset(spark, "sheet.xls")
     renamed = readers.load_uploaded(spark, parquet, rename_only=True)
     assert renamed.where("order_id = 'i1'").first()["total_spend"] == 1.5
     assert readers.load_uploaded(spark, parquet).first()["total_spend"] == 3.0
@@ -281,9 +281,8 @@ def test_the_kind_of_a_file_is_stated_or_in_its_suffix(spark, tmp_path):
         f.write(text)
     for path, options in ((folder, {"kind": "csv"}), (tmp_path / "x.tsv", {}), (tmp_path / "y.csv.gz", {})):
         assert [r["Country"] for r in readers.read_table(spark, str(path), **options).collect()] == ["UK"]
-    for bad in ("a.xlsx", "a.xls"):
-        with pytest.raises(ValueError):
-            readers.read_table(spark, bad)
+    with pytest.raises(ValueError):
+        readers.read_table(spark, "a.xls")
     with pytest.raises(ValueError):
         readers.read_table(spark, "a", kind="xml")
 

@@ -96,3 +96,138 @@ def test_open_quotes_and_records_that_do_not_fit_are_errors(spark, tmp_path):
 def test_tabs_and_blank_lines(spark, tmp_path):
     (tmp_path / "a.tsv").write_text('a\tb\n\n1\t"x\ty"\n\n2\t"p\n\nq"\n')
     assert sorted(rows(readers.read_table(spark, str(tmp_path / "a.tsv"), multi_line=True))) == [("1", "x\ty"), ("2", "p\n\nq")]
+
+
+# --- workbooks ----------------------------------------------------------------------
+
+
+def book(tmp_path, name, sheet, strings="", styles="", workbook_pr=""):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / name, "w") as out:
+        main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+        out.writestr(
+            "xl/workbook.xml",
+            f'<workbook xmlns="{main}" xmlns:r="urn:r">{workbook_pr}<sheets><sheet name="First" sheetId="1" r:id="a"/>'
+            '<sheet name="Second" sheetId="2" r:id="b"/></sheets></workbook>',
+        )
+        out.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="b" Target="/xl/worksheets/two.xml"/><Relationship Id="a" Target="worksheets/one.xml"/></Relationships>')
+        out.writestr("xl/worksheets/one.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+        out.writestr("xl/worksheets/two.xml", f'<worksheet xmlns="{main}"><sheetData><row><c t="str"><v>x</v></c></row><row><c><v>7</v></c></row></sheetData></worksheet>')
+        if strings:
+            out.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{strings}</sst>')
+        if styles:
+            out.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}">{styles}</styleSheet>')
+    return str(tmp_path / name)
+
+
+STYLES = """<numFmts><numFmt numFmtId="170" formatCode="[Red]&quot;days&quot; 0.0"/><numFmt numFmtId="171" formatCode="yyyy\\-mm\\-dd"/></numFmts>
+<cellXfs><xf numFmtId="0"/><xf numFmtId="22"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs>"""
+
+
+def test_cells_of_all_kinds(spark, tmp_path):
+    strings = "<si><t>name</t></si><si><r><t>rich </t></r><r><t>text</t></r><rPh><t>aid</t></rPh></si><si><t>two\nlines &amp; more</t></si>"
+    sheet = """<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>when</t></is></c><c r="D1" t="s"><v>0</v></c></row>
+<row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2" s="1"><v>40513.351388888892</v></c><c r="C2"><v>2.5499999999999998</v></c><c r="D2"><v>17850</v></c></row>
+<row r="3"/>
+<row r="4"><c r="A4" t="s"><v>2</v></c><c r="B4" s="3"><v>40513</v></c><c r="C4" s="2"><v>3.0</v></c><c r="D4" t="e"><v>#N/A</v></c><c r="E4"><v>9</v></c></row>
+<row r="5"><c r="B5" t="b"><v>1</v></c><c r="C5" t="str"><f>A1</f><v>made</v></c><c r="D5" t="d"><v>2011-01-02T03:04:05</v></c></row>"""
+    path = book(tmp_path, "a.xlsx", sheet, strings, STYLES)
+    df = readers.read_table(spark, path)
+    assert df.columns == ["name", "when", "Unnamed: 2", "name.1"]
+    assert rows(df) == [
+        ("rich text", "2010-12-01 08:26:00", "2.55", "17850"),
+        ("two\nlines & more", "2010-12-01 00:00:00", "3", None),
+        (None, "true", "made", "2011-01-02 03:04:05"),
+    ]
+    assert rows(readers.read_table(spark, path, sheet="Second")) == [("7",)] == rows(readers.read_table(spark, path, sheet=1))
+
+
+def test_the_later_epoch_and_several_workbooks(spark, tmp_path):
+    one = '<row><c t="str"><v>a</v></c><c t="str"><v>b</v></c></row><row><c s="1"><v>1.5</v></c><c><v>1</v></c></row>'
+    two = '<row><c t="str"><v>b</v></c><c t="str"><v>a</v></c></row><row><c><v>2</v></c><c t="str"><v>x</v></c></row>'
+    book(tmp_path, "a.xlsx", one, styles=STYLES, workbook_pr='<workbookPr date1904="1"/>')
+    book(tmp_path, "b.xlsx", two)
+    assert sorted(rows(readers.read_table(spark, str(tmp_path), kind="xlsx").select("a", "b"))) == [("1904-01-02 12:00:00", "1"), ("x", "2")]
+
+
+def test_what_is_no_workbook_is_an_error(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_text("a,b")
+    with pytest.raises(Exception, match="Not a workbook"):
+        readers.read_table(spark, str(tmp_path / "a.xlsx"))
+    with pytest.raises(ValueError, match="Binary workbooks"):
+        readers.read_table(spark, str(tmp_path / "a.xls"))
+    path = book(tmp_path, "b.xlsx", "<row><c><v>1</v></c></row>")
+    with pytest.raises(Exception, match="no sheet"):
+        readers.read_table(spark, path, sheet="Third")
+
+
+def test_a_workbook_gives_the_rows_of_the_same_csv(spark, tmp_path):
+    import query_catalog
+    from tillwise.sources import star_schema as star, workbook
+
+    df = star.online_retail(spark, "/root/testdata/sf0.001")
+    csv_path = readers.write_table(df, str(tmp_path / "lines.csv"), "csv")
+    from_csv = readers.load_online_retail(spark, csv_path)
+    books = query_catalog.packed_workbooks(df.repartition(3))
+    assert books.count() >= 3
+    from tillwise.operators.clean import normalize_online_retail
+
+    assert sorted(rows(normalize_online_retail(workbook.sheet_table(books, "Lines"))), key=str) == sorted(rows(from_csv), key=str)
+
+
+# --- file order ---------------------------------------------------------------------
+
+
+def lines_in_files(tmp_path, kind, spark):
+    """Orders in shuffled order over several files; the lines as plain lists in file order."""
+    rng = random.Random(5)
+    lines = [(f"o{rng.randrange(40)}", f"i{rng.randrange(12)}") for _ in range(900)]
+    files = [lines[:250], lines[250:260], lines[260:]]
+    folder = tmp_path / kind
+    folder.mkdir()
+    for k, part in enumerate(files):
+        if kind == "csv":
+            written(folder, f"{k}.csv", part, header=["order_id", "product"])
+        else:
+            import pyarrow as pa
+            import pyarrow.parquet as pq
+
+            pq.write_table(pa.table({"order_id": [a for a, _ in part], "product": [b for _, b in part]}), folder / f"{k}.parquet", row_group_size=50)
+    return str(folder), lines
+
+
+def first_in_file(lines, max_orders, max_items, least):
+    """The rule in plain Python: the first orders to appear, and the first items of each."""
+    from collections import Counter
+    from itertools import combinations
+
+    orders = {}
+    for order, item in lines:
+        orders.setdefault(order, {}).setdefault(item)
+    counts = Counter()
+    for order in list(orders)[:max_orders]:
+        counts.update(combinations(sorted(list(orders[order])[:max_items]), 2))
+    return sorted(((a, b, n) for (a, b), n in counts.items() if n >= least), key=lambda r: (-r[2], r[:2]))
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_first_orders_and_items_in_file_order(spark, tmp_path, small_blocks, kind):
+    from tillwise.operators import baskets
+
+    folder, lines = lines_in_files(tmp_path, kind, spark)
+    df = readers.read_table(spark, folder, kind, file_order=True)
+    assert [tuple(r) for r in df.orderBy("file_order").select("order_id", "product").collect()] == lines
+    got = baskets.basket_pairs(df, min_pair_count=2, max_orders=15, max_items_per_order=4, order_by="file_order")
+    assert [tuple(r) for r in got.collect()] == first_in_file(lines, 15, 4, 2)
+    with pytest.raises(ValueError):
+        readers.read_table(spark, folder, "csv", multi_line=True, file_order=True)
+
+
+def test_last_label_in_file_order(spark, tmp_path, small_blocks):
+    from tillwise.operators.recency import latest_customer_label
+
+    folder, lines = lines_in_files(tmp_path, "csv", spark)
+    df = readers.read_table(spark, folder, "csv", file_order=True)
+    got = latest_customer_label(df, "product", "order_id", order_by=["file_order"])
+    assert dict(rows(got)) == dict(lines)

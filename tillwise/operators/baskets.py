@@ -21,26 +21,31 @@ def basket_pairs(
     max_orders: int | None = None,
     max_items_per_order: int | None = None,
     large_order: int = LARGE_ORDER,
+    order_by: str | None = None,
 ) -> DataFrame:
     """Pairs of items with the number of orders that hold both, the most frequent first.
 
     Every order and every item counts. ``max_orders`` and ``max_items_per_order`` are
-    limits on request: the first orders by id, the first items of an order by name.
+    limits on request: the first orders by id, the first items of an order by name; with
+    ``order_by``, a column of row places such as ``file_order`` of the readers, the orders and
+    items that come first in it.
     """
     spark = df.sparkSession
     if order_col not in df.columns or item_col not in df.columns:
         return spark.createDataFrame([], "item_a string, item_b string, pair_count bigint")
-    lines = df.select(
-        named(order_col).alias("order"), named(item_col).cast("string").alias("item")
-    ).dropna()
+    place = [] if order_by is None else [named(order_by).alias("place")]
+    lines = df.select(named(order_col).alias("order"), named(item_col).cast("string").alias("item"), *place)
+    lines = lines.dropna(subset=["order", "item"])
     # Each item of an order once, stored: everything below reads this small table.
-    lines = materialize(lines.distinct(), "basket-items")
+    once = lines.groupBy("order", "item").agg(F.min("place").alias("place")) if place else lines.distinct()
+    lines = materialize(once, "basket-items")
     if max_orders is not None:
-        first = lines.select("order").distinct().orderBy("order").limit(int(max_orders))
-        lines = keep_ids(lines, first, "order", int(max_orders))
+        orders = lines.groupBy("order").agg(F.min("place" if place else "order").alias("first"))
+        first = orders.orderBy("first", "order").limit(int(max_orders)).select("order")
+        lines = keep_ids(lines, first, "order")
     if max_items_per_order is not None:
-        lines = _first_items(lines, int(max_items_per_order))
-    lines = materialize(_frequent(lines, int(min_pair_count)), "frequent-items")
+        lines = _first_items(lines, int(max_items_per_order), ["place", "item"] if place else ["item"])
+    lines = _frequent(lines.select("order", "item"), int(min_pair_count))
 
     big = (
         lines.groupBy("order")
@@ -63,25 +68,28 @@ def basket_pairs(
     )
 
 
-def _first_items(lines: DataFrame, limit: int, slots: int = 64) -> DataFrame:
-    """The first ``limit`` items of each order by name.
+def _first_items(lines: DataFrame, limit: int, order: list[str], slots: int = 64) -> DataFrame:
+    """The first ``limit`` items of each order, by the columns ``order``.
 
     First within slots of an order, then of what is left, so that no task orders more than a
     slot of a very large order, or ``slots * limit`` items.
     """
     slot = F.pmod(F.xxhash64("item"), F.lit(slots))
     for keys in (["order", slot], ["order"]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("item"))
-        lines = lines.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        lines = lines.withColumn("number", number).where(F.col("number") <= limit).drop("number")
     return lines
 
 
 def _frequent(lines: DataFrame, min_pair_count: int) -> DataFrame:
-    """Without the items of too few orders: a pair is no more frequent than its rarer item."""
+    """Without the items of too few orders: a pair is no more frequent than its rarer item.
+
+    Items to leave out are in few lines, so looking them up is no burden for any task, and
+    where there are none, nothing is looked up.
+    """
     support = lines.groupBy("item").agg(F.count(F.lit(1)).alias("orders"))
-    often = support.where(F.col("orders") >= min_pair_count).withColumn("often", F.lit(True))
-    marked = left_join_unique(lines, often, "item", rows_per_key="orders", slot_by=["order"])
-    return marked.where("often").drop("often")
+    rare = materialize(support.where(F.col("orders") < min_pair_count).select("item"), "rare-items")
+    return lines if rare.isEmpty() else materialize(lines.join(rare, "item", "left_anti"), "frequent-items")
 
 
 def _pairs_in_small_orders(lines: DataFrame) -> DataFrame:

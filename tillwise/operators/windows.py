@@ -7,11 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from tillwise.functions.scalars import flag, moment, time_literal
+from tillwise.session import materialize
 
 # The selectable windows in days.
 WINDOW_DAYS = {"last_30d": 30, "last_90d": 90, "last_180d": 180}
-# A list of ids up to this length is sent to every executor.
-BROADCAST_IDS = 1_000_000
 
 
 def max_time(df: DataFrame, time_col: str = "order_date") -> datetime | None:
@@ -76,9 +75,9 @@ def choose_as_of(df: DataFrame, horizon_days: int = 90, time_col: str = "order_d
     return newest - timedelta(days=int(horizon_days))
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str, limit: int) -> DataFrame:
-    """Rows whose key is among ``ids``, a list of at most ``limit`` keys."""
-    return df.join(F.broadcast(ids) if limit <= BROADCAST_IDS else ids, key, "left_semi")
+def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``ids``; these are stored first, so Spark knows their size when it joins."""
+    return df.join(materialize(ids, "kept-ids"), key, "left_semi")
 
 
 def sample_customers(
@@ -94,7 +93,7 @@ def sample_customers(
     if ids.limit(limit + 1).count() <= limit:
         return df
     draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(customer_col).cast("string")))
-    return keep_ids(df, ids.orderBy(draw, customer_col).limit(limit), customer_col, limit)
+    return keep_ids(df, ids.orderBy(draw, customer_col).limit(limit), customer_col)
 
 
 def preview(df: DataFrame, order_by: list[str], limit: int = 1000) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Reading transactions from CSV or Parquet, and writing result tables."""
+"""Reading transactions from CSV, workbooks or Parquet, and writing result tables."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillwise.operators.clean import (
     coerce_transactions,
@@ -13,6 +13,7 @@ from tillwise.operators.clean import (
     rename_uploaded,
 )
 from tillwise.sources.quoted_csv import read_quoted_csv
+from tillwise.sources.workbook import read_workbook
 
 
 # What separates the fields of a text file, by its suffix.
@@ -21,33 +22,49 @@ COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
 
 
 def _kind(path: str) -> tuple[str, str]:
-    """(csv or parquet, separator) by the suffix, that of a compressed file being the one before."""
+    """(csv, xlsx or parquet, separator) by the suffix, that of a compressed file being the one before."""
     stem, suffix = os.path.splitext(path.rstrip("/").lower())
     if suffix in COMPRESSED:
         suffix = os.path.splitext(stem)[1] or ".csv"
-    if suffix in (".xlsx", ".xls"):
-        raise ValueError("Spreadsheets are not read; save the sheet as CSV or Parquet.")
+    if suffix in (".xlsx", ".xlsm"):
+        return "xlsx", ","
+    if suffix == ".xls":
+        raise ValueError("Binary workbooks are not read; save them as .xlsx, CSV or Parquet.")
     return ("csv", SEPARATORS[suffix]) if suffix in SEPARATORS else ("parquet", ",")
 
 
 def read_table(
-    spark: SparkSession, path: str, kind: str | None = None, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    kind: str | None = None,
+    multi_line: bool = False,
+    sheet: str | int = 0,
+    file_order: bool = False,
 ) -> DataFrame:
-    """The rows of ``path`` as stored: CSV with every column as text, or Parquet.
+    """The rows of ``path`` as stored: CSV or a workbook's ``sheet`` with every column as text, or Parquet.
 
-    ``kind`` is csv, tsv or parquet; without it the suffix decides (compressed files too), and
+    ``kind`` is csv, tsv, xlsx or parquet; without it the suffix decides (compressed files too), and
     what has none is Parquet, so name the kind of a folder of CSV files. A quote inside a
     quoted field is doubled. ``multi_line`` allows line breaks in quotes; the files are then read
     a time more, or two, to find where records begin, still in many tasks. Without it such a
     record, like any other that does not fit the header, is an error and never shifted or cut.
 
+    ``file_order`` adds a column of that name by which rows stand as in the files: those in order
+    of their paths, then the rows of each. It is for Parquet and for CSV without line breaks in
+    quotes, and for operators that take an ``order_by``.
+
     Leaving CSV columns as text saves the extra pass over the data that inferring types takes.
     """
     found, separator = _kind(path) if kind is None else (kind, ",")
     if found == "tsv":
         found, separator = "csv", "\t"
+    if file_order and (multi_line or found == "xlsx"):
+        raise ValueError("The order of rows is known for Parquet, and for CSV without multi_line.")
     if found == "parquet":
-        return spark.read.parquet(path)
+        rows = spark.read.parquet(path)
+        return _with_file_order(rows, F.lit(0).cast("bigint"), F.col("_metadata.row_index")) if file_order else rows
+    if found == "xlsx":
+        return read_workbook(spark, path, sheet)
     if found != "csv":
         raise ValueError(f"Unknown kind of table: {found}")
     if multi_line:
@@ -56,7 +73,16 @@ def read_table(
     reader = spark.read.options(
         header=True, sep=separator, quote='"', escape='"', mode="FAILFAST", columnPruning=False
     )
-    return reader.csv(path)
+    rows = reader.csv(path)
+    if not file_order:
+        return rows
+    # Blocks of a file are read in order, and ids rise inside a task, so they rise inside a block.
+    return _with_file_order(rows, F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
+def _with_file_order(df: DataFrame, block: Column, row: Column) -> DataFrame:
+    place = F.struct(F.col("_metadata.file_path").alias("file"), block.alias("block"), row.alias("row"))
+    return df.select("*", place.alias("file_order"))
 
 
 def load_transactions(
@@ -72,10 +98,11 @@ def load_online_retail(
     date_format: str | None = None,
     kind: str | None = None,
     multi_line: bool = False,
+    sheet: str | int = 0,
     **options,
 ) -> DataFrame:
     """Transactions from the online-retail layout."""
-    raw = read_table(spark, path, kind, multi_line)
+    raw = read_table(spark, path, kind, multi_line, sheet)
     return normalize_online_retail(raw, date_format=date_format, **options)
 
 
