@@ -115,8 +115,23 @@ def test_features_read_the_lines_twice(spark, shared_folder):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan
     made = sorted(p.name.split("-")[0] for p in Path(shared_folder).iterdir() if str(p) not in before)
-    # Stored from the lines: the orders per customer and the levels; the rest comes from these.
+    # Stored: the joined lines, once; from them the orders per customer and the levels.
+    assert made == ["distinct", "feature", "levels", "per"]
+
+
+def test_scanned_lines_are_not_stored_again(spark, shared_folder, tmp_path):
+    from tillwise.session import read_again
+    from tillwise.sources import star_schema as star
+
+    path = str(tmp_path / "lines")
+    star.transactions(spark, "/root/testdata/sf0.001").write.parquet(path)
+    before = {str(p) for p in Path(shared_folder).iterdir()}
+    features.customer_features(spark.read.parquet(path).where("quantity > 0"))
+    made = sorted(p.name.split("-")[0] for p in Path(shared_folder).iterdir() if str(p) not in before)
     assert made == ["distinct", "levels", "per"]
+    df = spark.range(9)
+    assert read_again(df, "x") is df
+    assert "parquet" in read_again(df.groupBy("id").count(), "x")._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
 def test_feature_columns_and_alignment(frame):
@@ -391,3 +406,27 @@ def test_actions_without_the_columns(frame):
     assert got["recommended_action"] == decide.UPSELL
     assert got["decision_score"] == pytest.approx(0.5 + 0.5 * 0.75)
     assert decide.recommend_actions(frame("customer_id string", ("a",)).limit(0)).count() == 0
+
+
+def test_runs_of_threads_keep_their_own_folder(spark):
+    import threading
+
+    from tillwise.session import materialize, scratch_run
+
+    begun, ended, seen = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch_run(spark) as folder:
+            begun.set()
+            ended.wait(60)
+            seen.append((folder, materialize(spark.range(3), "x").inputFiles()[0]))
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    begun.wait(60)
+    with scratch_run(spark) as mine:
+        path = materialize(spark.range(3), "x").inputFiles()[0]
+        assert mine in path
+    ended.set()
+    thread.join()
+    assert seen[0][0] in seen[0][1] and seen[0][0] != mine

@@ -44,7 +44,7 @@ def basket_pairs(
         first = orders.orderBy("first", "order").limit(int(max_orders)).select("order")
         lines = keep_ids(lines, first, "order")
     if max_items_per_order is not None:
-        lines = _first_items(lines, int(max_items_per_order), ["place", "item"] if place else ["item"])
+        lines = _first_items(lines, int(max_items_per_order), ("place", "item") if place else ("item",))
     lines = _frequent(lines.select("order", "item"), int(min_pair_count))
 
     big = (
@@ -68,7 +68,7 @@ def basket_pairs(
     )
 
 
-def _first_items(lines: DataFrame, limit: int, order: list[str], slots: int = 64) -> DataFrame:
+def _first_items(lines: DataFrame, limit: int, order: tuple[str, ...] = ("item",), slots: int = 64) -> DataFrame:
     """The first ``limit`` items of each order, by the columns ``order``.
 
     First within slots of an order, then of what is left, so that no task orders more than a

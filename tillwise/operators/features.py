@@ -21,10 +21,13 @@ from tillwise.functions.scalars import (
 )
 from tillwise.operators.windows import history
 from tillwise.schema import CATEGORY_COLUMNS, DEFAULTED_COLUMNS
-from tillwise.session import materialize
+from tillwise.session import materialize, read_again
 
 Levels = Mapping[str, Sequence[object]]
 Merge = Callable[[str], Column]
+LINE_COLUMNS = (
+    "order_date", "total_spend", "price", "quantity", "discount", "visited", "added_to_cart", "purchased", "recency_days",
+)
 # A table of more columns than this per category is no longer a table to work with.
 WIDE = 1000
 
@@ -40,7 +43,8 @@ def customer_features(
 
     Missing discounts count as 0. Recency is the smallest ``recency_days`` of the customer
     or, without that column, the days from the customer's newest row to the newest of all.
-    The lines are read twice, once for the orders and once for the category levels.
+    The lines are read twice, once for the orders and once for the category levels; lines that
+    come from joins or the like are stored first.
 
     Every level of a category column becomes a share column. ``levels`` names them instead;
     ``max_category_levels`` leaves out columns with more levels and warns of each. Without
@@ -49,6 +53,7 @@ def customer_features(
     """
     if customer_col not in df.columns:
         raise ValueError(f"Missing column: {customer_col}")
+    df = _used(df, customer_col, order_col, levels)
     zero = F.lit(0.0)
     revenue = zero
     if "total_spend" in df.columns:
@@ -96,7 +101,7 @@ def customer_features_asof(
     if "order_date" not in df.columns:
         raise ValueError("Missing column: order_date")
     df = df.withColumn("order_date", moment(df, "order_date"))
-    df = history(df, as_of, lookback_days)
+    df = _used(history(df, as_of, lookback_days), customer_col, "order_id", levels)
     revenue = number(df, "total_spend") if "total_spend" in df.columns else F.lit(0.0)
     discount = real(df, "discount") if "discount" in df.columns else None
 
@@ -123,6 +128,13 @@ def customer_features_asof(
     return _finish(df, base, customer_col, max_category_levels, levels)
 
 
+def _used(df: DataFrame, customer_col: str, order_col: str, levels: Levels | None) -> DataFrame:
+    """The columns that features are made of, for two passes."""
+    categories = CATEGORY_COLUMNS if levels is None else tuple(levels)
+    wanted = {customer_col, order_col, *LINE_COLUMNS, *categories}
+    return read_again(df.select(*[named(c) for c in df.columns if c in wanted]), "feature-lines")
+
+
 def _order_features(
     df: DataFrame,
     customer_col: str,

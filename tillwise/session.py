@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,8 @@ def build_session(app_name: str = "tillwise", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-_runs: list[str] = []
+# The folder of the run that this thread is in.
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def _root(spark: SparkSession) -> str:
@@ -48,7 +51,7 @@ def _root(spark: SparkSession) -> str:
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table, in the folder of the current run if there is one."""
-    folder = _runs[-1] if _runs else _root(spark)
+    folder = _run.get() or _root(spark)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
@@ -59,11 +62,11 @@ def scratch_run(spark: SparkSession) -> Iterator[str]:
     Write or collect the results inside the block: what is lazy reads those tables.
     """
     folder = f"{_root(spark)}/run-{uuid.uuid4().hex}"
-    _runs.append(folder)
+    outer = _run.set(folder)
     try:
         yield folder
     finally:
-        _runs.remove(folder)
+        _run.reset(outer)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -77,3 +80,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# What makes rows dear to read again: all but scans, projections, filters and unions of them.
+DERIVED = re.compile(r"^[\s:+-]*(Join|Aggregate|Window|Sort|Generate|Repartition\w*|Distinct|MapIn\w*|FlatMap\w*|GlobalLimit)\b", re.M)
+
+
+def read_again(df: DataFrame, name: str) -> DataFrame:
+    """``df`` for several passes: stored if it comes from joins or the like, as it is if from a scan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return materialize(df, name) if DERIVED.search(plan) else df
