@@ -24,6 +24,37 @@ def alternate_pairs(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _other(conv_id: str) -> Column:
+    """The conversation whose answer stands against this one's: even and next odd id belong together."""
+    return F.expr(f"if(pmod({conv_id}, 2) = 0, {conv_id} + 1, {conv_id} - 1)")
+
+
+def answer_pairs(conversations: DataFrame) -> DataFrame:
+    """Each conversation up to its last answer, against the same turns with another answer.
+
+    Rows (pair_id, chosen, turn, role, text), ``pair_id`` being the conversation's id. The
+    answer is the assistant's turn with the largest number; the rejected side ends with that of
+    the other conversation of ids 2k and 2k + 1 in its place. Conversations without an
+    answer, and those whose other has none, give no pair; so do rows without an id.
+    """
+    turns = conversations.where("conv_id IS NOT NULL").select(
+        "conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), "role", "text"
+    )
+    answered = F.col("role") == TRAINED_ROLE
+    last = turns.where(answered).groupBy("conv_id").agg(F.max("turn").alias("answer"))
+    # One row per conversation that has a pair.
+    others = last.select(_other("conv_id").alias("pair_id"), F.col("conv_id").alias("other"), F.col("answer").alias("other_answer"))
+    pairs = last.select(F.col("conv_id").alias("pair_id"), "answer").join(others, "pair_id")
+    side = lambda df, chosen: df.select("pair_id", F.lit(chosen).alias("chosen"), "turn", "role", "text")
+    own = turns.join(pairs, F.col("conv_id") == F.col("pair_id"))
+    answers = turns.where(answered).join(pairs, (F.col("conv_id") == F.col("other")) & (F.col("turn") == F.col("other_answer")))
+    return (
+        side(own.where("turn <= answer"), True)
+        .union(side(own.where("turn < answer"), False))
+        .union(side(answers.withColumn("turn", F.col("answer")), False))
+    )
+
+
 def rendered(role: Column, text: Column) -> Column:
     part = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     return F.concat(F.lit(OPEN), part(role), F.lit("\n"), part(text), F.lit(CLOSE))

@@ -250,8 +250,16 @@ def nn_descent_search(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- 6: chat formatting --------------------------------------------------------------------
 
-CHAT_SQL = """WITH turns AS (
-  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, role, text FROM conversations),
+CHAT_SQL = """WITH conv AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+last AS (SELECT conv_id, max(turn) AS answer FROM conv WHERE role = 'assistant' GROUP BY conv_id),
+pairs AS (
+  SELECT a.conv_id AS pair_id, a.answer, b.conv_id AS other, b.answer AS other_answer
+  FROM last a JOIN last b ON b.conv_id = CASE WHEN a.conv_id % 2 = 0 THEN a.conv_id + 1 ELSE a.conv_id - 1 END),
+turns AS (
+  SELECT pair_id, true AS chosen, turn, role, text FROM conv JOIN pairs ON conv_id = pair_id WHERE turn <= answer
+  UNION SELECT pair_id, false, turn, role, text FROM conv JOIN pairs ON conv_id = pair_id WHERE turn < answer
+  UNION SELECT pair_id, false, answer, role, text FROM conv JOIN pairs ON conv_id = other
+  WHERE turn = other_answer AND role = 'assistant'),
 sides AS (
   SELECT pair_id, turn, role, text, bool_or(chosen) AS l, bool_or(NOT chosen) AS r
   FROM turns GROUP BY ALL),
@@ -272,7 +280,7 @@ FROM lines"""
 
 @query("op6_preference_pairs", CHAT_SQL)
 def preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return chat.preference_segments(chat.alternate_pairs(table(spark, folder, "conversations")))
+    return chat.preference_segments(chat.answer_pairs(table(spark, folder, "conversations")))
 
 
 # --- 11: byte-pair encoding ----------------------------------------------------------------
