@@ -126,3 +126,25 @@ def test_no_rule_goes_unused():
     symbols, _, rules = repair.compress(ids, np.array([len(ids)]), 49_408)
     assert len(rules) > 3000
     assert set(range(49_408, 49_408 + len(rules))) <= {*symbols.tolist(), *rules.ravel().tolist()}
+
+
+def test_files_of_other_rules_are_encoded_whole(tmp_path, encoder):
+    """Words are taken apart only for the rules that allow it; another file gives its own ids."""
+    import json
+
+    assert encoder.by_words
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        rules = json.load(file)
+    texts = ["Hello, HELLO don't we'll a.b.c ... ÉCOLE <|endoftext|> x  y", "", " \n", "word " * 500]
+    changes = (
+        {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}]}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+        {"normalizer": None},
+    )
+    for k, change in enumerate(changes):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps({**rules, **change}), encoding="utf-8")
+        other, plain = repair.Encoder(str(path)), Tokenizer.from_file(str(path))
+        assert not other.by_words
+        for text in texts:
+            assert np.frombuffer(other.encode(text.encode()), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -51,7 +51,8 @@ def usable(embeddings: DataFrame) -> DataFrame:
     Left out are rows without an id, and vectors that are null, empty, all zero or hold a null
     or non-finite component. Vectors of another length than most have no inner product with
     these and are left out too (of equally common lengths the smaller stays). Of rows that
-    share an id the one with the smallest vector stays.
+    share an id the one with the smallest vector stays. Components are taken as 32-bit floats, so
+    vectors of doubles are rounded to these.
     """
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))

@@ -9,6 +9,7 @@ one document is decoded without the others.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
@@ -34,13 +35,35 @@ END_ID = 1
 # --- tokenizer -------------------------------------------------------------------------
 
 
+# The rules by which a tokenizer's file must clean and part texts for ``Encoder`` to
+# take them apart at white space.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def parts_at_white_space(rules: dict) -> bool:
+    """Whether a tokenizer's file cleans and parts texts by exactly the rules above."""
+    model, found = rules["model"], (rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {})
+    splitters = found[1].get("pretokenizers") or [{}, {}]
+    split, bytewise = splitters[0], splitters[-1]
+    return (
+        found[0].get("normalizers") == NORMALIZERS
+        and len(splitters) == 2
+        and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": PIECES}, "Removed", True)
+        and (bytewise.get("type"), bytewise.get("add_prefix_space"), bytewise.get("use_regex")) == ("ByteLevel", False, False)
+        and model["type"] == "BPE"
+        and not model.get("dropout")
+        and all("<|" in a["content"] and not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) for a in rules["added_tokens"])
+    )
+
+
 class Encoder:
     """Texts to ids, the ids of each word kept between texts.
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those
     of its words in a row. A word of Latin letters is one piece to the tokenizer's model and
     goes straight to it, spelled in the model's alphabet for bytes; any other word takes the
-    whole way through the tokenizer.
+    whole way through the tokenizer. With files of other rules all texts do.
     """
 
     KEEP = 700_000
@@ -55,6 +78,8 @@ class Encoder:
         self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size() >= SYMBOLS:
             raise ValueError("The vocabulary must have fewer than 65,536 ids.")
+        with open(path, encoding="utf-8") as file:
+            self.by_words = parts_at_white_space(json.load(file))
         # How the model spells the two bytes of each Latin letter beyond ASCII.
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {c: spell.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -90,6 +115,8 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         """A text's ids as little-endian unsigned 16-bit numbers."""
+        if not self.by_words:
+            return self._whole(text.decode("utf-8", "replace"))
         # Special tokens are known by their exact letters, so only texts without any are lowered.
         words = (text if b"<|" in text else text.lower()).split()
         ids = list(map(self.known.get, words))
