@@ -1,3 +1,5 @@
+import random
+
 from conftest import at, rows
 from pyspark.sql import functions as F
 
@@ -362,3 +364,20 @@ def test_a_run_removes_its_own_tables(spark, shared_folder):
         assert materialize(spark.range(3), "x").count() == 3
         assert Path(folder).exists() and Path(folder).parent == Path(shared_folder)
     assert set(Path(shared_folder).iterdir()) == before
+
+
+def test_shapes_keep_every_value_that_a_pattern_reads(spark):
+    """Each pattern reads the same values with and without looking at shapes first."""
+    from datetime import datetime, timedelta
+
+    draw = random.Random(3)
+    formats = ["%m/%d/%Y %H:%M", "%d/%m/%Y %H:%M:%S", "%d.%m.%Y", "%Y/%m/%d", "%Y%m%d", "%d-%b-%Y", "%d %b %Y", "%Y-%m-%d %H:%M:%S", "%-m/%-d/%Y %-H:%M"]
+    values = [(datetime(2009, 1, 1) + timedelta(minutes=draw.randrange(10**6))).strftime(draw.choice(formats)) for _ in range(500)]
+    values += ["", " ", None, "31/02/2010", "13/13/2010", "1/2/2010 ", " 1/2/2010", "nothing", "2010", "20100101", "1-Foo-2010", "1/2/10", "2010/1/1 1:2:3", "99", "1 . 2"]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    for pattern in clean.DATE_PATTERNS[1:]:
+        read = clean.moment(df, "t", pattern)
+        shaped = F.when(clean.date_shape(F.col("t")) == clean._pattern_shape(pattern), read)
+        row = df.agg(F.count(read), F.count(shaped)).first()
+        assert row[0] == row[1], pattern
+    assert clean._pattern_shape("d-MMM-yyyy") == "9-A-9" and clean._pattern_shape("M/d/yyyy H:mm:ss") == "9/9/9 9:9:9"

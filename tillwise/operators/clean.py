@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tillwise.functions.scalars import flag, id_text, moment, named, number, real, text
 from tillwise.operators.recency import ensure_recency
@@ -39,6 +40,17 @@ DATE_PATTERNS = (
 )
 
 
+def date_shape(value: Column) -> Column:
+    """Text with each run of digits as 9 and of letters as A: what a pattern can read shows in it."""
+    return F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "A")
+
+
+def _pattern_shape(pattern: str) -> str:
+    """The only shape that a pattern of plain fields reads."""
+    fields = re.sub("MMM+", "A", pattern)
+    return re.sub("[yMdHms]+", "9", fields)
+
+
 @dataclass(frozen=True)
 class DateReading:
     """How a text column of dates is read: its pattern, and how many values it reads or not."""
@@ -51,7 +63,8 @@ class DateReading:
 def date_readings(df: DataFrame, names: Sequence[str], date_format: str | None = None) -> dict[str, DateReading]:
     """The pattern of each text column of dates, by one aggregation over all rows.
 
-    The pattern that reads most values is taken. Where two shapes read equally many, as with
+    A value is only parsed by patterns of its own shape, so by three of them at most. The
+    pattern that reads most values is taken. Where two shapes read equally many, as with
     days and months up to 12, and where a column that is not empty reads to nothing, it is an
     error: name the ``date_format``. Columns of other types need no pattern.
     """
@@ -59,9 +72,17 @@ def date_readings(df: DataFrame, names: Sequence[str], date_format: str | None =
     if not texts:
         return {}
     patterns = DATE_PATTERNS if date_format is None else (date_format,)
+    shaped = df.select(*[named(c) for c in texts], *[date_shape(named(c)).alias(f"_shape{k}") for k, c in enumerate(texts)])
     there = [F.count_if(F.trim(named(c)) != "") for c in texts]
-    reads = [F.count(moment(df, c, p)) for c in texts for p in patterns]
-    row = df.agg(*there, *reads).first()
+
+    def reading(k: int, pattern: str | None) -> Column:
+        parsed = moment(df, texts[k], pattern)
+        if date_format is not None or pattern is None:
+            return F.count(parsed)
+        return F.count(F.when(F.col(f"_shape{k}") == _pattern_shape(pattern), parsed))
+
+    reads = [reading(k, p) for k in range(len(texts)) for p in patterns]
+    row = shaped.agg(*there, *reads).first()
     found = {}
     for k, c in enumerate(texts):
         counts = row[len(texts) + k * len(patterns) :][: len(patterns)]
