@@ -57,6 +57,17 @@ def parts_at_white_space(rules: dict) -> bool:
     )
 
 
+class _Known(dict):
+    """The ids of words; those of a word that is not kept are worked out."""
+
+    def __init__(self, work: Callable[[bytes], bytes]):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.work(word)
+
+
 class Encoder:
     """Texts to ids, the ids of each word kept between texts.
 
@@ -84,7 +95,7 @@ class Encoder:
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {c: spell.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.marks = {"": b""}
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self.word)
 
     def _whole(self, word: str) -> bytes:
         return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -105,8 +116,10 @@ class Encoder:
         if word.isalpha() and word.islower():
             ids = self._letters(word.decode())
         elif latin := self.LATIN.fullmatch(word.decode()):
-            # Marks after letters are a piece of their own.
-            ids = self._letters(latin[1].lower().translate(self.spelling)) + self._marks(latin[2])
+            # Marks after letters are a piece of their own; the letters alone are often known.
+            letters = latin[1].lower()
+            ids = self.known.get(letters.encode()) if latin[2] else None
+            ids = (ids or self._letters(letters.translate(self.spelling))) + self._marks(latin[2])
         else:
             ids = self._whole(word.decode())
         if len(self.known) < self.KEEP:
@@ -119,12 +132,7 @@ class Encoder:
             return self._whole(text.decode("utf-8", "replace"))
         # Special tokens are known by their exact letters, so only texts without any are lowered.
         words = (text if b"<|" in text else text.lower()).split()
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            for k, found in enumerate(ids):
-                if found is None:
-                    ids[k] = self.known.get(words[k]) or self.word(words[k])
-        return b"".join(ids)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def encoder(path: str) -> Encoder:
@@ -310,10 +318,12 @@ class Shard:
         self.size, self.begin = size, np.concatenate([[0], np.cumsum(size)[:-1]])
         self.flat = np.zeros(int(size.sum()), np.uint16)
         self.flat[:free] = np.arange(free)
-        for k, (a, b) in enumerate(rules.tolist()):
-            at, cut = self.begin[free + k], size[a]
-            self.flat[at : at + cut] = self.flat[self.begin[a] : self.begin[a] + cut]
-            self.flat[at + cut : at + size[free + k]] = self.flat[self.begin[b] : self.begin[b] + size[b]]
+        done = 0
+        while done < n:
+            # Rules of one round name symbols of earlier rounds only, so they are copied at once.
+            upto = done + int(np.argmax(np.append(rules[done:].max(axis=1) >= free + done, True)))
+            self.flat[self.begin[free + done] : self.begin[free + upto - 1] + size[free + upto - 1]] = self.expand(rules[done:upto].ravel())
+            done = upto
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.size[symbols]
