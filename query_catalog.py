@@ -11,6 +11,7 @@ import io
 import zipfile
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import cache
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -322,6 +323,8 @@ def packed_workbook(names: list[str], rows: list[tuple]) -> bytes:
     """A workbook of rows of text: numbers and moments as such, texts as shared strings."""
     strings: dict[str, int] = {}
 
+    # Values that come again are written out once.
+    @cache
     def cell(value: str | None) -> str:
         if value is None:
             return "<c/>"

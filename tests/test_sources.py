@@ -231,3 +231,14 @@ def test_last_label_in_file_order(spark, tmp_path, small_blocks):
     df = readers.read_table(spark, folder, "csv", file_order=True)
     got = latest_customer_label(df, "product", "order_id", order_by=["file_order"])
     assert dict(rows(got)) == dict(lines)
+
+
+def test_values_that_come_again_are_read_once():
+    from query_catalog import packed_workbook
+    from tillwise.sources.workbook import Workbook
+
+    lines = [(f"i{k}", "2010-12-01 08:26:00", None if k % 7 else "5.5") for k in range(20_000)]
+    book = Workbook(packed_workbook(["a", "b", "c"], lines))
+    got = list(book.rows("Lines"))
+    assert got[0] == ["a", "b", "c"] and [tuple(r) for r in got[1:]] == lines
+    assert book.shown.cache_info().misses < 21_000
