@@ -381,3 +381,37 @@ def test_shapes_keep_every_value_that_a_pattern_reads(spark):
         row = df.agg(F.count(read), F.count(shaped)).first()
         assert row[0] == row[1], pattern
     assert clean._pattern_shape("d-MMM-yyyy") == "9-A-9" and clean._pattern_shape("M/d/yyyy H:mm:ss") == "9/9/9 9:9:9"
+
+
+def test_only_whole_numbers_reach_the_integer_cast(frame):
+    texts = ["12", " 12\t", "+7", "-0.0", "17850.0", "5.", "00012.0", "12.5", "1e3", "", "nan", "A1", ".0",
+             "9007199254740993.0", "9007199254740993", "99999999999999999999", "1 2", None]
+    df = frame("v string", *[(t,) for t in texts])
+    as_number = number(df, "v")
+    whole = F.when(as_number == F.floor(as_number), as_number.try_cast("bigint"))
+    other = F.when(as_number.isNull() & ~F.lower(F.trim("v")).isin("", "nan"), F.col("v"))
+    plain = F.coalesce(F.coalesce(F.col("v").try_cast("bigint"), whole).cast("string"), other)
+    assert [r[0] for r in df.select(id_text(df, "v")).collect()] == [r[0] for r in df.select(plain).collect()]
+    # A failed cast is a caught exception, many times dearer than the check before it.
+    assert "try_cast(v as bigint)" not in str(df.select(id_text(df, "v"))._jdf.queryExecution().analyzed())
+
+
+def test_raw_lines_from_joins_are_made_once(frame):
+    df = frame(
+        "Invoice string, StockCode string, Description string, Quantity string, InvoiceDate string, Price string, `Customer ID` string, Country string",
+        ("1", "s", "d", "2", "2010-12-01 08:26:00", "3", "17850.0", "UK"),
+    )
+    out = clean.normalize_online_retail(df.distinct())
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.select("customer_id", "total_spend").collect()] == [("17850", 6.0)]
+    dated = frame("customer_id string, order_date string, total_spend string", ("1", "2010-12-01", "2"))
+    out = clean.coerce_transactions(dated.distinct())
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dates_that_cannot_fit_are_not_parsed():
+    import re
+
+    fits = lambda pattern, text: bool(re.search(clean._may_fit(pattern).replace("\\z", "\\Z"), text))
+    assert fits("M/d/yyyy H:mm", "012/031/2010 8:26") and not fits("M/d/yyyy H:mm", "13/1/2010 8:26")
+    assert fits("d/M/yyyy", "31/12/2010") and not fits("d/M/yyyy", "12/31/2010")

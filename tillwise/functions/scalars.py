@@ -11,6 +11,10 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 TIME = "timestamp_ntz"
+# Texts that a cast reads as a whole number, but for its range.
+WHOLE_NUMBER = r"\A[\x00-\x20\x7F]*[+-]?[0-9]+[\x00-\x20\x7F]*\z"
+# Whole numbers with a fraction part of zeros, so short that a double holds them exactly.
+ZERO_FRACTION = r"\A[+-]?[0-9]{1,15}\.0*\z"
 
 
 def quoted(name: str) -> str:
@@ -82,7 +86,10 @@ def id_text(df: DataFrame, name: str) -> Column:
     as_number = number(df, name)
     whole = F.when(as_number == F.floor(as_number), as_number.try_cast("bigint"))
     if isinstance(kind, T.StringType):
-        whole = F.coalesce(column.try_cast("bigint"), whole)
+        # Other text is kept from the cast, for which each such value is a caught exception.
+        digits = F.when(column.rlike(WHOLE_NUMBER), column).try_cast("bigint")
+        before_point = F.when(column.rlike(ZERO_FRACTION), F.substring_index(column, ".", 1)).try_cast("bigint")
+        whole = F.coalesce(digits, before_point, whole)
         other = F.when(as_number.isNull() & ~F.lower(F.trim(column)).isin("", "nan"), column)
         return F.coalesce(whole.cast("string"), other)
     return whole.cast("string")

@@ -17,6 +17,7 @@ from tillwise.schema import (
     TIME_COLUMNS,
     UPLOAD_NAMES,
 )
+from tillwise.session import read_again
 
 
 # The shapes of dates in text that are told apart; None is ISO.
@@ -51,6 +52,15 @@ def _pattern_shape(pattern: str) -> str:
     return re.sub("[yMdHms]+", "9", fields)
 
 
+# What the numbers of a field can be; text beyond it is not parsed, as each failure is an exception.
+FIELD_RANGES = {"M": "0*([1-9]|1[0-2])", "d": "0*([1-9]|[12][0-9]|3[01])"}
+
+
+def _may_fit(pattern: str) -> str:
+    """A regular expression for all texts that a pattern of plain numbers reads, and some more."""
+    return "\\A" + re.sub("[A-Za-z]+", lambda field: FIELD_RANGES.get(field[0], "[0-9]+"), pattern) + "\\z"
+
+
 @dataclass(frozen=True)
 class DateReading:
     """How a text column of dates is read: its pattern, and how many values it reads or not."""
@@ -79,7 +89,11 @@ def date_readings(df: DataFrame, names: Sequence[str], date_format: str | None =
         parsed = moment(df, texts[k], pattern)
         if date_format is not None or pattern is None:
             return F.count(parsed)
-        return F.count(F.when(F.col(f"_shape{k}") == _pattern_shape(pattern), parsed))
+        fits = F.col(f"_shape{k}") == _pattern_shape(pattern)
+        if "/" in pattern:
+            # Days and months may be the other way round.
+            fits &= named(texts[k]).rlike(_may_fit(pattern))
+        return F.count(F.when(fits, parsed))
 
     reads = [reading(k, p) for k in range(len(texts)) for p in patterns]
     row = shaped.agg(*there, *reads).first()
@@ -96,11 +110,18 @@ def date_readings(df: DataFrame, names: Sequence[str], date_format: str | None =
     return found
 
 
+def _has_text(df: DataFrame, names: Sequence[str]) -> bool:
+    return any(c in df.columns and isinstance(df.schema[c].dataType, T.StringType) for c in names)
+
+
 def coerce_columns(df: DataFrame, date_format: str | None = None) -> DataFrame:
     """Known columns in their types; unreadable numbers and dates are NULL, flags 0.
 
-    Dates in text are read by the pattern of ``date_readings``, which counts what is unread.
+    Dates in text are read by the pattern of ``date_readings``, which counts what is unread;
+    rows that come from joins or the like are stored for that pass and those after it.
     """
+    if _has_text(df, TIME_COLUMNS):
+        df = read_again(df, "raw-lines")
     readings = date_readings(df, TIME_COLUMNS, date_format)
     pattern = {c: r.pattern for c, r in readings.items()}
     typed = {c: moment(df, c, pattern.get(c)) for c in TIME_COLUMNS if c in df.columns}
@@ -137,8 +158,11 @@ def normalize_online_retail(
     """The online-retail layout as transactions.
 
     These rows are purchases, so the two earlier funnel stages are 0 (``attach_funnel_counts``
-    brings real counts).
+    brings real counts). Dates in text take a pass of their own, so that rows that come from
+    joins or the like are stored first.
     """
+    if _has_text(df, ["InvoiceDate"]):
+        df = read_again(df.select(*[named(c) for c in ONLINE_RETAIL_COLUMNS]), "raw-lines")
     reading = date_readings(df, ["InvoiceDate"], date_format).get("InvoiceDate")
     pattern = reading.pattern if reading else None
     out = df.select(
