@@ -1,6 +1,6 @@
 from collections import Counter
 from datetime import date
-from itertools import combinations
+from itertools import combinations, product
 from random import Random
 
 from conftest import at, rows
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from tillwise.operators import baskets, funnel, joins, market
+from tillwise.operators import baskets, funnel, joins, market, pairs
 
 
 def test_summaries_depend_on_the_columns(frame):
@@ -121,6 +121,43 @@ def test_basket_pairs_of_high_support_in_large_orders(spark, least):
     assert sorted(rows(got)) == brute_force_pairs(lines, least)
 
 
+def test_pairs_are_shuffled_in_few_bytes(spark, monkeypatch):
+    """Nearly all pairs are below the threshold, and some orders above the limit: no table holds all pairs."""
+    monkeypatch.setattr(pairs, "PER_PART", 10_000)
+    monkeypatch.setattr(pairs, "AT_ONCE", 4_096)
+    draw = Random(11)
+    lines = [(f"o{o}", f"item{draw.randrange(2000):05d}") for o in range(300) for _ in range(40 + o % 8 // 7 * 25)]
+    df = spark.createDataFrame(lines, "order_id string, product string").repartition(3)
+    stored = []
+    plain = baskets.materialize
+    monkeypatch.setattr(baskets, "materialize", lambda df, name: stored.append(plain(df, name)) or stored[-1])
+    got = sorted(rows(baskets.basket_pairs(df, min_pair_count=2, large_order=45)))
+    assert got == brute_force_pairs(lines, 2) and len(got) > 1000
+    every = len(brute_force_pairs(lines, 1))
+    assert every > 150_000 and max(table.count() for table in stored) < every / 4
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_packed_pairs_of_lists_and_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(pairs, "AT_ONCE", 64)
+    draw = Random(5)
+    reserve = {c: draw.randint(0, most) for c in range(50)}
+    entry = lambda c: c * 4 + reserve[c]
+    lists, expected = [], Counter()
+    for n in range(200):
+        items = draw.sample(range(50), draw.randint(0, 9))
+        left, right = (items, None) if n % 2 else (items[::2], items[1::2])
+        lists.append(([entry(c) for c in left], right and [entry(c) for c in right]))
+        if n % 2 == 0 and not right:
+            lists[-1] = (lists[-1][0], [])
+        expected.update(tuple(sorted(p)) for p in (combinations(left, 2) if right is None else product(left, right)))
+    df = spark.createDataFrame(lists, "left array<bigint>, right array<bigint>").repartition(3)
+    spared = {p: m if (m := min(reserve[p[0]], reserve[p[1]])) < 3 else 0 for p in expected}
+    wanted = {(*p, n, spared[p]) for p, n in expected.items() if n + spared[p] >= 3}
+    for total in (10, 2e8):
+        assert set(rows(pairs.pair_counts(df, 50, total, 3, most))) == wanted
+
+
 def test_first_items_of_a_large_order(spark):
     df = spark.range(20_000).select(F.lit("o").alias("order"), F.format_string("i%05d", F.col("id")).alias("item"))
     got = [r["item"] for r in baskets._first_items(df, 5).orderBy("item").collect()]

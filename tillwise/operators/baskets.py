@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillwise.functions.scalars import named
 from tillwise.operators.joins import left_join_unique
+from tillwise.operators.pairs import pair_counts
 from tillwise.operators.windows import keep_ids
 from tillwise.session import materialize
 
-# An order of up to this many lines is paired inside one array.
+# An order of up to this many lines is one list of items.
 LARGE_ORDER = 200
+# Items that one task numbers.
+ITEMS_PER_SLICE = 100_000
 
 
 def basket_pairs(
@@ -45,24 +50,45 @@ def basket_pairs(
         lines = keep_ids(lines, first, "order")
     if max_items_per_order is not None:
         lines = _first_items(lines, int(max_items_per_order), ("place", "item") if place else ("item",))
-    lines = _frequent(lines.select("order", "item"), int(min_pair_count))
-
-    big = (
-        lines.groupBy("order")
-        .agg(F.count(F.lit(1)).alias("items"))
-        .where(F.col("items") > large_order)
-    )
-    big = materialize(big.withColumn("is_large", F.lit(True)), "large-order-ids")
-    if big.isEmpty():
-        counts = _pairs_in_small_orders(lines)
+    least = max(0, int(min_pair_count))
+    lines = _frequent(lines.select("order", "item"), least)
+
+    sizes = materialize(lines.groupBy("order").agg(F.count(F.lit(1)).alias("items")), "order-sizes")
+    big = sizes.where(F.col("items") > large_order).withColumn("is_large", F.lit(True))
+    some_large = not big.isEmpty()
+    if some_large:
+        lines = materialize(left_join_unique(lines, big, "order", rows_per_key="items"), "marked")
     else:
-        marked = materialize(left_join_unique(lines, big, "order", rows_per_key="items"), "marked")
-        small = marked.where(F.col("is_large").isNull()).drop("is_large")
-        large = marked.where(F.col("is_large")).drop("is_large")
-        small_pairs = materialize(_pairs_in_small_orders(small), "pairs")
-        counts = _add_large_orders(small_pairs, large, int(min_pair_count), large_order)
+        lines = lines.withColumn("is_large", F.lit(None).cast("boolean"))
+    names, space = _numbered(lines)
+    # An item's number, and the large orders that hold it as far as they matter.
+    wanted = names.select("item", "orders", (F.col("code") * (least + 1) + F.least("large", F.lit(least))).alias("element"))
+    numbered = left_join_unique(lines, wanted, "item", rows_per_key="orders", slot_by=["order"])
+    numbered = numbered.select("order", "element", "is_large")
+
+    pairs = F.col("items") * (F.col("items") - 1) / 2
+    small = sizes.where(F.col("items").between(2, large_order)).select("order", "items")
+    total = small.agg(F.sum(pairs)).first()[0] or 0
+    if some_large:
+        numbered = materialize(numbered, "numbered")
+    blocks = _whole_orders(numbered.where(F.col("is_large").isNull()))
+    if some_large:
+        shared = numbered.where(F.col("is_large") & (F.col("element") % (least + 1) >= least))
+        held = materialize(shared.groupBy("order").agg(F.count(F.lit(1)).alias("items")), "shared-sizes")
+        total += held.agg(F.sum(pairs)).first()[0] or 0
+        blocks = blocks.unionByName(_blocks(shared.select("order", "element"), held, large_order))
+    counts = pair_counts(blocks, space, total, least, least if some_large else 0)
+    if some_large:
+        counts = materialize(counts, "pair-counts")
+    for side in ("a", "b"):
+        counts = counts.join(names.select(F.col("code").alias(side), F.col("item").alias(f"_{side}")), side)
+    counts = counts.select(
+        F.least("_a", "_b").alias("item_a"), F.greatest("_a", "_b").alias("item_b"), "pair_count", "spare"
+    )
+    if some_large:
+        counts = _looked_up(materialize(counts, "pairs"), names, lines.where("is_large").select("order", "item"))
     return (
-        counts.where(F.col("pair_count") >= int(min_pair_count))
+        counts.where(F.col("pair_count") >= least)
         .select("item_a", "item_b", "pair_count")
         .orderBy(F.desc("pair_count"), "item_a", "item_b")
     )
@@ -92,44 +118,73 @@ def _frequent(lines: DataFrame, min_pair_count: int) -> DataFrame:
     return lines if rare.isEmpty() else materialize(lines.join(rare, "item", "left_anti"), "frequent-items")
 
 
-def _pairs_in_small_orders(lines: DataFrame) -> DataFrame:
-    baskets = lines.groupBy("order").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    first = baskets.where(F.size("items") > 1).select(
-        "items", F.posexplode("items").alias("place", "item_a")
+def _numbered(lines: DataFrame) -> tuple[DataFrame, int]:
+    """Per item its ``orders``, those of them that are ``large``, and its number ``code``; and what is above all numbers.
+
+    Items are counted off within slices of their hash, so no task numbers more than a slice.
+    """
+    marked = F.coalesce("is_large", F.lit(False))
+    items = lines.groupBy("item").agg(F.count(F.lit(1)).alias("orders"), F.count_if(marked).alias("large"))
+    items = materialize(items, "items")
+    slices = max(1, math.ceil(items.count() / ITEMS_PER_SLICE))
+    place = F.row_number().over(Window.partitionBy("slice").orderBy("item"))
+    code = (place - 1).cast("bigint") * slices + F.col("slice")
+    names = items.withColumn("slice", F.pmod(F.xxhash64("item"), F.lit(slices))).withColumn("code", code).drop("slice")
+    names = materialize(names, "item-numbers")
+    return names, (names.agg(F.max("code")).first()[0] or 0) + 1
+
+
+def _whole_orders(lines: DataFrame) -> DataFrame:
+    """Orders as lists of items, all pairs of which count."""
+    orders = lines.groupBy("order").agg(F.collect_list("element").alias("left"))
+    return orders.where(F.size("left") > 1).select("left", F.lit(None).cast("array<bigint>").alias("right"))
+
+
+def _blocks(lines: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Orders cut into blocks of about ``block`` items, as pairs of blocks.
+
+    Two blocks are lists whose pairs count crosswise; a block with itself has no ``right``. Each
+    pair of blocks is one key, so the work on one order spreads over many tasks.
+    """
+    blocks = F.ceil(F.col("items") / block).cast("int")
+    placed = left_join_unique(
+        lines,
+        sizes.select("order", blocks.alias("blocks"), "items"),
+        "order",
+        rows_per_key="items",
+    ).withColumn("mine", F.pmod(F.xxhash64("element"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = placed.select("order", "element", "mine", F.explode(every).alias("other")).select(
+        "order",
+        "element",
+        F.least("mine", "other").alias("i"),
+        F.greatest("mine", "other").alias("j"),
+        (F.col("mine") <= F.col("other")).alias("is_left"),
+    )
+    both = cells.groupBy("order", "i", "j").agg(
+        F.collect_list(F.when(F.col("is_left"), F.col("element"))).alias("left"),
+        F.collect_list(F.when(~F.col("is_left"), F.col("element"))).alias("right"),
     )
-    rest = F.slice("items", F.col("place") + 2, F.size("items"))
-    pairs = first.select("item_a", F.explode(rest).alias("item_b"))
-    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_count"))
+    right = F.when(F.col("i") < F.col("j"), F.col("right"))
+    return both.select("left", right.alias("right"))
 
 
-def _add_large_orders(
-    small_pairs: DataFrame, large: DataFrame, min_pair_count: int, block: int
-) -> DataFrame:
-    """Pair counts of all orders, exact for every pair that reaches ``min_pair_count``.
+def _looked_up(counts: DataFrame, names: DataFrame, large: DataFrame) -> DataFrame:
+    """``counts`` with what large orders add to pairs that have something to ``spare``.
 
     An item is *common* if enough large orders hold it to lift a pair over the threshold
-    by themselves. Two common items are paired directly. Any other pair stays below the
+    by themselves; pairs of two common items are counted already. Any other pair stays below the
     threshold within the large orders, so it matters only if an ordinary order has it too,
-    and only if its count there plus the large orders of its rarer item could reach the
-    threshold. Such pairs are looked up: the orders of the rarer item are joined, and then
+    and only if its count there plus the large orders of its rarer item (``spare``) could reach
+    the threshold. Such pairs are looked up: the orders of the rarer item are joined, and then
     the other item in these orders. No list of orders is gathered, whatever the threshold.
     """
-    item_orders = materialize(large.groupBy("item").agg(F.count(F.lit(1)).alias("orders")), "item-orders")
-    common = item_orders.where(F.col("orders") >= min_pair_count)
-    marked = left_join_unique(
-        large, common.withColumn("common", F.lit(True)), "item", rows_per_key="orders", slot_by=["order"]
-    )
-    direct = _pairs_by_block(marked.where("common").select("order", "item"), block)
-
-    candidates = small_pairs
+    open_ = counts.where(F.col("spare") > 0)
     for side in ("a", "b"):
-        weights = item_orders.select(F.col("item").alias(f"item_{side}"), F.col("orders").alias(f"large_{side}"))
-        candidates = materialize(left_join_unique(candidates, weights, f"item_{side}"), "candidates")
+        weights = names.select(F.col("item").alias(f"item_{side}"), F.col("large").alias(f"large_{side}"))
+        open_ = open_.join(weights, f"item_{side}")
     a, b = F.col("large_a"), F.col("large_b")
-    rarer = F.least(a, b)
-    open_ = candidates.where(
-        (rarer < min_pair_count) & (F.col("pair_count") + rarer >= min_pair_count)
-    ).select(
+    open_ = open_.select(
         "item_a",
         "item_b",
         F.when(a <= b, F.col("item_a")).otherwise(F.col("item_b")).alias("item"),
@@ -142,45 +197,8 @@ def _add_large_orders(
         .agg(F.count(F.lit(1)).alias("pair_count"))
     )
     return (
-        small_pairs.unionByName(direct)
+        counts.select("item_a", "item_b", "pair_count")
         .unionByName(looked_up)
         .groupBy("item_a", "item_b")
         .agg(F.sum("pair_count").alias("pair_count"))
     )
-
-
-def _pairs_by_block(lines: DataFrame, block: int) -> DataFrame:
-    """Pair counts where an order is cut into blocks of about ``block`` items.
-
-    Each pair of blocks is one join key, so the work on one order spreads over many tasks.
-    """
-    sizes = lines.groupBy("order").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = left_join_unique(
-        lines,
-        sizes.select("order", blocks.alias("blocks"), "size"),
-        "order",
-        rows_per_key="size",
-    ).withColumn("mine", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    low = placed.select(
-        "order",
-        F.col("mine").alias("i"),
-        F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("j"),
-        F.col("item").alias("left_item"),
-    )
-    high = placed.select(
-        "order",
-        F.explode(F.sequence(F.lit(0), "mine")).alias("i"),
-        F.col("mine").alias("j"),
-        F.col("item").alias("right_item"),
-    )
-    return (
-        low.join(high, ["order", "i", "j"])
-        .where((F.col("i") < F.col("j")) | (F.col("left_item") < F.col("right_item")))
-        .select(
-            F.least("left_item", "right_item").alias("item_a"),
-            F.greatest("left_item", "right_item").alias("item_b"),
-        )
-        .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("pair_count"))
-    )
