@@ -143,6 +143,34 @@ def test_sampled_silhouettes_keep_their_bound(spark, monkeypatch, seed):
     assert abs(got - plain_silhouettes(x, of).mean()) < 0.05
 
 
+@pytest.mark.parametrize("exact_rows", [10_000, 100])
+def test_groupings_share_their_distances(spark, monkeypatch, exact_rows):
+    """Each grouping has the silhouette it has alone; a table in one part is spread over tasks by its distances."""
+    x, of = clouds(8, n=1500, k=4, spread=1.0)
+    other = (np.arange(len(x)) % 7).astype(np.int32)
+    other[0] = 7  # one alone in its segment
+    df = points_frame(spark, x, of=of.astype(np.int32), other=other, one=0 * other).coalesce(1)
+    monkeypatch.setattr(silhouette, "draws", lambda *a: 120.0)
+    monkeypatch.setattr(silhouette, "DISTANCES_PER_TASK", 100_000)
+    passes, plain = [], silhouette.summed
+    monkeypatch.setattr(silhouette, "summed", lambda df, f, tasks: passes.append(tasks) or plain(df, f, tasks))
+    got = silhouette.silhouettes(df, F.col("x"), F.array("of", "other", "one"), [4, 8, 1], exact_rows=exact_rows)
+    allowed = 1e-9 if exact_rows > len(x) else 0.05
+    assert abs(got[0] - plain_silhouettes(x, of).mean()) < allowed
+    assert abs(got[1] - plain_silhouettes(x, other).mean()) < allowed
+    assert got[2] is None
+    assert len(passes) <= 3 and 2 <= passes[-1] <= 23
+
+
+def test_nearest_centres_of_several_fits(spark):
+    x, _ = clouds(9, n=300)
+    df = points_frame(spark, x)
+    fits = list(kmeans.fit_kmeans(df, [2, 5], 1, 8).values())
+    alone = F.array(*[fit.nearest(F.col("x")) for fit in fits])
+    placed = kmeans.with_nearest(df, fits)
+    assert sorted(map(str, placed.collect())) == sorted(map(str, df.select("x", alone.alias("of")).collect()))
+
+
 def test_the_draws_follow_from_the_bound():
     t = silhouette.draws(10**9, 8, 0.2, 0.01)
     error = 0.2 / 2.2
