@@ -8,6 +8,8 @@ from conftest import at, rows
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tillwise import session
+from tillwise.plans import dashboard
 from tillwise.operators import churn, decide, features, ranks, segments
 
 
@@ -430,3 +432,19 @@ def test_runs_of_threads_keep_their_own_folder(spark):
     ended.set()
     thread.join()
     assert seen[0][0] in seen[0][1] and seen[0][0] != mine
+
+
+def test_lines_of_a_churn_run_are_joined_once(spark, monkeypatch):
+    """Lines from a join: the three periods read one stored table, and risks are those of stored lines."""
+    days = F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(CAST(id * 13 % 400 AS INT))")
+    orders = spark.range(600).select(F.col("id").alias("order_id"), (F.col("id") * 7 % 60).cast("string").alias("customer_id"), days.alias("order_date"))
+    lines = spark.range(900).select(
+        (F.col("id") % 600).alias("order_id"), (F.col("id") % 5 + 1.0).alias("total_spend"), (F.col("id") % 4 != 0).cast("int").alias("purchased")
+    )
+    joined = lines.join(orders, "order_id", "left")
+    stored, plain = [], session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df, name: stored.append(name) or plain(df, name))
+    run = dashboard.run_churn(joined)
+    assert run.risks is not None and stored == ["recent"]
+    again = dashboard.run_churn(plain(joined, "lines"))
+    assert run.as_of == again.as_of and rows(run.risks, "customer_id") == rows(again.risks, "customer_id")

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from tillwise.functions.scalars import flag, moment, time_literal
-from tillwise.session import materialize
+from tillwise.session import materialize, read_again
 
 # The selectable windows in days.
 WINDOW_DAYS = {"last_30d": 30, "last_90d": 90, "last_180d": 180}
@@ -65,6 +65,21 @@ def future_purchases(
     return ahead
 
 
+def recent(
+    df: DataFrame,
+    as_of: datetime,
+    lookback_days: int | None = 180,
+    time_col: str = "order_date",
+) -> DataFrame:
+    """Rows from ``lookback_days`` before ``as_of`` on, stored if they come from joins or the like.
+
+    ``history`` and ``future_purchases`` at ``as_of`` or later find all their rows in it.
+    """
+    if lookback_days is not None:
+        df = df.where(moment(df, time_col) >= time_literal(as_of - timedelta(days=int(lookback_days))))
+    return read_again(df, "recent")
+
+
 def choose_as_of(df: DataFrame, horizon_days: int = 90, time_col: str = "order_date") -> datetime:
     """The newest moment that still leaves a full horizon of data after it."""
     if time_col not in df.columns:

@@ -29,6 +29,7 @@ from tillwise.operators.windows import (
     choose_as_of,
     filter_time_window,
     preview,
+    recent,
     sample_customers,
 )
 from tillwise.session import materialize
@@ -47,9 +48,11 @@ class ChurnRun:
 def run_churn(df: DataFrame, horizon_days: int = 90, lookback_days: int = 180) -> ChurnRun:
     """Learns from the customers known one horizon before the newest row, scores today's.
 
-    The newest moment is read once as a plain value, so the history filters reach the scan.
+    The newest moment is read once as a plain value, so the history filters reach the scan, and
+    lines that come from joins are joined once for all three of their periods.
     """
     as_of = choose_as_of(df, horizon_days)
+    df = recent(df, as_of, lookback_days)
     past = materialize(customer_features_asof(df, as_of, lookback_days), "past")
     labels = materialize(forward_churn_labels(df, as_of, past, horizon_days), "labels")
     result, risks = None, None
