@@ -142,6 +142,27 @@ def test_feature_columns_and_alignment(frame):
     assert features.align_features(df, ["x", "z"]).first()["z"] == 0.0
 
 
+def test_few_levels_are_counted_in_one_shuffle(frame, monkeypatch):
+    df = frame(
+        "customer_id string, channel string, device int, location string",
+        ("a", "web", 1, "x"), ("a", "web", None, "y"), ("a", "shop", 2, None), ("b", None, None, None),
+        ("c", "app", 2, None), (None, "fax", 3, "z"),
+    )
+    levels = features.category_levels(df)
+    assert levels == {"channel": ["app", "fax", "shop", "web"], "device": [1, 2, 3], "location": ["x", "y", "z"]}
+    wanted = {"channel": ["web", "app"], "device": [2, 9], "location": [], "payment_method": ["cash"]}
+    few = features.category_shares(df, wanted)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+    monkeypatch.setattr(features, "COUNTERS", 0)
+    many = features.category_shares(df, wanted)
+    assert "Generate" in many._jdf.queryExecution().executedPlan().toString()
+    assert few.columns == many.columns
+    assert rows(few, "customer_id") == rows(many, "customer_id") == [
+        ("a", 2 / 3, 0.0, 0.5, 0.0, 0.0), ("c", 0.0, 1.0, 1.0, 0.0, 0.0),
+    ]
+
+
 def test_features_plan_is_plain(frame):
     plan = features.customer_features(lines(frame))._jdf.queryExecution().toString()
     for word in ("BatchEvalPython", "ArrowEvalPython", "Expand", "CartesianProduct", "Window ["):
@@ -233,6 +254,15 @@ def test_names_do_not_shuffle_customers(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
+def test_stored_customers_are_not_stored_again_to_be_named(spark, shared_folder):
+    customers = segments.segment_customers(clouds(spark), n_clusters=3).customers
+    before = {str(p) for p in Path(shared_folder).iterdir()}
+    named = segments.name_segments(customers)
+    made = [p.name for p in Path(shared_folder).iterdir() if str(p) not in before]
+    assert made and not [name for name in made if name.startswith("to-name")]
+    assert named.where("segment_name is null").count() == 0 and named.count() == 60
+
+
 def test_level_names_may_hold_any_character(spark):
     levels = ["a.b", "c d", "e`f", "g,h"]
     df = spark.range(200).select(

@@ -79,6 +79,25 @@ def test_starts_share_their_passes(spark, monkeypatch):
     assert len(calls) <= 60 and all(f.summary.numIter <= len(calls) for f in fits.values())
 
 
+def test_passes_get_points_in_batches(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(1000, 3))
+    monkeypatch.setattr(kmeans, "PACKED", 300)
+    sizes = kmeans.packed(points_frame(spark, x), 4).map(lambda b: b["x"].shape).collect()
+    assert sum(n for n, _ in sizes) == 1000 and {d for _, d in sizes} == {3} and max(sizes)[0] == 100
+    batches, plain = [], kmeans.summed
+    monkeypatch.setattr(kmeans, "summed", lambda p, *a: batches.append(p.count()) or plain(p, *a))
+    monkeypatch.setattr(kmeans, "PACKED", 1 << 18)
+    kmeans.fit_kmeans(points_frame(spark, x), [3], 7, 8)
+    assert 0 < max(batches) <= 8
+
+
+@pytest.mark.parametrize("tasks", [8, 1000])
+def test_sums_of_batches_pass_over_empty_parts(spark, tasks):
+    batches = spark.sparkContext.parallelize([{"x": np.full((n, 2), n)} for n in (1, 2, 3)], 8)
+    got = statistics.summed(batches, lambda b: b["x"].sum(0), tasks)
+    assert got.tolist() == [14.0, 14.0]
+
+
 def test_fewer_distinct_points_than_centres(spark):
     x = np.array([[0.0, 0.0]] * 20 + [[1.0, 1.0]] * 5)
     fit = kmeans.fit_kmeans(points_frame(spark, x), [4], 7, 8)[4]
