@@ -1724,8 +1724,8 @@ def _(spark, folder):
 
 @query("dashboard_decisions")
 def _(spark, folder):
-    cleaned = clean.coerce_transactions(star.transactions(spark, folder))
-    return dashboard.run_dashboard(cleaned)["decisions"]
+    typed = clean.coerce_columns(star.transactions(spark, folder))
+    return dashboard.run_dashboard(typed, add_recency=True)["decisions"]
 
 
 @query(

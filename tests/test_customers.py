@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwise import session
 from tillwise.plans import dashboard
-from tillwise.operators import churn, decide, features, ranks, segments
+from tillwise.operators import churn, decide, features, ranks, recency, segments
 
 
 def lines(frame):
@@ -478,3 +478,44 @@ def test_lines_of_a_churn_run_are_joined_once(spark, monkeypatch):
     assert run.risks is not None and stored == ["recent"]
     again = dashboard.run_churn(plain(joined, "lines"))
     assert run.as_of == again.as_of and rows(run.risks, "customer_id") == rows(again.risks, "customer_id")
+
+
+def test_recency_since_purchase_is_that_of_the_lines(frame):
+    """Counted per customer it is what ``ensure_recency`` gives every line, with purchases and without."""
+    for df in (lines(frame), lines(frame).withColumn("purchased", F.lit(0))):
+        expected = features.customer_features(recency.ensure_recency(df))
+        got = features.customer_features(recency.dated_lines(df), since_purchase=True, once=True)
+        assert got.columns == expected.columns
+        assert rows(got, "customer_id") == rows(expected, "customer_id")
+
+
+def test_a_run_with_recency_per_customer_is_that_with_recency_on_lines(spark, monkeypatch):
+    days = F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(CAST(id * 13 % 400 AS INT))")
+    orders = spark.range(600).select(F.col("id").alias("order_id"), (F.col("id") * 7 % 60).cast("string").alias("customer_id"), days.alias("order_date"))
+    bought = (F.col("id") % 4 != 0) & (F.col("id") % 60 != 7)
+    typed = spark.range(900).select(
+        (F.col("id") % 600).alias("order_id"), (F.col("id") % 5 + 1).alias("total_spend"), bought.cast("bigint").alias("purchased"), F.col("id").alias("stock_code")
+    ).join(orders, "order_id", "left")
+    expected = dashboard.run_dashboard(recency.ensure_recency(typed), n_clusters=2)
+    stored, plain = [], recency.materialize
+    monkeypatch.setattr(recency, "materialize", lambda df, name: stored.append(name) or plain(df, name))
+    got = dashboard.run_dashboard(typed, n_clusters=2, add_recency=True)
+    assert stored == [] and set(got) == set(expected)
+    assert got["preview"].columns == expected["preview"].columns
+    order = ["order_date", "order_id", "stock_code"]
+    assert rows(got["preview"], *order) == rows(expected["preview"], *order)
+    for name, columns in {"decisions": ("recommended_action", "risk"), "segments": ("recency_days", "revenue_total")}.items():
+        few = [
+            rows(t[name].withColumn("risk", F.round(c, 9)).select("customer_id", *columns), "customer_id")
+            for t in (got, expected)
+            for c in ["churn_risk" if name == "decisions" else "recency_days"]
+        ]
+        assert few[0] == few[1] and len(few[0]) == 60
+
+
+def test_scaled_values_are_those_of_the_vectors(frame):
+    df = frame("a double, b int, `c.d` double", (1.0, 3, 7.0), (2.5, 3, -1.0), (9.25, 3, 0.1))
+    columns = ["a", "b", "c.d"]
+    scaler = segments.fit_scaler(df, columns)
+    vectors = segments.scale(scaler, df, columns).select(vector_to_array("scaled"), segments.scaled_values(scaler, columns))
+    assert all(one == other for one, other in vectors.collect())

@@ -8,14 +8,13 @@ from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillwise.functions.scalars import named, safe_divide
 from tillwise.operators.features import align_features
 from tillwise.operators.logistic import LogisticFit, fit_logistic
 from tillwise.operators.ranks import value_counts_below
-from tillwise.operators.segments import few_tasks, fit_scaler, scale
+from tillwise.operators.segments import few_tasks, fit_scaler, scaled_values
 from tillwise.operators.windows import future_purchases
 from tillwise.session import materialize
 
@@ -134,8 +133,8 @@ def _fit(train: DataFrame, feature_columns: list[str]) -> tuple[PipelineModel, L
     rows = sum(counts.values())
     scaler = fit_scaler(train, feature_columns)
     weight = F.when(F.col("label") == 1, rows / (2 * counts[1])).otherwise(rows / (2 * counts[0]))
-    ready = scale(scaler, train, feature_columns).select(
-        vector_to_array("scaled").alias("x"), F.col("label").cast("double").alias("label"), weight.alias("weight")
+    ready = train.select(
+        scaled_values(scaler, feature_columns).alias("x"), F.col("label").cast("double").alias("label"), weight.alias("weight")
     )
     tasks = few_tasks(rows)
     ready = ready.where("label IN (0, 1)").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
@@ -153,8 +152,7 @@ def _doubles(features: DataFrame, feature_columns: Sequence[str]) -> DataFrame:
 def _score(
     scaler: PipelineModel, model: LogisticFit, df: DataFrame, columns: list[str]
 ) -> DataFrame:
-    scaled = scale(scaler, df, columns)
-    return scaled.withColumn("churn_risk", model.probability(vector_to_array("scaled"))).drop("scaled")
+    return df.withColumn("churn_risk", model.probability(scaled_values(scaler, columns)))
 
 
 def train_churn_model(

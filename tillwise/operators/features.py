@@ -41,6 +41,8 @@ def customer_features(
     order_col: str = "order_id",
     max_category_levels: int | None = None,
     levels: Levels | None = None,
+    since_purchase: bool = False,
+    once: bool = False,
 ) -> DataFrame:
     """Features over the whole table.
 
@@ -49,6 +51,10 @@ def customer_features(
     The lines are read for the orders, for the names of the category levels and for their shares;
     lines that come from joins or the like are stored first.
 
+    With ``since_purchase`` lines without ``recency_days`` get what ``ensure_recency`` would give
+    them: the days since the customer's last purchase, or last row if nothing was ever bought.
+    ``once`` is for a caller that stores the result: the shares are then not stored by themselves.
+
     Every level of a category column becomes a share column. ``levels`` names them instead;
     ``max_category_levels`` leaves out columns with more levels and warns of each. Without
     either a column of more than ``WIDE`` levels is an error: its shares are for
@@ -70,7 +76,11 @@ def customer_features(
         recency = F.col("_recency")
     elif "order_date" in df.columns:
         newest = base.agg(F.max("_last")).scalar()
-        recency = elapsed_days(newest, F.col("_last"))
+        last = F.col("_last")
+        if since_purchase and "purchased" in df.columns:
+            newest_bought = base.agg(F.max("_last_bought")).scalar()
+            last = F.when(newest_bought.isNull(), last).otherwise(F.col("_last_bought"))
+        recency = elapsed_days(newest, last)
     else:
         recency = F.lit(None)
     base = base.withColumn("recency_days", recency.cast("double")).select(
@@ -84,7 +94,7 @@ def customer_features(
         "avg_discount",
         "recency_days",
     )
-    return _finish(df, base, customer_col, max_category_levels, levels)
+    return _finish(df, base, customer_col, max_category_levels, levels, once)
 
 
 def customer_features_asof(
@@ -94,12 +104,13 @@ def customer_features_asof(
     customer_col: str = "customer_id",
     max_category_levels: int | None = None,
     levels: Levels | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Features from the history up to ``as_of`` only, so that nothing later leaks in.
 
     Recency is measured from the last *purchase*; a customer without one gets a day more
     than the lookback. ``lookback_days=None`` uses all history; the stand-in is then a day
-    more than the age of its first row.
+    more than the age of its first row. ``once`` is that of ``customer_features``.
     """
     if "order_date" not in df.columns:
         raise ValueError("Missing column: order_date")
@@ -128,7 +139,7 @@ def customer_features_asof(
         "avg_order_value",
         "recency_days",
     )
-    return _finish(df, base, customer_col, max_category_levels, levels)
+    return _finish(df, base, customer_col, max_category_levels, levels, once)
 
 
 def _used(df: DataFrame, customer_col: str, order_col: str, levels: Levels | None) -> DataFrame:
@@ -223,6 +234,7 @@ def _finish(
     customer_col: str,
     max_category_levels: int | None,
     levels: Levels | None,
+    once: bool,
 ) -> DataFrame:
     """Adds rates, category shares and logarithms; no feature is left missing."""
     visits, carts, bought = F.col("visits"), F.col("added_to_cart"), F.col("purchases")
@@ -239,7 +251,8 @@ def _finish(
     if present:
         if levels is None:
             levels = category_levels(df, max_category_levels, present)
-        shares = materialize(category_shares(df, levels, customer_col), "levels")
+        shares = category_shares(df, levels, customer_col)
+        shares = shares if once else materialize(shares, "levels")
         added = [c for c in shares.columns if c != customer_col]
         if added:
             out = out.join(shares, customer_col, "left")
@@ -329,24 +342,26 @@ def category_shares(
     known = df.where(named(customer_col).isNotNull())
     if len(levels) + sum(len(values) for values in levels.values()) > COUNTERS:
         counts = level_counts(known, customer_col, list(levels))
-        return _wide_shares(counts, levels, customer_col, lambda column: F.when(F.col("column") == column, F.col("level")), F.col("lines"))
+        return _wide_shares(counts, levels, customer_col, lambda column: F.when(F.col("column") == column, F.col("level")), lambda hit: F.sum(F.when(hit, F.col("lines"))))
     at = {c: f"_level{i}" for i, c in enumerate(levels)}
     texts = [(named(c) if c in df.columns else F.lit(None)).cast("string").alias(name) for c, name in at.items()]
     lines = known.select(named(customer_col), *texts)
     if at:
         lines = lines.where(F.coalesce(*at.values()).isNotNull())
-    return _wide_shares(lines, levels, customer_col, lambda column: F.col(at[column]), F.lit(1))
+    return _wide_shares(lines, levels, customer_col, lambda column: F.col(at[column]), F.count_if)
 
 
-def _wide_shares(rows: DataFrame, levels: Levels, customer_col: str, level_of: Merge, lines: Column) -> DataFrame:
-    """A counter per level over ``rows``: ``level_of`` gives a row's level in a column, ``lines`` its lines."""
+def _wide_shares(
+    rows: DataFrame, levels: Levels, customer_col: str, level_of: Merge, lines_of: Callable[[Column], Column]
+) -> DataFrame:
+    """A counter per level over ``rows``: ``level_of`` gives a row's level in a column, ``lines_of`` the lines of rows hit."""
     counters, shares = [], []
     for c, (column, values) in enumerate(levels.items()):
         level = level_of(column)
-        counters.append(F.sum(F.when(level.isNotNull(), lines)).alias(f"_all{c}"))
+        counters.append(lines_of(level.isNotNull()).alias(f"_all{c}"))
         for v, value in enumerate(values):
             hit = level == F.lit(value).cast("string")
-            counters.append(F.sum(F.when(hit, lines)).alias(f"_n{c}_{v}"))
+            counters.append(lines_of(hit).alias(f"_n{c}_{v}"))
             share = safe_divide(F.col(f"_n{c}_{v}"), F.col(f"_all{c}"))
             shares.append(share.alias(f"{column}_share__{value}"))
     if not counters:

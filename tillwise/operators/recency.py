@@ -16,12 +16,13 @@ def customer_recency(
     customer_col: str = "customer_id",
     time_col: str = "order_date",
     purchase_col: str = "purchased",
+    once: bool = False,
 ) -> DataFrame:
     """One row per customer: ``last_purchase_date``, ``recency_days``, ``lines``.
 
     Days count back from the newest row of the data. Only purchases count as last
     purchase, unless the data holds no purchase at all. One aggregation, then a one-row
-    summary of it.
+    summary of it, for which it is stored; with ``once`` nothing is stored and nothing runs yet.
     """
     when = moment(df, time_col)
     bought = when
@@ -36,7 +37,8 @@ def customer_recency(
             F.count(F.lit(1)).alias("lines"),
         )
     )
-    per_customer = materialize(per_customer, "last-rows")
+    if not once:
+        per_customer = materialize(per_customer, "last-rows")
     newest = per_customer.agg(F.max("_last_row")).scalar()
     newest_bought = per_customer.agg(F.max("_last_bought")).scalar()
     last = F.when(newest_bought.isNull(), F.col("_last_row")).otherwise(F.col("_last_bought"))
@@ -52,6 +54,14 @@ def customer_recency(
     )
 
 
+def dated_lines(df: DataFrame, time_col: str = "order_date", purchase_col: str = "purchased") -> DataFrame:
+    """Lines with a date, as a moment, and their purchase column as a whole number."""
+    df = df.withColumn(time_col, moment(df, time_col)).where(F.col(time_col).isNotNull())
+    if purchase_col in df.columns:
+        df = df.withColumn(purchase_col, flag(df, purchase_col))
+    return df
+
+
 def ensure_recency(
     df: DataFrame,
     customer_col: str = "customer_id",
@@ -61,9 +71,7 @@ def ensure_recency(
     """Lines with a date, with ``last_purchase_date`` and ``recency_days`` where absent."""
     if customer_col not in df.columns or time_col not in df.columns:
         return df
-    df = df.withColumn(time_col, moment(df, time_col)).where(F.col(time_col).isNotNull())
-    if purchase_col in df.columns:
-        df = df.withColumn(purchase_col, flag(df, purchase_col))
+    df = dated_lines(df, time_col, purchase_col)
     missing = [c for c in ("last_purchase_date", "recency_days") if c not in df.columns]
     if not missing:
         return df

@@ -9,9 +9,9 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tillwise.functions.scalars import named
 from tillwise.operators.features import select_feature_columns
@@ -40,6 +40,18 @@ def scale(scaler: PipelineModel, df: DataFrame, columns: Sequence[str]) -> DataF
     return scaler.transform(_assembled(df, columns)).drop("_raw", "_centred")
 
 
+def scaled_values(scaler: PipelineModel, columns: Sequence[str]) -> Column:
+    """What ``scale`` gives, as an array: the same arithmetic on plain columns, no vector per row."""
+    spread, product = scaler.stages
+    parts = zip(columns, spread.mean, spread.std, product.getScalingVec())
+    return F.array(
+        *[
+            (named(c).cast("double") - F.lit(float(mean))) * F.lit(1 / float(std) if std else 0.0) * F.lit(float(factor))
+            for c, mean, std, factor in parts
+        ]
+    )
+
+
 def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values = F.array(*[named(c).cast("double") for c in columns])
     return df.withColumn("_raw", array_to_vector(values))
@@ -71,7 +83,7 @@ def few_tasks(rows: int) -> int:
 
 def scaled_points(scaler: PipelineModel, features: DataFrame, columns: Sequence[str], rows: int) -> DataFrame:
     """The scaled features as arrays ``x``, in few tasks."""
-    points = scale(scaler, features, columns).select(vector_to_array("scaled").alias("x"))
+    points = features.select(scaled_values(scaler, columns).alias("x"))
     return points.coalesce(few_tasks(rows))
 
 
@@ -99,8 +111,8 @@ def segment_customers(
     scaler = fit_scaler(features, columns)
     points = scaled_points(scaler, features, columns, rows)
     model = fit_kmeans(points, [n_clusters], random_state, few_tasks(rows))[n_clusters]
-    placed = scale(scaler, features, columns).withColumn("segment_id", model.nearest(vector_to_array("scaled")))
-    customers = materialize(placed.drop("scaled"), "segmented")
+    placed = features.withColumn("segment_id", model.nearest(scaled_values(scaler, columns)))
+    customers = materialize(placed, "segmented")
     return SegmentationResult(
         customers=customers,
         segment_profiles=segment_profiles(customers, columns),
