@@ -146,6 +146,42 @@ def test_silhouettes_of_equal_points_and_single_segments(spark):
     assert score(points_frame(spark, x, of=of).where("false"), 2) is None
 
 
+def test_silhouettes_are_exact_for_any_number_of_rows(spark):
+    """Nothing but a caller's word makes them estimates."""
+    x, of = clouds(10, n=20_500, k=3, d=2, spread=2.0)
+    x[:40] += np.random.default_rng(1).normal(0, 60, (40, 2))
+    members = np.eye(3)[of]
+    means = np.empty((len(x), 3))
+    for k in range(0, len(x), 100):
+        means[k : k + 100] = np.sqrt(sum((x[k : k + 100, None, c] - x[:, c]) ** 2 for c in (0, 1))) @ members
+    at, sizes = np.arange(len(x)), members.sum(0)
+    inside = means[at, of] / (sizes[of] - 1)
+    means /= sizes
+    means[at, of] = np.inf
+    outside = means.min(1)
+    expected = ((outside - inside) / np.maximum(inside, outside)).mean()
+    assert abs(score(points_frame(spark, x, of=of.astype(np.int32)), 3) - expected) < 1e-9
+
+
+def test_a_task_holds_a_bounded_part_of_the_points(spark, monkeypatch):
+    x, of = clouds(11, n=900, k=4, spread=2.0)
+    monkeypatch.setattr(silhouette, "HELD", 50)
+    monkeypatch.setattr(silhouette, "TASKS", 4)
+    monkeypatch.setattr(silhouette, "DISTANCES_PER_TASK", 900)
+    df = points_frame(spark, x, of=of.astype(np.int32)).coalesce(1)
+    parts, tasks = silhouette._parts(df.select("x", F.array("of").alias("of")), len(x))
+    sizes = parts.map(lambda b: len(b["x"])).collect()
+    assert tasks == 18 and sum(sizes) == 900 and max(sizes) <= 60
+    assert abs(score(df, 4) - plain_silhouettes(x, of).mean()) < 1e-9
+
+
+def test_equal_points_are_no_distance_apart(spark):
+    """Two segments at one place, far from the mean: no rounding makes one seem nearer."""
+    x = np.repeat(np.array([[1000.1, -333.3, 7.7], [1000.1, -333.3, 7.7], [-2000.7, 0.1, 5.3]]), 40, axis=0)
+    of = np.repeat(np.arange(3), 40)
+    assert abs(score(points_frame(spark, x, of=of.astype(np.int32)), 3) - 1 / 3) < 1e-12
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sampled_silhouettes_keep_their_bound(spark, monkeypatch, seed):
     """Skewed segments with far points; the sample is a small part of the rows."""
