@@ -11,10 +11,10 @@ import io
 import zipfile
 from collections.abc import Callable
 from datetime import datetime, timedelta
-from functools import cache
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tillwise.functions.scalars import elapsed_days, log1p_or_zero, safe_divide, shift_days
@@ -321,10 +321,13 @@ BOOK_PARTS = {
 
 def packed_workbook(names: list[str], rows: list[tuple]) -> bytes:
     """A workbook of rows of text: numbers and moments as such, texts as shared strings."""
+    return packed_columns(names, [pa.array(column, pa.string()) for column in zip(*rows)])
+
+
+def packed_columns(names: list[str], columns: list[pa.Array]) -> bytes:
+    """``packed_workbook`` of the columns of rows."""
     strings: dict[str, int] = {}
 
-    # Values that come again are written out once.
-    @cache
     def cell(value: str | None) -> str:
         if value is None:
             return "<c/>"
@@ -338,14 +341,28 @@ def packed_workbook(names: list[str], rows: list[tuple]) -> bytes:
         except ValueError:
             return f'<c t="s"><v>{strings.setdefault(value, len(strings))}</v></c>'
 
-    body = "".join(f"<row>{''.join(map(cell, row))}</row>" for row in [tuple(names), *rows])
+    def cells(column: pa.Array) -> pa.Array:
+        # Texts of numbers are written as they are, other values that come again are written out once.
+        number = pc.match_substring_regex(column, r"^-?[0-9]+(\.[0-9]+)?([eE]-?[0-9]+)?$")
+        found = pc.if_else(number, None, column).dictionary_encode()
+        texts = pa.array(map(cell, found.dictionary.to_pylist()), pa.large_string()).take(found.indices)
+        numbers = pc.binary_join_element_wise(large("<c><v>"), column.cast(pa.large_string()), large("</v></c>"), large(""))
+        return pc.fill_null(pc.if_else(number, numbers, texts), cell(None))
+
+    large = lambda text: pa.scalar(text, pa.large_string())
+    header = f"<row>{''.join(map(cell, names))}</row>"
+    body = b""
+    if columns and len(columns[0]):
+        lines = pc.binary_join_element_wise(large("<row>"), *map(cells, columns), large("</row>"), large(""))
+        body = memoryview(lines.buffers()[2])[: pc.sum(pc.binary_length(lines)).as_py()]
     shared = "".join(f"<si><t>{escape(text)}</t></si>" for text in strings)
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as book:
         for path, part in BOOK_PARTS.items():
             book.writestr(path, part)
         book.writestr("xl/sharedStrings.xml", f"<sst>{shared}</sst>")
-        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
+        sheet = [f"<worksheet><sheetData>{header}".encode(), body, b"</sheetData></worksheet>"]
+        book.writestr("xl/worksheets/sheet1.xml", b"".join(sheet))
     return out.getvalue()
 
 
@@ -355,8 +372,8 @@ def packed_workbooks(df: DataFrame) -> DataFrame:
     def pack(batches):
         for batch in batches:
             if batch.num_rows:
-                rows = list(zip(*[c.to_pylist() for c in batch.columns]))
-                yield pa.RecordBatch.from_arrays([pa.array([packed_workbook(batch.schema.names, rows)])], names=["content"])
+                book = packed_columns(batch.schema.names, batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([book], pa.binary())], names=["content"])
 
     return df.mapInArrow(pack, "content binary")
 

@@ -242,3 +242,64 @@ def test_values_that_come_again_are_read_once():
     got = list(book.rows("Lines"))
     assert got[0] == ["a", "b", "c"] and [tuple(r) for r in got[1:]] == lines
     assert book.shown.cache_info().misses < 21_000
+
+
+def test_plain_cells_are_not_looked_at_one_by_one():
+    from query_catalog import packed_workbook
+    from tillwise.sources.workbook import Workbook
+
+    lines = [(f"i{k}", f"2010-12-0{k % 9 + 1} 08:26:00", f"{k}", f"{k + 0.25}") for k in range(10_000)]
+    book = Workbook(packed_workbook(["a", "b", "c", "d"], lines))
+    assert [tuple(r) for r in book.rows("Lines")][1:] == lines
+    looked_at = book.shown.cache_info()
+    assert looked_at.hits + looked_at.misses < 1_000
+
+
+def cell_of(rng, place):
+    """A cell of some kind, rarely an odd one."""
+    number = rng.choice([rng.randrange(10), rng.random(), rng.random() * 10.0 ** rng.randrange(-8, 20), -rng.randrange(9), 1e15, 1e-4, 40513.25, 40513.351388888892])
+    value = rng.choice([f"<v>{number!r}</v>"] * 8 + ["<v/>", "<v></v>", "", f"<v >{number!r}</v>"])
+    kinds = ["", ' s="0"', ' s="2"'] * 4 + [' t="n"', ' t="b"', ' t="e"']
+    kind = rng.choice(kinds)
+    cells = [f"<c{place}{kind}>{value}</c>"] * 6 + [f"<c{place}/>", f'<c{place} t="s"><v>{rng.randrange(3)}</v></c>', f'<c{place} t="str"><v>x &amp; &#65;y</v></c>', f'<c{place} s="1"><v>{rng.random() * 50_000}</v></c>', f'<c{place} t="str"><v></v></c>']
+    return rng.choice(cells)
+
+
+@pytest.mark.parametrize("places", [False, True])
+def test_plain_parts_give_what_the_parser_gives(tmp_path, monkeypatch, places):
+    """Sheets read as bytes, in parts of all sizes, against the same sheets behind a comment, which the parser reads."""
+    from tillwise.sources import workbook
+
+    rng = random.Random(11)
+    plain, parts = workbook.Workbook._plain, []
+    monkeypatch.setattr(workbook.Workbook, "_plain", lambda self, data: parts.append(plain(self, data)) or parts[-1])
+    strings = "<si><t>name</t></si><si><t></t></si><si><t>two\nlines</t></si>"
+    for size in (200, 1_000, 1 << 20):
+        monkeypatch.setattr(workbook, "PART_BYTES", size)
+        for odd in ("", '<row><c t="inlineStr"><is><t>in</t></is></c></row>', "<!-- -->", "<row><c><f>A1</f><v>3</v></c></row>"):
+            lines = []
+            for k in range(60):
+                columns = sorted(rng.sample(range(30), rng.randrange(6))) if places else range(rng.randrange(6))
+                names = [f' r="{"A" * (c // 26)}{chr(65 + c % 26)}{k + 1}"' if places else "" for c in columns]
+                lines.append(rng.choice(['<row r="9">', "<row>"]) + "".join(cell_of(rng, name) for name in names) + rng.choice(["</row>", "</row>\n"]))
+            lines[50] += odd + "<row/>"
+            sheet = "".join(lines)
+            found = [list(workbook.Workbook(open(book(tmp_path, "a.xlsx", before + sheet, strings, STYLES), "rb").read()).rows()) for before in ("", "<!-- -->")]
+            assert found[0] == found[1] and len(found[0]) > 20
+    assert sum(p is not None for p in parts) > 60
+
+
+def test_a_sheet_cut_short_is_an_error():
+    from tillwise.sources import workbook
+    import io
+
+    class Cut(workbook.Workbook):
+        def __init__(self, text):
+            self.sheets, self.strings, self.dates = {"a": "a"}, [], []
+            self.zip = type("Zip", (), {"open": lambda _, path: io.BytesIO(text)})()
+
+    whole = b"<worksheet><sheetData><row><c><v>1</v></c></row></sheetData></worksheet>"
+    assert list(Cut(whole).rows()) == [["1"]]
+    for text in (whole[:-5], whole[:60], whole.replace(b"</c>", b"")):
+        with pytest.raises(Exception):
+            list(Cut(text).rows())
